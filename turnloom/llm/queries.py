@@ -9,9 +9,12 @@ from ..functions.labels import clean_label
 from ..operators.deliveries import first_delivery
 from ..plans.training import clean_sql
 from ..session import table
+from .clusters import describe_clusters, similarity_clusters
 from .nearest_time import nearest_in_time
+from .neighbours import index_sample, most_similar
 from .runs import collapse_runs
 from .turns import speaker_turns
+from .vectors import is_usable, packed
 
 TOLERANCE_US = 750_000
 RUN_GAP_MS = 30_000
@@ -63,7 +66,65 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("session_id", "speaker", F.col("first_id").alias("first_transcript_id"), F.col("last_id").alias("last_transcript_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns}
+def model_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector length of each model: one row a model."""
+    return table(spark, sf_dir, "speaker").where("model_id is not null").groupBy("model_id").agg(F.max("embedding_dim").alias("dim"))
+
+
+def usable(df: DataFrame, dims: DataFrame, vector: str) -> DataFrame:
+    """Rows with a usable vector of their model, with ``dim``."""
+    return df.join(dims, "model_id").where(is_usable(F.col(vector), F.col("dim")))
+
+
+def segment_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id``, ``model``, ``session_id``, ``label`` and ``packed`` of the first deliveries with a usable vector.
+
+    Vectors are packed before the shuffle of ``first_delivery``; one that isn't usable is an empty one there.
+    """
+    segments = table(spark, sf_dir, "speaker_segment").select("segment_id", "session_id", "utterance_id", "label", "model_id", "embedding")
+    joined = segments.join(model_dims(spark, sf_dir), "model_id", "left")
+    sound = F.when(is_usable(F.col("embedding"), F.col("dim")), F.col("embedding")).otherwise(F.array().cast("array<float>"))
+    rows = packed(joined.withColumn("embedding", sound).drop("dim"), "embedding")
+    values = {"model": F.col("model_id"), "session_id": F.col("session_id"), "label": F.col("label"), "packed": F.col("packed")}
+    first = first_delivery(rows, ["session_id", "utterance_id"], "segment_id", values)
+    return first.where(F.length("packed") > 4).withColumnRenamed("segment_id", "id")
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "speaker_vss").select(F.col("vec_id").alias("id"), "model_id", "centroid")
+    return packed(usable(rows, model_dims(spark, sf_dir), "centroid").drop("dim"), "centroid").withColumnRenamed("model_id", "model")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = segment_vectors(spark, sf_dir).select("model", "id", "packed").unionByName(stored_vectors(spark, sf_dir))
+    # The index is fitted on all deliveries, which saves a pass of the first ones.
+    raw = table(spark, sf_dir, "speaker_segment").select(F.col("segment_id").alias("id"), F.col("model_id").alias("model"), "model_id", "embedding")
+    vectors = packed(usable(raw, model_dims(spark, sf_dir), "embedding").select("id", "model", "embedding"), "embedding")
+    found = most_similar(both, k=5, min_similarity=0.97, fitted=index_sample(raw, vectors))
+    pair = found.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b"))
+    return pair.distinct()
+
+
+def voice_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of unnamed voices: segments with an auto label, and candidates, whose model is that of their session's segments."""
+    segments = segment_vectors(spark, sf_dir).where(clean_label(F.col("label")).startswith("auto:")).select("model", "id", "packed")
+    rows = table(spark, sf_dir, "speaker_candidate").where("candidate_id is not null").select(F.col("candidate_id").alias("id"), "session_id", F.col("representative_embedding").alias("v"))
+    models = table(spark, sf_dir, "speaker_segment").where("model_id is not null").groupBy("session_id").agg(F.min("model_id").alias("model_id"))
+    once = rows.groupBy("id", "session_id").agg(F.first("v", ignorenulls=True).alias("v"))
+    sound = usable(once.join(models, "session_id"), model_dims(spark, sf_dir), "v").select("id", F.col("model_id").alias("model"), "v")
+    return segments.unionByName(packed(sound, "v").select("model", "id", "packed"))
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe_clusters(similarity_clusters(voice_vectors(spark, sf_dir), tau=0.78))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similarity_clusters(voice_vectors(spark, sf_dir), tau=0.78)
+    return found.select(F.col("cluster").alias("cluster_id"), F.col("id").alias("member_id"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_clusters": p4_clusters, "p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns}
 
 _NAMED_SQL = f"""l AS (SELECT seg_id, session_id, clean, CAST(round(t_start * 1000000) AS BIGINT) AS t FROM {clean_sql("seg_label", "speaker_id")} WHERE clean IS NOT NULL AND t_start IS NOT NULL)"""
 
