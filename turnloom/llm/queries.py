@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.labels import clean_label
 from ..operators.deliveries import first_delivery
 from ..plans.training import clean_sql
-from ..session import table
+from ..session import cut, table
 from .clusters import describe_clusters, similarity_clusters
 from .nearest_time import nearest_in_time
+from .mixing import mix_sources, share_report
 from .neighbours import index_sample, most_similar
+from .packing import fill_report, pack_items
 from .runs import collapse_runs
+from .tokens import token_count
 from .turns import speaker_turns
 from .vectors import is_usable, packed
 
@@ -124,7 +127,42 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("cluster").alias("cluster_id"), F.col("id").alias("member_id"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_clusters": p4_clusters, "p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns}
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, with cleaned source, language and court; written once, as callers read it again."""
+    docs = table(spark, sf_dir, "documents")
+    source = F.regexp_replace(F.trim(F.lower("source")), r"[\s\-]+", "_")
+    lang = F.regexp_extract(F.lower(F.trim(F.coalesce("lang", F.lit("und")))), "^[a-z]+", 0)
+    topic = F.regexp_replace(F.trim(F.lower("court")), r"\s+", " ")
+    return cut(docs.select("doc_id", source.alias("source"), lang.alias("lang"), topic.alias("topic"), token_count(F.col("text")).alias("tokens")))
+
+
+def pack_specs(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    """Kinds and capacities: a fixed table of parameters."""
+    return [(r.container_kind, r.capacity_tokens) for r in table(spark, sf_dir, "pack_spec").orderBy("container_kind").collect()]
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, float, int]]:
+    """Sources, shares and repeats: a fixed table of parameters."""
+    return [(r.source, r.target_share, r.max_repeat) for r in table(spark, sf_dir, "mix_target").orderBy("source").collect()]
+
+
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_items(document_tokens(spark, sf_dir), pack_specs(spark, sf_dir))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p8_packing(spark, sf_dir), pack_specs(spark, sf_dir))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(document_tokens(spark, sf_dir), mix_targets(spark, sf_dir), ["lang", "topic"])
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return share_report(p9_mix(spark, sf_dir), mix_targets(spark, sf_dir))
+
+
+QUERIES = {"p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p4_found": p4_found, "p4_clusters": p4_clusters, "p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns}
 
 _NAMED_SQL = f"""l AS (SELECT seg_id, session_id, clean, CAST(round(t_start * 1000000) AS BIGINT) AS t FROM {clean_sql("seg_label", "speaker_id")} WHERE clean IS NOT NULL AND t_start IS NOT NULL)"""
 
