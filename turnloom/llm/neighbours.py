@@ -96,25 +96,36 @@ def radius(similarity: float) -> float:
 
 
 def calibrate(tree: Tree, x: np.ndarray, k: int, min_similarity: float | None, recall: float) -> float:
-    """The smallest margin at which the sample's neighbours meet in a leaf often enough.
+    """The smallest margin at which pairs meet in a leaf often enough: the share ``recall`` of the probes.
 
-    Of two vectors no further apart than ``r``, one lies within ``r / 2`` of the plane between their cells:
-    that margin, where a least similarity is set, finds all pairs, and is the most ever used.
+    Probes are pairs of sample vectors with their neighbours in the sample, and, where a least similarity is
+    set, of sample vectors with random ones at just that similarity: the hardest pairs that count. Of two
+    vectors no further apart than ``r``, one lies within ``r / 2`` of the plane between their cells, so that
+    margin finds every pair and is the most ever used.
     """
-    limit = radius(min_similarity) / 2 if min_similarity is not None else 2.0
-    probes = np.arange(min(len(x), 500))
-    near = x[probes] @ x.T
-    near[probes, probes] = -2
-    wanted = np.argsort(-near, axis=1)[:, : min(k, len(x) - 1)] if len(x) > 1 else np.zeros((len(probes), 0), int)
-    pairs = [(p, int(w)) for p in probes for w in wanted[p] if min_similarity is None or near[p, w] >= min_similarity]
-    if len(pairs) < 200:
-        return limit if min_similarity is not None else 0.2
-    for margin in np.linspace(0.0, limit if min_similarity is not None else 0.6, 13):
-        rows, leaves = tree.visit(x, float(margin))
-        at: dict[int, set[int]] = {}
-        for r, leaf in zip(rows.tolist(), leaves.tolist()):
-            at.setdefault(r, set()).add(leaf)
-        if sum(bool(at[a] & at[b]) for a, b in pairs) >= recall * len(pairs):
+    if not tree.centres:
+        return 0.0
+    rng = np.random.default_rng(3)
+    near = x[:500] @ x.T
+    near[np.arange(len(near)), np.arange(len(near))] = -2
+    top = np.argsort(-near, axis=1)[:, : min(k, len(x) - 1)]
+    rows = np.repeat(np.arange(len(near)), top.shape[1])
+    kept = near[rows, top.ravel()] >= (-2 if min_similarity is None else min_similarity)
+    left, right = x[rows[kept]], x[top.ravel()[kept]]
+    limit, steps = 1.0, np.linspace(0.0, 1.0, 41)
+    if min_similarity is not None:
+        limit = radius(min_similarity) / 2
+        base = x[rng.choice(len(x), min(len(x), 4000), replace=False)]
+        away = rng.standard_normal(base.shape).astype(np.float32)
+        away -= (away * base).sum(axis=1, keepdims=True) * base
+        away /= np.linalg.norm(away, axis=1, keepdims=True)
+        other = min_similarity * base + np.sqrt(1 - min_similarity**2) * away
+        left, right = np.vstack([left, base]), np.vstack([right, other.astype(np.float32)])
+        steps = np.linspace(0.0, limit, 33)
+    n, leaves = len(left), len(tree.leaf_share)
+    for margin in steps:
+        met = [r * leaves + leaf for r, leaf in (tree.visit(side, float(margin)) for side in (left, right))]
+        if len(np.unique(np.intersect1d(*met) // leaves)) >= recall * n:
             return float(margin)
     return limit
 
@@ -186,7 +197,7 @@ def index_sample(counted: DataFrame, vectors: DataFrame, sample: int = 20_000) -
 
 
 def most_similar(
-    vectors: DataFrame, k: int, min_similarity: float | None = None, recall: float = 0.99, sample: int = 20_000, leaf_rows: int = 2_500, max_leaves: int = 4_096, block: int = 8_192,
+    vectors: DataFrame, k: int, min_similarity: float | None = None, recall: float = 0.995, sample: int = 20_000, leaf_rows: int = 2_000, max_leaves: int = 4_096, block: int = 8_192,
     fitted: tuple[dict[str, int], pa.Table] | None = None,
 ) -> DataFrame:
     """The ``k`` most similar other vectors of the same model for every vector: ``model``, ``id``, ``neighbour``, ``similarity``, ``rank``.

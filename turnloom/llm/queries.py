@@ -14,6 +14,7 @@ from .nearest_time import nearest_in_time
 from .mixing import mix_sources, share_report
 from .neighbours import index_sample, most_similar
 from .packing import fill_report, pack_items
+from .pii import find_personal, redact_personal
 from .runs import collapse_runs
 from .tokens import token_count
 from .turns import speaker_turns
@@ -162,7 +163,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(p9_mix(spark, sf_dir), mix_targets(spark, sf_dir))
 
 
-QUERIES = {"p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p4_found": p4_found, "p4_clusters": p4_clusters, "p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents")).select("doc_id", "kind", "start_char", "end_char")
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact_personal(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p4_found": p4_found, "p4_clusters": p4_clusters, "p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns}
 
 _NAMED_SQL = f"""l AS (SELECT seg_id, session_id, clean, CAST(round(t_start * 1000000) AS BIGINT) AS t FROM {clean_sql("seg_label", "speaker_id")} WHERE clean IS NOT NULL AND t_start IS NOT NULL)"""
 
