@@ -41,7 +41,7 @@ OTHERS = frozenset(
     nothing that the this in as it we see service notices tel fax id nat box street road lane avenue close row rise quay january february march april may june july august
     september october november december januar februar märz mai juni juli oktober dezember janvier février mars avril juin juillet août septembre octobre novembre décembre
     auf der die das den dem nach vgl az und für von der ausweis ortstermin schreiben le la les voir dans comme visite notification juge richter judge re harbour
-    tribunal administrative copie kopie cc kr nmk""".split()
+    tribunal administrative copie kopie cc kr nmk of at and by to or d'appel""".split()
 )
 
 _L = r"[^\W\d_]"
@@ -66,7 +66,7 @@ _TAIL = rf"(?:,{_S}|{_S}(?:in|à|at|en){_S})(?:{_POST}{_S})?{_TOWN}(?:,?{_S}{_PO
 _UNIT = rf"(?:Flat|Unit|Apartment|Apt\.?|Suite|Room|Wohnung|Whg\.?|Appartement|Appt\.?|App\.?){_S}\d{{1,4}}[A-Za-z]?"
 _STREET_WORD = rf"(?:St\.|{_UP}(?:{_L}|['’])+(?:-{_UP}{_L}+)*)"
 _ADDRESS = re.compile(
-    rf"(?:{_UNIT}(?:,{_S}|/))?(?<![\d/])\d{{1,4}}{_L}?(?:{_S}{_STREET_WORD}){{1,4}}{_TAIL}"
+    rf"(?:{_UNIT}(?:,{_S}|/)|(?<![\d/]))\d{{1,4}}{_L}?(?:{_S}{_STREET_WORD}){{1,4}}{_TAIL}"
     rf"|(?:P\.\s*O\.\s*Box|PO\s+Box|Box|Postfach|B\.?P\.?|Boîte{_S}postale|Case{_S}postale){_S}\d{{1,6}}{_TAIL}"
     rf"|(?:{_UNIT}(?:,{_S}|/))?{_HOUSE},?{_S}(?:rue|avenue|boulevard|place|quai|chemin|allée|impasse|cours|route)(?:{_S}(?:de|du|des|la|le|les|d['’]|l['’]))*(?:\s*{_STREET_WORD}){{1,4}}{_TAIL}"
     rf"|{_UP}{_L}*(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring|steig|markt|graben|hof|kai){_S}\d{{1,4}}\s?[A-Za-z]?(?:\s*/\s*\d{{1,4}})?{_TAIL}"
@@ -77,10 +77,11 @@ _PLACE_LEFT = re.compile(r"(?:posted\s+to|resides\s+at|premises\s+at|wohnt\s+in|
 # Words a sentence after a paragraph's number often starts with.
 _STARTS = "The|That|This|In|As|It|We|See|Section|Nothing|Counsel|Costs|Exhibit|Service|Notices|Tel|Der|Die|Das|Auf|Nach|Vgl|Ausweis|Ortstermin|Le|La|Les|L|Voir|Dans|Comme|Order|Page|Seite|Headnote|Leitsatz|January|February|March|April|May|June|July|August|September|October|November|December"
 _PLACE = re.compile(
-    rf"(?<![\d/.\-,])\d{{1,4}}[A-Za-z]?(?:\s+(?:bis|ter|quater))?,?\s+(?!(?:{_STARTS})\b)(?:{_UP}[^\W\d_.]|St\.|rue\b|avenue\b|boulevard\b|place\b|quai\b|chemin\b|allée\b|impasse\b|cours\b|route\b)"
+    rf"(?:(?<![\d/.\-,])|(?<=[a-z]\s\d/)|(?<=[a-z]\s\d\d/)|(?<=[a-z]\s\d\d\d/))\d{{1,4}}[A-Za-z]?(?:\s+(?:bis|ter|quater))?,?\s+(?!(?:{_STARTS})\b)(?:{_UP}[^\W\d_.]|St\.|rue\b|avenue\b|boulevard\b|place\b|quai\b|chemin\b|allée\b|impasse\b|cours\b|route\b)"
     r"|(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring|steig|markt|graben|hof|kai)\s+\d|(?:Box|Postfach|B\.?P\.?|postale)\s+\d|\b(?:Am|An der|An den|Im|In der|Auf der|Zum|Zur|Alte[r]?|Neue[r]?)\s+[A-ZÄÖÜ]"
 )
 _HIDDEN = re.compile(r"[█▇▓■*_]|\bx{2,}|\[[^\]]{0,30}$")
+_BLOCKED = re.compile(r"[█▇▓■]|\*{2,}|_{2,}|\bx{2,}")
 _CITED = re.compile(r"[^;\n]{0,90}?(?:\[\d{4}\]|\(\d{4}\)|,\s\d+\s\w+\.\s\w+\.)")
 _AGAINST = re.compile(r"(?:^|[\s(])(?:v|vs|gegen|c/|contre)\.?\s*$")
 
@@ -275,7 +276,7 @@ def label(text: str, c: Candidate) -> int | None:
     """What the rules of high precision say: 1, 0, or None where they say nothing."""
     left, right = text[max(0, c.start - 70) : c.start], text[c.end : c.end + 110]
     span = text[c.start : c.end]
-    if text[c.start - 1 : c.start].isalnum() or right[:1].isalnum() or _HIDDEN.search(span):
+    if text[c.start - 1 : c.start].isalnum() or right[:1].isalnum() or _BLOCKED.search(span):
         return 0
     if c.kind == "email":
         return 1
@@ -303,7 +304,7 @@ def label(text: str, c: Candidate) -> int | None:
         return 0
     if c.form == 3 and span.startswith("M.") and is_french(text[max(0, c.start - 300) : c.end + 300]):
         return 0
-    if c.form == 4 and re.search(r"M\.\s+$", left):
+    if c.form == 4 and re.search(r"(?:\bM\.|\bMe)\s+$", left):
         return int(is_french(text[max(0, c.start - 300) : c.end + 300]))
     if any(_word(w) in OTHERS and w.lower() not in PARTICLES for w in words):
         return 0
@@ -357,8 +358,8 @@ class Detector:
             detector.known[kind] = {k: float(np.log(b / a)) for k, (a, b) in counts.items() if a + b >= 3}
             fit, check = rows[kind][1], rows[kind][2]
             y = np.array([r[2] for r in fit])
-            if len(fit) < 20 or y.min() == y.max():
-                continue  # one class only: the rules, which know no other, decide
+            if min(y.sum(), len(y) - y.sum()) < 10:
+                continue  # hardly more than one class to learn from: the rules decide
             detector.trees[kind] = BoostedTrees(depth=5, trees=80).fit(detector.features(kind, [r[:2] for r in fit]), y)
             held = np.array([r[2] for r in check], float)
             if len(check) >= 20:
