@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import training
+from . import conversation, training
 
-_MODULES = (training,)
+_MODULES = (conversation, training)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
