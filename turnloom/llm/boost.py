@@ -111,4 +111,4 @@ def best_threshold(probability: np.ndarray, y: np.ndarray) -> float:
     top = np.flatnonzero(f1 >= f1.max() - 1e-12)
     low = probability[order[top[-1]]]
     below = probability[order[top[-1] + 1]] if top[-1] + 1 < len(y) else 0.0
-    return float(np.clip((low + below) / 2, 0.05, 0.95))
+    return float(np.clip((low + below) / 2, 0.2, 0.8))

@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +50,14 @@ _UP = r"[A-ZÀ-ÖØ-ÞĀĆČĎĐĒĘĚĞĢĪĶŁŃŇŌŐŒŘŚŠŤŪŮŰŹŻŽ]"
 # A word of a name, an initial, a particle, or a title with its point.
 _TOKEN = re.compile(rf"(?:[aAeE][lL]-)?{_UP}(?:[\w’'\-]*\w|\.(?!\w))|(?:[vV]on|VON|[vV]an|VAN|der|DER|den|DEN|[dD]e|DE|[lL]a|LA|di|du|zu)(?!\w)")
 _POINT = r"(?:(?<=\b[DM]r)\.|(?<=\bM[rm]s)\.|(?<=Prof)\.)?"
-_RUN = re.compile(rf"(?<![\w\-’'])(?:{_TOKEN.pattern}){_POINT}(?:,?\s+(?:{_TOKEN.pattern}){_POINT})+")
+_RUN = re.compile(rf"{_UP}(?<![\w\-’'].)(?:[\w’'\-]*\w|\.(?!\w)){_POINT}(?:,?\s+(?:{_TOKEN.pattern}){_POINT})+")
 
 _AT = re.compile(r"@|[\[({]\s?(?:at|AT)\s?[\])}]")
 _LOCAL = re.compile(r"[\w.+\-]*\w\s?$")
 _DOMAIN = re.compile(r"\s?\w[\w\-]*(?:(?:\.|\s?[\[({]\s?(?:dot|DOT|punkt|point)\s?[\])}]\s?)\w[\w\-]*)+")
-_DIGITS = re.compile(
-    r"(?<![\w.\-/–])(?:\+\s?|\(\+?)?\d+(?:\)?[ \-./–‑\n]{0,2}\(?\d+\)?)+(?:\s*(?:,\s*)?(?:ext\.?|extension|x|Durchwahl|Dw\.?|App\.?|poste)\s*\d{1,5})?|\b[A-Z]{1,3}[ /]?\d\d+(?:[/ ]\d+)*(?:\s?[A-Z])?\b(?!-\d)"
-)
+_EXT = r"(?:\s*(?:,\s*)?(?:ext\.?|extension|x|Durchwahl|Dw\.?|App\.?|poste)\s*\d{1,5})?"
+_DIGITS = re.compile(rf"[\d+(](?<![\w.\-/–].)(?:(?<=\d)\d*|(?<=[+(])\+?\s?\d+)(?:\)?[ \-./–‑\n]{{0,2}}\(?\d+\)?)+{_EXT}")
+_LETTERED = re.compile(r"[A-Z](?<!\w.)[A-Z]{0,2}[ /]?\d\d+(?:[/ ]\d+)*(?:\s?[A-Z])?\b(?!-\d)")
 _ORDINARY = re.compile(r"\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d{2}-\d{2}|\d{4}/\d{4}|\d+/\d\d|NMK \d+|[\d.]+,\d\d|[\d,]+\.\d\d")
 _S = r"[ \t\n ]+"
 _TOWN = rf"{_UP}{_L}+(?:-{_UP}{_L}+)*"
@@ -76,10 +77,12 @@ _STREETS = re.compile(r"(?i)\b(?:street|lane|road|avenue|row|rise|quay|close|cou
 _PLACE_LEFT = re.compile(r"(?:posted\s+to|resides\s+at|premises\s+at|wohnt\s+in|demeure|Ortstermin:|lieux\s:|cc:[^;\n]{3,60};|adresse\s:|in\s+der|réside\s+au|domicilié)\s*$")
 # Words a sentence after a paragraph's number often starts with.
 _STARTS = "The|That|This|In|As|It|We|See|Section|Nothing|Counsel|Costs|Exhibit|Service|Notices|Tel|Der|Die|Das|Auf|Nach|Vgl|Ausweis|Ortstermin|Le|La|Les|L|Voir|Dans|Comme|Order|Page|Seite|Headnote|Leitsatz|January|February|March|April|May|June|July|August|September|October|November|December"
-_PLACE = re.compile(
-    rf"(?:(?<![\d/.\-,])|(?<=[a-z]\s\d/)|(?<=[a-z]\s\d\d/)|(?<=[a-z]\s\d\d\d/))\d{{1,4}}[A-Za-z]?(?:\s+(?:bis|ter|quater))?,?\s+(?!(?:{_STARTS})\b)(?:{_UP}[^\W\d_.]|St\.|rue\b|avenue\b|boulevard\b|place\b|quai\b|chemin\b|allée\b|impasse\b|cours\b|route\b)"
-    r"|(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring|steig|markt|graben|hof|kai)\s+\d|(?:Box|Postfach|B\.?P\.?|postale)\s+\d|\b(?:Am|An der|An den|Im|In der|Auf der|Zum|Zur|Alte[r]?|Neue[r]?)\s+[A-ZÄÖÜ]"
+_NUMBER = re.compile(r"\d(?<![\d.,\-–].)\d{0,5}[a-zA-Z]?(?:\s+(?:bis|ter|quater))?(?=[,\s/])")
+_AFTER = re.compile(
+    rf"[,/]?\s*(?!(?:{_STARTS})\b)(?:{_UP}[^\W\d_.]|St\.|rue\b|avenue\b|boulevard\b|place\b|quai\b|chemin\b|allée\b|impasse\b|cours\b|route\b|\d{{1,4}}[A-Za-z]?\s+{_UP})"
 )
+_PREFIX = re.compile(rf"(?:Flat|Unit|Apartment|Apt\.?|Suite|Room|Wohnung|Whg\.?|Appartement|Appt\.?|App\.?|P\.\s*O\.\s*Box|PO\s+Box|Box|Postfach|B\.?P\.?|(?:Boîte|Case)\s+postale)\s+$")
+_TOWN_NEXT = re.compile(rf"(?:\s+in\s+|,\s+\d{{4,5}}\s+|,\s+){_UP}")
 _HIDDEN = re.compile(r"[█▇▓■*_]|\bx{2,}|\[[^\]]{0,30}$")
 _BLOCKED = re.compile(r"[█▇▓■]|\*{2,}|_{2,}|\bx{2,}")
 _CITED = re.compile(r"[^;\n]{0,90}?(?:\[\d{4}\]|\(\d{4}\)|,\s\d+\s\w+\.\s\w+\.)")
@@ -102,6 +105,7 @@ _NAME_RIGHT = re.compile(
 
 def shape(span: str) -> str:
     """Digits as 9, capitals as A, small letters as a, runs of letters as one."""
+    span = re.sub(r"(ext\.?|x|poste|App\.?|Dw\.?)(\s*)\d+$", r"\1\g<2>0", span)
     return re.sub(r"a+", "a", re.sub(r"A+", "A", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", re.sub(r"\d", "9", re.sub(r"\s+", " ", span)))))
 
 
@@ -116,73 +120,90 @@ class Candidate:
 _FORMS = re.compile(r"(p*w,wi*)|(wi*p*w)|(i+p*w)")
 
 
-def _name_candidates(text: str) -> Iterator[Candidate]:
-    """Sub-spans of runs of capitalised words that have the form of a name.
+@lru_cache(maxsize=100_000)
+def _names_of_run(run: str) -> tuple[tuple[int, int, int], ...]:
+    """Start, end and form of the sub-spans of a run of capitalised words that have the form of a name.
 
     Forms: 1 SURNAME, Given; 2 given name and surname; 3 initials and surname; 4 surname after a title.
     """
-    for run in _RUN.finditer(text):
-        lo, hi = run.span()
-        tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, lo, hi)]
-        n = len(tokens)
-        kinds = []
-        for _, _, t in tokens:
-            if t[-1] == ".":
-                kinds.append("i")
-            elif t.lower() in PARTICLES:
-                kinds.append("p")
-            else:
-                kinds.append("x" if t.lower() in OTHERS or t in TITLES else "w")
-        comma = [False] + [text[tokens[i - 1][1]] == "," if tokens[i - 1][1] < hi else False for i in range(1, n)]
-        titled = [False] + [tokens[i - 1][2].rstrip(".") in TITLES for i in range(1, n)]
-        for i in range(n):
-            if kinds[i] == "x":
-                continue
+    tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(run)]
+    n, kinds, out = len(tokens), [], []
+    for _, _, t in tokens:
+        if t[-1] == ".":
+            kinds.append("i")
+        elif t.lower() in PARTICLES:
+            kinds.append("p")
+        else:
+            kinds.append("x" if t.lower() in OTHERS or t in TITLES else "w")
+    comma = [False] + [run[tokens[i - 1][1] : tokens[i - 1][1] + 1] == "," for i in range(1, n)]
+    titled = [False] + [tokens[i - 1][2].rstrip(".") in TITLES for i in range(1, n)]
+    for i in range(n):
+        if kinds[i] == "x":
+            continue
+        if titled[i] and not comma[i]:
             j = i
-            if titled[i] and not comma[i]:
-                while j < n - 1 and kinds[j] == "p":
-                    j += 1
-                if kinds[j] == "w":
-                    yield Candidate(tokens[i][0], tokens[j][1], "name", 4)
-            form = ""
-            for j in range(i, min(n, i + 7)):
-                if kinds[j] == "x":
+            while j < n - 1 and kinds[j] == "p":
+                j += 1
+            if kinds[j] == "w":
+                out.append((tokens[i][0], tokens[j][1], 4))
+        form = ""
+        for j in range(i, min(n, i + 7)):
+            if kinds[j] == "x":
+                break
+            if j > i and comma[j]:
+                if kinds[j - 1] != "w" or not tokens[j - 1][2].isupper() or "," in form:
                     break
-                if j > i and comma[j]:
-                    if "w" != kinds[j - 1] or not tokens[j - 1][2].isupper() or "," in form:
-                        break
-                    form += ","
-                form += kinds[j]
-                m = _FORMS.fullmatch(form)
-                if m:
-                    yield Candidate(tokens[i][0], tokens[j][1], "name", m.lastindex)
-                if form.count("w") > 1 and kinds[j] == "w":
-                    if "," not in form:
-                        break
+                form += ","
+            form += kinds[j]
+            m = _FORMS.fullmatch(form)
+            if m:
+                out.append((tokens[i][0], tokens[j][1], m.lastindex))
+            if form.count("w") > 1 and kinds[j] == "w" and "," not in form:
+                break
+    return tuple(out)
+
+
+def _name_candidates(text: str) -> Iterator[Candidate]:
+    for run in _RUN.finditer(text):
+        lo = run.start()
+        for a, b, form in _names_of_run(run[0]):
+            yield Candidate(lo + a, lo + b, "name", form)
+
+
+@lru_cache(maxsize=100_000)
+def _numbers_of_run(whole: str) -> tuple[tuple[int, int], ...]:
+    """Spans of a run of digits and separators that may be a number: the run, and the parts between wider separators."""
+    if len(whole) < 7 or _ORDINARY.fullmatch(whole):
+        return ()
+    spans = {(0, len(whole))}
+    for cut in re.finditer(r"\n+|(?<!ext)\.\s|\s\(|\t", whole):
+        spans |= {(0, cut.start()), (cut.end(), len(whole))}
+    tail = re.search(r"\s\d{1,2}[/.]\d{1,2}[/.]\d{4}$|\s\d{4}-\d{2}-\d{2}$", whole)
+    if tail:
+        spans.add((0, tail.start()))
+    out = []
+    for a, b in sorted(spans):
+        part = whole[a:b].rstrip(" \n.-/–(")
+        if 6 <= sum(map(str.isdigit, part)) <= 20 and not _ORDINARY.fullmatch(part.strip("()")):
+            out.append((a, a + len(part)))
+    return tuple(out)
 
 
 def _number_candidates(text: str) -> Iterator[Candidate]:
-    """Runs of digits with what may belong to them; of long runs also the parts between wider separators."""
-    for m in _DIGITS.finditer(text):
-        whole, start = m[0], m.start()
-        if len(whole) < 7 or _ORDINARY.fullmatch(whole):
+    """Numbers, but for those a docket's letters stand before."""
+    for m in chain(_DIGITS.finditer(text), _LETTERED.finditer(text)):
+        spans = _numbers_of_run(m[0])
+        if not spans or text[max(0, m.start() - 3) : m.start()] == "HT ":
             continue
-        spans = {(start, m.end())}
-        for cut in re.finditer(r"\n+|(?<!ext)\.\s|\s\(|\t", whole):
-            spans |= {(start, start + cut.start()), (start + cut.end(), m.end())}
-        tail = re.search(r"\s\d{1,2}[/.]\d{1,2}[/.]\d{4}$|\s\d{4}-\d{2}-\d{2}$", whole)
-        if tail:
-            spans.add((start, start + tail.start()))
         for a, b in spans:
-            part = text[a:b].rstrip(" \n.-/–(")
-            b = a + len(part)
-            count = sum(map(str.isdigit, part))
+            a, b = a + m.start(), b + m.start()
+            part = text[a:b]
             # A bracket opened before the run belongs to it.
             if ")" in part and "(" not in part and a and text[a - 1] == "(":
                 a, part = a - 1, "(" + part
-            if 6 <= count <= 20 and part.count("(") == part.count(")") and not _ORDINARY.fullmatch(part):
+            if part.count("(") == part.count(")"):
                 yield Candidate(a, b, "phone")
-                if count <= 14:
+                if sum(map(str.isdigit, part)) <= 14:
                     yield Candidate(a, b, "id_number")
 
 
@@ -196,11 +217,20 @@ def _emails(text: str) -> Iterator[Candidate]:
 def _addresses(text: str) -> Iterator[Candidate]:
     """Addresses lie around a house or box number; only there the full pattern is tried."""
     done = 0
-    for m in _PLACE.finditer(text):
-        if m.end() <= done:
+    for m in _NUMBER.finditer(text):
+        at, end = m.span()
+        if end <= done:
+            continue
+        unit = _PREFIX.search(text[max(0, at - 16) : at])
+        if unit:
+            found = _ADDRESS.match(text, at - len(unit[0]), end + 110)
+        elif _AFTER.match(text, end):
+            found = _ADDRESS.match(text, at, end + 110)
+        elif text[at - 2 : at - 1].isalpha() and _TOWN_NEXT.match(text, end):
+            found = _ADDRESS.search(text, max(done, at - 40), end + 60)
+        else:
             continue
-        found = _ADDRESS.search(text, max(done, m.start() - 25), m.end() + 110)
-        if found and found.start() <= m.end():
+        if found and found.start() <= end:
             yield Candidate(*found.span(), "address")
             done = found.end()
 
@@ -401,8 +431,11 @@ def train(docs: DataFrame, id_: str, text: str, sample: int = 1_200, longest: in
 
     The bounds hold for training only: detection reads every text whole.
     """
-    rows = docs.where(F.length(text).between(1, longest)).select(F.col(text).alias("t"), F.xxhash64(id_).alias("h"), F.col(id_).alias("i")).orderBy("h", "i").limit(sample)
-    return Detector.fit([r.t for r in rows.select("t").collect()])
+    rows = docs.where(F.length(text).between(1, longest)).select(F.col(text).alias("t"), F.pmod(F.xxhash64(id_), F.lit(1 << 40)).alias("h"), F.col(id_).alias("i"))
+    # A first cut by hash: what the tasks send for the ranking stays near the sample's size at any scale.
+    share = min(1.0, 1.5 * sample / max(1, docs.count()))
+    kept = rows.where(F.col("h") < share * float(1 << 40)).orderBy("h", "i").limit(sample)
+    return Detector.fit([r.t for r in kept.select("t").collect()])
 
 
 def find_personal(docs: DataFrame, id_: str = "doc_id", text: str = "text", detector: Detector | None = None) -> DataFrame:
