@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .assignment import assign
 from .joins import interval_join
+from .periods import periods_and_gaps
 
 
 def cooccurrence(ref: DataFrame, hyp: DataFrame, uri: str, bucket: int) -> DataFrame:
@@ -73,6 +74,9 @@ def error_parts(ref: DataFrame, hyp: DataFrame, uri: str, bucket: int, mapping:
 
 def der(ref: DataFrame, hyp: DataFrame, uri: str, bucket: int, collar: int = 0, skip_overlap: bool = False) -> DataFrame:
     """``error_parts`` under the optimal mapping of labels."""
+    # Overlapping intervals of one label are one, or they would weigh twice in the mapping.
+    once = lambda df: periods_and_gaps(df, [uri, "label"], "start", "end", 0, max(1, 100 * bucket)).where("kind = 'period'").drop("kind")
+    ref, hyp = once(ref), once(hyp)
     mapping = optimal_mapping(cooccurrence(ref, hyp, uri, bucket), uri)
     return error_parts(ref, hyp, uri, bucket, mapping, collar, skip_overlap)
 

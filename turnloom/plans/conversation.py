@@ -211,7 +211,7 @@ def w13_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("session_id", "stop").agg(F.count("*").alias("segments"), F.countDistinct("label").alias("labels"), F.sum(end - F.col("s")).alias("spoken"))
 
 
-@query("""SELECT event_id, CASE WHEN value < 1 THEN 0.02 WHEN value < 3 THEN 0.05 ELSE 0.15 END AS weight FROM events""")
+@query("""SELECT event_id, CAST(CASE WHEN value < 1 THEN 0.02 WHEN value < 3 THEN 0.05 ELSE 0.15 END AS DOUBLE) AS weight FROM events""")
 def p13_phrase_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", interval.phrase_weight(F.col("value")).alias("weight"))
 
