@@ -269,6 +269,9 @@ def keys(text: str, c: Candidate) -> list[str]:
     return [f"l:{left}", f"L:{left2}", f"r:{right}", f"R:{right2}", f"g:{first if c.form in (1, 2) else ''}", f"e:{last[-4:]}", f"b:{last[:3]}", f"f:{c.form}"]
 
 
+_CAPITAL_LEFT = re.compile(rf"(?<![\w.])({_UP}[\w’'\-]*\.?),?\s+$")
+_CAPITAL_RIGHT = re.compile(rf"\s+{_UP}|-{_UP}")
+_SENTENCE_LEFT = re.compile(r"(?:[.;:!?]\s+|\n\s*)(?:[\[(§]?\d+[\])]?\.?\s+)?$")
 _VERSUS = re.compile(r"\s+(?:v|vs|gegen|c/|contre)\.?\s")
 
 
@@ -294,7 +297,10 @@ def plain(text: str, c: Candidate) -> list[float]:
         other = bool(follows) and (after[:1] in " \n" and _word(follows[0]) in COMPANY or follows[0] == "&")
         mister = span.startswith(("M. ", "M.\n")) or left.endswith(("M. ", "M.\n"))
         french = mister and is_french(text[max(0, c.start - 300) : c.end + 300])
-        return [*out, other, is_cited(left, after), mister and french, mister and not french]
+        # Whether a capitalised word that is no title, or an initial, goes on into the span, or out of it.
+        before = _CAPITAL_LEFT.search(left)
+        joined = bool(before) and before[1].rstrip(".") not in TITLES
+        return [*out, other, is_cited(left, after), mister and french, mister and not french, joined, bool(_CAPITAL_RIGHT.match(after)), bool(_SENTENCE_LEFT.search(left))]
     if c.kind in _ANNOUNCE:
         out += [sum(map(str.isdigit, span)), bool(_ANNOUNCE[c.kind].search(left)), bool(_FORBID[c.kind].search(left))]
     elif c.kind == "address":
