@@ -285,6 +285,12 @@ def is_french(text: str) -> bool:
     return text.count(" le ") + text.count(" la ") + text.count(" du ") + text.count(" est ") > text.count(" the ") + text.count(" der ") + text.count(" of ")
 
 
+def mister_is_title(text: str, c: Candidate) -> bool:
+    """Whether the "M." or "Me" at or before a span is a title: in French, but for a judge's initial after "Juge :"."""
+    judge = text[max(0, c.start - 12) : c.start].rstrip("M. \n").endswith("Juge :")
+    return not judge and is_french(text[max(0, c.start - 300) : c.end + 300])
+
+
 def plain(text: str, c: Candidate) -> list[float]:
     """Features that need no dictionary."""
     span = text[c.start : c.end]
@@ -296,7 +302,7 @@ def plain(text: str, c: Candidate) -> list[float]:
     if c.kind == "name":
         other = bool(follows) and (after[:1] in " \n" and _word(follows[0]) in COMPANY or follows[0] == "&")
         mister = span.startswith(("M. ", "M.\n")) or left.endswith(("M. ", "M.\n"))
-        french = mister and is_french(text[max(0, c.start - 300) : c.end + 300])
+        french = mister and mister_is_title(text, c)
         # Whether a capitalised word that is no title, or an initial, goes on into the span, or out of it.
         before = _CAPITAL_LEFT.search(left)
         joined = bool(before) and before[1].rstrip(".") not in TITLES
@@ -338,10 +344,10 @@ def label(text: str, c: Candidate) -> int | None:
         return 0
     if is_cited(left, right):
         return 0
-    if c.form == 3 and span.startswith("M.") and is_french(text[max(0, c.start - 300) : c.end + 300]):
+    if c.form == 3 and span.startswith("M.") and mister_is_title(text, c):
         return 0
     if c.form == 4 and re.search(r"(?:\bM\.|\bMe)\s+$", left):
-        return int(is_french(text[max(0, c.start - 300) : c.end + 300]))
+        return int(mister_is_title(text, c))
     if any(_word(w) in OTHERS and w.lower() not in PARTICLES for w in words):
         return 0
     ends = bool(_NAME_RIGHT.match(right)) or bool(re.match(r"\s*[.;)](?:\s|$)|\n\n?(?![a-z])", right))
