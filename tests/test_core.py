@@ -79,6 +79,8 @@ def test_asof_both_ways(spark):
     assert got() == {1: "y", 2: None, 3: None}
     assert got(exact=False) == {1: "x", 2: None, 3: None}
     assert got(forward=True) == {1: "y", 2: "x", 3: None}
+    for chunk in (1, 2, 100):
+        assert got(chunk=chunk) == got() and got(chunk=chunk, forward=True) == got(forward=True) and got(chunk=chunk, exact=False) == got(exact=False)
 
 
 def test_nearest_vector_refuses_what_it_cannot_bound(spark):

@@ -48,21 +48,35 @@ def dominant_overlap(phrases: DataFrame, segments: DataFrame, keys: list[str], p
     return all_.select(phrase_id, F.coalesce(label, F.lit(fallback)).alias(label), F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"))
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], forward: bool = False, exact: bool = True) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], forward: bool = False, exact: bool = True, chunk: int | None = None) -> DataFrame:
     """``left`` with the ``values`` of the latest row of ``right`` at or before its time (``forward``: the earliest at or after).
 
     Both sides have ``keys`` and ``time``. One union and one sorted pass, no pairs. With ``exact`` rows of
     the same time match. Of rows of ``right`` with equal times the one with the largest (``forward``:
     smallest) values is taken. Left rows without a match get nulls.
+
+    With ``chunk`` (times must be numbers) a key's rows are sorted slice by slice, and what the slices before
+    hold last is carried over: a hot key is then many tasks.
     """
     columns = [c for c in left.columns if c not in (*keys, time)]
     one = F.struct(F.lit(1).alias("hit"), *[F.col(v) for v in values])
-    a = left.select(*keys, time, F.struct(*columns).alias("__l"), F.lit(None).cast(right.select(one.alias("x")).schema["x"].dataType).alias("__r"), F.lit(1).alias("__side"))
-    b = right.select(*keys, time, F.lit(None).cast(left.select(F.struct(*columns).alias("x")).schema["x"].dataType).alias("__l"), one.alias("__r"), F.lit(0 if exact else 2).alias("__side"))
+    kind = lambda df, x: df.select(x.alias("x")).schema["x"].dataType
+    a = left.select(*keys, time, F.struct(*columns).alias("__l"), F.lit(None).cast(kind(right, one)).alias("__r"), F.lit(1).alias("__side"))
+    b = right.select(*keys, time, F.lit(None).cast(kind(left, F.struct(*columns))).alias("__l"), one.alias("__r"), F.lit(0 if exact else 2).alias("__side"))
     both = a.unionByName(b)
+    if chunk is not None:
+        both = both.withColumn("__c", F.floor(F.col(time) / chunk))
+    slices = [*keys, "__c"] if chunk is not None else keys
     order = [F.col(time), F.col("__side"), F.col("__r")] if not forward else [F.col(time).desc(), F.col("__side").asc(), F.col("__r").desc()]
-    line = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy(*slices).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("__m", F.last_value("__r", ignoreNulls=True).over(line)).where("__side = 1")
+    if chunk is not None:
+        held = F.when(F.col("__side") != 1, F.struct(F.col(time).alias("t"), F.col("__r").alias("r")))
+        tails = both.groupBy(*slices).agg((F.min(held) if forward else F.max(held)).alias("__tail"))
+        earlier = Window.partitionBy(*keys).orderBy(F.col("__c").desc() if forward else F.col("__c")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = tails.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(slices)], F.last_value("__tail", ignoreNulls=True).over(earlier).alias("__carry"))
+        same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(slices)]
+        seen = seen.join(carried, same).withColumn("__m", F.coalesce("__m", "__carry.r"))
     return seen.select(*keys, time, "__l.*", *[F.col(f"__m.{v}").alias(v) for v in values])
 
 

@@ -79,15 +79,18 @@ def merged_order(events: DataFrame, stream: str, seq: str, time: str) -> DataFra
     return keyed.withColumn("__own", own).join(shift, "__slot").withColumn("position", (F.col("__own") + F.col("__before")).cast("long")).drop("__key", "__slot", "__own", "__before")
 
 
-def covered_time(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+def covered_time(df: DataFrame, keys: list[str], start: str, end: str, chunk: int = 600_000) -> DataFrame:
     """``keys``, ``covered`` (time with at least one interval), ``overlapped`` (with two or more), ``most`` at once.
 
-    A sweep over starts and ends: each adds or takes one, and counts hold until the next.
+    A sweep over starts and ends: each adds or takes one, and counts hold until the next. Intervals are cut
+    at the borders of slices of ``chunk`` units, so each slice is swept by itself and a hot key is many tasks.
     """
-    ends = df.where(F.col(end) > F.col(start))
-    points = ends.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("step")))).alias("x")).select(*keys, "x.*")
-    steps = points.groupBy(*keys, "at").agg(F.sum("step").alias("step"))
-    line = Window.partitionBy(*keys).orderBy("at")
+    slices = F.sequence(F.floor(F.col(start) / chunk), F.floor((F.col(end) - 1) / chunk))
+    cut = df.where(F.col(end) > F.col(start)).select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), F.explode(slices).alias("__b"))
+    lo, hi = F.greatest(F.col("__s"), F.col("__b") * chunk), F.least(F.col("__e"), (F.col("__b") + 1) * chunk)
+    points = cut.select(*keys, "__b", F.explode(F.array(F.struct(lo.alias("at"), F.lit(1).alias("step")), F.struct(hi.alias("at"), F.lit(-1).alias("step")))).alias("x"))
+    steps = points.select(*keys, "__b", "x.*").groupBy(*keys, "__b", "at").agg(F.sum("step").alias("step"))
+    line = Window.partitionBy(*keys, "__b").orderBy("at")
     swept = steps.withColumn("n", F.sum("step").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("long", F.lead("at").over(line) - F.col("at"))
     return swept.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(F.col("n") >= 1, F.col("long"))), F.lit(0)).cast("long").alias("covered"),

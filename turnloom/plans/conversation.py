@@ -69,7 +69,7 @@ SELECT f.transcript_id, t.label, t.ss FROM f ASOF LEFT JOIN (SELECT session_id,
 def j8_last_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = finals(spark, sf_dir).select("session_id", "transcript_id", F.col("ps").alias("at"))
     right = turns(spark, sf_dir).select("session_id", F.col("ss").alias("at"), "label", "ss")
-    return joins.asof(left, right, ["session_id"], "at", ["label", "ss"]).select("transcript_id", "label", "ss")
+    return joins.asof(left, right, ["session_id"], "at", ["label", "ss"], chunk=600 * MICROS).select("transcript_id", "label", "ss")
 
 
 @query("""WITH b AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase'), a AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'view'),
@@ -79,7 +79,7 @@ def j9_latency_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = events(spark, sf_dir)
     left = all_.where("event_type = 'purchase'").select("user_id", "us", "event_id")
     right = all_.where("event_type = 'view'").select("user_id", "us", F.col("us").alias("seen"))
-    found = joins.asof(left, right, ["user_id"], "us", ["seen"], forward=True)
+    found = joins.asof(left, right, ["user_id"], "us", ["seen"], forward=True, chunk=86_400 * MICROS)
     return found.select("event_id", (F.col("seen") - F.col("us")).alias("wait_us"))
 
 

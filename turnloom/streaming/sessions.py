@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.clustering import LETTERS, OnlineCenters
-import numpy as np
+from ..functions.labels import LETTERS
+from ..operators.clustering import OnlineCenters
 
 
 def stream_windows(chunks: DataFrame, window: int = 160_000, hop: int = 16_000) -> DataFrame:
