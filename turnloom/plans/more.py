@@ -251,4 +251,24 @@ def t7_label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session", "old_label", "new_label", F.size("ids").cast("long").alias("n"), "reason")
 
 
+
+@query("""SELECT event_id, round(cos(-2 * pi() * value * (user_id % 5) * 0.05 / 343), 9) AS re, round(sin(-2 * pi() * value * (user_id % 5) * 0.05 / 343), 9) AS im FROM events""")
+def s7_steering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phase = -2 * F.pi() * F.col("value") * (F.col("user_id") % 5) * 0.05 / 343
+    return table(spark, sf_dir, "events").select("event_id", F.round(F.cos(phase), 9).alias("re"), F.round(F.sin(phase), 9).alias("im"))
+
+
+@query(f"""WITH {SEGMENTS}, w AS (SELECT min(session_id) AS first, max(CASE WHEN session_id = 'live-standing-room' THEN session_id END) AS asked FROM g)
+SELECT segment_id, greatest(s, 60000) - 60000 AS s, least(e, 180000) - 60000 AS e FROM g, w WHERE session_id = coalesce(asked, first) AND least(e, 180000) > greatest(s, 60000)""")
+def s10_reference_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slice of one recording: the one asked for, or the first if there is none of that name."""
+    from ..functions.interval import clip
+
+    rows = segments(spark, sf_dir)
+    uri = F.broadcast(rows.agg(F.min("session_id").alias("first"), F.max(F.when(F.col("session_id") == "live-standing-room", F.col("session_id"))).alias("asked")))  # one row
+    s, e, left = clip(F.col("s"), F.col("e"), F.lit(60_000).cast("long"), F.lit(180_000).cast("long"))
+    own = rows.join(uri, F.col("session_id") == F.coalesce("asked", "first"))
+    return own.where(left).select("segment_id", (s - 60_000).alias("s"), (e - 60_000).alias("e"))
+
+
 QUERIES, ORACLE = query.queries, query.oracle

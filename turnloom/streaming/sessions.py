@@ -72,3 +72,26 @@ def stream_sessions(segments: DataFrame, time: str = "ingest_ts", late: str = "1
 def first_deliveries(segments: DataFrame, keys: list[str], time: str = "ingest_ts", late: str = "10 minutes") -> DataFrame:
     """Rows of a stream without those that repeat a key within the watermark."""
     return segments.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
+def paced(spark, path: str, schema: str, files: int = 1) -> DataFrame:
+    """A folder of parquet chunks as a stream, ``files`` at a time: the rate limit that stands for bounded queues."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def fan_out(sinks: dict[str, str]):
+    """For ``foreachBatch``: each batch goes to several folders, filtered by a condition, and a repeated batch replaces itself.
+
+    ``sinks`` maps a folder to a SQL condition. A batch that is tried again after a failure overwrites what
+    its first attempt wrote, so nothing is written twice.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            for path, condition in sinks.items():
+                batch.where(condition).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return write
