@@ -28,10 +28,11 @@ def p3_pcm_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.coalesce(odd, F.when(mono != 1, "not mono")).alias("problem"), pcm.seconds(F.col("pcm")).alias("seconds"))
 
 
-@query("""SELECT event_id, [ord(props[1]) + 256 * ord(props[2]), ord(props[3]) + 256 * ord(props[4])] AS first_two FROM events WHERE octet_length(encode(props)) % 2 = 0""")
+@query("""SELECT event_id, ord(props[1]) + 256 * ord(props[2]) AS first, ord(props[3]) + 256 * ord(props[4]) AS second FROM events WHERE octet_length(encode(props)) % 2 = 0""")
 def p1_pcm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _bytes(spark, sf_dir).where("octet_length(pcm) % 2 = 0")
-    return rows.select("event_id", F.slice(pcm.samples(F.col("pcm")), 1, 2).alias("first_two"))
+    values = rows.select("event_id", pcm.samples(F.col("pcm")).alias("x"))
+    return values.select("event_id", F.col("x")[0].alias("first"), F.col("x")[1].alias("second"))
 
 
 @query("""SELECT event_id, substr(props, 3, 2) AS cut FROM events""")
@@ -252,10 +253,10 @@ def t7_label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("""SELECT event_id, round(cos(-2 * pi() * value * (user_id % 5) * 0.05 / 343), 9) AS re, round(sin(-2 * pi() * value * (user_id % 5) * 0.05 / 343), 9) AS im FROM events""")
+@query("""SELECT event_id, round(cos(-2 * pi() * value * (user_id % 5) * 0.05 / 343), 9) + 0.0 AS re, round(sin(-2 * pi() * value * (user_id % 5) * 0.05 / 343), 9) + 0.0 AS im FROM events""")
 def s7_steering(spark: SparkSession, sf_dir: str) -> DataFrame:
     phase = -2 * F.pi() * F.col("value") * (F.col("user_id") % 5) * 0.05 / 343
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.cos(phase), 9).alias("re"), F.round(F.sin(phase), 9).alias("im"))
+    return table(spark, sf_dir, "events").select("event_id", (F.round(F.cos(phase), 9) + 0.0).alias("re"), (F.round(F.sin(phase), 9) + 0.0).alias("im"))
 
 
 @query(f"""WITH {SEGMENTS}, w AS (SELECT min(session_id) AS first, max(CASE WHEN session_id = 'live-standing-room' THEN session_id END) AS asked FROM g)
