@@ -179,7 +179,23 @@ _FINAL_SQL = """f AS (SELECT transcript_id, session_id, text, CAST(round(t_start
   (SELECT *, row_number() OVER (PARTITION BY session_id, seq ORDER BY transcript_id) AS r FROM transcript)
   WHERE r = 1 AND is_final AND t_start IS NOT NULL AND NOT coalesce(t_start = 0 AND t_end = 0, false))"""
 
+_FILLER_SQL = "u+[hm]+|u+-u+[hm]+|e+r+m*|e+h+m*|a+h+m*|h+m+|m{2,}|m+-?h+m+|u+h+-?h*u+h+|e+u+h+|[äæ]+h*m*|ö+h+m*"
+
+#: Texts with a word left after annotations, a speaker's tag, marks and fillers are taken away.
+_SPOKEN_SQL = rf"""w AS (SELECT *, string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''),
+  '\[[^\]]*\]?|\(+[^)]*\)*|\{{[^}}]*\}}?|<[^>]*>?|\*[^*]*\*?|#[^#]*#?|~[^~]*~?|♪[^♪]*♪?', ' ', 'g'),
+  '^\s*(>>|-)?\s*(([A-Z]|[0-9]{{1,3}}|SPK_[0-9]+)\s*[:>](\s|$))?', ' '), '\s+') AS words FROM f),
+s AS (SELECT * FROM w WHERE len(list_filter(words, lambda x: regexp_replace(x, '[^\pL\pN]', '', 'g') <> ''
+  AND NOT regexp_full_match(lower(regexp_replace(x, '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g')), '{_FILLER_SQL}'))) > 0)"""
+
 ORACLE = {
+    "p7_found": f"""
+WITH {_NAMED_SQL}, {_FINAL_SQL}, {_SPOKEN_SQL},
+m AS (SELECT s.session_id, s.transcript_id, s.t, l.clean, row_number() OVER (PARTITION BY transcript_id ORDER BY abs(s.t - l.t), seg_id) AS r
+  FROM s JOIN l ON s.session_id = l.session_id AND l.t BETWEEN s.t - 750000 AND s.t + 750000),
+b AS (SELECT *, CASE WHEN lag(clean) OVER o = clean AND t - lag(t) OVER o <= 10000000 THEN 0 ELSE 1 END AS n FROM m WHERE r = 1 WINDOW o AS (PARTITION BY session_id ORDER BY t, transcript_id)),
+g AS (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY t, transcript_id ROWS UNBOUNDED PRECEDING) AS i FROM b)
+SELECT session_id, min(clean) AS speaker, arg_min(transcript_id, (t, transcript_id)) AS first_transcript_id, arg_max(transcript_id, (t, transcript_id)) AS last_transcript_id FROM g GROUP BY session_id, i""",
     "p1_found": f"""
 WITH {_NAMED_SQL}, {_FINAL_SQL},
 m AS (SELECT transcript_id, seg_id, row_number() OVER (PARTITION BY transcript_id ORDER BY abs(f.t - l.t), seg_id) AS r
