@@ -59,7 +59,7 @@ def j7_dominant_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FINALS}, {TURNS}
 SELECT f.transcript_id, t.seg_id, CAST(least(pe, se) - greatest(ps, ss) AS BIGINT) AS shared FROM f JOIN t ON f.session_id = t.session_id AND ps < se AND ss < pe""")
-def p15_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn15_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = joins.interval_join(finals(spark, sf_dir), turns(spark, sf_dir), ["session_id"], ("ps", "pe"), ("ss", "se"), 10 * MICROS)
     return pairs.select("transcript_id", "seg_id", interval.overlap(F.col("ps"), F.col("pe"), F.col("ss"), F.col("se")).alias("shared"))
 
@@ -212,31 +212,31 @@ def w13_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CAST(CASE WHEN value < 1 THEN 0.02 WHEN value < 3 THEN 0.05 ELSE 0.15 END AS DOUBLE) AS weight FROM events""")
-def p13_phrase_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn13_phrase_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", interval.phrase_weight(F.col("value")).alias("weight"))
 
 
 @query(f"""WITH {SEGMENTS} SELECT segment_id, greatest(s, 60000) AS s, least(e, 120000) AS e FROM g WHERE least(e, 120000) > greatest(s, 60000)""")
-def p14_interval_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn14_interval_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, e, left = interval.clip(F.col("s"), F.col("e"), F.lit(60_000).cast("long"), F.lit(120_000).cast("long"))
     return segments(spark, sf_dir).where(left).select("segment_id", s.alias("s"), e.alias("e"))
 
 
 @query("""SELECT segment_id, greatest(t_end - t_start, 0) AS duration, CASE WHEN greatest(t_end - t_start, 0) > 0 THEN t_end - t_start ELSE 1.0 END AS weight FROM speaker_segment WHERE t_start IS NOT NULL AND t_end IS NOT NULL""")
-def p20_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn20_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "speaker_segment").where("t_start is not null and t_end is not null")
     s, e = F.col("t_start"), F.col("t_end")
     return rows.select("segment_id", interval.duration(s, e).cast("double").alias("duration"), interval.duration_weight(s, e).cast("double").alias("weight"))
 
 
 @query(f"""WITH {SEGMENTS} SELECT segment_id, unnest(range(s // 100, e // 100 + 1)) AS frame FROM g WHERE e - s < 600000""")
-def p21_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn21_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segments(spark, sf_dir).where("e - s < 600000")
     return rows.select("segment_id", F.explode(F.sequence(F.floor(F.col("s") / 100), F.floor(F.col("e") / 100))).alias("frame"))
 
 
 @query("""SELECT event_id, round(value / 589 * 10, 9) AS t, CAST(floor(value / 589 * 160000) AS BIGINT) AS sample FROM events""")
-def p9_frame_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn9_frame_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = interval.frame_to_time(F.col("value"), F.lit(589), F.lit(10))
     return table(spark, sf_dir, "events").select("event_id", F.round(t, 9).alias("t"), F.floor(F.col("value") / 589 * 160_000).alias("sample"))
 
@@ -290,18 +290,18 @@ def t8_adaptive_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SEGMENTS}, d AS (SELECT segment_id % 3 AS device, segment_id, s, label FROM g) SELECT segment_id, 'dev' || device || ':' || label AS label FROM d""")
-def p11_device_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn11_device_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).select("segment_id", labels.with_device(F.col("segment_id") % 3, F.col("label")).alias("label"))
 
 
 @query(f"""WITH {SEGMENTS} SELECT DISTINCT label, regexp_replace(label, '^[^:]*:', '') AS shown, split_part(label, ':', 1) AS kind, CASE WHEN label LIKE 'auto:%' THEN CAST(ascii(substr(label, 6, 1)) - 65 AS BIGINT) END AS idx FROM g""")
-def p12_display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn12_display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label")
     return segments(spark, sf_dir).select("label").distinct().select("label", labels.display_name(label).alias("shown"), labels.label_kind(label).alias("kind"), labels.label_to_index(label).cast("long").alias("idx"))
 
 
 @query("""SELECT DISTINCT CAST(user_id % 20 AS BIGINT) AS idx, 'auto:' || chr(CAST(65 + user_id % 20 AS INT)) AS label, chr(CAST(65 + user_id % 26 AS INT)) AS letter FROM events""")
-def p10_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn10_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = F.col("user_id") % 20
     return table(spark, sf_dir, "events").select(idx.alias("idx"), labels.index_to_label(idx).alias("label"), labels.wrapped_letter(F.col("user_id")).alias("letter")).distinct()
 
@@ -329,7 +329,7 @@ def s5_mixdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, round(greatest(least(value / 100 - 2, 1), -1), 9) AS x, CAST(trunc(greatest(least(value / 100 - 2, 1), -1) * 32767) AS INTEGER) AS pcm, round(trunc(greatest(least(value / 100 - 2, 1), -1) * 32767) / 32768, 9) AS back FROM events""")
-def p2_float_to_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn2_float_to_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("value") / 100 - 2
     value = pcm.to_int16(x)
     return table(spark, sf_dir, "events").select("event_id", F.round(F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)), 9).alias("x"), value.alias("pcm"), F.round(pcm.to_float(value), 9).alias("back"))

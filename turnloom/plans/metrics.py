@@ -246,19 +246,19 @@ def j17_by_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH d AS (SELECT doc_id, text, trim(lower(source)) AS s FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, regexp_matches(rtrim(text, ' '), '[.?!…]$') AS ends, trim(lower(regexp_replace(s, '[^a-zA-Z0-9]', '_', 'g')), '_') AS slug, '''' || replace(s, '''', '''''') || '''' AS literal FROM d""")
-def p16_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn16_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").where("text is not null").withColumn("s", F.trim(F.lower("source")))
     return rows.select("doc_id", text.ends_sentence(F.col("text")).alias("ends"), text.slug(F.col("s")).alias("slug"), text.sql_literal(F.col("s")).alias("literal"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice IS NULL OR isnan(o_totalprice) THEN '–' ELSE format('{:.1f}%', o_totalprice / 1000000 * 100) END AS share, CASE WHEN o_totalprice IS NULL THEN '–' ELSE format('{:+.3f}', o_totalprice - 150000) END AS delta FROM orders""")
-def p27_report_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn27_report_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice")
     return table(spark, sf_dir, "orders").select("o_orderkey", text.percent(price / 1_000_000).alias("share"), text.signed(price - 150_000).alias("delta"))
 
 
 @query("""SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN 'memory' WHEN 1 THEN 'sqlite' WHEN 2 THEN 'postgresql' ELSE NULL END AS scheme FROM embeddings""")
-def p26_url_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn26_url_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = F.array(*[F.lit(u) for u in ("Memory://", "sqlite:///x.db", "POSTGRESQL://h/d", "mysql://h/d", "no address")])
     return table(spark, sf_dir, "embeddings").select("vec_id", text.url_scheme(F.element_at(urls, (F.col("vec_id") % 5 + 1).cast("int"))).alias("scheme"))
 

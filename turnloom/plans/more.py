@@ -22,27 +22,27 @@ def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CASE WHEN octet_length(encode(props)) % 2 = 1 THEN 'odd number of bytes' WHEN user_id % 7 = 0 THEN 'not mono' END AS problem, octet_length(encode(props)) / 32000.0::DOUBLE AS seconds FROM events""")
-def p3_pcm_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn3_pcm_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _bytes(spark, sf_dir)
     odd, mono = pcm.check_pcm(F.col("pcm")), F.when(F.col("user_id") % 7 == 0, 2).otherwise(1)
     return rows.select("event_id", F.coalesce(odd, F.when(mono != 1, "not mono")).alias("problem"), pcm.seconds(F.col("pcm")).alias("seconds"))
 
 
 @query("""SELECT event_id, ord(props[1]) + 256 * ord(props[2]) AS first, ord(props[3]) + 256 * ord(props[4]) AS second FROM events WHERE octet_length(encode(props)) % 2 = 0""")
-def p1_pcm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn1_pcm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _bytes(spark, sf_dir).where("octet_length(pcm) % 2 = 0")
     values = rows.select("event_id", pcm.samples(F.col("pcm")).alias("x"))
     return values.select("event_id", F.col("x")[0].alias("first"), F.col("x")[1].alias("second"))
 
 
 @query("""SELECT event_id, substr(props, 3, 2) AS cut FROM events""")
-def p22_time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn22_time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = pcm.time_slice(F.col("pcm"), F.lit(10.0), F.lit(10.0 + 1 / 16000), F.lit(10.0 + 2 / 16000))
     return _bytes(spark, sf_dir).select("event_id", F.decode(cut, "UTF-8").alias("cut"))
 
 
 @query("""SELECT event_id, '{"message_type":"input_audio_chunk","audio_base_64":"' || base64(encode(props)) || '"}' AS message FROM events""")
-def p25_audio_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn25_audio_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bytes(spark, sf_dir).select("event_id", pcm.audio_message(F.col("pcm")).alias("message"))
 
 

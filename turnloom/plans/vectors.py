@@ -27,21 +27,21 @@ _C = f"{_U}, l AS (SELECT vec_id, label, unnest(u) AS x, generate_subscripts(u,
 
 
 @query(f"WITH {_U} SELECT vec_id, round(u[1], 6) AS first, round(u[64], 6) AS last, round(list_dot_product(u, u), 6) AS norm FROM u")
-def p4_l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn4_l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("u")
     return _units(spark, sf_dir).select("vec_id", F.round(u[0], 6).alias("first"), F.round(u[63], 6).alias("last"), F.round(vector.dot(u, u), 6).alias("norm"))
 
 
 @query(f"""WITH s AS (SELECT vec_id, list_transform({_D}, lambda x: x * CASE WHEN label = 0 THEN 1e-12 ELSE label END) AS e FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM s)
 SELECT vec_id, round(CASE WHEN n < 1e-9 THEN e[1] ELSE e[1] / n END, 6) + 0.0 AS first, n < 1e-9 AS kept FROM n""")
-def p5_l2_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn5_l2_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale = F.when(F.col("label") == 0, 1e-12).otherwise(F.col("label"))
     rows = _e(spark, sf_dir).withColumn("k", scale).withColumn("e", F.transform(vector.doubles(F.col("embedding")), lambda x: x * F.col("k")))
     return rows.select("vec_id", (F.round(vector.l2_normalize_lenient(F.col("e"))[0], 6) + 0.0).alias("first"), (vector.norm(F.col("e")) < 1e-9).alias("kept"))
 
 
 @query(f"""WITH {_U} SELECT a.vec_id, round(list_dot_product(a.u, b.u), 6) AS cosine, round(greatest(1 - list_dot_product(a.u, b.u), 0), 6) AS distance FROM u a JOIN u b ON b.vec_id = a.vec_id + 1""")
-def p6_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn6_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _units(spark, sf_dir)
     other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("u").alias("w"))
     return rows.join(other, "vec_id").select("vec_id", F.round(vector.cosine(F.col("u"), F.col("w")), 6).alias("cosine"), F.round(vector.cosine_distance(F.col("u"), F.col("w")), 6).alias("distance"))
@@ -49,7 +49,7 @@ def p6_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT vec_id, embedding[1:7] AS s FROM embeddings), a AS (SELECT vec_id, list_position(s, list_max(s)) - 1 AS k FROM s)
 SELECT vec_id, CAST(k AS INT) AS class, CAST(k IN (1, 4, 5) AS INT) AS s1, CAST(k IN (2, 4, 6) AS INT) AS s2, CAST(k IN (3, 5, 6) AS INT) AS s3 FROM a""")
-def p8_powerset(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn8_powerset(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = F.slice("embedding", 1, 7)
     rows = _e(spark, sf_dir).select("vec_id", vector.argmax(scores).alias("class"), vector.powerset_to_speakers(scores).alias("s"))
     return rows.select("vec_id", "class", *[F.col("s")[i].alias(f"s{i + 1}") for i in range(3)])
@@ -57,7 +57,7 @@ def p8_powerset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: abs(CAST(x AS DOUBLE))) AS s FROM embeddings), e AS (SELECT *, list_transform(s, lambda x: exp(10 * (x - list_max(s)))) AS e FROM s)
 SELECT vec_id, round(greatest(pow(s[1], 3) * pow(e[1] / list_sum(e), 3), 1e-8), 9) AS w1, round(greatest(pow(s[2], 3) * pow(e[2] / list_sum(e), 3), 1e-8), 9) AS w2, round(greatest(pow(s[3], 3) * pow(e[3] / list_sum(e), 3), 1e-8), 9) AS w3 FROM e""")
-def p28_overlap_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn28_overlap_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = F.transform(vector.doubles(F.slice("embedding", 1, 3)), F.abs)
     rows = _e(spark, sf_dir).select("vec_id", seg.alias("s")).select("vec_id", vector.overlap_penalty(F.col("s")).alias("w"))
     return rows.select("vec_id", *[F.round(F.col("w")[i], 9).alias(f"w{i + 1}") for i in range(3)])
@@ -170,7 +170,7 @@ def t11_identify_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT DISTINCT name, TRY_CAST(nullif(regexp_extract(name, '^anon_(\\d+)$', 1), '') AS BIGINT) AS number, CASE WHEN name SIMILAR TO 'anon_[0-9]+' THEN printf('anon_%03d', CAST(regexp_extract(name, '^anon_([0-9]+)$', 1) AS INT) + 1) END AS following FROM speaker""".replace("\\\\", "\\"))
-def p19_anon_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn19_anon_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = text.anon_number(F.col("name"))
     return table(spark, sf_dir, "speaker").select("name").distinct().select("name", number.alias("number"), F.when(number.isNotNull(), text.anon_name(number + 1)).alias("following"))
 
