@@ -80,6 +80,18 @@ def test_clusters_are_the_voices(spark):
     assert len(described) == 10 and all(len(d.typical) == 5 and set(d.typical) <= groups[d.cluster] for d in described)
 
 
+def test_small_voices_among_many_unrelated_vectors(spark):
+    x, truth = voices(7, groups=40, n=3, dim=64, noise=0.06)
+    noise = np.random.default_rng(8).standard_normal((10_000, 64))
+    x = np.vstack([x, noise / np.linalg.norm(noise, axis=1, keepdims=True)])
+    order = np.random.default_rng(9).permutation(len(x))
+    groups = {}
+    for r in clusters.similarity_clusters(frame(spark, x[order]).repartition(3), 0.78).collect():
+        groups.setdefault(r.cluster, set()).add(int(order[r.id]))
+    kept = [g for g in range(40) if set(np.flatnonzero(truth == g).tolist()) in groups.values()]
+    assert len(kept) == 40
+
+
 def test_clusters_of_nothing(spark):
     assert clusters.similarity_clusters(frame(spark, np.zeros((0, 8))).where("false"), 0.78).collect() == []
 
