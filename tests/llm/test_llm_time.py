@@ -85,6 +85,15 @@ def test_clean_text():
     assert clean_text("word " * 50_000).count("word") == 50_000
 
 
+def test_a_lone_note_is_a_mark():
+    cases = {
+        "the ♪ floor plan": "the floor plan", "♪ the lease": "the lease", "the lease ♪": "the lease", "♪ A: okay": "okay", "♪": "", "♪ uhm": "", "♫ so": "so",
+        "a new ♪ hold music ♪ badge ♪ then": "a new badge then", "then ♪ hold music": "then", "♪ we forgot\nthe list ♪": "we forgot the list",
+    }
+    for text, want in cases.items():
+        assert clean_text(text) == want, text
+
+
 def test_turns(spark):
     rec = [("s", 0, 5, 1, "um hello"), ("s", 7, 9, 2, "[noise]"), ("s", 8, 9, 3, "there"), ("s", 30, 31, 4, "again"), ("s", 33, 34, 5, "bye"), ("s", 90, 91, 6, "far from all")]
     lab = [("s", 1, 10, "A"), ("s", 8, 11, "A"), ("s", 30, 12, "A"), ("s", 33, 13, "B")]

@@ -15,6 +15,10 @@ from .runs import collapse_runs
 # What opens and closes a sound annotation.
 OPENERS = {"[": "]", "(": ")", "{": "}", "<": ">", "*": "*", "#": "#", "~": "~", "♪": "♪", "♫": "♫", "【": "】", "（": "）"}
 
+# Signs that also stand alone, as a mark, and what one of them still opens when its second is cut off.
+NOTES = ("♪", "♫")
+_MUSIC = re.compile(r"\s*(?:\w+\s+){0,2}(?:music|singing|humming)\s*", re.IGNORECASE)
+
 # Sounds of hesitation, each letter as long as the speaker draws it.
 FILLER = re.compile(r"u+[hm]+|u+-u+[hm]+|e+r+m*|e+h+m*|a+h+m*|h+m+|m{2,}|m+-?h+m+|u+h+-?h*u+h+|e+u+h+|[äæ]+h*m*|ö+h+m*")
 
@@ -23,11 +27,18 @@ _TAG = re.compile(r"(?:>>|[-–—>])+\s*|<v\s+[^>]*>|(?:[A-Z]|\d{1,3}|(?:SPK|SP
 _HEADS = ("WEBVTT", "NOTE", "STYLE", "REGION")
 
 
+def _opens(line: str, at: int) -> bool:
+    """Whether an annotation starts here: a note without a second one on the line is a mark, unless only a music's name follows."""
+    ch = line[at]
+    return ch in OPENERS and (ch not in NOTES or ch in line[at + 1 :] or _MUSIC.fullmatch(line, at + 1) is not None)
+
+
 def parse_line(line: str) -> str:
     """One line of a caption or transcript without cue times, speaker tags and sound annotations.
 
     A machine with the states *tag* (at the line's start), *text* and *annotation*: a tag leads back to
-    *tag*, an opener to *annotation*, its closer, or the line's end, back to *text*.
+    *tag*, an opener to *annotation*, its closer, or the line's end, back to *text*. A lone note opens nothing
+    and is left out as a mark.
     """
     if _CUE.fullmatch(line.strip()) or line.strip().isdigit() and len(line.strip()) < 6 or line.startswith(_HEADS):
         return ""
@@ -36,19 +47,21 @@ def parse_line(line: str) -> str:
     while at < len(line):
         ch = line[at]
         if state == "tag":
-            if ch.isspace():
+            if ch.isspace() or ch in NOTES and not _opens(line, at):
                 at += 1
             elif m := _TAG.match(line, at):
                 at = m.end()
-            elif ch in OPENERS:
+            elif _opens(line, at):
                 opener, closer, depth, state = ch, OPENERS[ch], 1, "annotation"
                 at += 1
             else:
                 state = "text"
         elif state == "text":
-            if ch in OPENERS:
+            if _opens(line, at):
                 opener, closer, depth, state = ch, OPENERS[ch], 1, "annotation"
                 out.append(" ")
+            elif ch in NOTES:
+                out.append(" ")
             else:
                 out.append(ch)
             at += 1
