@@ -140,6 +140,24 @@ def test_density_clusters():
     assert list(clustering.hdbscan(np.zeros((1, 1)))) == [-1]
 
 
+def test_long_sessions_are_clustered_whole(spark, tmp_path):
+    from turnloom.plans.vectors import QUERIES
+
+    x, truth = clouds(4, n=400)
+    assert (clustering.hdbscan_of_rows(x, 60) == clustering.hdbscan(clustering.distances(x), 60)).all()
+    rows = [("s", f"u{i:04}", i, "auto:A", False, v.tolist(), "m", float(i), i + 1.0) for i, v in enumerate(x)]
+    # 21 pairs: more clusters than letters.
+    wide = np.repeat(np.eye(21), 2, axis=0)
+    rows += [("w", f"w{i:04}", 5000 + i, "auto:A", False, v.tolist(), "n", float(i), i + 1.0) for i, v in enumerate(wide)]
+    columns = "session_id string, utterance_id string, segment_id bigint, label string, is_locked boolean, embedding array<double>, model_id string, t_start double, t_end double"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/speaker_segment.parquet")
+    spark.createDataFrame([("m", x.shape[1]), ("n", 21)], "model_id string, embedding_dim int").write.parquet(f"{tmp_path}/speaker.parquet")
+    found = QUERIES["c1_final_recluster"](spark, str(tmp_path)).collect()
+    own = {r.utterance_id: r.cluster for r in found if r.session_id == "s"}
+    assert len(own) == len(x) and len({(own[i], int(g)) for i, g in zip(range(len(x)), truth)}) == 3
+    assert sum(r.session_id == "w" and r.label is None and r.cluster is not None for r in found) == 42
+
+
 def test_letters_keep_known_ones():
     x, truth = clouds()
     known = {"auto:B": x[0], "auto:A": x[8]}

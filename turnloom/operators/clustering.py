@@ -1,7 +1,7 @@
 """Clustering of a session's utterances: density clusters, assignment to known speakers, online and adaptive labels.
 
-The kernels are numpy over one session's utterances: a session is bounded by its length, and an N x N
-matrix by ``max_rows``; a longer session is an error rather than a surprise.
+The kernels are numpy over one session's utterances. No N x N matrix is held: the final clusters of a long session
+are found by distances of one row or block at a time, in time that grows with the square of its length.
 """
 
 from __future__ import annotations
@@ -41,6 +41,38 @@ def _spanning_tree(weights: np.ndarray) -> list[tuple[float, int, int]]:
     return sorted(edges, key=lambda e: (e[0], min(e[1:]), max(e[1:])))
 
 
+def _spanning_tree_of_rows(x: np.ndarray, min_samples: int, block: int = 256) -> list[tuple[float, int, int]]:
+    """The edges ``_spanning_tree`` gives for the mutual reachability of unit rows, without their distance matrix."""
+    n = len(x)
+    core, k = np.empty(n), min(min_samples, n - 1)
+    for lo in range(0, n, block):
+        d = np.maximum(1 - x[lo : lo + block] @ x.T, 0.0)
+        d[np.arange(len(d)), lo + np.arange(len(d))] = 0.0
+        core[lo : lo + block] = np.partition(d, k, axis=1)[:, k]
+    # What is left to reach, in order, and its rows; they are packed together as they become fewer.
+    left, rows, inner = np.arange(1, n), x[1:], core[1:]
+    reach, via, open_ = np.full(n - 1, np.inf), np.zeros(n - 1, int), np.ones(n - 1, bool)
+    at, edges = 0, []
+    for step in range(n - 1):
+        weights = np.maximum(np.maximum(1 - rows @ x[at], 0.0), np.maximum(inner, core[at]))
+        closer = open_ & (weights < reach)
+        reach[closer], via[closer] = weights[closer], at
+        near = int(np.argmin(reach))
+        at = int(left[near])
+        edges.append((float(reach[near]), int(via[near]), at))
+        open_[near], reach[near] = False, np.inf
+        if 2 * (n - 2 - step) < len(left) and len(left) > block:
+            left, rows, inner, reach, via, open_ = (v[open_] for v in (left, rows, inner, reach, via, open_))
+    return sorted(edges, key=lambda e: (e[0], min(e[1:]), max(e[1:])))
+
+
+def hdbscan_of_rows(x: np.ndarray, min_cluster_size: int = 2, min_samples: int = 1, epsilon: float = 0.3) -> np.ndarray:
+    """``hdbscan`` of the cosine distances of unit rows, in memory in proportion to their number."""
+    if len(x) < 2 or len(x) < min_cluster_size:
+        return np.full(len(x), -1)
+    return _tree_clusters(len(x), _spanning_tree_of_rows(x, min_samples), min_cluster_size, epsilon)
+
+
 def hdbscan(d: np.ndarray, min_cluster_size: int = 2, min_samples: int = 1, epsilon: float = 0.3) -> np.ndarray:
     """Density-based clusters of a distance matrix: labels from 0, noise -1.
 
@@ -52,7 +84,11 @@ def hdbscan(d: np.ndarray, min_cluster_size: int = 2, min_samples: int = 1, epsi
     if n < 2 or n < min_cluster_size:
         return np.full(n, -1)
     core = np.sort(d, axis=1)[:, min(min_samples, n - 1)]
-    edges = _spanning_tree(np.maximum(d, np.maximum(core[:, None], core[None])))
+    return _tree_clusters(n, _spanning_tree(np.maximum(d, np.maximum(core[:, None], core[None]))), min_cluster_size, epsilon)
+
+
+def _tree_clusters(n: int, edges: list[tuple[float, int, int]], min_cluster_size: int, epsilon: float) -> np.ndarray:
+    """The labels of ``hdbscan`` from the spanning tree of ``n`` points."""
     # Single linkage: nodes n.. join two others at a distance.
     parent, joins = list(range(n)), []
     sizes = [1] * n
@@ -169,32 +205,34 @@ def issue_letters(x: np.ndarray, labels: np.ndarray, weights: np.ndarray, known:
     return out
 
 
-def final_recluster(utterances: DataFrame, session: str = "session_id", id_: str = "utterance_id", vector: str = "embedding", epsilon: float = 0.3, max_rows: int = 20_000) -> DataFrame:
+def final_recluster(utterances: DataFrame, session: str = "session_id", id_: str = "utterance_id", vector: str = "embedding", epsilon: float = 0.3, max_rows: int | None = None, most_matrix: int = 1_000) -> DataFrame:
     """Final labels of a session's unlocked utterances: ``session``, ``id_``, ``old_label``, ``label``, ``cluster``.
 
     ``utterances`` also has ``label``, ``is_locked``, ``t_start`` and ``t_end`` (seconds). Known centres are the
     means of the present auto labels. Locked rows and rows without a vector are left out; ties follow the
-    order of ``t_start``, then ``id_``. A session of more than ``max_rows`` is an error.
+    order of ``t_start``, then ``id_``. A session is clustered whole; with more than ``most_matrix`` rows no distance
+    matrix is held. Where there are more clusters than letters, rows have their cluster and a null label. With
+    ``max_rows`` a longer session is an error.
     """
     types = dict(utterances.dtypes)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[~rows.is_locked.fillna(False).astype(bool) & rows[vector].notna()].sort_values(["t_start", id_])
-        if len(rows) > max_rows:
+        if max_rows is not None and len(rows) > max_rows:
             raise ValueError(f"session {key[0]}: {len(rows)} utterances; split it, or raise max_rows")
         empty = pd.DataFrame(columns=[session, id_, "old_label", "label", "cluster"])
         if rows.empty:
             return empty
         x = unit_rows(np.stack(rows[vector].to_numpy()).astype(float))
-        labels = absorb_noise(x, hdbscan(distances(x), max(2, len(x) // 20), 1, epsilon))
+        least = max(2, len(x) // 20)
+        labels = absorb_noise(x, hdbscan(distances(x), least, 1, epsilon) if len(x) <= most_matrix else hdbscan_of_rows(x, least, 1, epsilon))
         length = np.maximum((rows.t_end - rows.t_start).to_numpy(float), 0)
         old = rows.label.fillna("").to_numpy(str)
         known = {o: x[old == o].mean(axis=0) for o in sorted(set(old)) if o.startswith("auto:")}
-        try:
+        letters: dict[int, str] = {}
+        if len(set(labels.tolist())) <= len(LETTERS):
             letters = issue_letters(x, labels, np.where(np.nan_to_num(length) > 0, length, 1.0), known)
-        except RuntimeError:
-            return empty
-        return pd.DataFrame({session: key[0], id_: rows[id_], "old_label": rows.label, "label": [letters[c] for c in labels], "cluster": labels})
+        return pd.DataFrame({session: key[0], id_: rows[id_], "old_label": rows.label, "label": [letters.get(c) for c in labels], "cluster": labels})
 
     kept = utterances.select(session, id_, vector, "label", "is_locked", "t_start", "t_end")
     return kept.groupBy(session).applyInPandas(run, f"`{session}` {types[session]}, `{id_}` {types[id_]}, old_label string, label string, cluster int")

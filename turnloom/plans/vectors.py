@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, vector
@@ -126,7 +126,7 @@ def c2_min_cluster_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments with a usable vector, of sessions short enough for a distance matrix."""
+    """Segments with a usable vector."""
     segments = table(spark, sf_dir, "speaker_segment")
     dims = table(spark, sf_dir, "speaker").groupBy("model_id").agg(F.max("embedding_dim").alias("dim"))
     sound = F.coalesce((F.size("embedding") == F.col("dim")) & ~F.exists("embedding", F.isnan) & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -134,15 +134,9 @@ def _utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", F.col("segment_id").alias("utterance_id"), labels.clean_label(F.col("label")).alias("label"), "is_locked", "embedding", "t_start", "t_end")
 
 
-def _short_sessions(rows: DataFrame, most: int = 400) -> DataFrame:
-    """Rows of sessions within the bound of the N x N kernels; longer ones are split into spans of ``most`` rows."""
-    span = F.floor((F.row_number().over(Window.partitionBy("session_id").orderBy("t_start", "utterance_id")) - 1) / most)
-    return rows.withColumn("session_id", F.concat_ws("#", "session_id", span.cast("string")))
-
-
 @query()
 def c1_final_recluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.final_recluster(_short_sessions(_utterances(spark, sf_dir)))
+    return clustering.final_recluster(_utterances(spark, sf_dir))
 
 
 @query()
