@@ -2,29 +2,30 @@
 
 Generators with high recall propose overlapping spans; boosted trees score each by its format and context;
 where accepted spans overlap, the longest, then the most probable, is kept. The trees are trained on a bounded sample of
-documents, labelled by rules of high precision: words that announce a kind of data, or rule it out.
+documents. Rules of high precision label some of its candidates: words that announce a kind of data, titles, and forms
+that are none. They are no features of the trees, which see a candidate's form and the words around it, and decide of all
+candidates, those without any such word, too.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boost import BoostedTrees, best_threshold
+from .boost import BoostedTrees, best_threshold, calibration, sigmoid
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 
 # Forms of address, and particles of surnames.
 TITLES = "Mr Mrs Ms Miss Mx Dr Prof Captain Judge Justice Master Sir Lord Lady Dame Herr Frau Richter Richterin M Mme Mlle Me Madame Monsieur Maître Juge".split()
-PARTICLES = "von van der den de la di du zu".split()
+PARTICLES = frozenset("von van der den de la di du zu".split())
 
 # Words that go on the name of a company, body or statute.
 COMPANY = frozenset(
@@ -33,16 +34,13 @@ COMPANY = frozenset(
     rules ordinance statute regulations street road lane avenue close row rise quay works""".split()
 )
 
-# Words that are part of the names of companies, courts, statutes, places and headings, not of persons.
-OTHERS = frozenset(
-    """ltd limited plc llp llc inc corp co gmbh ag kg se sa sarl bv nv ab oy holdings group bank trust authority mutual co-operative cooperative dairies rail textiles
-    freight power insurance chemicals stadtwerke housing bros brothers partners university council ministry department court courts tribunal bench division high appeal
-    county land commercial amtsgericht landgericht oberlandesgericht verwaltungsgericht gericht cour chambre section sections act acts code rules ordinance statute
-    regulations order headnote leitsatz sommaire tenor dispositif page seite exhibit counsel costs before no nr docket paragraph corrected version fassung vell rep nrc nmhc
-    nothing that the this in as it we see service notices tel fax id nat box street road lane avenue close row rise quay january february march april may june july august
-    september october november december januar februar märz mai juni juli oktober dezember janvier février mars avril juin juillet août septembre octobre novembre décembre
-    auf der die das den dem nach vgl az und für von der ausweis ortstermin schreiben le la les voir dans comme visite notification juge richter judge re harbour
-    tribunal administrative copie kopie cc kr nmk of at and by to or d'appel""".split()
+# Further words that are part of headings, courts and dates or start sentences, and are not of persons' names.
+OTHERS = COMPANY | frozenset(
+    """courts high appeal county land commercial amtsgericht landgericht oberlandesgericht verwaltungsgericht gericht cour chambre section sections acts order headnote
+    leitsatz sommaire tenor dispositif page seite exhibit counsel costs before no nr docket paragraph corrected version fassung nothing that the this in as it we see
+    service notices tel fax phone telefon téléphone id nat box personenkennzahl ausweis ausweisnummer passport identity identité january february march april may june july august september october november december januar februar märz mai juni juli oktober
+    dezember janvier février mars avril juin juillet août septembre octobre novembre décembre auf der die das den dem nach vgl az und für von ortstermin schreiben
+    le la les voir dans comme visite notification juge richter judge re administrative copie kopie cc of and at by to or d'appel""".split()
 )
 
 _L = r"[^\W\d_]"
@@ -51,92 +49,107 @@ _UP = r"[A-ZÀ-ÖØ-ÞĀĆČĎĐĒĘĚĞĢĪĶŁŃŇŌŐŒŘŚŠŤŪŮŰŹŻŽ]"
 _TOKEN = re.compile(rf"(?:[aAeE][lL]-)?{_UP}(?:[\w’'\-]*\w|\.(?!\w))|(?:[vV]on|VON|[vV]an|VAN|der|DER|den|DEN|[dD]e|DE|[lL]a|LA|di|du|zu)(?!\w)")
 _POINT = r"(?:(?<=\b[DM]r)\.|(?<=\bM[rm]s)\.|(?<=Prof)\.)?"
 _RUN = re.compile(rf"{_UP}(?<![\w\-’'].)(?:[\w’'\-]*\w|\.(?!\w)){_POINT}(?:,?\s+(?:{_TOKEN.pattern}){_POINT})+")
+_ABBREVIATION = re.compile(r"[B-DF-HJ-NP-TV-XZ]{2,5}")
 
+# Where an address of electronic mail has its sign, or what is written for it. Its local part has at most 64 characters (RFC 5321).
+_SIGNS = ("@", *(o + s + w for o in "[({" for s in ("", " ") for w in ("at", "AT")))
 _AT = re.compile(r"@|[\[({]\s?(?:at|AT)\s?[\])}]")
-_LOCAL = re.compile(r"[\w.+\-]*\w\s?$")
+_LOCAL = re.compile(r"[\w.+\-]{0,63}\w\s?$")
 _DOMAIN = re.compile(r"\s?\w[\w\-]*(?:(?:\.|\s?[\[({]\s?(?:dot|DOT|punkt|point)\s?[\])}]\s?)\w[\w\-]*)+")
 _EXT = r"(?:\s*(?:,\s*)?(?:ext\.?|extension|x|Durchwahl|Dw\.?|App\.?|poste)\s*\d{1,5})?"
-_DIGITS = re.compile(rf"[\d+(](?<![\w.\-/–].)(?:(?<=\d)\d*|(?<=[+(])\+?\s?\d+)(?:\)?[ \-./–‑\n]{{0,2}}\(?\d+\)?)+{_EXT}")
-_LETTERED = re.compile(r"[A-Z](?<!\w.)[A-Z]{0,2}[ /]?\d\d+(?:[/ ]\d+)*(?:\s?[A-Z])?\b(?!-\d)")
-_ORDINARY = re.compile(r"\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d{2}-\d{2}|\d{4}/\d{4}|\d+/\d\d|NMK \d+|[\d.]+,\d\d|[\d,]+\.\d\d")
-_S = r"[ \t\n ]+"
+# Digits and separators, six or more: only there a number is looked for.
+_DENSE = re.compile(r"\d[\d+()\-./–‑ \t\n]{4,}\d")
+_DIGITS = re.compile(rf"[\d+(](?<![\w.\-/–].)(?:(?<=\d)\d*|(?<=[+(])\+?\s?\d+)(?:\)?[ \-./–‑\t\n]{{0,2}}\(?\d+\)?)+{_EXT}")
+_LETTERED = re.compile(r"[A-Z](?<!\w.)[A-Z]{0,2}[ \n/]?\d\d+(?:[/ \n]\d+)*(?:\s?[A-Z](?!\w))?\b(?!-\d)")
+_ORDINARY = re.compile(r"\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d{2}-\d{2}|\d{4}/\d{4}|\d+/\d\d|[\d.]+,\d\d|[\d,]+\.\d\d|\d+ \((?:1[89]|20)\d\d\)?")
+_S = r"[ \t\n ]+"
 _TOWN = rf"{_UP}{_L}+(?:-{_UP}{_L}+)*"
 _POST = r"(?:\d{4,5}|[A-Z]{1,2}\d{1,2}[A-Z]?\s\d[A-Z]{2})"
 _HOUSE = rf"\d{{1,4}}\s?[A-Za-z]?(?:{_S}(?:bis|ter|quater))?"
 _TAIL = rf"(?:,{_S}|{_S}(?:in|à|at|en){_S})(?:{_POST}{_S})?{_TOWN}(?:,?{_S}{_POST}(?!\w))?"
 _UNIT = rf"(?:Flat|Unit|Apartment|Apt\.?|Suite|Room|Wohnung|Whg\.?|Appartement|Appt\.?|App\.?){_S}\d{{1,4}}[A-Za-z]?"
+_BOX = rf"(?:P\.\s*O\.\s*Box|PO\s+Box|Box|Postfach|B\.?P\.?|Boîte{_S}postale|Case{_S}postale){_S}\d{{1,6}}"
 _STREET_WORD = rf"(?:St\.|{_UP}(?:{_L}|['’])+(?:-{_UP}{_L}+)*)"
-_ADDRESS = re.compile(
-    rf"(?:{_UNIT}(?:,{_S}|/)|(?<![\d/]))\d{{1,4}}{_L}?(?:{_S}{_STREET_WORD}){{1,4}}{_TAIL}"
-    rf"|(?:P\.\s*O\.\s*Box|PO\s+Box|Box|Postfach|B\.?P\.?|Boîte{_S}postale|Case{_S}postale){_S}\d{{1,6}}{_TAIL}"
-    rf"|(?:{_UNIT}(?:,{_S}|/))?{_HOUSE},?{_S}(?:rue|avenue|boulevard|place|quai|chemin|allée|impasse|cours|route)(?:{_S}(?:de|du|des|la|le|les|d['’]|l['’]))*(?:\s*{_STREET_WORD}){{1,4}}{_TAIL}"
-    rf"|{_UP}{_L}*(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring|steig|markt|graben|hof|kai){_S}\d{{1,4}}\s?[A-Za-z]?(?:\s*/\s*\d{{1,4}})?{_TAIL}"
-    rf"|(?:Am|An der|An den|Im|In der|Auf der|Zum|Zur|Alte|Alter|Neue|Neuer)(?:{_S}{_STREET_WORD}){{1,3}}{_S}\d{{1,4}}\s?[A-Za-z]?{_TAIL}"
+_RUE = rf"(?:rue|avenue|boulevard|place|quai|chemin|allée|impasse|cours|route)(?:{_S}(?:de|du|des|la|le|les|d['’]|l['’]))*(?:\s*{_STREET_WORD}){{1,4}}"
+_KIND_OF_STREET = r"(?:Street|St\.|Road|Rd\.|Lane|Avenue|Row|Rise|Quay|Close|Court|Place|Square|Drive|Way|Terrace|Crescent)"
+# With the number first, or a box; and with the street first. What reaches from the number to the town decides, however long it is.
+_NUMBERED = re.compile(
+    rf"(?:{_UNIT}(?:,{_S}|/))?(?:\d{{1,4}}{_L}?(?:{_S}{_STREET_WORD}){{1,4}}|{_HOUSE},?{_S}{_RUE}){_TAIL}|{_BOX}{_TAIL}"
 )
-_STREETS = re.compile(r"(?i)\b(?:street|lane|road|avenue|row|rise|quay|close|court|place|square|drive|way|box|rue|quai|allée|chemin|boulevard|impasse|postfach|bp)\b|straße|weg\b|gasse|platz|ufer|damm|ring\b|^(?:Am|Im|An|Zum|Zur)\s")
-_PLACE_LEFT = re.compile(r"(?:posted\s+to|resides\s+at|premises\s+at|wohnt\s+in|demeure|Ortstermin:|lieux\s:|cc:[^;\n]{3,60};|adresse\s:|in\s+der|réside\s+au|domicilié)\s*$")
-# Words a sentence after a paragraph's number often starts with.
-_STARTS = "The|That|This|In|As|It|We|See|Section|Nothing|Counsel|Costs|Exhibit|Service|Notices|Tel|Der|Die|Das|Auf|Nach|Vgl|Ausweis|Ortstermin|Le|La|Les|L|Voir|Dans|Comme|Order|Page|Seite|Headnote|Leitsatz|January|February|March|April|May|June|July|August|September|October|November|December"
-_NUMBER = re.compile(r"\d(?<![\d.,\-–].)\d{0,5}[a-zA-Z]?(?:\s+(?:bis|ter|quater))?(?=[,\s/])")
-_AFTER = re.compile(
-    rf"[,/]?\s*(?!(?:{_STARTS})\b)(?:{_UP}[^\W\d_.]|St\.|rue\b|avenue\b|boulevard\b|place\b|quai\b|chemin\b|allée\b|impasse\b|cours\b|route\b|\d{{1,4}}[A-Za-z]?\s+{_UP})"
+_STREET_FIRST = re.compile(
+    rf"(?:{_UP}{_L}*(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring|steig|markt|graben|hof|kai)|(?:Am|An der|An den|Im|In der|Auf der|Zum|Zur|Alte|Alter|Neue|Neuer)(?:{_S}{_STREET_WORD}){{1,3}})"
+    rf"{_S}\d{{1,4}}\s?[A-Za-z]?(?:\s*/\s*\d{{1,4}})?{_TAIL}"
+)
+_NO_NUMBER = re.compile(rf"(?:{_STREET_WORD}{_S}){{1,3}}{_KIND_OF_STREET}{_TAIL}|{_RUE}{_TAIL}")
+_UNIT_LEFT = re.compile(rf"(?<!\w){_UNIT}(?:,{_S}|/)$")
+_BOX_LEFT = re.compile(rf"(?<!\w)(?:P\.\s*O\.\s*Box|PO\s+Box|Box|Postfach|B\.?P\.?|(?:Boîte|Case){_S}postale){_S}$")
+_WORDS = re.compile(r"\b[^\W\d_]")
+# A number and what may follow it in an address: capitalised words that lead to a town, a French street, or a town and its postcode.
+_HOUSE_NUMBER = re.compile(
+    rf"\d\s?[A-Za-z]?(?:\s+(?:bis|ter|quater))?(?:,?\s+(?=(?:{_UP}[\w.'’\-]+\s+){{0,3}}{_UP}[\w.'’\-]+(?:,\s|\s+(?:in|à|at|en)\s)|(?:rue|avenue|boulevard|place|quai|chemin|allée|impasse|cours|route)\b)"
+    rf"|(?:,\s+|\s+(?:in|à|at|en)\s+)(?:{_POST}\s+)?(?={_UP}))"
 )
-_PREFIX = re.compile(rf"(?:Flat|Unit|Apartment|Apt\.?|Suite|Room|Wohnung|Whg\.?|Appartement|Appt\.?|App\.?|P\.\s*O\.\s*Box|PO\s+Box|Box|Postfach|B\.?P\.?|(?:Boîte|Case)\s+postale)\s+$")
-_TOWN_NEXT = re.compile(rf"(?:\s+in\s+|,\s+\d{{4,5}}\s+|,\s+){_UP}")
+_POSTED = re.compile(rf",{_S}(?:{_POST}{_S}{_UP}|{_UP}{_L}+(?:-{_UP}{_L}+)*,?{_S}{_POST}(?!\w))")
+_STREETS = re.compile(r"(?i)\b(?:street|lane|road|avenue|row|rise|quay|close|court|place|square|drive|way|box|rue|quai|allée|chemin|boulevard|impasse|postfach|bp)\b|straße|weg\b|gasse|platz|ufer|damm|ring\b|^(?:Am|Im|An|Zum|Zur)\s")
+_HAS_POST = re.compile(rf"(?<!^)(?<!\w){_POST}(?!\w)")
 _HIDDEN = re.compile(r"[█▇▓■*_]|\bx{2,}|\[[^\]]{0,30}$")
 _BLOCKED = re.compile(r"[█▇▓■]|\*{2,}|_{2,}|\bx{2,}")
 _CITED = re.compile(r"[^;\n]{0,90}?(?:\[\d{4}\]|\(\d{4}\)|,\s\d+\s\w+\.\s\w+\.)")
 _AGAINST = re.compile(r"(?:^|[\s(])(?:v|vs|gegen|c/|contre)\.?\s*$")
+_VERSUS = re.compile(r"\s+(?:v|vs|gegen|c/|contre)\.?\s")
 
-# Words that announce a kind of data, read from the left, and words that rule it out.
+# Words that announce a kind of number, read from the left, and words that announce another.
 _SAYS = {
-    "phone": (r"(?:tel|tél|phone|fax|mobile|telefon|téléphone)\s?\.?\s?:?|reached\s+on|call\s+log\s+shows|\bunter|répondait\s+au|joindre\s+au|numéro\s+de\s+téléphone|cc:[^;\n]{3,60};",
-              r"(?:docket|no\.|az\.|dossier|HT|CJ-|\bO|NMK|Rep\.|—|·|NRC|NMHC|Section|section|paragraph|Randnummer|\bon|\bof|\bam|\bvom|sum\s+of|Costs\s+of|§|card\s+no\.|identity\s+number|ID:|Nr\.|identité|VL/|X|NM)"),
-    "id_number": (r"(?:identity\s+number|nat\.\s+id:|\bid:|card\s+no\.|ausweis\s+nr\.|personenkennzahl|carte\s+n°|d['’]identité|passport(?:\s+no\.)?|personalausweis|identité\s+nationale\s*:?|carte\s+n°)",
-                  r"(?:docket|no\.\s|az\.|dossier|HT|CJ-|\bO|NMK|Rep\.|—|·|NRC|NMHC|Section|section|paragraph|Randnummer|tel\.|tél\.\s:|reached\s+on|shows|unter|\bon|\bam|§)"),
-}
-_ANNOUNCE = {k: re.compile(rf"(?:{a})\s*$", re.I) for k, (a, _) in _SAYS.items()}
-_FORBID = {k: re.compile(rf"(?:{b})\s*$") for k, (_, b) in _SAYS.items()}
-_NAME_LEFT = re.compile(r"(?:Judge|Juge :|Richter(?:in)?:|cc:|hand\s+of|evidence\s+by|produit\s+par|wurde\s+von|Herr|Frau|Mr|Mrs|Ms|Captain|Mme)\s*$")
-_NAME_RIGHT = re.compile(
-    r"\s*(?:submitted\s+that|gave\s+evidence|could\s+be\s+reached|resides\s+at|,\s+identity\s+number|trägt\s+vor|soutient\s+que|vorgelegt|,\s+Personenkennzahl|war\s+unter|wohnt\s+in|demeure|,\s+numéro\s+d|répondait|signed)"
-)
+    "phone": r"(?:tel|tél|phone|fax|mobile|mobil|telefon|téléphone|call|cell)\s?\.?\s?:?",
+    "id_number": r"(?:identity\s+(?:number|card(?:\s+no\.)?)|\bid\s?(?:no\.)?:|card\s+no\.|ausweis(?:\s+nr\.|nummer)|personenkennzahl|carte\s+n°|d['’]identité|passport(?:\s+no\.)?|identité\s+nationale\s*:?)",
+}
+_ANNOUNCE = {k: re.compile(rf"(?:{a})\s*$", re.I) for k, a in _SAYS.items()}
+_ELSE = re.compile(r"(?i)(?:docket|case|file|dossier|az\.|§+|sections?|art(?:icle|ikel)?\.?|paragraphs?|pages?|seite|sum\s+of|costs\s+of|somme\s+de|betrag\s+von|[$€£])\s*$")
+_CODE = re.compile(r"(?<!\w)[A-Z]{1,4}[ \-/]$")
+_NAMED = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr)\.?|\b(?:Herr|Frau|Captain|Mme|Judge|Justice|Richter|Richterin|Juge)\s?:?)\s+$")
+_RESTS = re.compile(rf"\s*[.;,)](?:\s|$)|[ ]+(?!(?:{'|'.join(sorted(PARTICLES))})\s)[a-zàéè]|\n|\s*$")
 
 
+@lru_cache(maxsize=200_000)
 def shape(span: str) -> str:
-    """Digits as 9, capitals as A, small letters as a, runs of letters as one."""
+    """Digits as 9, capitals as A, small letters as a, runs of letters as one; a line's end is a blank."""
     span = re.sub(r"(ext\.?|x|poste|App\.?|Dw\.?)(\s*)\d+$", r"\1\g<2>0", span)
     return re.sub(r"a+", "a", re.sub(r"A+", "A", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", re.sub(r"\d", "9", re.sub(r"\s+", " ", span)))))
 
 
 @dataclass(slots=True)
 class Candidate:
+    """A span and the kinds it may be of."""
+
     start: int
     end: int
-    kind: str
+    kinds: tuple[str, ...]
     form: int = 0
 
 
-_FORMS = re.compile(r"(p*w,wi*)|(wi*p*w)|(i+p*w)")
+_NUMBER_KINDS = (("phone",), ("phone", "id_number"))
+_FORMS = re.compile(r"(p*w,wi*w?)|(w{1,3}i*p*w)|(i+p*w)")
 
 
 @lru_cache(maxsize=100_000)
 def _names_of_run(run: str) -> tuple[tuple[int, int, int], ...]:
     """Start, end and form of the sub-spans of a run of capitalised words that have the form of a name.
 
-    Forms: 1 SURNAME, Given; 2 given name and surname; 3 initials and surname; 4 surname after a title.
+    Forms: 1 SURNAME, Given; 2 up to three given names and surname; 3 initials and surname; 4 surname after a title.
     """
     tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(run)]
     n, kinds, out = len(tokens), [], []
-    for _, _, t in tokens:
+    comma = [i > 0 and run[tokens[i - 1][1] : tokens[i - 1][1] + 1] == "," for i in range(n)]
+    for i, (_, _, t) in enumerate(tokens):
         if t[-1] == ".":
             kinds.append("i")
         elif t.lower() in PARTICLES:
             kinds.append("p")
+        elif t.lower() in OTHERS or t in TITLES or t[:2] in ("L'", "L’") or _ABBREVIATION.fullmatch(t) and not (i + 1 < n and comma[i + 1]):
+            kinds.append("x")
         else:
-            kinds.append("x" if t.lower() in OTHERS or t in TITLES else "w")
-    comma = [False] + [run[tokens[i - 1][1] : tokens[i - 1][1] + 1] == "," for i in range(1, n)]
-    titled = [False] + [tokens[i - 1][2].rstrip(".") in TITLES for i in range(1, n)]
+            kinds.append("w")
+    titled = [i > 0 and tokens[i - 1][2].rstrip(".") in TITLES for i in range(n)]
     for i in range(n):
         if kinds[i] == "x":
             continue
@@ -147,7 +160,7 @@ def _names_of_run(run: str) -> tuple[tuple[int, int, int], ...]:
             if kinds[j] == "w":
                 out.append((tokens[i][0], tokens[j][1], 4))
         form = ""
-        for j in range(i, min(n, i + 7)):
+        for j in range(i, n):
             if kinds[j] == "x":
                 break
             if j > i and comma[j]:
@@ -158,7 +171,7 @@ def _names_of_run(run: str) -> tuple[tuple[int, int, int], ...]:
             m = _FORMS.fullmatch(form)
             if m:
                 out.append((tokens[i][0], tokens[j][1], m.lastindex))
-            if form.count("w") > 1 and kinds[j] == "w" and "," not in form:
+            if form.count("w") > 3 and "," not in form:
                 break
     return tuple(out)
 
@@ -167,7 +180,7 @@ def _name_candidates(text: str) -> Iterator[Candidate]:
     for run in _RUN.finditer(text):
         lo = run.start()
         for a, b, form in _names_of_run(run[0]):
-            yield Candidate(lo + a, lo + b, "name", form)
+            yield Candidate(lo + a, lo + b, ("name",), form)
 
 
 @lru_cache(maxsize=100_000)
@@ -183,101 +196,106 @@ def _numbers_of_run(whole: str) -> tuple[tuple[int, int], ...]:
         spans.add((0, tail.start()))
     out = []
     for a, b in sorted(spans):
-        part = whole[a:b].rstrip(" \n.-/–(")
-        if 6 <= sum(map(str.isdigit, part)) <= 20 and not _ORDINARY.fullmatch(part.strip("()")):
+        part = whole[a:b].rstrip(" \n\t.-/–(")
+        if 6 <= sum(map(str.isdigit, part)) <= 20 and not _ORDINARY.fullmatch(part.strip("()")) and "\n\n" not in part:
             out.append((a, a + len(part)))
     return tuple(out)
 
 
 def _number_candidates(text: str) -> Iterator[Candidate]:
-    """Numbers, but for those a docket's letters stand before."""
-    for m in chain(_DIGITS.finditer(text), _LETTERED.finditer(text)):
-        spans = _numbers_of_run(m[0])
-        if not spans or text[max(0, m.start() - 3) : m.start()] == "HT ":
+    """Numbers of six digits or more; the same span may be a phone's and an identity's."""
+    for dense in _DENSE.finditer(text):
+        if sum(map(str.isdigit, dense[0])) < 6:
             continue
-        for a, b in spans:
-            a, b = a + m.start(), b + m.start()
-            part = text[a:b]
-            # A bracket opened before the run belongs to it.
-            if ")" in part and "(" not in part and a and text[a - 1] == "(":
-                a, part = a - 1, "(" + part
-            if part.count("(") == part.count(")"):
-                yield Candidate(a, b, "phone")
-                if sum(map(str.isdigit, part)) <= 14:
-                    yield Candidate(a, b, "id_number")
+        at = dense.start()
+        while at and text[at - 1] in "+(":
+            at -= 1
+        while at < dense.end():
+            if not (m := _DIGITS.match(text, at)):
+                if not (near := _DIGITS.search(text, at, dense.end())):
+                    break
+                m = _DIGITS.match(text, near.start())
+            yield from _spans_at(text, m.start(), m[0])
+            at = m.end()
+    for m in _LETTERED.finditer(text):
+        yield from _spans_at(text, m.start(), m[0])
+
+
+def _spans_at(text: str, start: int, run: str) -> Iterator[Candidate]:
+    for a, b in _numbers_of_run(run):
+        a, b = a + start, b + start
+        part = text[a:b]
+        # A bracket opened before the run belongs to it.
+        if ")" in part and "(" not in part and a and text[a - 1] == "(":
+            a, part = a - 1, "(" + part
+        if part.count("(") == part.count(")"):
+            yield Candidate(a, b, _NUMBER_KINDS[sum(map(str.isdigit, part)) <= 14])
 
 
 def _emails(text: str) -> Iterator[Candidate]:
+    if not any(sign in text for sign in _SIGNS):
+        return
     for m in _AT.finditer(text):
-        local, domain = _LOCAL.search(text[max(0, m.start() - 80) : m.start()]), _DOMAIN.match(text, m.end())
+        local, domain = _LOCAL.search(text, max(0, m.start() - 65), m.start()), _DOMAIN.match(text, m.end())
         if local and domain:
-            yield Candidate(m.start() - len(local[0]), domain.end(), "email")
+            yield Candidate(m.start() - len(local[0]), domain.end(), ("email",))
+
+
+def _reaching(pattern: re.Pattern, text: str, start: int, at: int) -> Iterator[tuple[int, int]]:
+    """The longest match that begins with a word between ``start`` and ``at`` and reaches beyond."""
+    for word in _WORDS.finditer(text, start, at):
+        found = pattern.match(text, word.start())
+        if found and found.end() > at:
+            yield found.span()
+            return
 
 
 def _addresses(text: str) -> Iterator[Candidate]:
-    """Addresses lie around a house or box number; only there the full pattern is tried."""
-    done = 0
-    for m in _NUMBER.finditer(text):
-        at, end = m.span()
-        if end <= done:
+    """Addresses lie around a unit's, house's or box's number, or between a street's and a town's name with a postcode."""
+    found: list[tuple[int, int]] = []
+    for m in _HOUSE_NUMBER.finditer(text):
+        at = m.start()
+        while at and text[at - 1].isdigit():
+            at -= 1
+        if text[at - 2 : at - 1].isalpha() or text[at - 2 : at - 1] in "./":
+            start = max(text.rfind(x, 0, at - 2) for x in ".:;,") + 1
+            found += _reaching(_STREET_FIRST, text, start, at)
+        if found and at < found[-1][1] or m.start() - at > 5:
             continue
-        unit = _PREFIX.search(text[max(0, at - 16) : at])
-        if unit:
-            found = _ADDRESS.match(text, at - len(unit[0]), end + 110)
-        elif _AFTER.match(text, end):
-            found = _ADDRESS.match(text, at, end + 110)
-        elif text[at - 2 : at - 1].isalpha() and _TOWN_NEXT.match(text, end):
-            found = _ADDRESS.search(text, max(done, at - 40), end + 60)
-        else:
-            continue
-        if found and found.start() <= end:
-            yield Candidate(*found.span(), "address")
-            done = found.end()
+        # A unit's number is written before the house's, a box's word before its number.
+        unit = _UNIT_LEFT.search(text, max(0, at - 24), at) or _BOX_LEFT.search(text, max(0, at - 24), at)
+        first = unit.start() if unit else at
+        if (unit or m.start() - at < 4 and (not at or text[at - 1] not in ".,/-–")) and (whole := _NUMBERED.match(text, first)):
+            found.append(whole.span())
+    for m in _POSTED.finditer(text):
+        if not any(a <= m.start() < b for a, b in found):
+            start = max(max(text.rfind(x, 0, m.start() - 4) for x in (".", ":", ";", "\n\n")), 0)
+            found += _reaching(_NO_NUMBER, text, start, m.start())
+    for a, b in found:
+        yield Candidate(a, b, ("address",))
 
 
 def candidates(text: str) -> list[Candidate]:
     """All spans that might be personal data; they may overlap."""
-    return [*_emails(text), *_addresses(text), *_number_candidates(text), *_name_candidates(text)]
-
-
-_shape = lru_cache(maxsize=200_000)(shape)
+    spans = {(c.start, c.end, c.kinds): c for c in _addresses(text)}
+    return [*_emails(text), *spans.values(), *_number_candidates(text), *_name_candidates(text)]
 
 
 def _word(text: str) -> str:
     return text.strip(" \t\n.,;:()[]").lower()
 
 
-def context(text: str, c: Candidate) -> tuple[str, str, str, str]:
-    """Two words on the left and on the right."""
-    left, right = text[max(0, c.start - 40) : c.start].split(), text[c.end : c.end + 40].split()
-    return (
-        _word(left[-1]) if left else "", " ".join(left[-2:]).lower() if left else "",
-        (text[c.end : c.end + 1].strip() + _word(right[0])) if right else "", " ".join(right[:2]).lower() if right else "",
-    )
+def _number_free(text: str) -> str:
+    return "9" if text[:1].isdigit() else text
 
 
-def keys(text: str, c: Candidate) -> list[str]:
-    """What a candidate is known by: its shape, its context, and of names the parts of its words."""
-    left, left2, right, right2 = context(text, c)
-    span = text[c.start : c.end]
-    if c.kind != "name":
-        own = [f"l:{left}", f"L:{left2}", f"r:{right}"]
-        return own if c.kind in ("email", "address") else [f"s:{_shape(span)}", *own]
-    words = [w for w in re.split(r"[\s,]+", span) if len(w) > 2 and w.lower() not in PARTICLES]
-    words = words[::-1] if c.form == 1 else words
-    first, last = (words[0].lower(), words[-1].lower()) if words else ("", "")
-    return [f"l:{left}", f"L:{left2}", f"r:{right}", f"R:{right2}", f"g:{first if c.form in (1, 2) else ''}", f"e:{last[-4:]}", f"b:{last[:3]}", f"f:{c.form}"]
-
-
-_CAPITAL_LEFT = re.compile(rf"(?<![\w.])({_UP}[\w’'\-]*\.?),?\s+$")
-_CAPITAL_RIGHT = re.compile(rf"\s+{_UP}|-{_UP}")
-_SENTENCE_LEFT = re.compile(r"(?:[.;:!?]\s+|\n\s*)(?:[\[(§]?\d+[\])]?\.?\s+)?$")
-_VERSUS = re.compile(r"\s+(?:v|vs|gegen|c/|contre)\.?\s")
+_GOES_ON = re.compile(r"\s?[\-./–(]?\s?\d")
+_COMES_FROM = re.compile(r"\d\s?[\-./–)]?\s?$")
 
 
 def is_cited(left: str, after: str) -> bool:
     """Whether a span is a party in the title of a cited ruling, which its year or reporter follows."""
-    return bool((_VERSUS.match(after) or left[-8:-1].strip() and _AGAINST.search(left[-12:])) and _CITED.match(after))
+    return (_VERSUS.match(after) or left[-8:-1].strip() and _AGAINST.search(left[-12:])) and _CITED.match(after) is not None
 
 
 def is_french(text: str) -> bool:
@@ -291,146 +309,231 @@ def mister_is_title(text: str, c: Candidate) -> bool:
     return not judge and is_french(text[max(0, c.start - 300) : c.end + 300])
 
 
-def plain(text: str, c: Candidate) -> list[float]:
-    """Features that need no dictionary."""
+@lru_cache(maxsize=200_000)
+def _name_keys(span: str, form: int) -> tuple[str, str, str, str]:
+    words = [w for w in re.split(r"[\s,]+", span) if len(w) > 2 and w.lower() not in PARTICLES]
+    words = words[::-1] if form == 1 else words
+    first, last = (words[0].lower(), words[-1].lower()) if words else ("", "")
+    return f"g:{first if form in (1, 2) else ''}", f"e:{last[-4:]}", f"b:{last[:3]}", f"f:{form}"
+
+
+# What stands between the parties of a case.
+_BETWEEN = frozenset(("v", "v.", "vs", "vs.", "gegen", "c/", "contre"))
+
+
+def describe(text: str, c: Candidate) -> tuple[list[str], list[float]]:
+    """What a candidate is known by (its context, its shape, the parts of a name), and features that need no dictionary."""
     span = text[c.start : c.end]
-    left, after = text[max(0, c.start - 30) : c.start], text[c.end : c.end + 110]
-    follows = after[:30].split(None, 1)
-    hidden = bool(_HIDDEN.search(left[-2:] + after[:2]))
+    left, after = text[max(0, c.start - 40) : c.start], text[c.end : c.end + 110]
+    before, behind = left.split(), after[:40].split(None, 2)
+    nearest, following = before[-1] if before else "", behind[0] if behind else ""
+    r1 = after[:1].strip() + _word(following)
+    r2 = f"{_number_free(following)} {_number_free(behind[1])}".lower() if len(behind) > 1 else following.lower()
+    name = c.form > 0
+    keys = [f"l:{_number_free(_word(nearest))}", f"L:{_number_free(before[-2]) if len(before) > 1 else ''} {_number_free(nearest)}".lower(), f"r:{_number_free(r1)}", f"R:{r2}"]
+    keys += _name_keys(span, c.form) if name else (f"s:{shape(span)}" if c.kinds[0] == "phone" else "", "", "", "")
+    hidden = _HIDDEN.search(left[-2:] + after[:2]) is not None
     inside = left[-1:].isalnum() or after[:1].isalnum()
-    out = [len(span), span.count(" "), "\n" in span, hidden, c.form, inside, span.isupper()]
-    if c.kind == "name":
-        other = bool(follows) and (after[:1] in " \n" and _word(follows[0]) in COMPANY or follows[0] == "&")
+    kept = left.rstrip()
+    sentence = kept[-1:] in ".;:!?" or "\n" in left[len(kept) :] or nearest.strip("[](§).").isdigit()
+    out = [len(span), span.count(" "), "\n" in span, hidden, c.form, inside, span.isupper(), "\n\n" in span, sentence, left[-1:] == "(" and after[:1] == ")"]
+    if name:
+        blank = after[:1] in (" ", "\n")
+        other = following == "&" or blank and _word(following) in COMPANY
         mister = span.startswith(("M. ", "M.\n")) or left.endswith(("M. ", "M.\n"))
         french = mister and mister_is_title(text, c)
         # Whether a capitalised word that is no title, or an initial, goes on into the span, or out of it.
-        before = _CAPITAL_LEFT.search(left)
-        joined = bool(before) and before[1].rstrip(".") not in TITLES
-        return [*out, other, is_cited(left, after), mister and french, mister and not french, joined, bool(_CAPITAL_RIGHT.match(after)), bool(_SENTENCE_LEFT.search(left))]
-    if c.kind in _ANNOUNCE:
-        out += [sum(map(str.isdigit, span)), bool(_ANNOUNCE[c.kind].search(left)), bool(_FORBID[c.kind].search(left))]
-    elif c.kind == "address":
-        out.append(bool(_STREETS.search(span)))
-    return out
-
-
-def label(text: str, c: Candidate) -> int | None:
+        joined = nearest[:1].isupper() and len(kept) < len(left) and nearest.rstrip(",").rstrip(".").replace("-", "").isalpha() and nearest.rstrip(".") not in TITLES
+        cited = (following in _BETWEEN or nearest.lstrip("(") in _BETWEEN) and is_cited(left[-30:], after)
+        onward = blank and following[:1].isupper() or after[:1] == "-" and after[1:2].isupper()
+        out += [other, cited, 0 if not french else 1 if span[0] == "M" and span[1] == "." else -1, mister and not french, joined, onward, 0, 0, 0, 0]
+    elif c.kinds[0] == "phone":
+        out += [0, 0, 0, 0, 0, 0, sum(map(str.isdigit, span)), _CODE.search(left[-6:]) is not None, _GOES_ON.match(after) is not None, _COMES_FROM.search(left[-4:]) is not None]
+    else:
+        out += [0, 0, 0, 0, 0, 0, _STREETS.search(span) is not None, _HAS_POST.search(span) is not None, any(map(str.isdigit, span.partition(",")[0])), nearest[:1].isdigit()]
+    return keys, out
+
+
+def label(text: str, c: Candidate, kind: str) -> int | None:
     """What the rules of high precision say: 1, 0, or None where they say nothing."""
     left, right = text[max(0, c.start - 70) : c.start], text[c.end : c.end + 110]
     span = text[c.start : c.end]
-    if text[c.start - 1 : c.start].isalnum() or right[:1].isalnum() or _BLOCKED.search(span):
+    if left[-1:].isalnum() or right[:1].isalnum() or _BLOCKED.search(span) or "\n\n" in span:
         return 0
-    if c.kind == "email":
+    if kind == "email":
         return 1
-    if c.kind == "address":
-        if _PLACE_LEFT.search(left):
-            return 1
-        return 0 if re.search(r"(?:^|\n\s*|\.\s+)[\[(§]?$", left) or not _STREETS.search(span) else None
-    if c.kind in ("phone", "id_number"):
-        if re.fullmatch(r"\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d{2}-\d{2}|\d{4}/\d{4}|\d+/\d{2}", span):
+    if kind == "address":
+        if not _STREETS.search(span):
             return 0
-        if re.search(r"\n|\t|\.\s", span):
+        starts = re.search(r"(?:^|\n\s*|\.\s+)[\[(§]?$", left)
+        return None if starts else 1
+    if kind in ("phone", "id_number"):
+        if _ORDINARY.fullmatch(span):
             return 0
-        other = "id_number" if c.kind == "phone" else "phone"
-        if _ANNOUNCE[c.kind].search(left):
-            # The whole number, not a part: nothing of it may go on.
-            return int(not re.match(r"[ \-./–]\(?\d", right) and not re.match(r"\s*(?:ext\.?|x)\s*\d", right) and not re.search(r"\s\d{1,2}[/.]\d{1,2}[/.]\d{4}$", span))
-        if _ANNOUNCE[other].search(left) or _FORBID[c.kind].search(left):
+        if _GOES_ON.match(right) and "\n" not in right[:2] or re.match(r"\s*(?:ext\.?|x)\s*\d", right) or re.search(r"[\d+]\s?[\-./–)]?\s?$", left) and "\n" not in left[-2:]:
+            return 0 if not re.match(r"\s+\d{1,2}[/.]\d|\s+\d{4}-", right) else None
+        if re.search(r"\t|(?<!ext)(?<!App)(?<!Dw)\.\s|\s\d{1,2}[/.]\d{1,2}[/.]\d{4}$", span):
             return 0
-        return None
+        if _ANNOUNCE[kind].search(left):
+            # Over a line's end the number may go on, or the next paragraph's begin: its shape, known from others, will tell.
+            return None if "\n" in span or re.match(r"\n[ ]?\d", right) else 1
+        other = "id_number" if kind == "phone" else "phone"
+        return 0 if _ANNOUNCE[other].search(left) or _ELSE.search(left) or _CODE.search(left[-6:]) else None
     words = re.split(r"[\s,]+", span)
     after = right[:30].split()
-    if after and right[:1] in " \n" and (_word(after[0]) in COMPANY or after[0] == "&"):
-        return 0
-    if is_cited(left, right):
+    if after and right[:1] in " \n" and (_word(after[0]) in COMPANY or after[0] == "&") or is_cited(left, right):
         return 0
     if c.form == 3 and span.startswith("M.") and mister_is_title(text, c):
         return 0
+    if any(_word(w) in OTHERS and w.lower() not in PARTICLES for w in words):
+        return 0
+    if re.match(rf"[ \n]{_UP}", right) and not re.match(rf"\n{_UP}", right) or re.match(rf"-{_UP}", right):
+        return 0
     if c.form == 4 and re.search(r"(?:\bM\.|\bMe)\s+$", left):
         return int(mister_is_title(text, c))
-    if any(_word(w) in OTHERS and w.lower() not in PARTICLES for w in words):
+    if re.match(rf"\s+(?:{'|'.join(sorted(PARTICLES))})\s+{_UP}", right):
         return 0
-    ends = bool(_NAME_RIGHT.match(right)) or bool(re.match(r"\s*[.;)](?:\s|$)|\n\n?(?![a-z])", right))
-    starts = bool(_NAME_LEFT.search(left))
-    if left[-1:] == "(" and right[:1] == ")" and c.form < 4:
+    if _NAMED.search(left) and _RESTS.match(right):
         return 1
-    if re.search(r"\n\s*$", left) and _VERSUS.match(right) and "\n" not in span and c.form < 4:
+    if c.form < 4 and "\n" not in span and re.search(r"\n\s*$", left) and _VERSUS.match(right):
         return 1
-    if c.form == 4:
-        return 1 if ends and re.search(r"(?:Herr|Frau|Mr|Mrs|Ms|Captain|Dr\.?|Mme|Judge)\s*$", left) and "\n" not in span else None
-    if starts and (_NAME_RIGHT.match(right) or re.match(r"\s*[.;](?:\s|$)|\n", right)) and "\n" not in span:
+    if c.form == 1 and _RESTS.match(right) and re.search(r"[.;:)]\s+$|\n\s*(?:[\[(§]?\d+[\])]?\.?\s+)?$|[a-z]\s+$", left):
         return 1
-    if re.search(r"(?:^|\n|[.;]\s)\s*(?:[\[(§]?\d+[\])]?\.?\s+)?$", left) and _NAME_RIGHT.match(right) and not re.match(r"\s*vorgelegt", right):
+    if left[-1:] == "(" and right[:1] == ")" and c.form < 4:
         return 1
-    return 0 if re.match(rf" {_UP}", right) or "\n\n" in span else None
+    return None
 
 
-@dataclass
-class Detector:
-    """Per kind: what is known of the candidates' keys, the trees, and the threshold."""
+def _surface(span: str, kind: str) -> str:
+    """A name by its longest word, a number by itself."""
+    return max(re.split(r"[\s,.]+", span), key=len).lower() if kind == "name" else " ".join(span.split())
 
-    known: dict[str, dict[str, float]]
-    trees: dict[str, BoostedTrees]
-    thresholds: dict[str, float]
 
-    def features(self, kind: str, rows: list[tuple[str, Candidate]]) -> np.ndarray:
-        known = self.known[kind]
-        return np.array([[*(known.get(k, 0.0) for k in keys(t, c)), *plain(t, c)] for t, c in rows], float)
+@dataclass
+class Detector:
+    """What is known of the candidates' keys by kind, trees over all kinds, what each kind's own trees add, and each kind's scale and threshold."""
+
+    known: dict[str, dict[str, float]] = field(default_factory=dict)
+    common: BoostedTrees | None = None
+    trees: dict[str, BoostedTrees] = field(default_factory=dict)
+    scales: dict[str, tuple[float, float]] = field(default_factory=dict)
+    thresholds: dict[str, float] = field(default_factory=dict)
+
+    def features(self, rows: list[tuple[str, list[str], list[float]]]) -> np.ndarray:
+        """Of (kind, keys, plain): the keys' weights in that kind, the plain features, and which kind."""
+        own = {k: (self.known.get(k, {}).get, [float(k == x) for x in KINDS]) for k in KINDS}
+        return np.array([[*[own[kind][0](k, 0.0) for k in keys], *plain, *own[kind][1]] for kind, keys, plain in rows], float).reshape(len(rows), -1)
+
+    def scores(self, kinds: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if self.common is None:
+            return np.full(len(x), -9.0)
+        out = self.common.score(x)
+        for kind, trees in self.trees.items():
+            at = np.flatnonzero(kinds == kind)
+            if len(at):
+                out[at] += trees.score(x[at])
+        return out
 
     @staticmethod
     def fit(texts: list[str], seed: int = 5) -> "Detector":
-        """From a sample of texts: a third teaches the keys, a third the trees, a third calibrates."""
-        detector = Detector({}, {}, {})
-        part = np.random.default_rng(seed).integers(0, 3, len(texts))
-        rows: dict[str, list[list[tuple[str, Candidate, int]]]] = {k: [[], [], []] for k in KINDS}
-        for text, p in zip(texts, part):
-            found = [(c, label(text, c)) for c in candidates(text)]
-            sure = [c for c, y in found if y and c.kind == "name"]
-            for c, y in found:
-                # What overlaps a sure name without being it is none.
-                if c.kind == "name" and any(c.start < s.end and s.start < c.end and (c.start, c.end) != (s.start, s.end) and c.end - c.start < s.end - s.start for s in sure):
+        """From a sample of texts: some teach the keys, some the trees, some calibrate.
+
+        The rules are sure of some candidates. What they say nothing of is labelled by another view of it: a
+        number by its shape, a name by its words elsewhere in the text or by the words around it, if
+        almost all sure candidates that share these are of one class (co-training: the shapes of announced
+        numbers label those nothing announces, and the words around titled names those without title). These
+        labels owe nothing to the rules' own words, and they calibrate scales and thresholds, too.
+        """
+        detector = Detector()
+        part = np.random.default_rng(seed).choice(3, len(texts), p=[0.3, 0.45, 0.25])
+        seen: list[tuple[int, str, int | None, tuple[list[str], list[float]], tuple[int, int], tuple[str, ...], set]] = []
+        for i, text in enumerate(texts):
+            found = [(c, kind, label(text, c, kind)) for c in candidates(text) for kind in c.kinds]
+            sure = [(c.start, c.end, kind) for c, kind, y in found if y]
+            own = {(kind, _surface(text[a:b], kind)) for a, b, kind in sure}
+            described: dict[int, tuple[list[str], list[float]]] = {}
+            for c, kind, y in found:
+                # What overlaps a sure span of its kind without being it is none, if it is shorter.
+                if any(c.start < b and a < c.end and kind == k and c.end - c.start < b - a for a, b, k in sure):
                     y = 0
+                if id(c) not in described:
+                    described[id(c)] = describe(text, c)
+                keys = described[id(c)][0]
+                views = (f"{kind}{keys[4]}",) if kind in ("phone", "id_number") else (f"{kind}{keys[1]}", f"{kind}{keys[3]}") if kind == "name" else ()
+                seen.append((i, kind, y, described[id(c)], (c.start, c.end), views, (kind, _surface(text[c.start : c.end], kind)) in own and kind == "name"))
+        for _ in range(2):
+            odds: dict[str, list[int]] = {}
+            for _, kind, y, _, _, views, _ in seen:
                 if y is not None:
-                    rows[c.kind][p].append((text, c, y))
+                    for v in views:
+                        odds.setdefault(v, [0, 0])[y] += 1
+            again = []
+            for i, kind, y, about, span, views, known in seen:
+                if y is None:
+                    votes = [odds[v] for v in views if v in odds and sum(odds[v]) >= 3]
+                    yes, no = any(b >= 0.9 * (a + b) for a, b in votes), any(a >= 0.95 * (a + b) for a, b in votes)
+                    y = 1 if (yes or known) and not (no and kind != "name") else 0 if no and not yes else None
+                again.append((i, kind, y, about, span, views, known))
+            seen = again
+        sure_at: dict[tuple[int, str], list[tuple[int, int]]] = {}
+        for i, kind, y, _, span, _, _ in seen:
+            if y:
+                sure_at.setdefault((i, kind), []).append(span)
+        rows: list[list[tuple[str, list[str], list[float], int]]] = [[], [], []]
+        for i, kind, y, about, (lo, hi), _, _ in seen:
+            if any(lo < b and a < hi and hi - lo < b - a for a, b in sure_at.get((i, kind), ())):
+                y = 0
+            if y is not None:
+                rows[part[i]].append((kind, *about, y))
+        counts: dict[str, dict[str, list[float]]] = {k: {} for k in KINDS}
+        for kind, keys, _, y in rows[0]:
+            for k in keys:
+                if k:
+                    counts[kind].setdefault(k, [0.5, 0.5])[y] += 1
+        detector.known = {kind: {k: float(np.log(b / a)) for k, (a, b) in own.items() if a + b >= 3} for kind, own in counts.items()}
+        fit, held = rows[1] or rows[0] or rows[2], rows[2] or rows[1] or rows[0]
+        if not fit:
+            return detector
+        x, y, kinds = detector.features([r[:3] for r in fit]), np.array([r[3] for r in fit], float), np.array([r[0] for r in fit])
+        detector.common = BoostedTrees(depth=6, trees=60).fit(x, y)
+        start = detector.common.score(x)
+        for kind in KINDS:
+            at = np.flatnonzero(kinds == kind)
+            if len(at):
+                detector.trees[kind] = BoostedTrees(depth=5, trees=100).fit(x[at], y[at], start=start[at])
+        x, y, kinds = detector.features([r[:3] for r in held]), np.array([r[3] for r in held], float), np.array([r[0] for r in held])
+        s = detector.scores(kinds, x)
         for kind in KINDS:
-            counts: dict[str, list[float]] = {}
-            for text, c, y in rows[kind][0]:
-                for k in keys(text, c):
-                    counts.setdefault(k, [0.5, 0.5])[y] += 1
-            detector.known[kind] = {k: float(np.log(b / a)) for k, (a, b) in counts.items() if a + b >= 3}
-            fit, check = rows[kind][1], rows[kind][2]
-            y = np.array([r[2] for r in fit])
-            if min(y.sum(), len(y) - y.sum()) < 10:
-                continue  # hardly more than one class to learn from: the rules decide
-            detector.trees[kind] = BoostedTrees(depth=5, trees=80).fit(detector.features(kind, [r[:2] for r in fit]), y)
-            held = np.array([r[2] for r in check], float)
-            if len(check) >= 20:
-                x = detector.features(kind, [r[:2] for r in check])
-                detector.trees[kind].calibrate(x, held)
-                detector.thresholds[kind] = best_threshold(detector.trees[kind].probability(x), held)
+            at = np.flatnonzero(kinds == kind)
+            detector.scales[kind] = calibration(s[at], y[at])
+            a, b = detector.scales[kind]
+            detector.thresholds[kind] = best_threshold(sigmoid(a * s[at] + b), y[at])
         return detector
 
     def find(self, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
         """Of each text the spans found: kind, start, end, probability; none overlap."""
-        rows: dict[str, list[tuple[int, str, Candidate]]] = {k: [] for k in KINDS}
+        where: list[tuple[int, int, int]] = []
+        rows: list[tuple[str, list[str], list[float]]] = []
         for i, text in enumerate(texts):
             for c in candidates(text) if text else ():
-                rows[c.kind].append((i, text, c))
+                keys, out = describe(text, c)
+                for kind in c.kinds:
+                    where.append((i, c.start, c.end))
+                    rows.append((kind, keys, out))
         found: list[list[tuple[float, int, int, str]]] = [[] for _ in texts]
-        for kind, own in rows.items():
-            if not own:
-                continue
-            if kind in self.trees:
-                p = self.trees[kind].probability(self.features(kind, [(t, c) for _, t, c in own]))
-            else:
-                p = np.array([float(label(t, c) or 0) for _, t, c in own])
-            for (i, _, c), score in zip(own, p):
-                if score >= self.thresholds.get(kind, 0.5):
-                    found[i].append((float(score), c.start, c.end, kind))
+        if rows and self.common is not None:
+            kinds = np.array([r[0] for r in rows])
+            s = self.scores(kinds, self.features(rows))
+            a, b, least = (np.array([f[k] for k in KINDS]) for f in ({k: v[0] for k, v in self.scales.items()}, {k: v[1] for k, v in self.scales.items()}, self.thresholds))
+            which = np.array([KINDS.index(r[0]) for r in rows])
+            p = sigmoid(a[which] * s + b[which])
+            for j in np.flatnonzero(p >= least[which]):
+                i, lo, hi = where[j]
+                found[i].append((float(p[j]), lo, hi, rows[j][0]))
         out = []
+        order = {"email": 0, "address": 1, "phone": 2, "id_number": 2, "name": 3}
         for spans in found:
             kept: list[tuple[str, int, int, float]] = []
-            order = {"email": 0, "address": 1, "phone": 2, "id_number": 2, "name": 3}
             for score, a, b, kind in sorted(spans, key=lambda s: (order[s[3]], s[1] - s[2], -s[0], s[1])):
                 if all(b <= x or a >= y for _, x, y, _ in kept):
                     kept.append((kind, a, b, score))
@@ -441,13 +544,11 @@ class Detector:
 def train(docs: DataFrame, id_: str, text: str, sample: int = 1_200, longest: int = 40_000) -> Detector:
     """A detector from at most ``sample`` documents, chosen by a hash of their ids; of those, none longer than ``longest``.
 
-    The bounds hold for training only: detection reads every text whole.
+    The bounds hold for training only: detection reads every text whole. One pass: each task keeps its
+    ``sample`` least hashes, and of these the least stay.
     """
-    rows = docs.where(F.length(text).between(1, longest)).select(F.col(text).alias("t"), F.pmod(F.xxhash64(id_), F.lit(1 << 40)).alias("h"), F.col(id_).alias("i"))
-    # A first cut by hash: what the tasks send for the ranking stays near the sample's size at any scale.
-    share = min(1.0, 1.5 * sample / max(1, docs.count()))
-    kept = rows.where(F.col("h") < share * float(1 << 40)).orderBy("h", "i").limit(sample)
-    return Detector.fit([r.t for r in kept.select("t").collect()])
+    rows = docs.where(F.length(text).between(1, longest)).select(F.xxhash64(id_).alias("h"), F.col(id_).alias("i"), F.col(text).alias("t"))
+    return Detector.fit([r.t for r in rows.orderBy("h", "i").limit(sample).select("t").collect()])
 
 
 def find_personal(docs: DataFrame, id_: str = "doc_id", text: str = "text", detector: Detector | None = None) -> DataFrame:
