@@ -178,3 +178,83 @@ def test_personal_data_held_out(spark):
     assert red[100].text is None and red[101].text == "" and red[102].redactions == 0
     assert "@mail.test" not in red[3].text
     assert pii.find_personal(df.limit(0), detector=detector).collect() == []
+
+
+def notes(n, seed):
+    """Notes whose phrases no rule names: only a title or an announcing word here and there says what is what."""
+    r = random.Random(seed)
+    number = lambda: f"0{r.randrange(20, 99)} {r.randrange(1000, 9999)} {r.randrange(1000, 9999)}"
+    for _ in range(n):
+        parts, spans = [], []
+
+        def add(text, kind=None):
+            at = sum(map(len, parts))
+            parts.append(text)
+            if kind:
+                spans.append((kind, at, at + len(text)))
+
+        for _ in range(r.randrange(3, 8)):
+            k = r.randrange(6)
+            if k == 0:
+                add("The caller left ")
+                add(number(), "phone")
+                add(" with the desk. ")
+            elif k == 1:
+                add("Phone: ")
+                add(number(), "phone")
+                add(". ")
+            elif k == 2:
+                add(f"{r.choice(('Dr', 'Mrs', 'Mr'))} ")
+                add(r.choice(FAMILY), "name")
+                add(" cancelled lunch. ")
+            elif k == 3:
+                add(f"{r.choice(GIVEN)} {r.choice(FAMILY)}", "name")
+                add(" cancelled lunch. ")
+            elif k == 4:
+                add(f"The pump, serial {r.randrange(10, 99)}-{r.randrange(100000, 999999)}, was sold by Hallow Marine Ltd. Order no. {r.randrange(10, 99)}-{r.randrange(100000, 999999)}. ")
+            else:
+                add(f"Item § {r.randrange(10, 99)}-{r.randrange(100000, 999999)} of page 3 was paid. ")
+        yield "".join(parts), spans
+
+
+def test_phrases_no_rule_names():
+    train, held = list(notes(500, 3)), list(notes(200, 4))
+    detector = pii.Detector.fit([t for t, _ in train])
+    got = Counter((i, k, a, b) for i, spans in enumerate(detector.find([t for t, _ in held])) for k, a, b, _ in spans)
+    want = Counter((i, *s) for i, (_, spans) in enumerate(held) for s in spans)
+    rules = Counter((i, kind, c.start, c.end) for i, (t, _) in enumerate(held) for c in pii.candidates(t) for kind in c.kinds if pii.label(t, c, kind))
+    hits = sum((want & got).values())
+    assert hits / sum(want.values()) > 0.95 and hits / sum(got.values()) > 0.95
+    assert sum((want & rules).values()) / sum(want.values()) < 0.8  # the rules alone don't find them
+
+
+def test_candidates_of_any_length():
+    spans = lambda text, kind: {text[c.start : c.end] for c in pii.candidates(text) if kind in c.kinds}
+    assert "Anna Maria Berger" in spans("and Anna Maria Berger left", "name")
+    assert "12345\n6789" in spans("card no. 12345\n6789 was", "id_number")
+    assert "+999-247-555-0148 ext. 84" in spans("on +999-247-555-0148 ext. 84 at", "phone")
+    assert "Old Tannery Lane, Ashwick NQ7 7TR" in spans("found at Old Tannery Lane, Ashwick NQ7 7TR.", "address")
+    assert "P.O.  Box 5225, Sault-Merle" in spans("at P.O.  Box 5225, Sault-Merle were", "address")
+
+
+def test_without_labels_nothing_is_found():
+    assert pii.Detector.fit([]).find(["Mr Berger, tel. 030 1234 5678"]) == [[]]
+    assert pii.Detector.fit(["no data at all"]).find([None, "", "Mr Berger"])[:2] == [[], []]
+
+
+def test_full_pieces_and_ties(spark):
+    items = [(i, 512) for i in range(50)] + [(100 + i, 300) for i in range(40)] + [(200, 5 * 512 + 10), (201, None), (202, 0)]
+    placed = packing.pack_items(spark.createDataFrame(items, "doc_id bigint, tokens bigint").repartition(5), [("x", 512)]).collect()
+    load = Counter()
+    for r in placed:
+        if r.container_id is not None:
+            load[r.container_id] += r.tokens
+    assert sum(load.values()) == 50 * 512 + 40 * 300 + 5 * 512 + 10 and max(load.values()) <= 512
+    assert sorted(load) == list(range(len(load))) and len(load) == 50 + 40 + 5
+    assert {r.doc_id for r in placed if r.container_id is None} == {201, 202}
+
+
+def test_raking_that_cannot_settle_says_so():
+    cells = [{"source": "a", "lang": "x", "tokens": 100.0}, {"source": "b", "lang": "y", "tokens": 100.0}]
+    with pytest.warns(UserWarning, match="still moving"):
+        mixing.rake(cells, {"a": 0.9, "b": 0.1}, {"a": 2, "b": 2}, ["lang"], rounds=5)

@@ -183,6 +183,10 @@ def _name_candidates(text: str) -> Iterator[Candidate]:
             yield Candidate(lo + a, lo + b, ("name",), form)
 
 
+# Where a sentence ends within a run of numbers, but for the point of what stands before an extension.
+_SENTENCE = re.compile(r"(?<!ext)(?<!App)(?<!Dw)\.\s")
+
+
 @lru_cache(maxsize=100_000)
 def _numbers_of_run(whole: str) -> tuple[tuple[int, int], ...]:
     """Spans of a run of digits and separators that may be a number: the run, and the parts between wider separators."""
@@ -197,7 +201,7 @@ def _numbers_of_run(whole: str) -> tuple[tuple[int, int], ...]:
     out = []
     for a, b in sorted(spans):
         part = whole[a:b].rstrip(" \n\t.-/–(")
-        if 6 <= sum(map(str.isdigit, part)) <= 20 and not _ORDINARY.fullmatch(part.strip("()")) and "\n\n" not in part:
+        if 6 <= sum(map(str.isdigit, part)) <= 20 and not _ORDINARY.fullmatch(part.strip("()")) and "\n\n" not in part and not _SENTENCE.search(part):
             out.append((a, a + len(part)))
     return tuple(out)
 
@@ -372,7 +376,7 @@ def label(text: str, c: Candidate, kind: str) -> int | None:
             return 0
         if _GOES_ON.match(right) and "\n" not in right[:2] or re.match(r"\s*(?:ext\.?|x)\s*\d", right) or re.search(r"[\d+]\s?[\-./–)]?\s?$", left) and "\n" not in left[-2:]:
             return 0 if not re.match(r"\s+\d{1,2}[/.]\d|\s+\d{4}-", right) else None
-        if re.search(r"\t|(?<!ext)(?<!App)(?<!Dw)\.\s|\s\d{1,2}[/.]\d{1,2}[/.]\d{4}$", span):
+        if re.search(r"\t|\s\d{1,2}[/.]\d{1,2}[/.]\d{4}$", span):
             return 0
         if _ANNOUNCE[kind].search(left):
             # Over a line's end the number may go on, or the next paragraph's begin: its shape, known from others, will tell.
