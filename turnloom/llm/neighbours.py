@@ -1,4 +1,4 @@
-"""Most similar vectors for every vector: a hierarchical k-means tree, searched best bin first."""
+"""Most similar vectors for every vector: a hierarchical k-means tree, searched best bin first through a priority queue."""
 
 from __future__ import annotations
 
@@ -60,34 +60,44 @@ class Tree:
         return tree
 
     def visit(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and leaves: each row's own leaf and all that lie within ``margin`` of it.
+        """Rows and leaves, best bin first: each row's own leaf, then the next nearest, as far as ``margin``.
 
-        The frontier of (row, node) is widened best bin first: from a node a row goes to the nearest child,
-        and to each other whose bisecting plane with that one is no further than ``margin``.
+        The queue holds entries (row, node, bound): how far the row is at least from the planes that part it
+        from the node's cell. In each step every row takes its entry of the least bound: a leaf is visited, a
+        node gives way to its children, whose bounds grow by the distance to the plane between them and the
+        nearest child. A row is done when its least bound is beyond ``margin``; entries that are so from the
+        start are not put into the queue.
         """
-        rows, leaves = [], []
         if not self.centres:
             return np.arange(len(x)), np.zeros(len(x), np.int64)
-        queue = [(0, np.arange(len(x)))]
-        while queue:
-            node, at = queue.pop()
-            centres, children = self.centres[node], self.children[node]
-            squared = (centres**2).sum(1) - 2 * (x[at] @ centres.T)
-            best = np.argmin(squared, axis=1)
-            between = np.linalg.norm(centres[:, None] - centres[None], axis=2)
-            apart = (squared - squared[np.arange(len(at)), best][:, None]) / np.maximum(2 * between[best], 1e-12)
-            go = apart <= margin
-            go[np.arange(len(at)), best] = True
-            for i, child in enumerate(children):
-                on = at[go[:, i]]
-                if not len(on):
+        out_rows, out_leaves = [], []
+        row, node, bound = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.float32)
+        while len(row):
+            order = np.lexsort((bound, row))
+            row, node, bound = row[order], node[order], bound[order]
+            first = np.ones(len(row), bool)
+            first[1:] = row[1:] != row[:-1]
+            leaf = first & (node < 0)
+            out_rows.append(row[leaf])
+            out_leaves.append(-1 - node[leaf])
+            rows, nodes, bounds = [row[~first]], [node[~first]], [bound[~first]]
+            taken = np.flatnonzero(first & (node >= 0))
+            by_node = taken[np.argsort(node[taken], kind="stable")]
+            for part in np.split(by_node, np.flatnonzero(np.diff(node[by_node])) + 1):
+                if not len(part):
                     continue
-                if child < 0:
-                    rows.append(on)
-                    leaves.append(np.full(len(on), -1 - child))
-                else:
-                    queue.append((int(child), on))
-        return np.concatenate(rows), np.concatenate(leaves)
+                centres, children = self.centres[node[part[0]]], self.children[node[part[0]]]
+                squared = (centres**2).sum(1) - 2 * (x[row[part]] @ centres.T)
+                best = np.argmin(squared, axis=1)
+                between = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+                apart = np.maximum((squared - squared[np.arange(len(part)), best][:, None]) / np.maximum(2 * between[best], 1e-12), bound[part, None])
+                apart[np.arange(len(part)), best] = bound[part]
+                at, child = np.nonzero(apart <= margin)
+                rows.append(row[part[at]])
+                nodes.append(children[child])
+                bounds.append(apart[at, child])
+            row, node, bound = np.concatenate(rows), np.concatenate(nodes), np.concatenate(bounds)
+        return np.concatenate(out_rows), np.concatenate(out_leaves)
 
 
 def radius(similarity: float) -> float:
@@ -96,7 +106,7 @@ def radius(similarity: float) -> float:
 
 
 def calibrate(tree: Tree, x: np.ndarray, k: int, min_similarity: float | None, recall: float) -> float:
-    """The smallest margin at which pairs meet in a leaf often enough: the share ``recall`` of the probes.
+    """Leaf visits are widened until pairs meet in a leaf often enough: the least margin that finds the share ``recall`` of the probes.
 
     Probes are pairs of sample vectors with their neighbours in the sample, and, where a least similarity is
     set, of sample vectors with random ones at just that similarity: the hardest pairs that count. Of two
@@ -112,7 +122,8 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, min_similarity: float | None, r
     rows = np.repeat(np.arange(len(near)), top.shape[1])
     kept = near[rows, top.ravel()] >= (-2 if min_similarity is None else min_similarity)
     left, right = x[rows[kept]], x[top.ravel()[kept]]
-    limit, steps = 1.0, np.linspace(0.0, 1.0, 41)
+    # Of unit vectors no plane is further away than 2: there every leaf is visited.
+    limit, steps = 2.0, np.concatenate([np.linspace(0.0, 1.0, 41), [1.5, 2.0]])
     if min_similarity is not None:
         limit = radius(min_similarity) / 2
         base = x[rng.choice(len(x), min(len(x), 4000), replace=False)]
@@ -135,7 +146,8 @@ def _visits(trees: dict[str, tuple[Tree, float, np.ndarray]]):
         for batch in batches:
             models = np.array(batch.column("model").to_pylist(), object)
             for model in dict.fromkeys(models.tolist()):
-                tree, margin, blocks = trees[model]
+                # A model the sample didn't have is one leaf, which its task divides if it is large.
+                tree, margin, blocks = trees.get(model) or (Tree([], [], np.ones(1)), 0.0, np.ones(1, np.int64))
                 own = batch.take(pa.array(np.flatnonzero(models == model)))
                 rows, leaves = tree.visit(unpack(own.column("packed")), margin)
                 # A leaf too large for one task is worked on as all pairs of its blocks.
@@ -154,27 +166,44 @@ def _visits(trees: dict[str, tuple[Tree, float, np.ndarray]]):
     return visits
 
 
-def _compare(k: int, least: float):
+def _cells(x: np.ndarray, margin: float, leaf_rows: int) -> Iterator[np.ndarray]:
+    """Rows of one leaf to be compared with each other: all, or the leaves of a tree of its own where they are many.
+
+    The tree's size follows from the rows there are. Copies that no plane parts stay together.
+    """
+    if len(x) <= 4 * leaf_rows:
+        yield np.arange(len(x))
+        return
+    sample = x[np.random.default_rng(17).choice(len(x), min(len(x), 8_192), replace=False)]
+    rows, leaves = Tree.fit(sample, max(2, len(x) // leaf_rows)).visit(x, margin)
+    order = np.argsort(leaves, kind="stable")
+    for cell in np.split(rows[order], np.flatnonzero(np.diff(leaves[order])) + 1):
+        yield np.sort(cell)
+
+
+def _compare(k: int, least: float, margin: float, leaf_rows: int):
     def compare(group: pa.Table) -> pa.Table:
-        ids, order = np.unique(group.column("id").to_numpy(), return_index=True)
-        x = unpack(group.column("packed"))[order]
+        all_ids, order = np.unique(group.column("id").to_numpy(), return_index=True)
+        vectors = unpack(group.column("packed"))[order]
         out_a, out_b, out_s = [], [], []
-        for lo in range(0, len(x), 1024):
-            s = x[lo : lo + 1024] @ x.T
-            s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
-            if s.shape[1] > 4 * k:
-                # The kth largest of a row is the least that can count; ties with it all stay for the final ranking by id.
-                floor = np.maximum(np.partition(s, -k, axis=1)[:, -k], least) if least < 0.5 else np.full(len(s), least)
-            else:
-                floor = np.full(len(s), least)
-            a, b = np.nonzero(s >= floor[:, None] - 1e-6)
-            rank = np.lexsort((ids[b], -s[a, b], a))
-            a, b = a[rank], b[rank]
-            top = np.arange(len(a)) - np.searchsorted(a, a) < k
-            a, b = a[top], b[top]
-            out_a.append(ids[lo + a])
-            out_b.append(ids[b])
-            out_s.append(s[a, b])
+        for cell in _cells(vectors, margin, leaf_rows):
+            ids, x = all_ids[cell], vectors[cell]
+            for lo in range(0, len(x), 1024):
+                s = x[lo : lo + 1024] @ x.T
+                s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
+                if s.shape[1] > 4 * k and least < 0.5:
+                    # The kth largest of a row is the least that can count; ties with it all stay for the final ranking by id.
+                    floor = np.maximum(np.partition(s, -k, axis=1)[:, -k], least)
+                else:
+                    floor = np.full(len(s), least)
+                a, b = np.nonzero(s >= floor[:, None] - 1e-6)
+                rank = np.lexsort((ids[b], -s[a, b], a))
+                a, b = a[rank], b[rank]
+                top = np.arange(len(a)) - np.searchsorted(a, a) < k
+                a, b = a[top], b[top]
+                out_a.append(ids[lo + a])
+                out_b.append(ids[b])
+                out_s.append(s[a, b])
         model = group.column("model")[0].as_py() if group.num_rows else ""
         joined = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
         return pa.table({
@@ -197,7 +226,7 @@ def index_sample(counted: DataFrame, vectors: DataFrame, sample: int = 20_000) -
 
 
 def most_similar(
-    vectors: DataFrame, k: int, min_similarity: float | None = None, recall: float = 0.995, sample: int = 20_000, leaf_rows: int = 2_000, max_leaves: int = 4_096, block: int = 8_192,
+    vectors: DataFrame, k: int, min_similarity: float | None = None, recall: float = 0.995, sample: int = 20_000, leaf_rows: int = 2_000, max_leaves: int = 4_096, block: int = 100_000,
     fitted: tuple[dict[str, int], pa.Table] | None = None,
 ) -> DataFrame:
     """The ``k`` most similar other vectors of the same model for every vector: ``model``, ``id``, ``neighbour``, ``similarity``, ``rank``.
@@ -206,10 +235,12 @@ def most_similar(
     null are left out, ids that occur twice count once, other columns are ignored. Ties are ranked by
     ``neighbour``. An empty table gives an empty result. With ``min_similarity`` only pairs of that cosine.
 
-    Each model's tree is fitted on at most ``sample`` rows, chosen by hash, and has one leaf for ``leaf_rows``
-    rows, at most ``max_leaves``, so what is sent to the executors is bounded by ``max_leaves`` centres and
-    their parents. Every row goes to its own leaf and all within the calibrated margin; a leaf that is
-    estimated to hold more than ``block`` rows is split into blocks, each pair of which is a task of its own.
+    Each model's tree is fitted on at most ``sample`` rows, chosen by hash, and aims at one leaf for
+    ``leaf_rows`` rows and at ``max_leaves`` at most, so what is sent to the executors is bounded by some
+    thousand centres. Every row goes to its own leaf and all within the calibrated margin. A leaf that turns
+    out to hold many more rows is divided by a tree of its own within its task, so the cost of a row does not
+    grow with their number; one estimated to hold more than ``block`` is split into blocks, each pair of
+    which is a task.
     ``fitted`` is what ``index_sample`` made of a cheaper table with about the same vectors.
     """
     rows = vectors.where("model is not null and id is not null and packed is not null").select("model", F.col("id").cast("long").alias("id"), "packed")
@@ -223,11 +254,13 @@ def most_similar(
             x = unpack(taken.filter(pa.array(names == model)).column("packed"))
         tree = Tree.fit(x, int(np.clip(np.ceil(n / leaf_rows), 1, max_leaves)))
         margin = calibrate(tree, x, k, min_similarity, recall)
-        blocks = np.maximum(1, np.ceil(tree.leaf_share * n / block)).astype(np.int64)
+        # As many rows as the leaf's share of the sample lets expect, and two standard deviations more.
+        drawn = tree.leaf_share * len(x)
+        blocks = np.maximum(1, np.ceil((drawn + 2 * np.sqrt(drawn)) / max(1, len(x)) * n / block)).astype(np.int64)
         trees[model] = tree, margin, blocks
     visited = rows.mapInArrow(_visits(trees), "model string, leaf int, part bigint, id bigint, packed binary")
     pairs = visited.groupBy("model", "leaf", "part").applyInArrow(
-        _compare(k, -1.5 if min_similarity is None else min_similarity), "model string, id bigint, neighbour bigint, similarity double"
+        _compare(k, -1.5 if min_similarity is None else min_similarity, 0.5 if min_similarity is None else radius(min_similarity) / 2, leaf_rows), "model string, id bigint, neighbour bigint, similarity double"
     )
     once = pairs.groupBy("model", "id", "neighbour").agg(F.max("similarity").alias("similarity"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("model", "id").orderBy(F.desc("similarity"), "neighbour")))
