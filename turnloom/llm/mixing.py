@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +25,14 @@ def within_caps(weights: np.ndarray, caps: np.ndarray, total: float) -> np.ndarr
     return np.minimum(out, caps)
 
 
-def rake(cells: list[dict], shares: dict[str, float], repeats: dict[str, int], others: list[str], rounds: int = 50) -> tuple[np.ndarray, dict[str, float]]:
+def rake(cells: list[dict], shares: dict[str, float], repeats: dict[str, int], others: list[str], rounds: int = 1_000) -> tuple[np.ndarray, dict[str, float]]:
     """Copies of each cell's documents, and the source shares aimed at.
 
     ``cells`` have ``source``, ``tokens`` and the ``others``. Sources with tokens keep their proportions of
     ``shares``; the total is the largest that no source needs more than its repeats for. Weights are fitted
     to the marginals of ``others`` in the corpus and to the sources in turn, each within its caps; the
-    sources come last, so their shares hold exactly.
+    sources come last, so their shares hold exactly. Marginals that can't all be met within the caps never
+    settle: after ``rounds`` rounds a warning says how much weight still moves.
     """
     tokens = np.array([float(c["tokens"]) for c in cells])
     source = np.array([c["source"] for c in cells], object)
@@ -52,8 +55,11 @@ def rake(cells: list[dict], shares: dict[str, float], repeats: dict[str, int], o
         was = weights.copy()
         for s, w in aim.items():
             weights[source == s] = within_caps(weights[source == s], caps[source == s], w * total)
-        if np.abs(was - weights).sum() <= 1e-9 * total:
+        moved = np.abs(was - weights).sum() / total
+        if moved <= 1e-9:
             break
+    else:
+        warnings.warn(f"raking stopped after {rounds} rounds with {moved:.2e} of the weight still moving", stacklevel=2)
     return np.where(tokens > 0, weights / np.maximum(tokens, 1e-300), 0.0), aim
 
 
@@ -73,7 +79,7 @@ def mix_sources(docs: DataFrame, targets: list[tuple[str, float, int]], others:
     shares, repeats = {s: w for s, w, _ in targets}, {s: int(r) for s, _, r in targets}
     cell = ["source", *others]
     used = docs.where(F.col("source").isin(list(shares)) & (F.coalesce(F.col("tokens"), F.lit(0)) > 0)).select(id_, *cell, "tokens")
-    sums = used.groupBy(*cell).agg(F.sum("tokens").alias("tokens")).limit(max_cells + 1).collect()
+    sums = used.groupBy(*cell).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("__n")).limit(max_cells + 1).collect()
     if len(sums) > max_cells:
         raise ValueError(f"more than {max_cells} cells of {cell}")
     cells = [r.asDict() for r in sums]
@@ -84,7 +90,7 @@ def mix_sources(docs: DataFrame, targets: list[tuple[str, float, int]], others:
     rates = spark.createDataFrame([(*[c[k] for k in cell], float(x)) for c, x in zip(cells, copies)], schema)
     same = [F.col(c).eqNullSafe(F.col(f"__c{i}")) for i, c in enumerate(cell)]
     banded = used.join(rates, same).drop(*[f"__c{i}" for i in range(len(cell))]).withColumn("band", F.floor(F.log2("tokens") * 8))
-    ranked = spread_rank(banded, [*cell, "band"], [F.col("tokens"), F.col(id_)], id_, buckets=16)
+    ranked = spread_rank(banded, [*cell, "band"], [F.col("tokens"), F.col(id_)], id_, buckets=max(1, -(-max((c["__n"] for c in cells), default=0) // 50_000)))
     # Every band starts at a place of its own, so rounding doesn't lean one way.
     start = F.pmod(F.xxhash64(*cell, "band"), F.lit(1 << 20)) / float(1 << 20)
     count = F.floor(start + F.col("rate") * (F.col("rank") + 1) + 1e-9) - F.floor(start + F.col("rate") * F.col("rank") + 1e-9)

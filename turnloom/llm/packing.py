@@ -13,13 +13,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .ranking import spread_rank
 
 
+#: Matches of a kind are sent to every task, 32 bytes each. They are about two for each size and gap, so a multiple of the capacity.
+MOST_MATCHES = 2_000_000
+
+
 def best_fit(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
     """Matches ``(size, first rank, first container, items a container)`` of best fit over size classes, largest first.
 
@@ -68,6 +73,41 @@ def best_fit(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return matches
 
 
+def containers_in(matches: list[tuple[int, int, int, int]], sizes: dict[int, int]) -> int:
+    """How many containers the matches of ``best_fit``, in ascending order, use."""
+    most = 0
+    for (size, rank, first, each), following in zip(matches, [*matches[1:], (0, 0, 0, 0)]):
+        end = following[1] if following[0] == size else sizes[size]
+        most = max(most, first + -(-(end - rank) // each))
+    return most
+
+
+def pieces_of(specs: list[tuple[str, int]], id_: str):
+    """Cuts items into pieces for every kind: full ones, numbered within their task, and the rest."""
+
+    def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), {kind: 0 for kind, _ in specs}
+        for batch in batches:
+            tokens = np.maximum(np.nan_to_num(batch.column("tokens").to_numpy(zero_copy_only=False)).astype(np.int64), 0)
+            for kind, capacity in specs:
+                n = np.maximum(-(-tokens // capacity), 1)
+                at = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                size = np.minimum(capacity, tokens[at] - piece * capacity)
+                full = size == capacity
+                nth = np.where(full, np.cumsum(full) - 1 + before[kind], -1)
+                before[kind] += int(full.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([kind] * len(at), pa.string()), batch.column(id_).take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(size),
+                        pa.array(np.full(len(at), part, np.int32)), pa.array(nth.astype(np.int64)),
+                    ],
+                    names=["container_kind", id_, "piece", "start_token", "tokens", "part", "nth"],
+                )
+
+    return pieces
+
+
 def pack_items(items: DataFrame, specs: list[tuple[str, int]], id_: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """Where every item goes, for each kind of container.
 
@@ -77,26 +117,25 @@ def pack_items(items: DataFrame, specs: list[tuple[str, int]], id_: str = "doc_i
     null ``container_id``; a null id is an item of its own; an empty table gives an empty result; other
     columns are ignored.
 
-    Only the number of items of each size comes to the driver: at most ``capacity`` numbers a kind.
+    Full pieces are numbered by their task and place in it, without a shuffle. Of the others only the number
+    of each size comes to the driver, at most ``capacity`` numbers a kind; ranks within a size are taken in
+    as many buckets as its number asks for.
     """
     spark = items.sparkSession
-    kinds = spark.createDataFrame([(k, int(c)) for k, c in specs], "container_kind string, capacity bigint")
-    rows = items.select(F.col(id_).alias(id_), F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("long").alias("__all"))
-    pieces = F.ceil(F.col("__all") / F.col("capacity"))
-    each = (
-        rows.crossJoin(F.broadcast(kinds))  # a few rows of parameters
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)))
-        .withColumn("start_token", F.col("piece") * F.col("capacity"))
-        .withColumn("size", F.least("capacity", F.col("__all") - F.col("start_token")))
-        .select("container_kind", id_, F.col("piece").cast("int").alias("piece"), "start_token", F.col("size").alias("tokens"))
-    )
-    each = cut(each)
-    counts = each.where("tokens > 0").groupBy("container_kind", "tokens").agg(F.count("*").alias("n")).collect()
+    kind_of_id = dict(items.dtypes)[id_]
+    rows = items.select(F.col(id_).alias(id_), F.col(tokens).cast("double").alias("tokens"))
+    schema = f"container_kind string, `{id_}` {kind_of_id}, piece int, start_token bigint, tokens bigint, part int, nth bigint"
+    each = cut(rows.mapInArrow(pieces_of([(k, int(c)) for k, c in specs], id_), schema))
+    counts = each.where("tokens > 0 and nth < 0").groupBy("container_kind", "tokens").agg(F.count("*").alias("n")).collect()
     found: dict[str, tuple[np.ndarray, ...]] = {}
+    opened_by: list[tuple[str, int]] = []
     for kind, capacity in specs:
-        matches = best_fit({r.tokens: r.n for r in counts if r.container_kind == kind}, int(capacity))
-        table = np.array(sorted(matches), np.int64).reshape(-1, 4)
-        found[kind] = tuple(table.T)
+        sizes = {r.tokens: r.n for r in counts if r.container_kind == kind}
+        matches = best_fit(sizes, int(capacity))
+        if len(matches) > MOST_MATCHES:
+            raise ValueError(f"{kind}: {len(matches)} matches are more than the {MOST_MATCHES} a task may be sent")
+        found[kind] = tuple(np.array(sorted(matches), np.int64).reshape(-1, 4).T)
+        opened_by.append((kind, containers_in(sorted(matches), sizes)))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,9 +152,18 @@ def pack_items(items: DataFrame, specs: list[tuple[str, int]], id_: str = "doc_i
             arrays = [batch.column("container_kind"), pa.array(out, mask=out < 0), *[batch.column(c) for c in (id_, "piece", "start_token", "tokens")]]
             yield pa.RecordBatch.from_arrays(arrays, names=["container_kind", "container_id", id_, "piece", "start_token", "tokens"])
 
-    ranked = spread_rank(each, ["container_kind", "tokens"], [F.col(id_), F.col("piece")], id_)
-    kind = dict(each.dtypes)[id_]
-    return ranked.mapInArrow(place, f"container_kind string, container_id bigint, `{id_}` {kind}, piece int, start_token bigint, tokens bigint")
+    columns = ["container_kind", "container_id", id_, "piece", "start_token", "tokens"]
+    buckets = max(1, -(-max((r.n for r in counts), default=0) // 50_000))
+    ranked = spread_rank(each.where("nth < 0").drop("part", "nth"), ["container_kind", "tokens"], [F.col(id_), F.col("piece")], id_, buckets)
+    others = ranked.mapInArrow(place, f"container_kind string, container_id bigint, `{id_}` {kind_of_id}, piece int, start_token bigint, tokens bigint")
+    # Containers of full pieces come after all others: those of the tasks before, then the place within the task.
+    opened = spark.createDataFrame(opened_by, "__k string, opened bigint")
+    full = each.where("nth >= 0")
+    ahead = Window.partitionBy("container_kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = full.groupBy("container_kind", "part").agg(F.count("*").alias("n")).select(F.col("container_kind").alias("__k"), F.col("part").alias("__p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("shift"))
+    shifts = shifts.join(opened, "__k").select("__k", "__p", (F.col("shift") + F.col("opened")).alias("shift"))
+    numbered = full.join(shifts, (F.col("container_kind") == F.col("__k")) & (F.col("part") == F.col("__p"))).withColumn("container_id", F.col("shift") + F.col("nth"))
+    return others.select(columns).unionByName(numbered.select(columns))
 
 
 def fill_report(placed: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:
