@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from turnloom.llm.nearest_time import XFastTrie, nearest_in_time
-from turnloom.llm.runs import collapse_runs
+from turnloom.llm.runs import collapse_runs, edit_similarity
 from turnloom.llm.turns import clean_text, speaker_turns
 
 
@@ -101,3 +101,50 @@ def test_turns(spark):
     found = speaker_turns(df, spark.createDataFrame(lab, "s string, t bigint, lab bigint, who string"), ["s"], "t", "rec", "text", "lab", "who", 2, 10, end="e")
     got = {(r.speaker, r.first_id, r.last_id, r.records, r.text, r.end) for r in found.collect()}
     assert got == {("A", 1, 3, 2, "hello there", 9), ("A", 4, 4, 1, "again", 31), ("B", 5, 5, 1, "bye", 34)}
+
+
+def test_tolerance_longer_than_a_slice(spark):
+    left = spark.createDataFrame([("a", 1, 10_000)], "e string, id bigint, t bigint")
+    right = spark.createDataFrame([("a", 7, 10_450), ("a", 8, 9_100)], "e string, rid bigint, t bigint")
+    found = nearest_in_time(left, right, ["e"], "t", "id", "rid", tolerance=1_000, chunk=100).collect()
+    assert [(r.id, r.rid, r.distance) for r in found] == [(1, 7, 450)]
+
+
+def near_runs(rows, gap, least):
+    """Of (entity, time, id, value), each event is compared with the open run's first value."""
+    out, run = [], None
+    for e, t, i, v in sorted(rows):
+        if run and run[0] == e and t - run[4] <= gap and edit_similarity(run[1], v) >= least:
+            run = (*run[:3], i, t, run[5] + 1)
+        else:
+            out += [run] if run else []
+            run = (e, v, i, i, t, 1)
+    return out + ([run] if run else [])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_identical_events(spark, seed):
+    r = random.Random(seed)
+    words = ["engine stopped", "engine stoped", "engine stopped!", "engine started", "door open", "door opened", "d00r open"]
+    rows = [(r.choice("ab"), r.randrange(400), i, r.choice(words)) for i in range(120)]
+    df = spark.createDataFrame(rows, "e string, t bigint, id bigint, v string")
+    found = collapse_runs(df, ["e"], "t", "id", "v", 15, chunk=50, similarity=edit_similarity, least=0.85).collect()
+    got = sorted((x.e, x.v, x.first_id, x.last_id, x.last_start, x.events) for x in found)
+    assert got == sorted(near_runs(rows, 15, 0.85))
+    assert len(got) < len(collapse_runs(df, ["e"], "t", "id", "v", 15, chunk=50).collect())
+
+
+def test_long_lines_and_groups_take_linear_time():
+    import time
+
+    began = time.time()
+    assert clean_text("[cough] " * 20_000) == ""
+    assert time.time() - began < 5
+    import pyarrow as pa
+
+    from turnloom.llm.slabs import slabs
+
+    batch = pa.record_batch({"k": pa.array(["a"] * 1000)})
+    began = time.time()
+    assert [t.num_rows for t in slabs((batch for _ in range(3000)), ["k"], 1000)] == [3_000_000]
+    assert time.time() - began < 10

@@ -122,7 +122,7 @@ def nearest_in_time(
         base = df.where(F.greatest(*[F.col(c).isNull() for c in [*entity, time, id_]]) == F.lit(False))
         other, mine = (right, left) if which == 0 else (left, right)
         types = dict((candidates if which == 0 else records).dtypes)
-        slices = F.array(F.floor(t / chunk)) if which == 0 else F.array_distinct(F.array(*[F.floor((t + x) / chunk) for x in (-tolerance, 0, tolerance)]))
+        slices = F.array(F.floor(t / chunk)) if which == 0 else F.sequence(F.floor((t - tolerance) / chunk), F.floor((t + tolerance) / chunk))
         named = [(left_id, right_id), (right_id, left_id)][which]
         cols = {named[0]: F.col(id_), **{c: F.col(c) for c in mine}}
         blank = {c: F.lit(None).cast(types[c]) for c in [named[1], *other]}

@@ -183,7 +183,7 @@ _FILLER_SQL = "u+[hm]+|u+-u+[hm]+|e+r+m*|e+h+m*|a+h+m*|h+m+|m{2,}|m+-?h+m+|u+h+-
 
 #: Texts with a word left after annotations, a speaker's tag, marks and fillers are taken away.
 _SPOKEN_SQL = rf"""w AS (SELECT *, string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''),
-  '\[[^\]]*\]?|\(+[^)]*\)*|\{{[^}}]*\}}?|<[^>]*>?|\*[^*]*\*?|#[^#]*#?|~[^~]*~?|♪[^♪]*♪?', ' ', 'g'),
+  '\[[^\]]*\]?|\(+[^)]*\)*|\{{[^}}]*\}}?|<[^>]*>?|\*[^*]*\*?|#[^#]*#?|~[^~]*~?|♪[^♪]*♪|[♪♫]\s*(\w+\s+){{0,2}}([Mm]usic|[Ss]inging|[Hh]umming)\s*$|[♪♫]', ' ', 'g'),
   '^\s*(>>|-)?\s*(([A-Z]|[0-9]{{1,3}}|SPK_[0-9]+)\s*[:>](\s|$))?', ' '), '\s+') AS words FROM f),
 s AS (SELECT * FROM w WHERE len(list_filter(words, lambda x: regexp_replace(x, '[^\pL\pN]', '', 'g') <> ''
   AND NOT regexp_full_match(lower(regexp_replace(x, '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g')), '{_FILLER_SQL}'))) > 0)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,14 +76,58 @@ def _machine(keys: list[str], same: str, max_gap: int, text: str | None):
     return machine
 
 
+def edit_similarity(a: str, b: str) -> float:
+    """1 less the share of characters to change, add or take away (Levenshtein) in the longer text."""
+    if a == b:
+        return 1.0
+    line = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, line[0] = line[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, diagonal + (x != y))
+    return 1 - line[-1] / max(len(a), len(b), 1)
+
+
+def cosine_similarity(a: list[float], b: list[float]) -> float:
+    x, y = np.asarray(a, float), np.asarray(b, float)
+    return float(x @ y / max(np.linalg.norm(x) * np.linalg.norm(y), 1e-300)) if len(x) == len(y) else -1.0
+
+
+def _near_anchor(entity: list[str], same: str, max_gap: int, similarity: Callable[[object, object], float], least: float):
+    """A second state machine, over runs of equal events sorted by entity and time: each is compared with the anchor of the open run."""
+
+    def machine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run: dict | None = None
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                goes_on = run is not None and all(row[k] == run[k] for k in entity) and row["start"] - run["last_start"] <= max_gap
+                if goes_on and (row[same] == run[same] or similarity(run[same], row[same]) >= least):
+                    run |= {"last_id": row["last_id"], "last_start": row["last_start"], "events": run["events"] + row["events"], "end": max(run["end"], row["end"])}
+                    if "text" in run:
+                        run["text"] = " ".join(x for x in (run["text"], row["text"]) if x)
+                    continue
+                if run is not None:
+                    out.append(run)
+                run = row
+            yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+            last = batch.schema
+        if run is not None:
+            yield pa.RecordBatch.from_pylist([run], schema=last)
+
+    return machine
+
+
 def collapse_runs(
-    df: DataFrame, entity: list[str], time: str, id_: str, same: str, max_gap: int, end: str | None = None, text: str | None = None, chunk: int = 3_600_000
+    df: DataFrame, entity: list[str], time: str, id_: str, same: str, max_gap: int, end: str | None = None, text: str | None = None, chunk: int = 3_600_000,
+    similarity: Callable[[object, object], float] | None = None, least: float = 1.0,
 ) -> DataFrame:
-    """Runs of consecutive events of one entity whose ``same`` value agrees with the run's anchor.
+    """Runs of consecutive events of one entity whose ``same`` value agrees with the run's anchor, its first event.
 
     Events are ordered by ``time``, then ``id_`` (whole numbers). A run ends where ``same`` differs from its
-    first event or where a time is more than ``max_gap`` after the one before. Near-identical events become
-    equal by what the caller puts into ``same``. Result: the entity, ``same``, ``first_id``, ``last_id``,
+    anchor or where a time is more than ``max_gap`` after the one before. With ``similarity``
+    (``edit_similarity`` of texts, ``cosine_similarity`` of vectors, or any function of two values) an event
+    goes on with the run if its similarity to the anchor reaches ``least``; ``same`` is then the anchor's value. Result: the entity, ``same``, ``first_id``, ``last_id``,
     ``events``, ``start``, ``last_start``, ``end`` (largest ``end``, or time where that is null or not
     given), with ``text`` the run's non-blank texts in order. Rows with a null time, id or ``same`` are no
     events; repeated rows are events like others; an empty table gives an empty result; columns not named
@@ -91,7 +135,9 @@ def collapse_runs(
 
     The state machine runs over each entity's time slices of ``chunk`` units, so a hot entity is many tasks.
     Only the first and last run of a slice can go on across its border: those, at most two a slice, are
-    joined in a second pass.
+    joined in a second pass. With ``similarity`` what a run takes depends on its anchor, however far back:
+    the runs of equal events that are left of an entity then pass through one task as a sorted stream, of
+    which only the open run is held.
     """
     keys = [f"__e{i}" for i in range(len(entity))]
     t = F.col(time).cast("long")
@@ -118,10 +164,10 @@ def collapse_runs(
     )
     first = F.struct("start", "first_id")
     final = F.struct("last_start", "last_id")
-    return (
+    runs = (
         numbered.groupBy(*keys, "__part", "__run")
         .agg(
-            F.min("__same").alias(same),
+            F.first("__same").alias(same),
             F.min(first).alias("__a"),
             F.max(final).alias("__z"),
             F.sum("events").alias("events"),
@@ -133,3 +179,8 @@ def collapse_runs(
             *([F.concat_ws(" ", F.filter(F.col("__texts.text"), lambda x: x != "")).alias("text")] if text else []),
         )
     )
+    if similarity is None:
+        return runs
+    fields = ", ".join(f"`{c}` {t}" for c, t in runs.dtypes)
+    sorted_runs = runs.repartition(*entity).sortWithinPartitions(*entity, "start", "first_id")
+    return sorted_runs.mapInArrow(_near_anchor(entity, same, max_gap, similarity, least), fields)

@@ -24,21 +24,25 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def slabs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 100_000) -> Iterator[pa.Table]:
-    """Tables of at least ``rows`` rows of a stream sorted by ``keys``, cut only between groups."""
+    """Tables of at least ``rows`` rows of a stream sorted by ``keys``, cut only between groups.
+
+    While one group fills all that is held, the next look for a cut comes at twice its size.
+    """
     held: list[pa.RecordBatch] = []
-    count = 0
+    count, wanted = 0, rows
     for batch in batches:
         if batch.num_rows == 0:
             continue
         held.append(batch)
         count += batch.num_rows
-        if count >= rows:
+        if count >= wanted:
             table = pa.Table.from_batches(held)
             starts = np.flatnonzero(group_starts(table, keys))
             cut = int(starts[-1])
+            wanted = 2 * count
             if cut:
                 yield table.slice(0, cut)
                 rest = table.slice(cut)
-                held, count = rest.to_batches(), rest.num_rows
+                held, count, wanted = rest.to_batches(), rest.num_rows, max(rows, 2 * rest.num_rows)
     if count:
         yield pa.Table.from_batches(held)

@@ -43,7 +43,7 @@ def parse_line(line: str) -> str:
     if _CUE.fullmatch(line.strip()) or line.strip().isdigit() and len(line.strip()) < 6 or line.startswith(_HEADS):
         return ""
     out: list[str] = []
-    at, state, closer, depth, opener = 0, "tag", "", 0, ""
+    at, state, closer, depth, opener, words = 0, "tag", "", 0, "", False
     while at < len(line):
         ch = line[at]
         if state == "tag":
@@ -64,6 +64,7 @@ def parse_line(line: str) -> str:
                 out.append(" ")
             else:
                 out.append(ch)
+                words = words or not ch.isspace()
             at += 1
         else:
             if ch == closer:
@@ -72,7 +73,7 @@ def parse_line(line: str) -> str:
                 depth += 1
             at += 1
             if not depth:
-                state = "text" if "".join(out).strip() else "tag"
+                state = "text" if words else "tag"
     return "".join(out)
 
 
