@@ -108,3 +108,67 @@ def test_large_buckets_keep_their_links():
     links = pa.Table.from_batches(clusters._verified(0.9, 16)(table.to_batches()))
     seen = {(min(a, b), max(a, b)) for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist())}
     assert len(seen) == 98 and all(a // 50 == b // 50 for a, b in seen)
+
+
+def sets_of(*rows):
+    """Token sets of the size the operator has: a row states which of four blocks of tokens it has, and how many of each."""
+    out = []
+    for row in rows:
+        own = [64 * block + i for block, n in row for i in range(n)]
+        assert len(own) == clusters.TOKENS
+        out.append(sorted(own))
+    return np.array(out)
+
+
+def linked(sets, jaccard, block=1024):
+    return {tuple(sorted(x)) for x in clusters.bucket_links(sets, jaccard, block)}
+
+
+def test_a_row_between_two_classes_keeps_both_links():
+    # A and B share half of their tokens with r, and few with each other.
+    a, b, r = sets_of([(0, 18), (1, 6)], [(0, 6), (2, 18)], [(0, 18), (1, 0), (2, 6)])
+    b = np.array(sorted([*range(12, 18), *range(128, 146)]))
+    r = np.array(sorted([*range(3, 18), *range(128, 137)]))
+    sets = np.stack([a, b, r])
+    jac = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    assert jac(a, r) >= 0.35 and jac(b, r) >= 0.35 and jac(a, b) < 0.35
+    assert linked(sets, 0.35) == {(0, 2), (1, 2)}
+    # A and m in one block, z in the next: z is similar to m only.
+    sets = np.stack([a, r, b])
+    assert linked(sets, 0.35, block=2) == {(0, 1), (1, 2)}
+
+
+def test_links_against_all_pairs():
+    r = np.random.default_rng(12)
+    for _ in range(30):
+        sets = np.sort(np.stack([r.choice(40, clusters.TOKENS, replace=False) for _ in range(r.integers(2, 60))]), axis=1)
+        sets = np.vstack([sets, sets[:2]])
+        share = np.array([[len(set(x) & set(y)) for y in sets] for x in sets])
+        want = share / (2 * clusters.TOKENS - share) >= 0.5
+        links = clusters.bucket_links(sets, 0.5, block=16)
+        assert all(want[i, j] for i, j in links)
+
+        def parts(pairs):
+            home = list(range(len(sets)))
+            for i, j in pairs:
+                a, b = home[i], home[j]
+                home = [min(a, b) if h in (a, b) else h for h in home]
+            return home
+
+        assert parts(links) == parts(np.argwhere(np.triu(want, 1)).tolist())
+        got = {(int(i), int(j)) for i, j in links}
+        assert all(any((i, x) in got or (x, i) in got for x in range(len(sets))) for i in range(len(sets)) if want[i].sum() > 1)
+
+
+def test_banding_meets_similar_sets():
+    r = np.random.default_rng(3)
+    base = r.standard_normal((400, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = r.standard_normal(base.shape)
+    away -= (away * base).sum(axis=1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x, y = (clusters.direction_sets(v) for v in (base, 0.8 * base + 0.6 * away))
+    a, b = (clusters.band_keys(v, clusters.BANDS, 2) for v in (x, y))
+    met = (a == b).any(axis=1)
+    share = np.array([len(set(i) & set(j)) / len(set(i) | set(j)) for i, j in zip(x, y)])
+    assert (share >= 0.3).sum() > 100 and met[share >= 0.3].mean() >= 0.99 and met[share >= 0.2].mean() >= 0.97
