@@ -83,13 +83,119 @@ def test_asof_both_ways(spark):
         assert got(chunk=chunk) == got() and got(chunk=chunk, forward=True) == got(forward=True) and got(chunk=chunk, exact=False) == got(exact=False)
 
 
-def test_nearest_vector_refuses_what_it_cannot_bound(spark):
+def test_nearest_vector_by_matrix_key_and_blocks(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], "id int, v array<double>")
     known = df.withColumnRenamed("id", "k")
     got = joins.nearest_vector(df, known, "id", "v", "k", "v", 0.9).collect()
     assert len(got) == 5 and all(r.k == 0 for r in got)
-    with pytest.raises(ValueError, match="more than 2"):
-        joins.nearest_vector(df, known, "id", "v", "k", "v", 0.9, max_known=2)
+    r = np.random.default_rng(4)
+    x = r.standard_normal((40, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, "ab"[i % 2], v.tolist()) for i, v in enumerate(x)] + [(90, "a", None), (91, "a", [1.0])]
+    probes = spark.createDataFrame(rows, "id bigint, g string, v array<double>")
+    known = probes.select(F.col("id").alias("k"), "g", F.col("v").alias("w"))
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    best = {i: int(s[i].argmax()) for i in range(40) if s[i].max() >= 0.3}
+    for bound in (64 << 20, 400):
+        found = joins.nearest_vector(probes, known, "id", "v", "k", "w", 0.3, max_bytes=bound, not_itself=True).collect()
+        assert {f.id: f.k for f in found} == best
+        assert all(abs(f.similarity - s[f.id, f.k]) < 1e-12 for f in found)
+    s[(np.arange(40)[:, None] + np.arange(40)) % 2 == 1] = -2
+    best = {i: int(s[i].argmax()) for i in range(40) if s[i].max() >= 0.3}
+    for bound in (64 << 20, 400):
+        found = joins.nearest_vector(probes, known, "id", "v", "k", "w", 0.3, on=["g"], max_bytes=bound, not_itself=True).collect()
+        assert {f.id: f.k for f in found} == best
+    assert joins.nearest_vector(probes, known.limit(0), "id", "v", "k", "w", 0.3).collect() == []
+
+
+def test_a_damaged_interval_stays_few_rows(spark):
+    left = spark.createDataFrame([("a", 1, 0, 10), ("a", 2, 5, 40_000_000_000)], "k string, i int, s1 bigint, e1 bigint")
+    right = spark.createDataFrame([("a", j, j * 1_000_000, j * 1_000_000 + 7) for j in range(30)] + [("a", 99, 3, 30_000_000_000)], "k string, j int, s2 bigint, e2 bigint")
+    got = {(x.i, x.j) for x in joins.interval_join(left, right, ["k"], ("s1", "e1"), ("s2", "e2"), 10_000).collect()}
+    assert got == {(1, 0), (1, 99), (2, 0), (2, 99)} | {(2, j) for j in range(1, 30)}
+
+
+def test_adaptive_moves_leave_locked_and_distant_rows(spark):
+    rows = [("s", 1, "auto:A", False, [1.0, 0.0]), ("s", 2, "auto:A", False, [0.0, 1.0]), ("s", 3, "auto:A", True, [0.0, 1.0]), ("s", 4, None, False, [0.0, 1.0]),
+            ("s", 5, "auto:B", None, [-1.0, 0.0]), ("t", 6, "auto:A", False, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "session string, id int, label string, is_locked boolean, v array<double>")
+    centres = spark.createDataFrame([("s", "auto:A", [1.0, 0.0]), ("s", "auto:B", [0.0, 1.0]), ("s", "auto:C", [0.0, 0.0])], "session string, c string, w array<double>")
+    moves = lambda delta: {(r.id, r.new_label) for r in clustering.adaptive_moves(df, centres, "session", "id", "label", "v", "c", "w", delta).collect()}
+    assert moves(0.5) == {(2, "auto:B")} and moves(2.0) == {(2, "auto:B")}
+    row = clustering.adaptive_changes(df, centres, "session", "id", "label", "v", "c", "w", 0.5).collect()
+    assert [(r.old_label, r.new_label, r.n, r.ids, r.reason) for r in row] == [("auto:A", "auto:B", 1, [2], "recluster")]
+
+
+def test_inactive_speakers_get_no_centre():
+    centers = clustering.OnlineCenters(0.5, 0.3, 20, tau_active=0.6)
+    x = np.eye(3)
+    assert centers.assign(x, np.array([0.5, 0.5, 0.5]), np.array([0.9, 0.5, 0.7])) == [0, -1, 1]
+
+
+def test_known_speakers_come_first(spark):
+    rows = [("s", 1, [1.0, 0.0], 2.0, None), ("s", 2, [0.0, 1.0], 2.0, "stored:ann"), ("s", 3, [0.0, 1.0], 0.1, None), ("s", 4, [1.0, 0.0], 2.0, None)]
+    df = spark.createDataFrame(rows, "session string, id int, v array<double>, seconds double, known string")
+    got = {r.id: r.label for r in clustering.identify_phrases(df, "session", "id", "v", "seconds", known="known").collect()}
+    assert got == {1: "auto:A", 2: "stored:ann", 3: "stored:ann", 4: "auto:A"}
+
+
+def test_reasons_of_phrase_parts(spark):
+    rows = [("p", 0, 10, "One."), ("p", 12, 20, "two"), ("p", 60, 70, "three"), ("q", 0, 5, "four"), ("r", 0, 5, "five"), ("r", 50, 60, "six."), ("u", 0, 5, "a."), ("u", 80, 90, "b")]
+    df = spark.createDataFrame(rows, "p string, s bigint, e bigint, t string")
+    found = sequence.phrase_parts(df, ["p"], ["s"], "s", "e", "t", 30).collect()
+    assert {r.p: r.reason for r in found} == {"p": "both", "q": "none", "r": "both", "u": "sentence"}
+    assert [r.part for r in sorted(found, key=lambda r: (r.p, r.s))] == [0, 1, 2, 0, 0, 1, 0, 1]
+
+
+def test_audio_of_any_rate(spark):
+    import struct
+
+    def wav(x, rate, bits):
+        width = bits // 8
+        whole = np.clip(np.rint(x * 2 ** (bits - 1)), -(2 ** (bits - 1)), 2 ** (bits - 1) - 1).astype(int)
+        data = b"".join(int(v + (128 if bits == 8 else 0)).to_bytes(width, "little", signed=bits != 8) for v in whole.ravel())
+        n = x.shape[1]
+        return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, n, rate, rate * n * width, n * width, bits) + b"data" + struct.pack("<I", len(data)) + data
+
+    for rate, bits in ((44_100, 16), (8_000, 24), (16_000, 8), (48_000, 32)):
+        t = np.arange(rate) / rate
+        tone = 0.5 * np.sin(2 * np.pi * 440 * t)
+        content = wav(np.stack([tone, tone * 0.5], axis=1), rate, bits)
+        mono = audio.mono_slice(content, 0.25, 0.5)
+        assert len(mono) == 8_000
+        want = 0.375 * np.sin(2 * np.pi * 440 * (0.25 + np.arange(8_000) / 16_000))
+        assert np.abs(mono - want).max() < 0.02
+    df = spark.createDataFrame([("a", content)], "k string, c binary")
+    assert len(audio.mono_of(df, "c", "k").first().samples) == 16_000
+
+
+def test_bytes_left_of_a_chunk_go_before_the_next(spark):
+    frames = np.arange(40, dtype="<i2").tobytes()
+    cuts = [0, 1, 7, 7, 30, 31, 80]
+    rows = [("a", i, frames[x:y]) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))] + [("b", 0, frames[:5]), ("b", 1, None)]
+    df = spark.createDataFrame(rows, "k string, i int, pcm binary")
+    found = sorted(audio.mixed_stream(df, "k", "i", "pcm", 2, "sum").collect())
+    assert b"".join(bytes(r.pcm) for r in found if r.k == "a") == audio.mix_down(frames, 2, "sum")
+    assert b"".join(bytes(r.pcm) for r in found if r.k == "b") == audio.mix_down(frames[:4], 2, "sum")
+
+
+def test_results_of_json_and_lines(spark, tmp_path):
+    (tmp_path / "r.json").write_text('[{"sample": "a", "metrics": {"der": 0.5, "x": "bad"}}, {"sample": "b", "metrics": null}]')
+    rows = {r.sample: r.metrics for r in messages.read_json_results(spark, str(tmp_path / "r.json"), ["der", "x", "y"]).collect()}
+    assert tuple(rows["a"]) == (0.5, 0.0, 0.0) and tuple(rows["b"]) == (0.0, 0.0, 0.0)
+    lines = [("a.csv", 1, 'run,"der",note'), ("a.csv", 2, 'r1,0.25,"x, ""y"""'), ("a.csv", 3, "r2,,z"), ("a.csv", 3, "r2,,z"), ("a.csv", 4, "cut,0"), ("b.jsonl", 1, '{"m": {"der": 0.75}}'),
+             ("b.jsonl", 2, '{"der": "0.5"}'), ("b.jsonl", 3, '{"der": 0.'), ("b.jsonl", 4, '{"x": 1}'), ("b.jsonl", 5, None)]
+    found = messages.metric_of_lines(spark.createDataFrame(lines, "file_name string, line_no int, raw string"), "der").collect()
+    assert {(r.file_name, r.line_no): r.value for r in found} == {("a.csv", 2): 0.25, ("a.csv", 3): None, ("b.jsonl", 1): 0.75, ("b.jsonl", 2): 0.5, ("b.jsonl", 4): None}
+    out = str(tmp_path / "all")
+    for n in (3, 2):
+        messages.write_json_array(spark.range(n), out)
+        import json
+
+        assert json.loads(spark.read.text(out).first()[0]) == [{"id": i} for i in range(n)]
+    with pytest.raises(ValueError):
+        messages.write_json_array(spark.range(5), out, most=4)
 
 
 def test_assignment_against_permutations():

@@ -43,3 +43,22 @@ def test_names_and_merge(store):
 def test_addresses(spark):
     with pytest.raises(ValueError):
         SpeakerStore.from_url(spark, "mysql://x", 2, "m")
+
+
+def test_a_lost_writer_leaves_the_last_complete_version(spark, store):
+    store.save([1.0, 0.0], name="eve", now=1.0)
+    was = store._version()
+    # A writer that is lost after its tables, before its mark.
+    spark.createDataFrame([("x",)], "speaker_id string").write.parquet(store._path(f"v{was + 1}/speakers"))
+    assert store._version() == was and [r.name for r in store.list_all().collect()] == ["eve"]
+    store.save([0.0, 1.0], name="bob", now=2.0)
+    assert store._version() == was + 2 and sorted(r.name for r in store.list_all().collect()) == ["bob", "eve"]
+
+
+def test_loading_many(spark, store):
+    speakers = spark.createDataFrame([("1", "ann", "stored", 2, "m1", None, 1.0, 2.0, 3), ("2", "bob", "registered", 2, "m1", 1.0, 1.0, 2.0, 3)] * 2, store.list_all().schema)
+    vectors = spark.createDataFrame([("1", 0, [3.0, 0.0]), ("1", 1, [0.0, 1.0]), ("2", 0, [-1.0, 0.0])], "speaker_id string, seq bigint, embedding array<double>")
+    store.load(speakers, vectors)
+    assert store.list_all().count() == 2 and store.find_match([1.0, 1.0])[:2] == ("ann", "stored") and store.find_match([-1.0, 0.0])[:2] == ("bob", "registered")
+    with pytest.raises(IntegrityError):
+        store.load(speakers, vectors)

@@ -27,6 +27,12 @@ def l2_normalize(v: Column) -> Column:
     return F.when(v.isNull(), F.lit(None)).when(bad, F.raise_error(F.lit("a vector with NaN or without length has no direction"))).otherwise(F.transform(doubles(v), lambda x: x / n))
 
 
+def unit(v: Column) -> Column:
+    """Unit vector of a usable one; of a vector without length nulls, and no error, so that it may be computed before unusable rows are left out."""
+    n = norm(v)
+    return F.transform(doubles(v), lambda x: F.try_divide(x, n))
+
+
 def l2_normalize_lenient(v: Column, least: float = 1e-9) -> Column:
     """Unit vector; one shorter than ``least`` stays as it is."""
     n = norm(v)

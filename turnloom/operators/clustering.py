@@ -9,9 +9,24 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.labels import LETTERS
+from ..functions.vector import centroids
 from .assignment import assign
+from .joins import nearest_vector
+
+# The settings that are compared, with tau_active, rho_update, delta_new and the passes after the stream.
+SCHEDULERS = {
+    "baseline": (0.6, 0.3, 1.0, ()),
+    "decay-A": (0.5, 0.5, 0.8, ()),
+    "decay-B": (0.7, 0.1, 1.2, ()),
+    "hdbscan-off": (0.6, 0.3, 1.0, ()),
+    "hdbscan-on": (0.6, 0.3, 1.0, ("final",)),
+    "legacy-adaptive": (0.6, 0.3, 1.0, ("adaptive",)),
+    "legacy-final": (0.6, 0.3, 1.0, ("final",)),
+    "legacy-both": (0.6, 0.3, 1.0, ("adaptive", "final")),
+}
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -206,12 +221,13 @@ def issue_letters(x: np.ndarray, labels: np.ndarray, weights: np.ndarray, known:
 
 
 def final_recluster(utterances: DataFrame, session: str = "session_id", id_: str = "utterance_id", vector: str = "embedding", epsilon: float = 0.3, max_rows: int | None = None, most_matrix: int = 1_000) -> DataFrame:
-    """Final labels of a session's unlocked utterances: ``session``, ``id_``, ``old_label``, ``label``, ``cluster``.
+    """Final labels of a session's unlocked utterances: ``session``, ``id_``, ``old_label``, ``label``, ``cluster``, ``noise``.
 
     ``utterances`` also has ``label``, ``is_locked``, ``t_start`` and ``t_end`` (seconds). Known centres are the
     means of the present auto labels. Locked rows and rows without a vector are left out; ties follow the
     order of ``t_start``, then ``id_``. A session is clustered whole; with more than ``most_matrix`` rows no distance
-    matrix is held. Where there are more clusters than letters, rows have their cluster and a null label. With
+    matrix is held. ``noise`` marks rows of no cluster that went to the nearest one. Where there are more clusters
+    than letters, rows have their cluster and a null label. With
     ``max_rows`` a longer session is an error.
     """
     types = dict(utterances.dtypes)
@@ -220,35 +236,80 @@ def final_recluster(utterances: DataFrame, session: str = "session_id", id_: str
         rows = rows[~rows.is_locked.fillna(False).astype(bool) & rows[vector].notna()].sort_values(["t_start", id_])
         if max_rows is not None and len(rows) > max_rows:
             raise ValueError(f"session {key[0]}: {len(rows)} utterances; split it, or raise max_rows")
-        empty = pd.DataFrame(columns=[session, id_, "old_label", "label", "cluster"])
+        empty = pd.DataFrame(columns=[session, id_, "old_label", "label", "cluster", "noise"])
         if rows.empty:
             return empty
         x = unit_rows(np.stack(rows[vector].to_numpy()).astype(float))
         least = max(2, len(x) // 20)
-        labels = absorb_noise(x, hdbscan(distances(x), least, 1, epsilon) if len(x) <= most_matrix else hdbscan_of_rows(x, least, 1, epsilon))
+        dense = hdbscan(distances(x), least, 1, epsilon) if len(x) <= most_matrix else hdbscan_of_rows(x, least, 1, epsilon)
+        labels = absorb_noise(x, dense)
         length = np.maximum((rows.t_end - rows.t_start).to_numpy(float), 0)
         old = rows.label.fillna("").to_numpy(str)
         known = {o: x[old == o].mean(axis=0) for o in sorted(set(old)) if o.startswith("auto:")}
         letters: dict[int, str] = {}
         if len(set(labels.tolist())) <= len(LETTERS):
             letters = issue_letters(x, labels, np.where(np.nan_to_num(length) > 0, length, 1.0), known)
-        return pd.DataFrame({session: key[0], id_: rows[id_], "old_label": rows.label, "label": [letters.get(c) for c in labels], "cluster": labels})
+        return pd.DataFrame({session: key[0], id_: rows[id_], "old_label": rows.label, "label": [letters.get(c) for c in labels], "cluster": labels, "noise": dense < 0})
 
     kept = utterances.select(session, id_, vector, "label", "is_locked", "t_start", "t_end")
-    return kept.groupBy(session).applyInPandas(run, f"`{session}` {types[session]}, `{id_}` {types[id_]}, old_label string, label string, cluster int")
+    return kept.groupBy(session).applyInPandas(run, f"`{session}` {types[session]}, `{id_}` {types[id_]}, old_label string, label string, cluster int, noise boolean")
+
+
+def adaptive_moves(utterances: DataFrame, centers: DataFrame, session: str, id_: str, label: str, vector: str, center: str, center_vector: str, delta_new: float = 1.0) -> DataFrame:
+    """``session``, ``id_``, ``old_label``, ``new_label`` of the unlocked utterances whose nearest centre of the session has another label.
+
+    ``utterances`` also has ``is_locked`` (null: not locked). A centre less similar than ``1 - delta_new``
+    moves nothing; centres without length are none; ties go to the smaller label. Utterances without a label keep none.
+    """
+    sound = centers.where(F.exists(center_vector, lambda x: x != 0)).select(session, F.col(center).alias("new_label"), center_vector)
+    free = utterances.where(~F.coalesce("is_locked", F.lit(False)) & F.col(label).isNotNull())
+    found = nearest_vector(free, sound, id_, vector, "new_label", center_vector, 1 - delta_new, on=[session])
+    rows = free.select(session, id_, F.col(label).alias("old_label")).join(found.select(id_, "new_label"), id_)
+    return rows.where("old_label != new_label").select(session, id_, "old_label", "new_label")
+
+
+def adaptive_changes(utterances: DataFrame, centers: DataFrame, session: str, id_: str, label: str, vector: str, center: str, center_vector: str, delta_new: float = 1.0) -> DataFrame:
+    """One row for each change of labels of a session: ``session``, ``old_label``, ``new_label``, ``n``, ``ids`` in order, ``reason``."""
+    moved = adaptive_moves(utterances, centers, session, id_, label, vector, center, center_vector, delta_new)
+    return moved.groupBy(session, "old_label", "new_label").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(id_)).alias("ids")).withColumn("reason", F.lit("recluster"))
+
+
+def post_pass(utterances: DataFrame, passes: tuple[str, ...], delta_new: float = 1.0, session: str = "session_id", id_: str = "utterance_id", vector: str = "embedding") -> DataFrame:
+    """``session``, ``id_``, ``old_label``, ``label`` after the ``passes`` in turn: ``adaptive`` to the means of the auto labels, ``final`` clustering.
+
+    ``utterances`` is what ``final_recluster`` takes. Locked rows keep their labels.
+    """
+    now = utterances
+    for name in passes:
+        if name == "adaptive":
+            means = centroids(now.where(F.col("label").startswith("auto:")), [session, "label"], vector).select(session, F.col("label").alias("center"), "centroid")
+            moved = adaptive_moves(now, means, session, id_, "label", vector, "center", "centroid", delta_new)
+            new = moved.select(F.col(id_).alias("__id"), F.col("new_label").alias("__new"))
+        elif name == "final":
+            new = final_recluster(now, session, id_, vector).select(F.col(id_).alias("__id"), F.col("label").alias("__new"))
+        else:
+            raise ValueError(f"unknown pass {name!r}: adaptive or final")
+        now = now.join(new, F.col(id_) == F.col("__id"), "left").withColumn("label", F.coalesce("__new", "label")).drop("__id", "__new")
+    old = utterances.select(F.col(id_).alias("__id"), F.col("label").alias("old_label"))
+    return now.join(old, F.col(id_) == F.col("__id")).select(session, id_, "old_label", "label")
 
 
 class OnlineCenters:
-    """Centres that grow with each window: sums of unit vectors, compared by cosine, at most ``most`` of them."""
+    """Centres that grow with each window: sums of unit vectors, compared by cosine, at most ``most`` of them.
 
-    def __init__(self, delta_new: float = 1.0, rho: float = 0.3, most: int = 20):
-        self.delta_new, self.rho, self.most = delta_new, rho, most
+    A local speaker is active if its peak activity reaches ``tau_active``; others get no centre. Its mean
+    activity must reach ``rho`` to found or move a centre.
+    """
+
+    def __init__(self, delta_new: float = 1.0, rho: float = 0.3, most: int = 20, tau_active: float = 0.0):
+        self.delta_new, self.rho, self.most, self.tau_active = delta_new, rho, most, tau_active
         self.sums: list[np.ndarray] = []
 
-    def assign(self, vectors: np.ndarray, activity: np.ndarray) -> list[int]:
+    def assign(self, vectors: np.ndarray, activity: np.ndarray, peak: np.ndarray | None = None) -> list[int]:
         """Centre of each local speaker of a window (-1: none); an optimal assignment of close ones, new centres for long others, the nearest free for the rest."""
         out = [-1] * len(vectors)
-        usable = [i for i in range(len(vectors)) if np.isfinite(vectors[i]).all() and np.linalg.norm(vectors[i]) > 1e-9]
+        peak = activity if peak is None else peak
+        usable = [i for i in range(len(vectors)) if peak[i] >= self.tau_active and np.isfinite(vectors[i]).all() and np.linalg.norm(vectors[i]) > 1e-9]
         if not usable:
             return out
         x = unit_rows(vectors[usable].astype(float))
@@ -278,28 +339,29 @@ class OnlineCenters:
         return out
 
 
-def online_labels(windows: DataFrame, session: str, order: str, speaker: str, vector: str, activity: str, delta_new: float = 1.0, rho: float = 0.3, most: int = 20) -> DataFrame:
+def online_labels(windows: DataFrame, session: str, order: str, speaker: str, vector: str, activity: str, delta_new: float = 1.0, rho: float = 0.3, most: int = 20, tau_active: float = 0.0, peak: str | None = None) -> DataFrame:
     """Global speakers of local ones, window by window: ``session``, ``order``, ``speaker``, ``center``, ``label``.
 
-    A fold over each session's windows in order: what a window gets depends on all before it.
+    ``activity`` is the mean, ``peak`` the largest activity in the window (the mean, if not given). A fold over each session's windows in order: what a window gets depends on all before it.
     """
     types = dict(windows.dtypes)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        centers, out = OnlineCenters(delta_new, rho, most), []
+        centers, out = OnlineCenters(delta_new, rho, most, tau_active), []
         for window, part in rows.sort_values([order, speaker]).groupby(order, sort=True):
-            found = centers.assign(np.stack(part[vector].to_numpy()), part[activity].to_numpy(float))
+            found = centers.assign(np.stack(part[vector].to_numpy()), part[activity].to_numpy(float), part[peak].to_numpy(float) if peak else None)
             out += [(key[0], window, s, c, f"auto:{LETTERS[c]}" if c >= 0 else None) for s, c in zip(part[speaker], found)]
         return pd.DataFrame(out, columns=[session, order, speaker, "center", "label"])
 
-    kept = windows.select(session, order, speaker, vector, activity)
+    kept = windows.select(session, order, speaker, vector, activity, *([peak] if peak else []))
     return kept.groupBy(session).applyInPandas(run, f"`{session}` {types[session]}, `{order}` {types[order]}, `{speaker}` {types[speaker]}, center int, label string")
 
 
-def identify_phrases(phrases: DataFrame, session: str, order: str, vector: str, seconds: str, same: float = 0.42, update: float = 0.55, short: float = 0.3) -> DataFrame:
+def identify_phrases(phrases: DataFrame, session: str, order: str, vector: str, seconds: str, same: float = 0.42, update: float = 0.55, short: float = 0.3, known: str | None = None) -> DataFrame:
     """Labels of phrases as they come: ``session``, ``order``, ``label``, ``similarity``.
 
-    A phrase shorter than ``short`` takes over the last label. Else the nearest centre from ``same`` on gives
+    A phrase shorter than ``short`` takes over the last label. Else a registered or stored speaker, if the
+    column ``known`` names one (see ``three_tiers``), is the label. Else the nearest centre from ``same`` on gives
     its letter, or a new letter is issued; from ``update`` on the centre moves, by the phrase's length weight.
     """
     types = dict(phrases.dtypes)
@@ -313,6 +375,10 @@ def identify_phrases(phrases: DataFrame, session: str, order: str, vector: str,
             if length < short and last is not None:
                 out.append((key[0], r[order], last, None))
                 continue
+            if known and isinstance(r[known], str):
+                last = r[known]
+                out.append((key[0], r[order], last, None))
+                continue
             v = unit_rows(np.asarray(r[vector], float)[None])[0]
             s = np.array([c @ v for c in centres])
             best = int(s.argmax()) if len(s) else -1
@@ -329,5 +395,5 @@ def identify_phrases(phrases: DataFrame, session: str, order: str, vector: str,
             out.append((key[0], r[order], last, similarity))
         return pd.DataFrame(out, columns=[session, order, "label", "similarity"])
 
-    kept = phrases.select(session, order, vector, seconds)
+    kept = phrases.select(session, order, vector, seconds, *([known] if known else []))
     return kept.groupBy(session).applyInPandas(run, f"`{session}` {types[session]}, `{order}` {types[order]}, label string, similarity double")

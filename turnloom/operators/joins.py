@@ -2,29 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot
+from ..session import cut
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: tuple[str, str], right_on: tuple[str, str], bucket: int, how: str = "inner") -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: tuple[str, str], right_on: tuple[str, str], bucket: int, how: str = "inner", most: int = 64) -> DataFrame:
     """Pairs of rows with equal ``keys`` whose intervals ``[start, end)`` overlap.
 
     Both sides are spread over the time buckets they touch, joined on key and bucket, and a pair is kept in
     the first bucket it shares: an equi-join, which a hot key does not skew beyond its bucket. ``bucket``
-    should be near the usual length; an interval makes one row a bucket it touches. Apart from ``keys``
-    the sides' columns must differ in name. Rows with a null or empty interval, or a null key, match nothing;
-    ``left`` keeps them, with nulls on the right.
+    should be near the usual length. An interval that touches more than ``most`` buckets (a damaged end) is
+    placed on a level of buckets 64 times as long, or 64 times that, where it touches few; the other side
+    looks for it on the levels that occur. Apart from ``keys`` the sides' columns must differ in name. Rows
+    with a null or empty interval, or a null key, match nothing; ``left`` keeps them, with nulls on the right
+    (``left`` is then written once, so that its rows keep their numbers).
     """
     ls, le = (F.col(c) for c in left_on)
     rs, re_ = (F.col(c) for c in right_on)
-    buckets = lambda s, e: F.sequence(F.floor(s / bucket), F.floor((e - 1) / bucket))
-    spread = lambda df, s, e: df.where(e > s).withColumn("__b", F.explode(buckets(s, e)))
-    numbered = left.withColumn("__row", F.monotonically_increasing_id()) if how == "left" else left
-    a = spread(numbered, ls, le)
-    b = spread(right, rs, re_)
-    pairs = a.join(b, [*keys, "__b"]).where((ls < re_) & (rs < le) & (F.col("__b") == F.floor(F.greatest(ls, rs) / bucket))).drop("__b")
+    lengths = [bucket * 64**i for i in range(6)]
+
+    def touched(s: Column, e: Column, width: int) -> Column:
+        return F.floor((e - 1) / width) - F.floor(s / width) + 1
+
+    def level(s: Column, e: Column) -> Column:
+        out = F.lit(len(lengths) - 1)
+        for i in range(len(lengths) - 2, -1, -1):
+            out = F.when(touched(s, e, lengths[i]) <= most, F.lit(i)).otherwise(out)
+        return out
+
+    def spread(df: DataFrame, s: Column, e: Column) -> DataFrame:
+        """One row for each level from its own up, and each bucket touched there."""
+        placed = df.where(e > s).withColumn("__own", level(s, e))
+        widths = F.array(*[F.lit(w).cast("long") for w in lengths])
+        up = placed.withColumn("__level", F.explode(F.sequence(F.col("__own"), F.lit(len(lengths) - 1)))).withColumn("__w", F.element_at(widths, F.col("__level") + 1))
+        return up.withColumn("__b", F.explode(F.sequence(F.floor(s / F.col("__w")), F.floor((e - 1) / F.col("__w")))))
+
+    numbered = cut(left.withColumn("__row", F.monotonically_increasing_id())) if how == "left" else left
+    a = spread(numbered, ls, le).withColumnRenamed("__own", "__own1").drop("__w")
+    b = spread(right, rs, re_).withColumnRenamed("__own", "__own2")
+    # A pair meets on the higher of its two own levels, in the first bucket it shares there.
+    meets = (F.col("__level") == F.greatest("__own1", "__own2")) & (ls < re_) & (rs < le) & (F.col("__b") == F.floor(F.greatest(ls, rs) / F.col("__w")))
+    pairs = a.join(b, [*keys, "__level", "__b"]).where(meets).drop("__b", "__level", "__w", "__own1", "__own2")
     if how == "inner":
         return pairs
     alone = numbered.join(pairs.select("__row").distinct(), "__row", "left_anti")
@@ -80,29 +105,103 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, values:
     return seen.select(*keys, time, "__l.*", *[F.col(f"__m.{v}").alias(v) for v in values])
 
 
-def nearest_vector(probes: DataFrame, known: DataFrame, probe_id: str, probe_vector: str, known_key: str, known_vector: str, least: float, on: list[str] = (), max_known: int = 20_000) -> DataFrame:
+class _Known:
+    """Known vectors as matrices, by the values they are joined on and their length; rows in the order of their keys."""
+
+    def __init__(self, table: pa.Table, on: list[str], key: str):
+        keys = table.column(key).to_pylist()
+        rank = sorted(range(len(keys)), key=lambda i: tuple(keys[i].values()) if isinstance(keys[i], dict) else keys[i])
+        table = table.take(pa.array(rank, pa.int64()))
+        self.keys = table.column(key).combine_chunks()
+        groups = list(zip(*[table.column(c).to_pylist() for c in on], table.column("__k").to_pylist()))
+        rows: dict[tuple, list[int]] = {}
+        for i, (*where, vector) in enumerate(groups):
+            rows.setdefault((*where, len(vector)), []).append(i)
+        self.parts = {k: (np.array(at), np.array([groups[i][-1] for i in at], float)) for k, at in rows.items()}
+        self.places = {k: i for i, k in enumerate(self.keys.to_pylist())} if pa.types.is_integer(self.keys.type) else {}
+
+    def best(self, batch: pa.RecordBatch, on: list[str], probe_id: str, not_itself: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the batch that can be compared, the known row most similar to each, and how similar it is."""
+        vectors = batch.column("__p").to_pylist()
+        where: dict[tuple, list[int]] = {}
+        for i, (*values, v) in enumerate(zip(*[batch.column(c).to_pylist() for c in on], vectors)):
+            if v is not None:
+                where.setdefault((*values, len(v)), []).append(i)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for k, at in where.items():
+            if k not in self.parts:
+                continue
+            rows, known = self.parts[k]
+            for lo in range(0, len(at), 4096):
+                part = np.array(at[lo : lo + 4096])
+                s = np.array([vectors[i] for i in part], float) @ known.T
+                if not_itself:
+                    own = np.array([self.places.get(x, -1) for x in batch.column(probe_id).take(pa.array(part)).to_pylist()])
+                    s[rows[None, :] == own[:, None]] = -np.inf
+                top = s.argmax(axis=1)
+                out.append((part, rows[top], s[np.arange(len(part)), top]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def nearest_vector(
+    probes: DataFrame, known: DataFrame, probe_id: str, probe_vector: str, known_key: str, known_vector: str, least: float, on: list[str] = (), max_bytes: int = 64 << 20, not_itself: bool = False,
+) -> DataFrame:
     """For each probe the most similar known unit vector, if the dot product reaches ``least``: ``probe_id``, ``known_key``, ``similarity``.
 
-    Ties go to the smallest ``known_key``. ``known`` is counted first: up to ``max_known`` rows it is sent to
-    every task; beyond, both sides are shuffled on ``on`` (for example the model), or the join is refused
-    where there is nothing to shuffle on.
+    Ties go to the smallest ``known_key``; vectors of different lengths, null vectors and null keys are not
+    compared; with ``not_itself`` a probe is not compared with the known vector of its own id. The numbers in
+    ``known`` are counted first: up to ``max_bytes`` they are sent to every task as matrices, and a batch of
+    probes is one product. Beyond, both sides are joined on ``on`` (for example the model), or, without it,
+    both are cut into blocks, each pair of which is a task: the way for a stated set of probes against all rows.
     """
-    small = known.select(*on, F.col(known_key), F.col(known_vector).alias("__k"))
-    if small.limit(max_known + 1).count() <= max_known:
-        small = F.broadcast(small)
-    elif not on:
-        raise ValueError(f"more than {max_known} known vectors: join them by a key, or use an index")
-    left = probes.select(*on, probe_id, F.col(probe_vector).alias("__p"))
-    pairs = left.join(small, list(on)) if on else left.crossJoin(small)
-    scored = pairs.withColumn("similarity", dot(F.col("__p"), F.col("__k"))).where(F.col("similarity") >= least)
-    best = scored.groupBy(probe_id).agg(F.min(F.struct(-F.col("similarity"), F.col(known_key).alias("k"))).alias("__b"))
+    on = list(on)
+    types = dict(known.dtypes)
+    schema = f"`{probe_id}` {dict(probes.dtypes)[probe_id]}, `{known_key}` {types[known_key]}, similarity double"
+    small = known.select(*on, F.col(known_key), F.col(known_vector).cast("array<double>").alias("__k")).where(F.col(known_key).isNotNull() & F.col("__k").isNotNull())
+    left = probes.select(*on, probe_id, F.col(probe_vector).cast("array<double>").alias("__p"))
+    size = 8 * (small.agg(F.sum(F.size("__k"))).first()[0] or 0)
+
+    def found(have: _Known, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, which, s = have.best(batch, on, probe_id, not_itself)
+        ok = s >= least
+        return pa.RecordBatch.from_arrays([batch.column(probe_id).take(pa.array(rows[ok])), have.keys.take(pa.array(which[ok])), pa.array(s[ok])], names=[probe_id, known_key, "similarity"])
+
+    if size <= max_bytes:
+        table = small.toArrow()  # bounded by max_bytes
+
+        def product(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            have = _Known(table, on, known_key)
+            for batch in batches:
+                yield found(have, batch)
+
+        return left.mapInArrow(product, schema)
+    if on:
+        scored = left.join(small, on).withColumn("similarity", dot(F.col("__p"), F.col("__k"))).where(F.col("similarity") >= least)
+        if not_itself:
+            scored = scored.where(F.col(probe_id) != F.col(known_key))
+        pairs = scored.select(probe_id, known_key, "similarity")
+    else:
+        across, down = -(-size // max_bytes), max(1, -(-left.count() // 200_000))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(n) - 1).cast("long")))
+        a = left.withColumn("__a", F.pmod(F.xxhash64(probe_id), F.lit(int(down)))).withColumn("__b", every(across))
+        b = small.withColumn("__b", F.pmod(F.xxhash64(known_key), F.lit(int(across)))).withColumn("__a", every(down))
+
+        def block(one: pa.Table, other: pa.Table) -> pa.Table:
+            batches = one.combine_chunks().to_batches()
+            parts = [found(_Known(other, on, known_key), x) for x in batches] if other.num_rows else []
+            return pa.Table.from_batches(parts) if parts else pa.table({probe_id: one.column(probe_id).slice(0, 0), known_key: other.column(known_key).slice(0, 0), "similarity": pa.array([], pa.float64())})
+
+        pairs = a.groupBy("__a", "__b").cogroup(b.groupBy("__a", "__b")).applyInArrow(block, schema)
+    best = pairs.groupBy(probe_id).agg(F.min(F.struct(-F.col("similarity"), F.col(known_key).alias("k"))).alias("__b"))
     return best.select(probe_id, F.col("__b.k").alias(known_key), (-F.col("__b.col1")).alias("similarity"))
 
 
-def three_tiers(probes: DataFrame, registered: DataFrame, stored: DataFrame, probe_id: str, vector: str, key: str, known_vector: str, least_registered: float = 0.70, least_stored: float = 0.75) -> DataFrame:
+def three_tiers(
+    probes: DataFrame, registered: DataFrame, stored: DataFrame, probe_id: str, vector: str, key: str, known_vector: str, least_registered: float = 0.70, least_stored: float = 0.75, on: list[str] = (),
+) -> DataFrame:
     """The registered speaker of each probe, else the stored one, else null: ``probe_id``, ``tier``, ``key``, ``similarity``."""
-    first = nearest_vector(probes, registered, probe_id, vector, key, known_vector, least_registered)
-    second = nearest_vector(probes, stored, probe_id, vector, key, known_vector, least_stored)
+    first = nearest_vector(probes, registered, probe_id, vector, key, known_vector, least_registered, on)
+    second = nearest_vector(probes, stored, probe_id, vector, key, known_vector, least_stored, on)
     one = first.select(F.col(probe_id).alias("__p1"), F.col(key).alias("__k1"), F.col("similarity").alias("__s1"))
     two = second.select(F.col(probe_id).alias("__p2"), F.col(key).alias("__k2"), F.col("similarity").alias("__s2"))
     joined = probes.select(probe_id).join(one, F.col(probe_id) == F.col("__p1"), "left").join(two, F.col(probe_id) == F.col("__p2"), "left")

@@ -12,6 +12,7 @@ import difflib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -129,58 +130,70 @@ def previous_files(lines: DataFrame) -> DataFrame:
     return files.withColumn("before", F.lag("file_name").over(Window.partitionBy("stream").orderBy("written_at", "file_name")))
 
 
+@lru_cache(maxsize=100_000)
 def name_similarity(a: str, b: str) -> float:
-    """0..1 of the last names of two paths: equal letters in order, or shared words, whichever is more."""
-    a, b = (x.rpartition(".")[2].lower() for x in (a, b))
+    """0..1 of two names: equal letters in order, or shared words, whichever is more."""
+    a, b = a.lower(), b.lower()
     words, others = (set(re.split(r"[_\W]+", x)) for x in (a, b))
-    return max(difflib.SequenceMatcher(None, a, b).ratio(), len(words & others) / max(1, min(len(words), len(others))) * 0.9)
+    shared = len(words & others) / max(1, min(len(words), len(others))) * 0.9
+    match = difflib.SequenceMatcher(None, a, b)
+    # Letters in common bound the ratio: where they can't reach the words' share, they need no alignment.
+    return max(match.ratio(), shared) if match.real_quick_ratio() > shared and match.quick_ratio() > shared else shared
 
 
-def _sketch_similarity(a: pd.Series, b: pd.Series) -> float:
-    if a.deciles is not None and b.deciles is not None and len(a.deciles) and len(b.deciles):
-        x, y = np.array(a.deciles, float), np.array(b.deciles, float)
-        return float(1 - np.mean(np.abs(x - y) / (np.abs(x) + np.abs(y) + 1e-12)))
-    if a.length is None or b.length is None or np.isnan(a.length) or np.isnan(b.length):
+def _sketch_similarity(a: dict, b: dict) -> float:
+    if a["deciles"] and b["deciles"]:
+        x, y = a["deciles"], b["deciles"]
+        return 1 - sum(abs(p - q) / (abs(p) + abs(q) + 1e-12) for p, q in zip(x, y)) / len(x)
+    if a["length"] is None or b["length"] is None:
         return 0.0
-    return float(1 - abs(a.length - b.length) / (a.length + b.length + 1e-12)) * (0.9 if (a.type == b.type) else 0.5)
+    return (1 - abs(a["length"] - b["length"]) / (a["length"] + b["length"] + 1e-12)) * (0.9 if a["type"] == b["type"] else 0.5)
 
 
-def match_fields(went: pd.DataFrame, came: pd.DataFrame, evidence: dict[tuple[str, str], tuple[int, int]]) -> list[tuple[int, int]]:
-    """Which removed field is which added one.
+def match_fields(went: list[dict], came: list[dict], evidence: dict[tuple[str, str], tuple[int, int]]) -> list[tuple[int, int]]:
+    """Which removed field is which added one; fields have ``path``, ``type``, ``deciles`` and ``length``.
 
     Where runs published in both files have values in both fields, at least half of them must agree; without
     such a run, the last names must be equal or alike and the sketches not contradict. Among the possible
     pairs an optimal assignment decides.
     """
     score = np.zeros((len(went), len(came)))
-    for i, a in enumerate(went.itertuples()):
-        for j, b in enumerate(came.itertuples()):
-            name, sketch = name_similarity(a.path, b.path), _sketch_similarity(a, b)
-            compared, agreed = evidence.get((a.path, b.path), (0, 0))
+    for i, a in enumerate(went):
+        for j, b in enumerate(came):
+            compared, agreed = evidence.get((a["path"], b["path"]), (0, 0))
+            if compared and agreed * 2 <= compared:
+                continue
+            name = name_similarity(a["path"].rpartition(".")[2], b["path"].rpartition(".")[2])
             if compared:
-                score[i, j] = 2 + agreed / compared + min(agreed, 3) / 3 + name / 2 + sketch / 4 if agreed * 2 > compared else 0
-            elif name >= 0.99 or name >= 0.55 and sketch >= 0.3:
-                score[i, j] = name + sketch / 4
-    return [(i, j) for i, j in assign(-score) if score[i, j] > 0]
-
-
-def _changes(file_name: tuple, fields: pd.DataFrame) -> pd.DataFrame:
-    now, old = fields[fields.side == "now"], fields[fields.side == "old"]
-    both = now.merge(old[["path", "type"]], on="path", suffixes=("", "_old"))
-    came, went = now[~now.path.isin(old.path)].sort_values("path"), old[~old.path.isin(now.path)].sort_values("path")
-    evidence = {(r.old_path, r.path): (int(r.compared), int(r.agreed)) for r in fields[fields.side == "evidence"].itertuples()}
+                score[i, j] = 2 + agreed / compared + min(agreed, 3) / 3 + name / 2 + _sketch_similarity(a, b) / 4
+            elif name >= 0.55:
+                sketch = _sketch_similarity(a, b)
+                if name >= 0.99 or sketch >= 0.3:
+                    score[i, j] = name + sketch / 4
+    return [(i, j) for i, j in assign(-score) if score[i, j] > 0] if score.any() else []
+
+
+def _changes(group: pa.Table) -> pa.Table:
+    rows = group.to_pylist()
+    file_name = rows[0]["file_name"] if rows else None
+    now, old = ({r["path"]: r for r in rows if r["side"] == side} for side in ("now", "old"))
+    evidence = {(r["old_path"], r["path"]): (r["compared"], r["agreed"]) for r in rows if r["side"] == "evidence"}
+    came, went = ([a[p] for p in sorted(a.keys() - b.keys())] for a, b in ((now, old), (old, now)))
     out: list[tuple[str, str, str]] = []
-    same = [(p, a, b) for p, a, b in zip(both.path, both.type_old, both.type)]
+    same = [(p, old[p]["type"], now[p]["type"]) for p in sorted(now.keys() & old.keys())]
     pairs = match_fields(went, came, evidence)
     for i, j in pairs:
-        a, b = went.iloc[i], came.iloc[j]
-        moved = a.path.rpartition(".")[2] == b.path.rpartition(".")[2]
-        out.append((b.path, a.path, "moved" if moved else "renamed"))
-        same.append((b.path, a.type, b.type))
+        a, b = went[i]["path"], came[j]["path"]
+        out.append((b, a, "moved" if a.rpartition(".")[2] == b.rpartition(".")[2] else "renamed"))
+        same.append((b, went[i]["type"], came[j]["type"]))
     out += [(p, p, "retyped") for p, a, b in same if a and b and a != b]
-    out += [(p, "", "added") for k, p in enumerate(came.path) if k not in {j for _, j in pairs}]
-    out += [(p, p, "removed") for k, p in enumerate(went.path) if k not in {i for i, _ in pairs}]
-    return pd.DataFrame([(file_name[0], *x) for x in out], columns=["file_name", "field_path", "old_path", "change_kind"])
+    gone, found = {i for i, _ in pairs}, {j for _, j in pairs}
+    out += [(f["path"], "", "added") for k, f in enumerate(came) if k not in found]
+    out += [(f["path"], f["path"], "removed") for k, f in enumerate(went) if k not in gone]
+    path, before, kind = zip(*out) if out else ((), (), ())
+    return pa.table({
+        "file_name": pa.array([file_name] * len(out), pa.string()), "field_path": pa.array(path, pa.string()), "old_path": pa.array(before, pa.string()), "change_kind": pa.array(kind, pa.string()),
+    })
 
 
 def _drift(lines: DataFrame, cells: DataFrame) -> DataFrame:
@@ -211,7 +224,7 @@ def _drift(lines: DataFrame, cells: DataFrame) -> DataFrame:
         .withColumn("side", F.lit("evidence"))
     )
     each = sides.unionByName(evidence, allowMissingColumns=True)
-    return each.groupBy("file_name").applyInPandas(_changes, "file_name string, field_path string, old_path string, change_kind string")
+    return each.groupBy("file_name").applyInArrow(_changes, "file_name string, field_path string, old_path string, change_kind string")
 
 
 def drift_changes(lines: DataFrame, run_field: str = "run_id") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,10 +102,32 @@ def covered_time(df: DataFrame, keys: list[str], start: str, end: str, chunk: in
     )
 
 
+def phrase_numbers(rows: DataFrame, keys: list[str], order: list[str], final: str) -> DataFrame:
+    """Final rows with ``phrase``: how many partial rows of their key came before."""
+    line = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("phrase", F.sum(F.when(F.col(final), 0).otherwise(1)).over(line)).where(F.col(final))
+
+
+def phrase_parts(words: DataFrame, phrase: list[str], order: list[str], start: str, end: str, text: str, max_gap: int) -> DataFrame:
+    """``words`` with ``part`` (from 0) and ``reason`` of their ``phrase`` (the columns that name it).
+
+    A part ends after a word that ends a sentence, else before a gap of more than ``max_gap`` within the
+    phrase. ``reason`` tells of the whole phrase what ended its parts: ``sentence``, ``silence``, ``both`` or ``none``.
+    """
+    line, whole = Window.partitionBy(*phrase).orderBy(*order), Window.partitionBy(*phrase)
+    sentence = F.coalesce(F.rtrim(F.col(text)).rlike("[.?!…]$"), F.lit(False))
+    gap = F.coalesce(F.lead(start).over(line) - F.col(end) > max_gap, F.lit(False))
+    marked = words.withColumn("__sentence", sentence).withColumn("__silence", ~F.col("__sentence") & gap)
+    ends = (F.col("__sentence") | F.col("__silence")).cast("long")
+    by_sentence, by_silence = F.bool_or("__sentence").over(whole), F.bool_or("__silence").over(whole)
+    reason = F.when(by_sentence & by_silence, "both").when(by_sentence, "sentence").when(by_silence, "silence").otherwise("none")
+    parted = marked.withColumn("part", F.coalesce(F.sum(ends).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return parted.withColumn("reason", reason).drop("__sentence", "__silence")
+
+
 def assembled_phrases(rows: DataFrame, keys: list[str], order: list[str], final: str, start: str, end: str, text: str) -> DataFrame:
     """Final rows up to the next partial one as one phrase: ``keys``, ``phrase``, ``start``, ``end``, ``text``, ``finals``."""
-    line = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = rows.withColumn("phrase", F.sum(F.when(F.col(final), 0).otherwise(1)).over(line)).where(F.col(final))
+    numbered = phrase_numbers(rows, keys, order, final)
     ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__t"))))
     return numbered.groupBy(*keys, "phrase").agg(
         F.min(start).alias(start), F.max(end).alias(end), F.array_join(F.transform(ordered, lambda s: s["__t"]), " ").alias(text), F.count("*").alias("finals")
@@ -142,20 +167,24 @@ def count_triggers(df: DataFrame, keys: list[str], order: list[str], every: int)
 def adaptive_triggers(df: DataFrame, keys: list[str], order: list[str], time: str, every: int = 10, seconds: float = 30.0) -> DataFrame:
     """``keys``, ``fired``: the times at which, after a row, ``every`` rows have come or ``seconds`` have passed since the last firing.
 
-    Both counts start again at a firing, so the state is folded over each session's ordered times; event
-    time takes the place of a clock, and the first row starts it.
+    Both counts start again at a firing, so the rows of a key are read in order, as a sorted stream of which
+    only two numbers are held; event time takes the place of a clock, and the first row starts it.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(time).cast("double").alias("__t"))))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("since"), F.array().cast("array<double>").alias("fired"))
-
-    def step(state: Column, row: Column) -> Column:
-        since = F.coalesce(state["since"], row["__t"])
-        fire = (state["n"] + 1 >= every) | (row["__t"] - since >= seconds)
-        return F.struct(
-            F.when(fire, 0).otherwise(state["n"] + 1).alias("n"),
-            F.when(fire, row["__t"]).otherwise(since).alias("since"),
-            F.when(fire, F.concat(state["fired"], F.array(row["__t"]))).otherwise(state["fired"]).alias("fired"),
-        )
-
-    folded = df.groupBy(*keys).agg(F.aggregate(ordered, start, step, lambda s: s["fired"]).alias("fired"))
-    return folded.select(*keys, F.explode("fired").alias("fired"))
+    types = dict(df.dtypes)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, n, since = None, 0, 0.0
+        for batch in batches:
+            out = []
+            for *own, at in batch[[*keys, "__t"]].itertuples(index=False, name=None):
+                if own != key:
+                    key, n, since = own, 0, at
+                n += 1
+                if n >= every or at - since >= seconds:
+                    out.append((*own, at))
+                    n, since = 0, at
+            yield pd.DataFrame(out, columns=[*keys, "fired"])
+
+    rows = df.select(*keys, F.col(time).cast("double").alias("__t"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, *[f"__o{i}" for i in range(len(order))])
+    return placed.select(*keys, "__t").mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", fired double")

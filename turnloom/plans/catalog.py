@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import conversation, metrics, more, training, vectors
+from . import conversation, metrics, more, surface, training, vectors
 
-_MODULES = (conversation, metrics, more, vectors, training)
+_MODULES = (conversation, metrics, more, vectors, surface, training)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import interval, labels, pcm, text
 from ..operators import joins, sequence
+from ..operators.deliveries import first_delivery
 from ..session import table
+from ..sources import audio
 from .registry import Registry
 from .training import clean_sql
 
@@ -19,9 +21,16 @@ def _us(c: str) -> F.Column:
     return F.round(F.col(c) * MICROS).cast("long")
 
 
+def first_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The first deliveries of ``transcript`` or ``speaker_segment``, with all columns but the vectors."""
+    keys, id_ = (["session_id", "seq"], "transcript_id") if name == "transcript" else (["session_id", "utterance_id"], "segment_id")
+    rows = table(spark, sf_dir, name)
+    return first_delivery(rows, keys, id_, {c: F.col(c) for c in rows.columns if c not in (id_, "embedding")})
+
+
 def finals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Final transcript rows with an interval, in microseconds."""
-    rows = table(spark, sf_dir, "transcript").where("is_final and t_start is not null and t_end > t_start")
+    """Final transcript records with an interval, in microseconds."""
+    rows = first_rows(spark, sf_dir, "transcript").where("is_final and t_start is not null and t_end > t_start")
     return rows.select("session_id", "transcript_id", "seq", "text", _us("t_start").alias("ps"), _us("t_end").alias("pe"))
 
 
@@ -33,8 +42,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of ``speaker_segment`` with a named speaker and an interval, in milliseconds."""
-    rows = table(spark, sf_dir, "speaker_segment").where("t_start is not null and t_end > t_start")
+    """Segments with a named speaker and an interval, in milliseconds."""
+    rows = first_rows(spark, sf_dir, "speaker_segment").where("t_start is not null and t_end > t_start")
     named = rows.select("session_id", "segment_id", "confidence", labels.clean_label(F.col("label")).alias("label"),
                         F.round(F.col("t_start") * 1000).cast("long").alias("s"), F.round(F.col("t_end") * 1000).cast("long").alias("e"))
     return named.where("label is not null")
@@ -44,9 +53,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
-FINALS = "f AS (SELECT session_id, transcript_id, seq, text, CAST(round(t_start * 1000000) AS BIGINT) AS ps, CAST(round(t_end * 1000000) AS BIGINT) AS pe FROM transcript WHERE is_final AND t_start IS NOT NULL AND t_end > t_start)"
+RECORDS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, seq ORDER BY transcript_id) AS delivery FROM transcript) WHERE delivery = 1)"
+UTTERANCES = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, utterance_id ORDER BY segment_id) AS delivery FROM speaker_segment) WHERE delivery = 1)"
+FINALS = f"f AS (SELECT session_id, transcript_id, seq, text, CAST(round(t_start * 1000000) AS BIGINT) AS ps, CAST(round(t_end * 1000000) AS BIGINT) AS pe FROM {RECORDS} WHERE is_final AND t_start IS NOT NULL AND t_end > t_start)"
 TURNS = f"t AS (SELECT session_id, seg_id, clean AS label, CAST(round(t_start * 1000000) AS BIGINT) AS ss, CAST(round(t_end * 1000000) AS BIGINT) AS se FROM {clean_sql('seg_label', 'speaker_id')} WHERE clean IS NOT NULL AND t_start IS NOT NULL AND t_end > t_start)"
-SEGMENTS = f"g AS (SELECT session_id, segment_id, confidence, clean AS label, CAST(round(t_start * 1000) AS BIGINT) AS s, CAST(round(t_end * 1000) AS BIGINT) AS e FROM {clean_sql('speaker_segment', 'label')} WHERE clean IS NOT NULL AND t_start IS NOT NULL AND t_end > t_start)"
+SEGMENTS = f"g AS (SELECT session_id, segment_id, confidence, clean AS label, CAST(round(t_start * 1000) AS BIGINT) AS s, CAST(round(t_end * 1000) AS BIGINT) AS e FROM {clean_sql(UTTERANCES, 'label')} WHERE clean IS NOT NULL AND t_start IS NOT NULL AND t_end > t_start)"
 
 
 @query(f"""WITH {FINALS}, {TURNS},
@@ -121,32 +132,37 @@ def w2_merge_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.merge_consecutive(rows, ["session_id"], ["ss", "seg_id"], "label", "ss", "se", "ids")
 
 
-@query(f"""WITH {FINALS}, x AS (SELECT *, lead(ps) OVER (PARTITION BY session_id ORDER BY ps, transcript_id) AS nx FROM f),
-y AS (SELECT *, CASE WHEN nx IS NULL THEN 'none' WHEN regexp_matches(rtrim(coalesce(text, '')), '[.?!…]$') THEN 'sentence' WHEN nx - pe > 300000 THEN 'silence' END AS why FROM x),
-z AS (SELECT *, coalesce(count(why) OVER (PARTITION BY session_id ORDER BY ps, transcript_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM y)
-SELECT session_id, part, max(why) AS reason, count(*) AS words, min(ps) AS ps, max(pe) AS pe FROM z GROUP BY session_id, part""")
+@query(f"""WITH p AS (SELECT *, sum(CASE WHEN is_final THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY seq, transcript_id ROWS UNBOUNDED PRECEDING) AS phrase FROM {RECORDS} WHERE is_final IS NOT NULL),
+f AS (SELECT session_id, phrase, transcript_id, coalesce(text, '') AS text, CAST(round(t_start * 1000000) AS BIGINT) AS ps, CAST(round(t_end * 1000000) AS BIGINT) AS pe FROM p WHERE is_final AND t_start IS NOT NULL AND t_end > t_start),
+x AS (SELECT *, regexp_matches(rtrim(text), '[.?!…]$') AS sentence, lead(ps) OVER (PARTITION BY session_id, phrase ORDER BY ps, transcript_id) - pe > 300000 AS gap FROM f),
+y AS (SELECT *, NOT sentence AND coalesce(gap, false) AS silence FROM x),
+z AS (SELECT *, coalesce(sum(CAST(sentence OR silence AS INT)) OVER (PARTITION BY session_id, phrase ORDER BY ps, transcript_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part,
+  CASE WHEN bool_or(sentence) OVER q AND bool_or(silence) OVER q THEN 'both' WHEN bool_or(sentence) OVER q THEN 'sentence' WHEN bool_or(silence) OVER q THEN 'silence' ELSE 'none' END AS reason FROM y WINDOW q AS (PARTITION BY session_id, phrase))
+SELECT session_id, CAST(phrase AS BIGINT) AS phrase, CAST(part AS BIGINT) AS part, min(reason) AS reason, count(*) AS words, min(ps) AS ps, arg_max(pe, (ps, transcript_id)) AS pe FROM z GROUP BY session_id, phrase, part""")
 def w3_subsplit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = finals(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
-    parted = sequence.split_phrases(words, ["session_id"], ["ps", "transcript_id"], "ps", "pe", "text", 300_000)
-    return parted.groupBy("session_id", "part").agg(F.max("reason").alias("reason"), F.count("*").alias("words"), F.min("ps").alias("ps"), F.max("pe").alias("pe"))
+    rows = first_rows(spark, sf_dir, "transcript").where("is_final is not null")
+    words = sequence.phrase_numbers(rows, ["session_id"], ["seq", "transcript_id"], "is_final").where("t_start is not null and t_end > t_start")
+    timed = words.select("session_id", "phrase", "transcript_id", F.coalesce("text", F.lit("")).alias("text"), _us("t_start").alias("ps"), _us("t_end").alias("pe"))
+    parted = sequence.phrase_parts(timed, ["session_id", "phrase"], ["ps", "transcript_id"], "ps", "pe", "text", 300_000)
+    return parted.groupBy("session_id", "phrase", "part").agg(
+        F.min("reason").alias("reason"), F.count("*").alias("words"), F.min("ps").alias("ps"), F.max_by("pe", F.struct("ps", "transcript_id")).alias("pe")
+    )
 
 
-@query(f"""WITH {SEGMENTS}, x AS (SELECT session_id, unnest(range(s // 100, e // 100 + 1)) AS frame, segment_id, label FROM g WHERE e - s < 600000),
+@query(f"""WITH {SEGMENTS}, x AS (SELECT session_id, unnest(range(s // 100, e // 100 + 1)) AS frame, segment_id, label FROM g),
 m AS (SELECT session_id, frame, arg_max(label, segment_id) AS label FROM x GROUP BY ALL),
 n AS (SELECT *, CASE WHEN label = lag(label) OVER w AND frame - lag(frame) OVER w = 1 THEN 0 ELSE 1 END AS o FROM m WINDOW w AS (PARTITION BY session_id ORDER BY frame)),
 i AS (SELECT *, sum(o) OVER (PARTITION BY session_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS k FROM n)
 SELECT session_id, min(label) AS label, min(frame) AS first_frame, max(frame) + 1 AS end_frame FROM i GROUP BY session_id, k""")
 def w4_frame_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A damaged end is no segment: none lasts ten minutes.
-    rows = segments(spark, sf_dir).where("e - s < 600000")
-    return sequence.last_write_runs(rows, ["session_id"], "segment_id", "s", "e", "label", 100)
+    return sequence.last_write_runs(segments(spark, sf_dir), ["session_id"], "segment_id", "s", "e", "label", 100)
 
 
-@query("""WITH d AS (SELECT event_id, user_id % 3 AS device, epoch_us(ts) AS seq, CASE WHEN event_type = 'refund' THEN NULL ELSE value END AS t FROM events),
+@query("""WITH d AS (SELECT event_id, user_id % 3 AS device, epoch_us(ts) AS seq, CASE WHEN event_type = 'error' AND value > 500 THEN NULL ELSE value END AS t FROM events),
 k AS (SELECT *, max(coalesce(CAST(t AS DOUBLE), 'infinity')) OVER (PARTITION BY device ORDER BY seq, event_id ROWS UNBOUNDED PRECEDING) AS key FROM d)
 SELECT event_id, row_number() OVER (ORDER BY key, device, seq, event_id) AS position FROM k""")
 def w5_device_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).select("event_id", (F.col("user_id") % 3).alias("device"), F.struct("us", "event_id").alias("seq"), F.when(F.col("event_type") != "refund", F.col("value")).alias("t"))
+    rows = events(spark, sf_dir).select("event_id", (F.col("user_id") % 3).alias("device"), F.struct("us", "event_id").alias("seq"), F.when((F.col("event_type") != "error") | (F.col("value") <= 500), F.col("value")).alias("t"))
     return sequence.merged_order(rows, "device", "seq", "t").select("event_id", "position")
 
 
@@ -157,10 +173,10 @@ def w6_interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.covered_time(segments(spark, sf_dir), ["session_id"], "s", "e")
 
 
-@query("""WITH x AS (SELECT *, sum(CASE WHEN is_final THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY seq, transcript_id ROWS UNBOUNDED PRECEDING) AS phrase FROM transcript WHERE is_final IS NOT NULL)
+@query("""WITH x AS (SELECT *, sum(CASE WHEN is_final THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY seq, transcript_id ROWS UNBOUNDED PRECEDING) AS phrase FROM """ + RECORDS + """ WHERE is_final IS NOT NULL)
 SELECT session_id, CAST(phrase AS BIGINT) AS phrase, min(t_start) AS t_start, max(t_end) AS t_end, string_agg(coalesce(text, ''), ' ' ORDER BY seq, transcript_id) AS text, count(*) AS finals FROM x WHERE is_final GROUP BY session_id, phrase""")
 def w7_phrase_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "transcript").where("is_final is not null").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = first_rows(spark, sf_dir, "transcript").where("is_final is not null").withColumn("text", F.coalesce("text", F.lit("")))
     found = sequence.assembled_phrases(rows, ["session_id"], ["seq", "transcript_id"], "is_final", "t_start", "t_end", "text")
     return found.withColumn("phrase", F.col("phrase").cast("long"))
 
@@ -172,9 +188,9 @@ def w8_initial_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.first_time_of_labels(segments(spark, sf_dir), ["session_id"], ["s", "segment_id"], "label", "e", 2)
 
 
-@query("""SELECT segment_id, format('utt-{:03d}', row_number() OVER (PARTITION BY session_id ORDER BY ingest_ts, segment_id)) AS utterance FROM speaker_segment""")
+@query("""SELECT segment_id, format('utt-{:03d}', row_number() OVER (PARTITION BY session_id ORDER BY ingest_ts, segment_id)) AS utterance FROM """ + UTTERANCES)
 def w9_ordinal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "speaker_segment").select("segment_id", "session_id", "ingest_ts")
+    rows = first_rows(spark, sf_dir, "speaker_segment").select("segment_id", "session_id", "ingest_ts")
     return rows.select("segment_id", text.utterance_id(F.expr("row_number() over (partition by session_id order by ingest_ts, segment_id)")).alias("utterance"))
 
 
@@ -222,17 +238,16 @@ def fn14_interval_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).where(left).select("segment_id", s.alias("s"), e.alias("e"))
 
 
-@query("""SELECT segment_id, greatest(t_end - t_start, 0) AS duration, CASE WHEN greatest(t_end - t_start, 0) > 0 THEN t_end - t_start ELSE 1.0 END AS weight FROM speaker_segment WHERE t_start IS NOT NULL AND t_end IS NOT NULL""")
+@query("""SELECT segment_id, greatest(t_end - t_start, 0) AS duration, CASE WHEN greatest(t_end - t_start, 0) > 0 THEN t_end - t_start ELSE 1.0 END AS weight FROM """ + UTTERANCES + """ WHERE t_start IS NOT NULL AND t_end IS NOT NULL""")
 def fn20_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "speaker_segment").where("t_start is not null and t_end is not null")
+    rows = first_rows(spark, sf_dir, "speaker_segment").where("t_start is not null and t_end is not null")
     s, e = F.col("t_start"), F.col("t_end")
     return rows.select("segment_id", interval.duration(s, e).cast("double").alias("duration"), interval.duration_weight(s, e).cast("double").alias("weight"))
 
 
-@query(f"""WITH {SEGMENTS} SELECT segment_id, unnest(range(s // 100, e // 100 + 1)) AS frame FROM g WHERE e - s < 600000""")
+@query(f"""WITH {SEGMENTS} SELECT segment_id, unnest(range(s // 100, e // 100 + 1)) AS frame FROM g""")
 def fn21_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segments(spark, sf_dir).where("e - s < 600000")
-    return rows.select("segment_id", F.explode(F.sequence(F.floor(F.col("s") / 100), F.floor(F.col("e") / 100))).alias("frame"))
+    return segments(spark, sf_dir).select("segment_id", F.explode(F.sequence(F.floor(F.col("s") / 100), F.floor(F.col("e") / 100))).alias("frame"))
 
 
 @query("""SELECT event_id, round(value / 589 * 10, 9) AS t, CAST(floor(value / 589 * 160000) AS BIGINT) AS sample FROM events""")
@@ -315,17 +330,14 @@ def u1_letter_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.select("session_id", F.posexplode(F.array_except(pool, "used")).alias("place", "label")).select("session_id", "label", (F.col("place") + 1).cast("long").alias("place"))
 
 
-@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') = '7' AS ends FROM events""")
-def s3_eof_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k")
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), (k == "7").alias("ends"))
-
-
-@query("""SELECT device, slot, count(*) AS n, round(avg(value), 6) AS mean, round(sqrt(avg(value * value)), 6) AS rms, round(least(greatest(sum(value), -1000), 1000), 6) AS clipped_sum FROM (SELECT user_id % 4 AS device, event_id // 100 AS slot, value FROM events) GROUP BY ALL""")
+@query("""WITH x AS (SELECT event_id, ord(props[1]) + 256 * ord(props[2]) AS a, ord(props[3]) + 256 * ord(props[4]) AS b, ord(props[5]) + 256 * ord(props[6]) AS c, ord(props[7]) + 256 * ord(props[8]) AS d FROM events)
+SELECT event_id, CAST(trunc((a + b) / 2.0) AS INT) AS mean_first, CAST(trunc((c + d) / 2.0) AS INT) AS mean_second, CAST(least(a + b, 32767) AS INT) AS sum_first, CAST(least(c + d, 32767) AS INT) AS sum_second FROM x""")
 def s5_mixdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("device"), F.floor(F.col("event_id") / 100).alias("slot"), "value")
-    total = F.least(F.greatest(F.sum("value"), F.lit(-1000.0)), F.lit(1000.0))
-    return rows.groupBy("device", "slot").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.sqrt(F.avg(F.col("value") ** 2)), 6).alias("rms"), F.round(total, 6).alias("clipped_sum"))
+    """Two channels, whose samples are the bytes of a text, as one; an incomplete last frame is left out."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.encode("props", "UTF-8").alias("mean"), F.encode("props", "UTF-8").alias("sum"))
+    mixed = audio.mixed(audio.mixed(rows, "mean", 2, "mean"), "sum", 2, "sum")
+    sample = lambda c, i: pcm.samples(F.col(c))[i].alias(f"{c}_{'first' if i == 0 else 'second'}")
+    return mixed.select("event_id", sample("mean", 0), sample("mean", 1), sample("sum", 0), sample("sum", 1))
 
 
 @query("""SELECT event_id, round(greatest(least(value / 100 - 2, 1), -1), 9) AS x, CAST(trunc(greatest(least(value / 100 - 2, 1), -1) * 32767) AS INTEGER) AS pcm, round(trunc(greatest(least(value / 100 - 2, 1), -1) * 32767) / 32768, 9) AS back FROM events""")

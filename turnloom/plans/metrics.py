@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import diarization, reports
 from ..session import table
 from .conversation import SEGMENTS, TURNS, segments, turns
+from ..operators.sequence import covered_time
 from .registry import Registry
 
 query = Registry()
@@ -20,12 +21,12 @@ def _ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hyp(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "seg_label").select("session_id").distinct()
-    rows = segments(spark, sf_dir).where("e - s < 600000").join(known, "session_id", "left_semi")
+    rows = segments(spark, sf_dir).join(known, "session_id", "left_semi")
     return rows.select("session_id", (F.col("s") * 1000).alias("start"), (F.col("e") * 1000).alias("end"), "label")
 
 
 _DER = f"""WITH {TURNS}, {SEGMENTS}, r AS (SELECT session_id AS u, ss AS s, se AS e, label, 1 AS side FROM t),
-h AS (SELECT session_id AS u, s * 1000 AS s, e * 1000 AS e, label, 0 AS side FROM g WHERE e - s < 600000 AND session_id IN (SELECT session_id FROM seg_label)),
+h AS (SELECT session_id AS u, s * 1000 AS s, e * 1000 AS e, label, 0 AS side FROM g WHERE session_id IN (SELECT session_id FROM seg_label)),
 b AS (SELECT * FROM r UNION ALL SELECT * FROM h),
 c AS (SELECT DISTINCT u, pt FROM (SELECT u, s AS pt FROM b UNION ALL SELECT u, e FROM b)),
 i AS (SELECT u, pt, lead(pt) OVER (PARTITION BY u ORDER BY pt) AS nx FROM c),
@@ -146,10 +147,46 @@ def a18_corpus_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("mean", "std", "worst_z")])
 
 
-@query(f"""WITH {SEGMENTS} SELECT session_id, s // 60000 AS slice, CAST(sum(e - s) AS BIGINT) AS spoken, count(*) AS segments, count(DISTINCT label) AS labels FROM g GROUP BY ALL""")
+@query(f"""WITH {SEGMENTS}, x AS (SELECT session_id, label, s, e, unnest(range(s // 60000, (e - 1) // 60000 + 1)) AS slice FROM g), c AS (SELECT session_id, label, slice, greatest(s, slice * 60000) AS s, least(e, (slice + 1) * 60000) AS e FROM x),
+p AS (SELECT session_id, slice, s AS t, 1 AS d FROM c UNION ALL SELECT session_id, slice, e, -1 FROM c), q AS (SELECT session_id, slice, t, sum(d) AS d FROM p GROUP BY ALL),
+r AS (SELECT *, sum(d) OVER (PARTITION BY session_id, slice ORDER BY t) AS n, lead(t) OVER (PARTITION BY session_id, slice ORDER BY t) - t AS l FROM q), u AS (SELECT session_id, slice, CAST(sum(l) FILTER (n >= 1) AS BIGINT) AS covered FROM r GROUP BY ALL)
+SELECT c.session_id, c.slice, u.covered, count(*) AS segments, count(DISTINCT label) AS labels FROM c JOIN u USING (session_id, slice) GROUP BY ALL""")
 def a20_slice_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segments(spark, sf_dir).withColumn("slice", F.floor(F.col("s") / 60_000))
-    return rows.groupBy("session_id", "slice").agg(F.sum(F.col("e") - F.col("s")).alias("spoken"), F.count("*").alias("segments"), F.countDistinct("label").alias("labels"))
+    """Segments are cropped to every minute they touch; what they cover there counts once."""
+    minute = F.explode(F.sequence(F.floor(F.col("s") / 60_000), F.floor((F.col("e") - 1) / 60_000)))
+    rows = segments(spark, sf_dir).withColumn("slice", minute)
+    cropped = rows.select("session_id", "slice", "label", F.greatest("s", F.col("slice") * 60_000).alias("s"), F.least("e", (F.col("slice") + 1) * 60_000).alias("e"))
+    covered = covered_time(cropped, ["session_id", "slice"], "s", "e", 60_000).select("session_id", "slice", "covered")
+    counts = cropped.groupBy("session_id", "slice").agg(F.count("*").alias("segments"), F.countDistinct("label").alias("labels"))
+    return counts.join(covered, ["session_id", "slice"]).select("session_id", "slice", "covered", "segments", "labels")
+
+
+_STOPS = (30_000_000, 60_000_000, 9_000_000_000_000)
+
+
+def _online_der() -> str:
+    """The SQL of ``m1_der_components`` over sides that are cut off at every stop."""
+    sides, rest = _DER.split(",\nb AS", 1)
+    cut = (
+        f", k AS (SELECT unnest([{', '.join(map(str, _STOPS))}]) AS stop), r2 AS (SELECT u || '@' || stop AS u, s, least(e, stop) AS e, label, side FROM r, k WHERE s < stop),"
+        " h2 AS (SELECT u || '@' || stop AS u, s, least(e, stop) AS e, label, side FROM h, k WHERE s < stop)"
+    )
+    body = rest.replace("SELECT * FROM r UNION ALL SELECT * FROM h", "SELECT * FROM r2 UNION ALL SELECT * FROM h2").replace("SELECT *, round(CASE", "SELECT regexp_replace(session_id, '@[0-9]+$', '') AS session_id, CAST(regexp_extract(session_id, '@([0-9]+)$', 1) AS BIGINT) AS stop, total, miss, false_alarm, confusion, round(CASE")
+    return f"{sides}{cut},\nb AS{body}"
+
+
+@query(_online_der())
+def w13_online_der(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error rate of what was known at 30 s, at 60 s and at the end."""
+    stops = F.explode(F.array(*[F.lit(x).cast("long") for x in _STOPS]))
+
+    def until(df: DataFrame) -> DataFrame:
+        cut = df.withColumn("stop", stops).where("start < stop")
+        return cut.select(F.concat_ws("@", "session_id", F.col("stop").cast("string")).alias("recording"), "start", F.least("end", "stop").alias("end"), "label")
+
+    parts = diarization.error_parts(until(_ref(spark, sf_dir)), until(_hyp(spark, sf_dir)), "recording", 10_000_000)
+    session, stop = F.regexp_replace("recording", "@[0-9]+$", ""), F.regexp_extract("recording", "@([0-9]+)$", 1).cast("long")
+    return parts.select(session.alias("session_id"), stop.alias("stop"), "total", "miss", "false_alarm", "confusion", F.round("der", 9).alias("der"))
 
 
 @query(r"""WITH x AS (SELECT doc_id, regexp_extract(text, '([0-9]+) crowns', 1) AS m FROM documents) SELECT count(*) AS docs, count(nullif(m, '')) AS hits, min(CAST(nullif(m, '') AS BIGINT)) AS least, max(CAST(nullif(m, '') AS BIGINT)) AS most, round(avg(CAST(nullif(m, '') AS BIGINT)), 6) AS mean FROM x""")
@@ -235,13 +272,17 @@ def u7_done_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").dropDuplicates()
 
 
-@query("""WITH t AS (SELECT DISTINCT split_part(file_name, '.', 1) AS stem FROM ablation_raw), d AS (SELECT DISTINCT stream || '_20260414_152332' AS stem, stream FROM ablation_raw)
-SELECT t.stem, d.stream, d.stem IS NULL AS missing FROM t LEFT JOIN d USING (stem)""")
+@query(r"""WITH t AS (SELECT DISTINCT regexp_replace(file_name, '(_\d{8}_\d{6})?\.\w+$', '') AS stem FROM ablation_raw),
+d AS (SELECT split_part(json_extract_string(raw, '$.run_id'), '-', 1) AS stem, count(*) AS runs FROM ablation_raw WHERE file_name LIKE '%.jsonl' AND json_valid(raw) AND json_extract_string(raw, '$.run_id') IS NOT NULL GROUP BY 1)
+SELECT t.stem, d.runs, d.stem IS NULL AS missing FROM t LEFT JOIN d USING (stem)""")
 def j17_by_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by the stem of their name, and the runs whose id begins with it; a file without such runs is missing them."""
     rows = table(spark, sf_dir, "ablation_raw")
-    stems = rows.select(F.split_part("file_name", F.lit("."), F.lit(1)).alias("stem")).distinct()
-    known = rows.select(F.concat("stream", F.lit("_20260414_152332")).alias("stem"), "stream").distinct()
-    return stems.join(known, "stem", "left").select("stem", "stream", F.col("stream").isNull().alias("missing"))
+    stems = rows.select(F.regexp_replace("file_name", r"(_\d{8}_\d{6})?\.\w+$", "").alias("stem")).distinct()
+    parsed = F.from_json("raw", "run_id string, bad string", {"columnNameOfCorruptRecord": "bad"})
+    lines = rows.where("file_name like '%.jsonl'").select(parsed.alias("r")).where("r.bad is null and r.run_id is not null")
+    runs = lines.select(F.split_part("r.run_id", F.lit("-"), F.lit(1)).alias("stem")).groupBy("stem").agg(F.count("*").alias("runs"))
+    return stems.join(runs, "stem", "left").select("stem", "runs", F.col("runs").isNull().alias("missing"))
 
 
 @query("""WITH d AS (SELECT doc_id, text, trim(lower(source)) AS s FROM documents WHERE text IS NOT NULL)

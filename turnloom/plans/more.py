@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import pcm, vector
 from ..operators import joins, reports
+from ..operators.clustering import SCHEDULERS
 from ..session import table
-from ..sources import messages, rttm
-from .conversation import FINALS, SEGMENTS, events, finals, segments
+from ..sources import audio, messages, rttm
+from .conversation import FINALS, RECORDS, SEGMENTS, events, finals, first_rows, segments
 from .registry import Registry
-from .vectors import _C, _U, _units
+from .vectors import _C, _KNOWN, _U, _USABLE, _known, _units, usable_segments
 
 query = Registry()
 
@@ -21,11 +22,11 @@ def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.encode("props", "UTF-8").alias("pcm"), "user_id")
 
 
-@query("""SELECT event_id, CASE WHEN octet_length(encode(props)) % 2 = 1 THEN 'odd number of bytes' WHEN user_id % 7 = 0 THEN 'not mono' END AS problem, octet_length(encode(props)) / 32000.0::DOUBLE AS seconds FROM events""")
+@query("""SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'not mono' WHEN user_id % 11 = 0 THEN 'not 16 kHz' WHEN octet_length(encode(props)) % 2 = 1 THEN 'odd number of bytes' END AS problem, octet_length(encode(props)) / 32000.0::DOUBLE AS seconds FROM events""")
 def fn3_pcm_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _bytes(spark, sf_dir)
-    odd, mono = pcm.check_pcm(F.col("pcm")), F.when(F.col("user_id") % 7 == 0, 2).otherwise(1)
-    return rows.select("event_id", F.coalesce(odd, F.when(mono != 1, "not mono")).alias("problem"), pcm.seconds(F.col("pcm")).alias("seconds"))
+    rate, channels = F.when(F.col("user_id") % 11 == 0, 8_000).otherwise(16_000), F.when(F.col("user_id") % 7 == 0, 2).otherwise(1)
+    return rows.select("event_id", pcm.check_pcm(F.col("pcm"), rate, channels).alias("problem"), pcm.seconds(F.col("pcm")).alias("seconds"))
 
 
 @query("""SELECT event_id, ord(props[1]) + 256 * ord(props[2]) AS first, ord(props[3]) + 256 * ord(props[4]) AS second FROM events WHERE octet_length(encode(props)) % 2 = 0""")
@@ -66,9 +67,9 @@ def s13_parallel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zipped.select("candidate_id", F.col("z.u").alias("utterance_id"), F.col("z.p").alias("place"))
 
 
-@query("""SELECT transcript_id, is_final, text, CASE WHEN is_final THEN t_start END AS t_start, CASE WHEN is_final THEN coalesce(t_end, t_start) END AS t_end FROM transcript WHERE is_final IS NOT NULL AND trim(coalesce(text, ''), ' ') <> ''""")
+@query("""SELECT transcript_id, is_final, text, CASE WHEN is_final THEN t_start END AS t_start, CASE WHEN is_final THEN coalesce(t_end, t_start) END AS t_end FROM """ + RECORDS + """ WHERE is_final IS NOT NULL AND trim(coalesce(text, ''), ' ') <> ''""")
 def s14_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "transcript").where("is_final is not null")
+    rows = first_rows(spark, sf_dir, "transcript").where("is_final is not null")
     word = F.struct(F.lit("word").alias("type"), F.col("text"), F.col("t_start").alias("start"), F.col("t_end").alias("end"))
     final = F.to_json(F.struct(F.lit("committed_transcript_with_timestamps").alias("message_type"), F.array(word).alias("words")))
     partial = F.to_json(F.struct(F.lit("partial_transcript").alias("message_type"), F.col("text")))
@@ -83,10 +84,18 @@ def s15_done_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("r.bad is null and r.error is null and r.sample is not null and r.scheduler is not null").select("r.sample", "r.scheduler").distinct()
 
 
-@query("""SELECT record_id, coalesce(TRY_CAST(str_split(raw, ',')[8] AS DOUBLE), 0.0) AS metric FROM ablation_raw WHERE file_name LIKE '%.csv' AND line_no > 1""")
+_CELLS = r"""list_transform(regexp_extract_all(raw || ',', '(?:"(?:[^"]|"")*"|[^",]*),'), lambda c: replace(regexp_replace(c[:-2], '^"(.*)"$', '\1'), '""', '"'))"""
+
+
+@query(f"""WITH once AS (SELECT file_name, line_no, max(raw) AS raw FROM ablation_raw GROUP BY ALL),
+h AS (SELECT file_name, {_CELLS} AS names FROM once WHERE file_name LIKE '%.csv' AND line_no = 1), c AS (SELECT file_name, line_no, {_CELLS} AS cells FROM once WHERE file_name LIKE '%.csv' AND line_no > 1),
+r AS (SELECT c.file_name, line_no, TRY_CAST(cells[list_position(names, 'der')] AS DOUBLE) AS der FROM c JOIN h USING (file_name) WHERE len(cells) = len(names)
+  UNION ALL SELECT file_name, line_no, TRY_CAST(json_extract_string(raw, '$..der')[1] AS DOUBLE) FROM once WHERE file_name LIKE '%.jsonl' AND json_valid(raw) AND json_type(raw) = 'OBJECT')
+SELECT file_name, count(*) AS runs, round(sum(coalesce(der, 0.0)), 6) AS der, count(der) AS stated FROM r GROUP BY file_name""")
 def s12_metric_or_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "ablation_raw").where("file_name like '%.csv' and line_no > 1")
-    return rows.select("record_id", F.coalesce(F.expr("try_cast(get(split(raw, ','), 7) as double)"), F.lit(0.0)).alias("metric"))
+    """The error rate of every run of CSV and JSON files, by the field's name wherever it is; 0.0 where it is missing or no number."""
+    runs = messages.metric_of_lines(table(spark, sf_dir, "ablation_raw"), "der")
+    return runs.groupBy("file_name").agg(F.count("*").alias("runs"), F.round(F.sum(F.coalesce("value", F.lit(0.0))), 6).alias("der"), F.count("value").alias("stated"))
 
 
 @query("""SELECT to_json({'user_id': user_id, 'event_type': event_type, 'n': count(*)}) AS value FROM events GROUP BY user_id, event_type""")
@@ -101,20 +110,21 @@ def k3_flat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.flatten_results(nested)
 
 
-@query(f"""WITH {_C}, s AS (SELECT vec_id, who, list_dot_product(u, c) AS s FROM u, c WHERE vec_id % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, who) AS k FROM s WHERE s >= 0.1)
+@query(f"""WITH {_C}, s AS (SELECT vec_id, who, list_dot_product(u, c) AS s FROM u, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, who) AS k FROM s WHERE s >= 0.1)
 SELECT vec_id, CAST(who AS INT) AS center FROM r WHERE k = 1""")
 def j4_online_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _units(spark, sf_dir)
     known = vector.centroids(units, ["label"], "u").select(F.col("label").alias("center"), "centroid")
-    return joins.nearest_vector(units.where("vec_id % 5 = 0"), known, "vec_id", "u", "center", "centroid", 0.1).select("vec_id", "center")
+    return joins.nearest_vector(units, known, "vec_id", "u", "center", "centroid", 0.1).select("vec_id", "center")
 
 
-@query(f"""WITH {_U}, n AS (SELECT * FROM u WHERE vec_id % 10 = 0), k AS (SELECT * FROM u WHERE vec_id % 10 <> 0), s AS (SELECT n.vec_id, k.vec_id AS near, list_dot_product(n.u, k.u) AS s FROM n, k),
+@query(f"""WITH {_U}, n AS (SELECT * FROM u WHERE vec_id % 20 = 0), s AS (SELECT n.vec_id, k.vec_id AS near, list_dot_product(n.u, k.u) AS s FROM n, u k WHERE n.vec_id <> k.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, near) AS i FROM s) SELECT vec_id, near, round(s, 6) AS similarity FROM r WHERE i = 1""")
 def j6_nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set, every twentieth row, against all rows but itself."""
     units = _units(spark, sf_dir)
-    known = units.where("vec_id % 10 != 0").select(F.col("vec_id").alias("near"), F.col("u").alias("k"))
-    found = joins.nearest_vector(units.where("vec_id % 10 = 0"), known, "vec_id", "u", "near", "k", -2.0)
+    known = units.select(F.col("vec_id").alias("near"), F.col("u").alias("k"))
+    found = joins.nearest_vector(units.where("vec_id % 20 = 0"), known, "vec_id", "u", "near", "k", -2.0, not_itself=True)
     return found.select("vec_id", "near", F.round("similarity", 6).alias("similarity"))
 
 
@@ -151,18 +161,24 @@ def u3_distinct_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "speaker_segment").select("model_id").distinct().orderBy("model_id")
 
 
-@query(f"""WITH {_U}, a AS (SELECT 0 AS source, vec_id AS k, u AS c FROM u WHERE vec_id BETWEEN 0 AND 9 UNION ALL SELECT 1, vec_id, u FROM u WHERE vec_id BETWEEN 5 AND 14), p AS (SELECT * FROM u WHERE vec_id >= 400),
-s AS (SELECT p.vec_id, source, k, list_dot_product(u, c) AS s FROM p, a), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, source, k) AS i FROM s) SELECT vec_id, CAST(source AS INT) AS source, k AS center FROM r WHERE i = 1""")
+@query(f"""WITH {_C}, l2 AS (SELECT vec_id % 7 AS k, unnest(u) AS x, generate_subscripts(u, 1) AS p FROM u), m2 AS (SELECT k, p, avg(x) AS x FROM l2 GROUP BY ALL), v2 AS (SELECT k, list(x ORDER BY p) AS v FROM m2 GROUP BY k),
+a AS (SELECT 0 AS source, CAST(who AS BIGINT) AS k, c FROM c UNION ALL SELECT 1, k, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) FROM v2),
+s AS (SELECT u.vec_id, source, k, list_dot_product(u, a.c) AS s FROM u, a), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, source, k) AS i FROM s) SELECT vec_id, CAST(source AS INT) AS source, k AS center FROM r WHERE i = 1""")
 def u4_both_center_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = _units(spark, sf_dir)
-    pick = lambda lo, hi, source: units.where(F.col("vec_id").between(lo, hi)).select(F.struct(F.lit(source).alias("source"), F.col("vec_id").alias("k")).alias("who"), F.col("u").alias("c"))
-    found = joins.nearest_vector(units.where("vec_id >= 400"), pick(0, 9, 0).unionByName(pick(5, 14, 1)), "vec_id", "u", "who", "c", -2.0)
+    """All vectors against two sets of centres, those of the labels and those of seven groups; at equal similarity the first set goes first."""
+    units = _units(spark, sf_dir).withColumn("group", F.col("vec_id") % 7)
+
+    def centres(by: str, source: int) -> DataFrame:
+        who = F.struct(F.lit(source).alias("source"), F.col(by).cast("long").alias("k"))
+        return vector.centroids(units, [by], "u").select(who.alias("who"), F.col("centroid").alias("c"))
+
+    found = joins.nearest_vector(units, centres("label", 0).unionByName(centres("group", 1)), "vec_id", "u", "who", "c", -2.0)
     return found.select("vec_id", "who.source", F.col("who.k").alias("center"))
 
 
-@query("""SELECT transcript_id AS id, t_start FROM transcript WHERE is_final UNION ALL SELECT transcript_id, t_start FROM transcript WHERE NOT is_final""")
+@query("""SELECT transcript_id AS id, t_start FROM """ + RECORDS + """ WHERE is_final UNION ALL SELECT transcript_id, t_start FROM """ + RECORDS + """ WHERE NOT is_final""")
 def u5_queued_and_flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "transcript").select(F.col("transcript_id").alias("id"), "t_start", "is_final")
+    rows = first_rows(spark, sf_dir, "transcript").select(F.col("transcript_id").alias("id"), "t_start", "is_final")
     return rows.where("is_final").unionByName(rows.where("not is_final")).drop("is_final")
 
 
@@ -171,21 +187,23 @@ def u6_common_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "speaker_segment").select("session_id").intersect(table(spark, sf_dir, "seg_label").select("session_id"))
 
 
-@query("""SELECT * FROM (VALUES ('baseline', 10, 30.0::DOUBLE, false), ('decay-A', 10, 15.0, false), ('hdbscan-on', 10, 30.0, true), ('legacy-both', 5, 30.0, true)) v(scheduler, every, seconds, recluster)""")
+@query("""SELECT * FROM (VALUES ('baseline', 0.6::DOUBLE, 0.3::DOUBLE, 1.0::DOUBLE, ''), ('decay-A', 0.5, 0.5, 0.8, ''), ('decay-B', 0.7, 0.1, 1.2, ''), ('hdbscan-off', 0.6, 0.3, 1.0, ''), ('hdbscan-on', 0.6, 0.3, 1.0, 'final'),
+('legacy-adaptive', 0.6, 0.3, 1.0, 'adaptive'), ('legacy-final', 0.6, 0.3, 1.0, 'final'), ('legacy-both', 0.6, 0.3, 1.0, 'adaptive final')) v(scheduler, tau_active, rho_update, delta_new, post)""")
 def c8_schedulers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("baseline", 10, 30.0, False), ("decay-A", 10, 15.0, False), ("hdbscan-on", 10, 30.0, True), ("legacy-both", 5, 30.0, True)]
-    return spark.createDataFrame(rows, "scheduler string, every int, seconds double, recluster boolean")
+    """The settings the operators take: ``online_labels`` the first three, ``post_pass`` the last."""
+    rows = [(name, *values, " ".join(post)) for name, (*values, post) in SCHEDULERS.items()]
+    return spark.createDataFrame(rows, "scheduler string, tau_active double, rho_update double, delta_new double, post string")
 
 
-@query(f"""WITH {FINALS}, x AS (SELECT session_id, epoch_us(ingest_ts) / 1e6 - t_end AS wait FROM transcript WHERE is_final AND t_start IS NOT NULL AND t_end > t_start),
-m AS (SELECT session_id, min(wait) AS lo FROM x GROUP BY ALL)
-SELECT x.session_id, round(quantile_cont(wait - lo, 0.5), 4) AS p50, round(quantile_cont(wait - lo, 0.95), 4) AS p95 FROM x JOIN m USING (session_id) GROUP BY x.session_id""")
+@query(f"""WITH t AS (SELECT * FROM {RECORDS}), m AS (SELECT session_id, min(epoch_us(ingest_ts)) AS lo FROM t GROUP BY ALL),
+x AS (SELECT t.session_id, (epoch_us(ingest_ts) - lo) / 1e6 - t_end AS late FROM t JOIN m USING (session_id) WHERE is_final AND t_start IS NOT NULL AND t_end > t_start)
+SELECT session_id, round(quantile_cont(late, 0.5), 4) AS p50, round(quantile_cont(late, 0.95), 4) AS p95 FROM x GROUP BY session_id""")
 def m4_emit_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "transcript").where("is_final and t_start is not null and t_end > t_start")
-    waits = rows.select("session_id", (F.unix_micros("ingest_ts") / 1e6 - F.col("t_end")).alias("wait"))
-    first = waits.groupBy("session_id").agg(F.min("wait").alias("lo"))
-    late = F.col("wait") - F.col("lo")
-    return waits.join(first, "session_id").groupBy("session_id").agg(F.round(F.percentile(late, 0.5), 4).alias("p50"), F.round(F.percentile(late, 0.95), 4).alias("p95"))
+    """How far the clock, started with a session's first delivery, is ahead of the end of what is emitted; below zero: not yet spoken."""
+    rows = first_rows(spark, sf_dir, "transcript")
+    first = rows.groupBy("session_id").agg(F.min(F.unix_micros("ingest_ts")).alias("lo"))
+    late = (F.unix_micros("ingest_ts") - F.col("lo")) / 1e6 - F.col("t_end")
+    return rows.where("is_final and t_start is not null and t_end > t_start").join(first, "session_id").groupBy("session_id").agg(F.round(F.percentile(late, 0.5), 4).alias("p50"), F.round(F.percentile(late, 0.95), 4).alias("p95"))
 
 
 @query("""WITH b AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase'), a AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'view'),
@@ -198,9 +216,9 @@ def m5_live_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waits.groupBy("user_id").agg(reports.nearest_rank(F.col("wait_us"), 50).alias("p50"), reports.nearest_rank(F.col("wait_us"), 95).alias("p95"))
 
 
-@query(f"""WITH {FINALS} SELECT transcript_id, ps FROM f ORDER BY ps, transcript_id LIMIT 100""")
+@query(f"""WITH {FINALS} SELECT transcript_id, ps FROM f ORDER BY ps, transcript_id""")
 def o5_first_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finals(spark, sf_dir).select("transcript_id", "ps").orderBy("ps", "transcript_id").limit(100)
+    return finals(spark, sf_dir).select("transcript_id", "ps").orderBy("ps", "transcript_id")
 
 
 @query("""SELECT origin, count(*) AS profiles, CAST(sum(utterance_count) AS BIGINT) AS utterances, count(registered_at) AS registered FROM (SELECT DISTINCT * FROM speaker) GROUP BY origin""")
@@ -221,42 +239,43 @@ def st8_without_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-_TIER = f"""WITH {_U}, p AS (SELECT vec_id, vec_id // 100 AS session, 'auto:' || chr(CAST(65 + label AS INT)) AS letter, u FROM u WHERE vec_id >= 20), s AS (SELECT p.vec_id, k.vec_id AS who, list_dot_product(p.u, k.u) AS s FROM p, u k WHERE k.vec_id < 20),
-b AS (SELECT vec_id, 'stored:' || who AS who FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, who) AS r FROM s WHERE s >= 0.35) WHERE r = 1),
-m AS (SELECT p.session, p.letter, min((p.vec_id, b.who)) AS m FROM p JOIN b USING (vec_id) GROUP BY ALL),
-x AS (SELECT p.vec_id, p.session, p.letter, CASE WHEN p.vec_id >= m.m[1] THEN m.m[2] ELSE p.letter END AS label, CASE WHEN p.vec_id < m.m[1] THEN m.m[2] END AS changed_to FROM p LEFT JOIN m USING (session, letter))"""
+_TIER = f"""WITH {_USABLE}, {_KNOWN}, p AS (SELECT * FROM g WHERE label LIKE 'auto:%'), s AS (SELECT p.segment_id, k.who, k.origin, list_dot_product(p.u, k.c) AS s FROM p JOIN k USING (model_id)),
+b AS (SELECT segment_id, who FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY origin, s DESC, who) AS r FROM s WHERE s >= CASE WHEN origin = 'registered' THEN 0.70 ELSE 0.75 END) WHERE r = 1),
+m AS (SELECT p.session_id, p.label, min((p.t_start, p.segment_id, b.who)) AS m FROM p JOIN b USING (segment_id) GROUP BY ALL),
+x AS (SELECT p.segment_id, p.session_id, CASE WHEN (p.t_start, p.segment_id) >= (m.m[1], m.m[2]) THEN m.m[3] ELSE p.label END AS new_label, CASE WHEN (p.t_start, p.segment_id) < (m.m[1], m.m[2]) THEN m.m[3] END AS changed_to FROM p LEFT JOIN m USING (session_id, label))"""
 
 
 def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.identify import matched_labels
 
-    units = _units(spark, sf_dir)
-    probes = units.where("vec_id >= 20")
-    known = units.where("vec_id < 20").select(F.col("vec_id").alias("who"), F.col("u").alias("c"))
-    found = joins.nearest_vector(probes, known, "vec_id", "u", "who", "c", 0.35)
-    rows = probes.select("vec_id", F.floor(F.col("vec_id") / 100).alias("session"), F.concat(F.lit("auto:"), F.char(F.col("label") + 65)).alias("letter"))
-    matched = rows.join(found.select("vec_id", F.concat(F.lit("stored:"), F.col("who").cast("string")).alias("match")), "vec_id", "left")
-    return matched_labels(matched.withColumn("at", F.col("vec_id")), "session", "at", "vec_id", "letter", "match")
+    probes = usable_segments(spark, sf_dir).where(F.col("label").startswith("auto:")).select("session_id", "segment_id", "label", "t_start", "model_id", F.col("u").alias("u"))
+    known = _known(spark, sf_dir)
+    pick = lambda origin: known.where(F.col("origin") == origin).select("model_id", "who", "c")
+    found = joins.three_tiers(probes, pick("registered"), pick("stored"), "segment_id", "u", "who", "c", on=["model_id"])
+    matched = probes.join(found.select("segment_id", F.col("who").alias("match")), "segment_id", "left")
+    return matched_labels(matched.withColumn("at", F.struct("t_start", "segment_id")), "session_id", "at", "segment_id", "label", "match")
 
 
-@query(_TIER + " SELECT vec_id, label, changed_to FROM x")
+@query(_TIER + " SELECT segment_id, new_label AS label, changed_to FROM x")
 def t7_tier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiers(spark, sf_dir).select("vec_id", "label", "changed_to")
+    """Unnamed voices against the current centroids of all registered and stored speakers."""
+    return _tiers(spark, sf_dir).select("segment_id", "label", "changed_to")
 
 
-@query(_TIER + " SELECT session, label AS old_label, changed_to AS new_label, count(*) AS n, 'stored_match' AS reason FROM x WHERE changed_to IS NOT NULL GROUP BY ALL")
+@query(_TIER + " SELECT session_id, new_label AS old_label, changed_to AS new_label, count(*) AS n, 'stored_match' AS reason FROM x WHERE changed_to IS NOT NULL GROUP BY ALL")
 def t7_label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.identify import label_changes
 
-    found = label_changes(_tiers(spark, sf_dir), "session", "at", "vec_id")
-    return found.select("session", "old_label", "new_label", F.size("ids").cast("long").alias("n"), "reason")
-
+    found = label_changes(_tiers(spark, sf_dir), "session_id", "at", "segment_id")
+    return found.select("session_id", "old_label", "new_label", F.size("ids").cast("long").alias("n"), "reason")
 
 
 @query("""SELECT event_id, round(cos(-2 * pi() * value * (user_id % 5) * 0.05 / 343), 9) + 0.0 AS re, round(sin(-2 * pi() * value * (user_id % 5) * 0.05 / 343), 9) + 0.0 AS im FROM events""")
 def s7_steering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phase = -2 * F.pi() * F.col("value") * (F.col("user_id") % 5) * 0.05 / 343
-    return table(spark, sf_dir, "events").select("event_id", (F.round(F.cos(phase), 9) + 0.0).alias("re"), (F.round(F.sin(phase), 9) + 0.0).alias("im"))
+    """Microphones on a line, 5 cm apart, and a wave that comes along it."""
+    phase = audio.steering_of(F.array((F.col("user_id") % 5) * 0.05, F.lit(0.0), F.lit(0.0)), F.col("value"), [1.0, 0.0, 0.0])
+    rows = table(spark, sf_dir, "events").select("event_id", phase.alias("p"))
+    return rows.select("event_id", (F.round("p.re", 9) + 0.0).alias("re"), (F.round("p.im", 9) + 0.0).alias("im"))
 
 
 @query(f"""WITH {SEGMENTS}, w AS (SELECT min(session_id) AS first, max(CASE WHEN session_id = 'live-standing-room' THEN session_id END) AS asked FROM g)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, text, vector
 from ..operators import clustering, joins
+from ..operators.deliveries import first_delivery
 from ..session import table
+from .conversation import UTTERANCES
+from .training import clean_sql
 from .registry import Registry
 
 query = Registry()
@@ -85,24 +88,67 @@ def j1_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "who", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""WITH {_U}, p AS (SELECT * FROM u WHERE vec_id >= 100), a AS (SELECT vec_id AS k, u AS c FROM u WHERE vec_id < 50), b AS (SELECT vec_id AS k, u AS c FROM u WHERE vec_id >= 50 AND vec_id < 100),
-x AS (SELECT vec_id, k, s FROM (SELECT vec_id, k, s, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, k) AS r FROM (SELECT vec_id, k, list_dot_product(u, c) AS s FROM p, a) WHERE s >= 0.30) WHERE r = 1),
-y AS (SELECT vec_id, k, s FROM (SELECT vec_id, k, s, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, k) AS r FROM (SELECT vec_id, k, list_dot_product(u, c) AS s FROM p, b) WHERE s >= 0.25) WHERE r = 1)
-SELECT p.vec_id, CASE WHEN x.k IS NOT NULL THEN 'registered' WHEN y.k IS NOT NULL THEN 'stored' ELSE 'none' END AS tier, coalesce(x.k, y.k) AS speaker, round(coalesce(x.s, y.s), 6) AS similarity FROM p LEFT JOIN x USING (vec_id) LEFT JOIN y USING (vec_id)""")
+_SOUND = "len({v}) = dim AND NOT list_bool_or(list_transform({v}, lambda x: isnan(x))) AND list_bool_or(list_transform({v}, lambda x: x <> 0))"
+_UNIT = "list_transform(list_transform({v}, lambda x: CAST(x AS DOUBLE)), lambda x: x / sqrt(list_dot_product(list_transform({v}, lambda x: CAST(x AS DOUBLE)), list_transform({v}, lambda x: CAST(x AS DOUBLE)))))"
+#: Segments with a usable vector, and the current centroid of every registered or stored speaker.
+_USABLE = f"""dims AS (SELECT model_id, max(embedding_dim) AS dim FROM speaker GROUP BY model_id),
+g AS (SELECT session_id, segment_id, clean AS label, is_locked, t_start, t_end, model_id, {_UNIT.format(v='embedding')} AS u FROM {clean_sql(UTTERANCES, 'label')} JOIN dims USING (model_id) WHERE {_SOUND.format(v='embedding')} AND t_start IS NOT NULL)"""
+_KNOWN = f"""sp AS (SELECT DISTINCT speaker_id, name, origin FROM speaker WHERE origin IN ('registered', 'stored')),
+cu AS (SELECT speaker_id, arg_max(vec_id, (updated_at, vec_id)) AS vec_id FROM speaker_vss JOIN dims USING (model_id) WHERE speaker_id IS NOT NULL AND {_SOUND.format(v='centroid')} GROUP BY speaker_id),
+k AS (SELECT v.model_id, sp.origin || ':' || sp.name || '#' || sp.speaker_id AS who, sp.origin, {_UNIT.format(v='v.centroid')} AS c FROM cu JOIN speaker_vss v USING (vec_id) JOIN sp ON sp.speaker_id = cu.speaker_id)"""
+
+
+def usable_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First deliveries with a usable vector and a start; ``u`` is the unit vector, ``label`` clean."""
+    segments = table(spark, sf_dir, "speaker_segment")
+    first = first_delivery(segments, ["session_id", "utterance_id"], "segment_id", {c: F.col(c) for c in ("session_id", "label", "is_locked", "t_start", "t_end", "model_id", "embedding")})
+    rows = first.join(_dims(spark, sf_dir), "model_id").where(_sound("embedding") & F.col("t_start").isNotNull())
+    return rows.select("session_id", "segment_id", labels.clean_label(F.col("label")).alias("label"), "is_locked", "t_start", "t_end", "model_id", vector.unit(F.col("embedding")).alias("u"))
+
+
+def _dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "speaker").groupBy("model_id").agg(F.max("embedding_dim").alias("dim"))
+
+
+def _sound(column: str) -> F.Column:
+    v = F.col(column)
+    return F.coalesce((F.size(v) == F.col("dim")) & ~F.exists(v, F.isnan) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``model_id``, ``who``, ``origin`` and ``c``: the latest usable centroid of every registered or stored speaker."""
+    speakers = table(spark, sf_dir, "speaker").where("origin in ('registered', 'stored')").select("speaker_id", "name", "origin").distinct()
+    rows = table(spark, sf_dir, "speaker_vss").where("speaker_id is not null").join(_dims(spark, sf_dir), "model_id").where(_sound("centroid"))
+    latest = rows.groupBy("speaker_id").agg(F.max_by(F.struct("model_id", "centroid"), F.struct("updated_at", "vec_id")).alias("v"))
+    who = F.concat("origin", F.lit(":"), "name", F.lit("#"), "speaker_id")
+    return latest.join(speakers, "speaker_id").select("v.model_id", who.alias("who"), "origin", vector.unit(F.col("v.centroid")).alias("c"))
+
+
+@query(f"""WITH {_USABLE}, {_KNOWN}, s AS (SELECT g.segment_id, k.who, k.origin, list_dot_product(g.u, k.c) AS s FROM g JOIN k USING (model_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY origin, s DESC, who) AS i FROM s WHERE s >= CASE WHEN origin = 'registered' THEN 0.70 ELSE 0.75 END)
+SELECT g.segment_id, coalesce(r.origin, 'none') AS tier, r.who AS speaker, round(r.s, 6) AS similarity FROM g LEFT JOIN r ON g.segment_id = r.segment_id AND i = 1""")
 def j3_three_tier_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = _units(spark, sf_dir).select("vec_id", "u")
-    known = units.select(F.col("vec_id").alias("speaker"), F.col("u").alias("c"))
-    found = joins.three_tiers(units.where("vec_id >= 100"), known.where("speaker < 50"), known.where("speaker >= 50 and speaker < 100"), "vec_id", "u", "speaker", "c", 0.30, 0.25)
-    return found.select("vec_id", "tier", "speaker", F.round("similarity", 6).alias("similarity"))
+    """All usable segments against all registered, then all stored speakers of their model."""
+    known = _known(spark, sf_dir)
+    pick = lambda origin: known.where(F.col("origin") == origin).select("model_id", F.col("who").alias("speaker"), "c")
+    found = joins.three_tiers(usable_segments(spark, sf_dir), pick("registered"), pick("stored"), "segment_id", "u", "speaker", "c", on=["model_id"])
+    return found.select("segment_id", "tier", "speaker", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""WITH {_C}, s AS (SELECT vec_id, label, who, list_dot_product(u, c) AS s FROM u, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, who) AS k FROM s)
-SELECT label AS old, CAST(who AS INT) AS new, count(*) AS moved FROM r WHERE k = 1 AND who <> label GROUP BY ALL""")
+_AUTO = f"""WITH {_USABLE}, l AS (SELECT session_id, label, unnest(u) AS x, generate_subscripts(u, 1) AS p FROM g WHERE label LIKE 'auto:%'), m AS (SELECT session_id, label, p, avg(x) AS x FROM l GROUP BY ALL),
+v AS (SELECT session_id, label, list(x ORDER BY p) AS v FROM m GROUP BY ALL), c AS (SELECT session_id, label AS center, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS c FROM v)"""
+
+
+@query(_AUTO + """, s AS (SELECT g.session_id, g.segment_id, g.label, center, list_dot_product(u, c) AS s FROM g JOIN c USING (session_id) WHERE NOT coalesce(is_locked, false) AND len(u) = len(c)),
+r AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY s DESC, center) AS i FROM s)
+SELECT session_id, label AS old_label, center AS new_label, count(*) AS n, string_agg(CAST(segment_id AS VARCHAR), ',' ORDER BY segment_id) AS utterances, 'recluster' AS reason FROM r WHERE i = 1 AND s >= 0.5 AND label IS NOT NULL AND label <> center GROUP BY ALL""")
 def c6_adaptive_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = _units(spark, sf_dir)
-    known = vector.centroids(units, ["label"], "u").select(F.col("label").alias("new"), "centroid")
-    found = joins.nearest_vector(units, known, "vec_id", "u", "new", "centroid", -1.0)
-    return found.join(units.select("vec_id", F.col("label").alias("old")), "vec_id").where("old != new").groupBy("old", "new").agg(F.count("*").alias("moved"))
+    """Unlocked utterances move to the nearest centre of their session if it is near enough; one row a change of labels."""
+    rows = usable_segments(spark, sf_dir)
+    centres = vector.centroids(rows.where(F.col("label").startswith("auto:")), ["session_id", "label"], "u").select("session_id", F.col("label").alias("center"), "centroid")
+    found = clustering.adaptive_changes(rows, centres, "session_id", "segment_id", "label", "u", "center", "centroid", delta_new=0.5)
+    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    return found.select("session_id", "old_label", "new_label", "n", ids.alias("utterances"), "reason")
 
 
 @query(f"""WITH {_C}, d AS (SELECT a.who AS a, b.who AS b, list_dot_product(a.c, b.c) AS s FROM c a, c b) SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(greatest(1 - s, 0), 6) AS cost FROM d""")
@@ -127,40 +173,58 @@ def c2_min_cluster_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments with a usable vector."""
-    segments = table(spark, sf_dir, "speaker_segment")
-    dims = table(spark, sf_dir, "speaker").groupBy("model_id").agg(F.max("embedding_dim").alias("dim"))
-    sound = F.coalesce((F.size("embedding") == F.col("dim")) & ~F.exists("embedding", F.isnan) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = segments.join(dims, "model_id").where(sound & F.col("t_start").isNotNull())
-    return rows.select("session_id", F.col("segment_id").alias("utterance_id"), labels.clean_label(F.col("label")).alias("label"), "is_locked", "embedding", "t_start", "t_end")
+    return usable_segments(spark, sf_dir).select("session_id", F.col("segment_id").alias("utterance_id"), "label", "is_locked", F.col("u").alias("embedding"), "t_start", "t_end")
 
 
 @query()
 def c1_final_recluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.final_recluster(_utterances(spark, sf_dir))
+    return clustering.final_recluster(_utterances(spark, sf_dir)).drop("noise")
+
+
+def _changed(rows: DataFrame, *by: str) -> DataFrame:
+    changed = rows.where("old_label is not null and old_label != label")
+    return changed.groupBy(*by, "session_id", "old_label", "label").agg(F.sort_array(F.collect_list("utterance_id")).alias("utterances"), F.count("*").alias("n"))
 
 
 @query()
 def c7_label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = c1_final_recluster(spark, sf_dir).where("old_label is not null and old_label != label")
-    return changed.groupBy("session_id", "old_label", "label").agg(F.sort_array(F.collect_list("utterance_id")).alias("utterances"), F.count("*").alias("n"))
+    return _changed(clustering.final_recluster(_utterances(spark, sf_dir)))
+
+
+@query()
+def c7_post_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label changes of every scheduler that has passes after the stream."""
+    rows = _utterances(spark, sf_dir)
+    found = None
+    for scheduler, (*_, delta_new, post) in clustering.SCHEDULERS.items():
+        if post:
+            own = clustering.post_pass(rows, post, delta_new).withColumn("scheduler", F.lit(scheduler))
+            found = own if found is None else found.unionByName(own)
+    return _changed(found, "scheduler")
 
 
 @query()
 def a28_cluster_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = c1_final_recluster(spark, sf_dir)
-    return rows.groupBy("session_id").agg(F.count("*").alias("input"), F.countDistinct("cluster").alias("clusters"), F.countDistinct("old_label").alias("online_labels"))
+    """Rows, clusters, noise before it was absorbed, online labels, and events for each window of 2 s that has any."""
+    used = _utterances(spark, sf_dir)
+    rows = clustering.final_recluster(used)
+    counts = rows.groupBy("session_id").agg(F.count("*").alias("input"), F.countDistinct("cluster").alias("clusters"), F.count_if("noise").alias("noise"), F.countDistinct("old_label").alias("online_labels"))
+    windows = used.groupBy("session_id").agg((F.count("*") / F.countDistinct(F.floor(F.col("t_start") / 2))).alias("events_per_window"))
+    return counts.join(windows, "session_id")
 
 
 @query()
 def t6_online_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _utterances(spark, sf_dir).withColumn("win", F.floor(F.col("t_start") / 2)).withColumn("activity", F.least(F.coalesce(F.col("t_end") - F.col("t_start"), F.lit(0.0)) / 2, F.lit(1.0)))
-    return clustering.online_labels(rows, "session_id", "win", "utterance_id", "embedding", "activity", delta_new=0.5)
+    return clustering.online_labels(rows, "session_id", "win", "utterance_id", "embedding", "activity", delta_new=0.5, tau_active=0.1)
 
 
 @query()
 def t11_identify_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _utterances(spark, sf_dir).withColumn("seconds", F.coalesce(F.col("t_end") - F.col("t_start"), F.lit(0.0)))
-    return clustering.identify_phrases(rows, "session_id", "utterance_id", "embedding", "seconds")
+    """Registered speakers first, then stored ones, then the letters of the session."""
+    tiers = j3_three_tier_identify(spark, sf_dir).select(F.col("segment_id").alias("utterance_id"), F.regexp_replace("speaker", "#.*$", "").alias("known"))
+    rows = _utterances(spark, sf_dir).withColumn("seconds", F.coalesce(F.col("t_end") - F.col("t_start"), F.lit(0.0))).join(tiers, "utterance_id")
+    return clustering.identify_phrases(rows, "session_id", "utterance_id", "embedding", "seconds", known="known")
 
 
 @query("""SELECT DISTINCT name, TRY_CAST(nullif(regexp_extract(name, '^anon_(\\d+)$', 1), '') AS BIGINT) AS number, CASE WHEN name SIMILAR TO 'anon_[0-9]+' THEN printf('anon_%03d', CAST(regexp_extract(name, '^anon_([0-9]+)$', 1) AS INT) + 1) END AS following FROM speaker""".replace("\\\\", "\\"))

@@ -1,12 +1,14 @@
-"""A store of speaker profiles on immutable snapshots: each change writes a new version and then moves a pointer.
+"""A store of speaker profiles on immutable snapshots: each change writes a new version and marks it complete.
 
-One writer at a time; readers keep the version they opened. Profiles are unique by name and model.
+One writer at a time; readers take the highest complete version and keep the one they opened. A writer that is
+lost leaves a version without mark, which nobody reads and whose number is not used again. Profiles are unique
+by name and model.
 """
 
 from __future__ import annotations
 
-import json
 import os
+import re
 import time
 import uuid
 
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import anon_number
-from .functions.vector import cosine, l2_normalize, mean_vectors
+from .functions.vector import cosine, l2_normalize, mean_vectors, unit
 
 SPEAKERS = "speaker_id string, name string, origin string, embedding_dim int, model_id string, registered_at double, first_seen double, last_seen double, utterance_count bigint"
 VECTORS = "speaker_id string, seq bigint, embedding array<double>"
@@ -33,7 +35,6 @@ class SpeakerStore:
 
     def __init__(self, spark: SparkSession, root: str, dim: int, model_id: str):
         self.spark, self.root, self.dim, self.model_id = spark, root.rstrip("/"), dim, model_id
-        self._pointer = self._path("CURRENT")
 
     @staticmethod
     def from_url(spark: SparkSession, url: str, dim: int, model_id: str) -> "SpeakerStore":
@@ -55,12 +56,17 @@ class SpeakerStore:
     def _path(self, name: str) -> str:
         return os.path.join(self.root, name)
 
+    def _versions(self) -> list[int]:
+        """Numbers of all versions begun, ascending."""
+        fs, jvm = self._fs()
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n))
+
     def _version(self) -> int:
+        """The highest complete version; 0 if there is none."""
         fs, jvm = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path(self._pointer)
-        if not fs.exists(path):
-            return 0
-        return json.loads(self.spark.read.text(self._pointer, wholetext=True).first()[0])["version"]
+        return next((v for v in reversed(self._versions()) if fs.exists(jvm.org.apache.hadoop.fs.Path(self._path(f"v{v}/_DONE")))), 0)
 
     def init_schema(self) -> None:
         """Create empty tables; does nothing if they are there."""
@@ -74,16 +80,28 @@ class SpeakerStore:
         return tuple(self.spark.read.parquet(self._path(f"v{v}/{t}")) for t in ("speakers", "vectors", "centroids"))
 
     def _write(self, speakers: DataFrame, vectors: DataFrame, centroids: DataFrame) -> None:
-        v = self._version() + 1
+        v = max(self._versions(), default=0) + 1
         for name, df in (("speakers", speakers), ("vectors", vectors), ("centroids", centroids)):
             df.write.mode("overwrite").parquet(self._path(f"v{v}/{name}"))
         fs, jvm = self._fs()
-        new, path = jvm.org.apache.hadoop.fs.Path(self._path(f"CURRENT-{v}")), jvm.org.apache.hadoop.fs.Path(self._pointer)
-        out = fs.create(new, True)
-        out.writeBytes(json.dumps({"version": v}))
-        out.close()
-        fs.delete(path, False)
-        fs.rename(new, path)
+        fs.create(jvm.org.apache.hadoop.fs.Path(self._path(f"v{v}/_DONE")), False).close()
+
+    def load(self, speakers: DataFrame, vectors: DataFrame) -> None:
+        """Add many profiles and their vectors at once; two of one name and model, or a name that is taken, are an error.
+
+        ``speakers`` and ``vectors`` have the store's columns. Equal rows count once.
+        """
+        have, own, centroids = self._tables()
+        new = speakers.select(have.columns).distinct()
+        both = have.unionByName(new)
+        if both.groupBy("name", "model_id").count().where("count > 1").limit(1).count():
+            raise IntegrityError("a name is taken for its model")
+        added = vectors.select(own.columns).distinct()
+        models = new.select("speaker_id", "model_id")
+        sound = added.join(models.select("speaker_id"), "speaker_id", "left_semi").withColumn("u", unit(F.col("embedding")))
+        means = mean_vectors(sound, ["speaker_id"], "u").join(models, "speaker_id")
+        made = means.select("speaker_id", l2_normalize(F.col("mean")).alias("centroid"), "model_id", F.lit(time.time()).alias("updated_at"))
+        self._write(both, own.unionByName(added), centroids.unionByName(made))
 
     def _check(self, vector: list[float]) -> list[float]:
         if len(vector) != self.dim:
