@@ -298,7 +298,11 @@ def t8_count_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.count_triggers(events(spark, sf_dir), ["user_id"], ["us", "event_id"], 10).select("event_id", "batch")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEGMENTS}, x AS (SELECT session_id, s / 1000 AS t, row_number() OVER (PARTITION BY session_id ORDER BY s, segment_id) AS i FROM g),
+f AS (SELECT session_id, i, t, CAST(1 AS BIGINT) AS n, t AS since, false AS fires FROM x WHERE i = 1
+  UNION ALL SELECT x.session_id, x.i, x.t, CASE WHEN f.n + 1 >= 10 OR x.t - f.since >= 30 THEN 0 ELSE f.n + 1 END, CASE WHEN f.n + 1 >= 10 OR x.t - f.since >= 30 THEN x.t ELSE f.since END, f.n + 1 >= 10 OR x.t - f.since >= 30
+  FROM f JOIN x ON x.session_id = f.session_id AND x.i = f.i + 1)
+SELECT session_id, t AS fired FROM f WHERE fires""")
 def t8_adaptive_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segments(spark, sf_dir).withColumn("at", F.col("s") / 1000)
     return sequence.adaptive_triggers(rows, ["session_id"], ["s", "segment_id"], "at", 10, 30.0)

@@ -66,11 +66,11 @@ def a10_resource_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.max("value").alias("peak"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value") * 1e6 / 1e6, 6).alias("peak_mb"))
 
 
-@query(f"""WITH {SEGMENTS} SELECT session_id, label, CAST(sum(e - s) AS BIGINT) AS total_ms, count(*) AS utterances, string_agg(CAST(segment_id AS VARCHAR), ',' ORDER BY segment_id) AS ids, round(avg(confidence), 6) AS confidence FROM g GROUP BY session_id, label""")
+@query(f"""WITH {SEGMENTS} SELECT session_id, label, CAST(sum(e - s) AS BIGINT) AS total_ms, count(*) AS utterances, string_agg(CAST(segment_id AS VARCHAR), ',' ORDER BY segment_id) AS ids, round(avg(confidence), 12) AS confidence FROM g GROUP BY session_id, label""")
 def a4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("segment_id")), lambda x: x.cast("string")), ",")
     return segments(spark, sf_dir).groupBy("session_id", "label").agg(
-        F.sum(F.col("e") - F.col("s")).alias("total_ms"), F.count("*").alias("utterances"), ids.alias("ids"), F.round(F.avg("confidence"), 6).alias("confidence")
+        F.sum(F.col("e") - F.col("s")).alias("total_ms"), F.count("*").alias("utterances"), ids.alias("ids"), F.round(F.avg("confidence"), 12).alias("confidence")
     )
 
 

@@ -136,13 +136,13 @@ def j13_label_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SEGMENTS}, x AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY session_id, label ORDER BY s, segment_id) <= 1000 THEN 0 ELSE 1 END AS o FROM g),
 i AS (SELECT *, sum(o) OVER (PARTITION BY session_id, label ORDER BY s, segment_id ROWS UNBOUNDED PRECEDING) AS k FROM x)
-SELECT session_id, label, min(s) AS s, round(avg(confidence), 6) AS confidence, count(*) AS segments FROM i GROUP BY session_id, label, k""")
+SELECT session_id, label, min(s) AS s, round(avg(confidence), 12) AS confidence, count(*) AS segments FROM i GROUP BY session_id, label, k""")
 def a11_run_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.sequence import islands
 
     line = Window.partitionBy("session_id", "label").orderBy("s", "segment_id")
     runs = islands(segments(spark, sf_dir), ["session_id", "label"], ["s", "segment_id"], F.col("s") - F.lag("e").over(line) > 1000)
-    return runs.groupBy("session_id", "label", "island").agg(F.min("s").alias("s"), F.round(F.avg("confidence"), 6).alias("confidence"), F.count("*").alias("segments")).drop("island")
+    return runs.groupBy("session_id", "label", "island").agg(F.min("s").alias("s"), F.round(F.avg("confidence"), 12).alias("confidence"), F.count("*").alias("segments")).drop("island")
 
 
 @query(f"""WITH {SEGMENTS} SELECT session_id, count(DISTINCT label) FILTER (label LIKE 'stored:%') AS stored, count(DISTINCT label) FILTER (label LIKE 'registered:%') AS registered, count(DISTINCT label) FILTER (label LIKE 'auto:%') AS auto FROM g GROUP BY session_id""")
