@@ -25,12 +25,12 @@ def within_caps(weights: np.ndarray, caps: np.ndarray, total: float) -> np.ndarr
     return np.minimum(out, caps)
 
 
-def rake(cells: list[dict], shares: dict[str, float], repeats: dict[str, int], others: list[str], rounds: int = 1_000) -> tuple[np.ndarray, dict[str, float]]:
+def rake(cells: list[dict], shares: dict[str, float], repeats: dict[str, int], others: list[str], rounds: int = 1_000, marginals: dict[str, dict[str, float]] | None = None) -> tuple[np.ndarray, dict[str, float]]:
     """Copies of each cell's documents, and the source shares aimed at.
 
     ``cells`` have ``source``, ``tokens`` and the ``others``. Sources with tokens keep their proportions of
     ``shares``; the total is the largest that no source needs more than its repeats for. Weights are fitted
-    to the marginals of ``others`` in the corpus and to the sources in turn, each within its caps; the
+    to the marginals of ``others`` (shares by value in ``marginals``, else the corpus's own) and to the sources in turn, each within its caps; the
     sources come last, so their shares hold exactly. Marginals that can't all be met within the caps never
     settle: after ``rounds`` rounds a warning says how much weight still moves.
     """
@@ -44,12 +44,17 @@ def rake(cells: list[dict], shares: dict[str, float], repeats: dict[str, int], o
     total = min(repeats[s] * sizes[s] / w for s, w in aim.items())
     caps = np.array([repeats.get(s, 0) * t if s in aim else 0.0 for s, t in zip(source, tokens)])
     weights = np.where(caps > 0, tokens, 0.0)
-    groups = [(np.array([str(c[o]) for c in cells], object)) for o in others]
+    groups = []
+    for o in others:
+        names = np.array([str(c[o]) for c in cells], object)
+        given, found = (marginals or {}).get(o), {n: tokens[(names == n) & (caps > 0)].sum() for n in sorted(set(names.tolist()))}
+        wanted = {n: given.get(n, 0.0) if given else t for n, t in found.items()}
+        groups.append((names, {n: w / max(sum(wanted.values()), 1e-300) for n, w in wanted.items()}))
     for _ in range(rounds):
-        for names in groups:
-            for name in sorted(set(names.tolist())):
+        for names, wanted in groups:
+            for name, share in wanted.items():
                 at = names == name
-                target = tokens[at & (caps > 0)].sum() / max(tokens[caps > 0].sum(), 1e-300) * total
+                target = share * total
                 if weights[at].sum() > 0:
                     weights[at] = within_caps(weights[at], caps[at], min(target, caps[at].sum()))
         was = weights.copy()
@@ -63,11 +68,12 @@ def rake(cells: list[dict], shares: dict[str, float], repeats: dict[str, int], o
     return np.where(tokens > 0, weights / np.maximum(tokens, 1e-300), 0.0), aim
 
 
-def mix_sources(docs: DataFrame, targets: list[tuple[str, float, int]], others: list[str], id_: str = "doc_id", max_cells: int = 200_000) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: list[tuple[str, float, int]], others: list[str], id_: str = "doc_id", max_cells: int = 200_000, marginals: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Documents in the mix: ``id_``, ``source``, the ``others``, ``tokens``, ``copies`` (1 up to the source's most repeats).
 
-    ``docs`` has ``id_`` (unique), ``source``, ``tokens`` and the columns ``others``, whose marginals in the
-    corpus are kept as far as the sources allow; it is read more than once and should be cut. ``targets``
+    ``docs`` has ``id_`` (unique), ``source``, ``tokens`` and the columns ``others``, whose marginals, those in
+    the corpus or shares given in ``marginals`` (a value not named there gets none), are kept as far as the
+    sources allow; it is read more than once and should be cut. ``targets``
     are source, share and most repeats. A source without tokens drops out and the others keep their
     proportions; documents of other sources, and those with null or no tokens, are not used. Null in
     ``others`` is a value of its own. An empty table gives an empty mix; other columns are ignored.
@@ -83,7 +89,7 @@ def mix_sources(docs: DataFrame, targets: list[tuple[str, float, int]], others:
     if len(sums) > max_cells:
         raise ValueError(f"more than {max_cells} cells of {cell}")
     cells = [r.asDict() for r in sums]
-    copies, _ = rake(cells, shares, repeats, others)
+    copies, _ = rake(cells, shares, repeats, others, marginals=marginals)
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"__c{i} {kinds[c]}" for i, c in enumerate(cell)) + ", rate double"

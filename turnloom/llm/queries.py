@@ -188,7 +188,17 @@ _SPOKEN_SQL = rf"""w AS (SELECT *, string_split_regex(regexp_replace(regexp_repl
 s AS (SELECT * FROM w WHERE len(list_filter(words, lambda x: regexp_replace(x, '[^\pL\pN]', '', 'g') <> ''
   AND NOT regexp_full_match(lower(regexp_replace(x, '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g')), '{_FILLER_SQL}'))) > 0)"""
 
+_UNITS_SQL = """dims AS (SELECT model_id, max(embedding_dim) AS dim FROM speaker WHERE model_id IS NOT NULL GROUP BY model_id),
+r AS (SELECT segment_id AS id, model_id, embedding AS v FROM (SELECT *, row_number() OVER (PARTITION BY session_id, utterance_id ORDER BY segment_id) AS d FROM speaker_segment) WHERE d = 1 UNION ALL SELECT vec_id, model_id, centroid FROM speaker_vss),
+w AS (SELECT id, model_id, list_transform(v, lambda x: CAST(x AS DOUBLE)) AS v FROM r JOIN dims USING (model_id) WHERE len(v) = dim AND NOT list_bool_or(list_transform(v, lambda x: isnan(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))),
+u AS (SELECT id, model_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM w)"""
+
 ORACLE = {
+    "p2_found": f"""
+WITH {_UNITS_SQL},
+s AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.u, b.u) AS s FROM u a JOIN u b ON a.model_id = b.model_id AND a.id <> b.id WHERE list_dot_product(a.u, b.u) >= 0.97),
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS i FROM s)
+SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM k WHERE i <= 5""",
     "p7_found": f"""
 WITH {_NAMED_SQL}, {_FINAL_SQL}, {_SPOKEN_SQL},
 m AS (SELECT s.session_id, s.transcript_id, s.t, l.clean, row_number() OVER (PARTITION BY transcript_id ORDER BY abs(s.t - l.t), seg_id) AS r
