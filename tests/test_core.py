@@ -363,3 +363,20 @@ def test_messages(spark):
     ]
     rows = messages.parse_messages(spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string")).collect()
     assert {(r.text, r.is_final, r.t_start, r.t_end) for r in rows} == {("he", False, None, None), ("hello", True, None, None), ("a", True, 1.0, 1.0), ("b", True, 2.0, 2.5)}
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 10_000])
+def test_islands_in_slices(spark, chunk):
+    r = random.Random(8)
+    rows = sorted({(r.choice(["a", None]), t := r.randrange(120), t * 2 + r.randrange(2), r.choice("xxy")) for _ in range(150)}, key=lambda x: (x[0] or "", x[1], x[2]))
+    rows = list({(k, i): (k, t, i, v) for k, t, i, v in rows}.values())
+    df = spark.createDataFrame(rows, "k string, t int, i int, v string")
+    found = sequence.sliced_islands(df, ["k"], ["t", "i"], ["v", "t"], lambda before: (F.col("v") != before("v")) | (F.col("t") - before("t") > 3), chunk).collect()
+    got = {(x.k, x.t, x.i): x.island for x in found}
+    want, last, n = {}, {}, {}
+    for k, t, i, v in sorted(rows, key=lambda x: (x[0] or "", x[1], x[2])):
+        if k not in last or last[k][1] != v or t - last[k][0] > 3:
+            n[k] = n.get(k, 0) + 1
+        last[k] = (t, v)
+        want[(k, t, i)] = n[k]
+    assert got == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,20 +15,44 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, na
     return df.withColumn("__new", F.coalesce(starts.cast("int"), F.lit(1))).withColumn(name, F.sum("__new").over(line)).drop("__new")
 
 
-def active_runs(frames: DataFrame, keys: list[str], frame: str, max_gap: int = 10) -> DataFrame:
+def sliced_islands(df: DataFrame, keys: list[str], order: list[str], uses: list[str], starts: Callable[[Callable[[str], Column]], Column], chunk: int, name: str = "island") -> DataFrame:
+    """``islands`` of a key with any number of rows: slices of ``chunk`` units of the first column of ``order`` are tasks of their own.
+
+    ``starts`` is given a function from a column in ``uses`` to its value in the row before, which for the
+    first row of a slice is the last one of the slice before it; a key's first row always starts an island.
+    Only one row a slice passes between slices: its last row, and how many islands start in it.
+    """
+    slices = [*keys, "__c"]
+    placed = df.withColumn("__c", F.floor(F.col(order[0]) / chunk)).withColumn("__here", F.struct(*uses))
+    line, earlier = Window.partitionBy(*slices).orderBy(*order), Window.partitionBy(*keys).orderBy("__c")
+
+    def beside(rows: DataFrame, found: DataFrame, value: str) -> DataFrame:
+        named = found.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(slices)], value)
+        return rows.join(named, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(slices)]).drop(*[f"__k{i}" for i in range(len(slices))])
+
+    tails = placed.groupBy(*slices).agg(F.max_by("__here", F.struct(*order)).alias("__tail")).withColumn("__prev", F.lag("__tail").over(earlier))
+    seen = beside(placed, tails, "__prev").withColumn("__before", F.coalesce(F.lag("__here").over(line), "__prev"))
+    new = F.when(F.col("__before").isNull(), 1).otherwise(F.coalesce(starts(lambda c: F.col(f"__before.{c}")).cast("int"), F.lit(1)))
+    marked = seen.withColumn("__new", new)
+    counts = marked.groupBy(*slices).agg(F.sum("__new").alias("__n")).withColumn("__shift", F.coalesce(F.sum("__n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    whole = beside(marked, counts, "__shift")
+    island = F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__shift")
+    return whole.withColumn(name, island).drop("__c", "__here", "__prev", "__before", "__new", "__shift")
+
+
+def active_runs(frames: DataFrame, keys: list[str], frame: str, max_gap: int = 10, chunk: int = 10_000) -> DataFrame:
     """Runs of active frames: ``keys``, ``first_frame``, ``last_frame``, ``frames``; a step of more than ``max_gap`` starts a new one."""
-    line = Window.partitionBy(*keys).orderBy(frame)
-    gap = F.col(frame) - F.lag(frame).over(line)
-    return islands(frames, keys, [frame], gap > max_gap).groupBy(*keys, "island").agg(
+    return sliced_islands(frames, keys, [frame], [frame], lambda before: F.col(frame) - before(frame) > max_gap, chunk).groupBy(*keys, "island").agg(
         F.min(frame).alias("first_frame"), F.max(frame).alias("last_frame"), F.count("*").alias("frames")
     ).drop("island")
 
 
-def merge_consecutive(df: DataFrame, keys: list[str], order: list[str], label: str, start: str, end: str, text: str) -> DataFrame:
-    """Consecutive rows with one label as one: ``keys``, ``label``, ``start``, ``end`` (the largest), ``text`` joined by blanks, ``parts``."""
-    line = Window.partitionBy(*keys).orderBy(*order)
-    same = F.col(label).eqNullSafe(F.lag(label).over(line)) & (F.row_number().over(line) > 1)
-    numbered = islands(df, keys, order, ~same)
+def merge_consecutive(df: DataFrame, keys: list[str], order: list[str], label: str, start: str, end: str, text: str, chunk: int) -> DataFrame:
+    """Consecutive rows with one label as one: ``keys``, ``label``, ``start``, ``end`` (the largest), ``text`` joined by blanks, ``parts``.
+
+    ``chunk`` is the length of a slice in units of the first column of ``order``.
+    """
+    numbered = sliced_islands(df, keys, order, [label], lambda before: ~F.col(label).eqNullSafe(before(label)), chunk)
     ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__t"))))
     return numbered.groupBy(*keys, "island").agg(
         F.min(label).alias(label), F.min(start).alias(start), F.max(end).alias(end), F.array_join(F.transform(ordered, lambda s: s["__t"]), " ").alias(text), F.count("*").alias("parts")
@@ -51,7 +75,7 @@ def split_phrases(words: DataFrame, keys: list[str], order: list[str], start: st
     return parted.withColumn("reason", F.max("__why").over(own)).drop("__why")
 
 
-def last_write_runs(segments: DataFrame, keys: list[str], seq: str, start: str, end: str, label: str, step: int) -> DataFrame:
+def last_write_runs(segments: DataFrame, keys: list[str], seq: str, start: str, end: str, label: str, step: int, chunk: int = 10_000) -> DataFrame:
     """What a reader of frames sees: each frame has the label written last; runs of equal labels of consecutive frames.
 
     ``step`` is a frame's length in the unit of the times. Result: ``keys``, ``label``, ``first_frame``, ``end_frame``.
@@ -59,9 +83,8 @@ def last_write_runs(segments: DataFrame, keys: list[str], seq: str, start: str,
     span = F.sequence(F.floor(F.col(start) / step), F.floor(F.col(end) / step))
     frames = segments.where(F.col(end) >= F.col(start)).select(*keys, F.explode(span).alias("frame"), seq, label)
     winner = frames.groupBy(*keys, "frame").agg(F.max_by(label, seq).alias(label))
-    line = Window.partitionBy(*keys).orderBy("frame")
-    same = F.col(label).eqNullSafe(F.lag(label).over(line)) & (F.col("frame") - F.lag("frame").over(line) == 1)
-    return islands(winner, keys, ["frame"], ~same).groupBy(*keys, "island").agg(
+    parts = sliced_islands(winner, keys, ["frame"], ["frame", label], lambda before: ~(F.col(label).eqNullSafe(before(label)) & (F.col("frame") - before("frame") == 1)), chunk)
+    return parts.groupBy(*keys, "island").agg(
         F.min(label).alias(label), F.min("frame").alias("first_frame"), (F.max("frame") + 1).alias("end_frame")
     ).drop("island")
 

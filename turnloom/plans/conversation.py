@@ -129,7 +129,7 @@ i AS (SELECT *, sum(o) OVER (PARTITION BY session_id ORDER BY ss, seg_id ROWS UN
 SELECT session_id, min(label) AS label, min(ss) AS ss, max(se) AS se, string_agg(CAST(seg_id AS VARCHAR), ' ' ORDER BY ss, seg_id) AS ids, count(*) AS parts FROM i GROUP BY session_id, k""")
 def w2_merge_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir).withColumn("ids", F.col("seg_id").cast("string"))
-    return sequence.merge_consecutive(rows, ["session_id"], ["ss", "seg_id"], "label", "ss", "se", "ids")
+    return sequence.merge_consecutive(rows, ["session_id"], ["ss", "seg_id"], "label", "ss", "se", "ids", 600 * MICROS)
 
 
 @query(f"""WITH p AS (SELECT *, sum(CASE WHEN is_final THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY seq, transcript_id ROWS UNBOUNDED PRECEDING) AS phrase FROM {RECORDS} WHERE is_final IS NOT NULL),

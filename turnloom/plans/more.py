@@ -138,10 +138,9 @@ def j13_label_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 i AS (SELECT *, sum(o) OVER (PARTITION BY session_id, label ORDER BY s, segment_id ROWS UNBOUNDED PRECEDING) AS k FROM x)
 SELECT session_id, label, min(s) AS s, round(avg(confidence), 12) AS confidence, count(*) AS segments FROM i GROUP BY session_id, label, k""")
 def a11_run_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.sequence import islands
+    from ..operators.sequence import sliced_islands
 
-    line = Window.partitionBy("session_id", "label").orderBy("s", "segment_id")
-    runs = islands(segments(spark, sf_dir), ["session_id", "label"], ["s", "segment_id"], F.col("s") - F.lag("e").over(line) > 1000)
+    runs = sliced_islands(segments(spark, sf_dir), ["session_id", "label"], ["s", "segment_id"], ["e"], lambda before: F.col("s") - before("e") > 1000, 3_600_000)
     return runs.groupBy("session_id", "label", "island").agg(F.min("s").alias("s"), F.round(F.avg("confidence"), 12).alias("confidence"), F.count("*").alias("segments")).drop("island")
 
 
