@@ -380,3 +380,17 @@ def test_islands_in_slices(spark, chunk):
         last[k] = (t, v)
         want[(k, t, i)] = n[k]
     assert got == want
+
+
+@pytest.mark.parametrize("chunk", [3, 1_000])
+def test_ordinals_and_inherited_labels_in_slices(spark, chunk):
+    r = random.Random(2)
+    rows = [(k, t, i, r.choice("pq"), r.choice([0.1, 0.5])) for i, (k, t) in enumerate((r.choice("ab"), r.randrange(40)) for _ in range(60))]
+    df = spark.createDataFrame(rows, "k string, t int, i int, v string, d double")
+    place = {x.i: x.n for x in sequence.ordinals(df, ["k"], ["t", "i"], "n", chunk).collect()}
+    found = {x.i: x.inherited for x in sequence.inherited_labels(df, ["k"], ["t", "i"], "v", F.col("d"), chunk=chunk).collect()}
+    n, last = {}, {}
+    for k, t, i, v, d in sorted(rows, key=lambda x: (x[0], x[1], x[2])):
+        n[k] = n.get(k, 0) + 1
+        last[k] = v if d >= 0.3 or k not in last else last[k]
+        assert place[i] == n[k] and found[i] == last[k]

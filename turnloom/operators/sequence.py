@@ -15,6 +15,30 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, na
     return df.withColumn("__new", F.coalesce(starts.cast("int"), F.lit(1))).withColumn(name, F.sum("__new").over(line)).drop("__new")
 
 
+def _beside(rows: DataFrame, found: DataFrame, slices: list[str], value: str) -> DataFrame:
+    """``rows`` with what ``found`` has for their slice in ``value``."""
+    named = found.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(slices)], value)
+    return rows.join(named, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(slices)]).drop(*[f"__k{i}" for i in range(len(slices))])
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, chunk: int) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over a key's rows up to this one, in slices of ``chunk`` units of the first column of ``order``.
+
+    A slice is a task of its own; only its total passes to the slices after it.
+    """
+    slices = [*keys, "__c"]
+    placed = df.withColumn("__c", F.floor(F.col(order[0]) / chunk)).withColumn("__v", value)
+    earlier = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*slices).agg(F.sum("__v").alias("__n")).withColumn("__shift", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    line = Window.partitionBy(*slices).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return _beside(placed, totals, slices, "__shift").withColumn(name, F.sum("__v").over(line) + F.col("__shift")).drop("__c", "__v", "__shift")
+
+
+def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str, chunk: int) -> DataFrame:
+    """``df`` with ``name``: the place (from 1) of a row among those of its key, worked in slices as in ``running_sum``."""
+    return running_sum(df, keys, order, F.lit(1).cast("long"), name, chunk)
+
+
 def sliced_islands(df: DataFrame, keys: list[str], order: list[str], uses: list[str], starts: Callable[[Callable[[str], Column]], Column], chunk: int, name: str = "island") -> DataFrame:
     """``islands`` of a key with any number of rows: slices of ``chunk`` units of the first column of ``order`` are tasks of their own.
 
@@ -26,16 +50,12 @@ def sliced_islands(df: DataFrame, keys: list[str], order: list[str], uses: list[
     placed = df.withColumn("__c", F.floor(F.col(order[0]) / chunk)).withColumn("__here", F.struct(*uses))
     line, earlier = Window.partitionBy(*slices).orderBy(*order), Window.partitionBy(*keys).orderBy("__c")
 
-    def beside(rows: DataFrame, found: DataFrame, value: str) -> DataFrame:
-        named = found.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(slices)], value)
-        return rows.join(named, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(slices)]).drop(*[f"__k{i}" for i in range(len(slices))])
-
     tails = placed.groupBy(*slices).agg(F.max_by("__here", F.struct(*order)).alias("__tail")).withColumn("__prev", F.lag("__tail").over(earlier))
-    seen = beside(placed, tails, "__prev").withColumn("__before", F.coalesce(F.lag("__here").over(line), "__prev"))
+    seen = _beside(placed, tails, slices, "__prev").withColumn("__before", F.coalesce(F.lag("__here").over(line), "__prev"))
     new = F.when(F.col("__before").isNull(), 1).otherwise(F.coalesce(starts(lambda c: F.col(f"__before.{c}")).cast("int"), F.lit(1)))
     marked = seen.withColumn("__new", new)
     counts = marked.groupBy(*slices).agg(F.sum("__new").alias("__n")).withColumn("__shift", F.coalesce(F.sum("__n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    whole = beside(marked, counts, "__shift")
+    whole = _beside(marked, counts, slices, "__shift")
     island = F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__shift")
     return whole.withColumn(name, island).drop("__c", "__here", "__prev", "__before", "__new", "__shift")
 
@@ -125,10 +145,9 @@ def covered_time(df: DataFrame, keys: list[str], start: str, end: str, chunk: in
     )
 
 
-def phrase_numbers(rows: DataFrame, keys: list[str], order: list[str], final: str) -> DataFrame:
-    """Final rows with ``phrase``: how many partial rows of their key came before."""
-    line = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("phrase", F.sum(F.when(F.col(final), 0).otherwise(1)).over(line)).where(F.col(final))
+def phrase_numbers(rows: DataFrame, keys: list[str], order: list[str], final: str, chunk: int = 1_000) -> DataFrame:
+    """Final rows with ``phrase``: how many partial rows of their key came before (see ``running_sum``)."""
+    return running_sum(rows, keys, order, F.when(F.col(final), 0).otherwise(1), "phrase", chunk).where(F.col(final))
 
 
 def phrase_parts(words: DataFrame, phrase: list[str], order: list[str], start: str, end: str, text: str, max_gap: int) -> DataFrame:
@@ -165,11 +184,22 @@ def first_time_of_labels(df: DataFrame, keys: list[str], order: list[str], label
     return df.select(*keys).distinct().join(reached, keys, "left")
 
 
-def inherited_labels(df: DataFrame, keys: list[str], order: list[str], label: str, seconds: Column, least: float = 0.3) -> DataFrame:
-    """``df`` with ``inherited``: a row shorter than ``least`` takes over the label of the last longer one; the first keeps its own."""
-    line = Window.partitionBy(*keys).orderBy(*order)
-    own = F.when((seconds >= least) | (F.row_number().over(line) == 1), F.col(label))
-    return df.withColumn("__own", own).withColumn("inherited", F.last_value("__own", ignoreNulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("__own")
+def inherited_labels(df: DataFrame, keys: list[str], order: list[str], label: str, seconds: Column, least: float = 0.3, chunk: int = 3_600_000) -> DataFrame:
+    """``df`` with ``inherited``: a row shorter than ``least`` takes over the label of the last longer one; the first keeps its own.
+
+    Worked in slices of ``chunk`` units of the first column of ``order``; what a slice holds last passes on.
+    """
+    slices = [*keys, "__c"]
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"))
+    placed = _beside(df.withColumn("__c", F.floor(F.col(order[0]) / chunk)), first, keys, "__first")
+    own = F.when((seconds >= least) | (F.struct(*order) == F.col("__first")), F.struct(F.col(label).alias("v")))
+    marked = placed.withColumn("__own", own)
+    line = Window.partitionBy(*slices).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    held = marked.groupBy(*slices).agg(F.max_by("__own", F.when(F.col("__own").isNotNull(), F.struct(*order))).alias("__tail"))
+    carried = held.withColumn("__carry", F.last_value("__tail", ignoreNulls=True).over(earlier))
+    found = F.coalesce(F.last_value("__own", ignoreNulls=True).over(line), "__carry")["v"]
+    return _beside(marked, carried, slices, "__carry").withColumn("inherited", found).drop("__c", "__first", "__own", "__carry")
 
 
 def speech_commits(frames: DataFrame, keys: list[str], frame: str, speech: str, silent_frames: int) -> DataFrame:

@@ -191,7 +191,8 @@ def w8_initial_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT segment_id, format('utt-{:03d}', row_number() OVER (PARTITION BY session_id ORDER BY ingest_ts, segment_id)) AS utterance FROM """ + UTTERANCES)
 def w9_ordinal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = first_rows(spark, sf_dir, "speaker_segment").select("segment_id", "session_id", "ingest_ts")
-    return rows.select("segment_id", text.utterance_id(F.expr("row_number() over (partition by session_id order by ingest_ts, segment_id)")).alias("utterance"))
+    placed = sequence.ordinals(rows.withColumn("at", F.unix_micros("ingest_ts")), ["session_id"], ["at", "segment_id"], "n", 600 * MICROS)
+    return placed.select("segment_id", text.utterance_id(F.col("n")).alias("utterance"))
 
 
 @query(f"""WITH {SEGMENTS}, x AS (SELECT *, CASE WHEN (e - s) / 1000 >= 0.3 OR row_number() OVER (PARTITION BY session_id ORDER BY s, segment_id) = 1 THEN label END AS own FROM g)
