@@ -394,3 +394,13 @@ def test_ordinals_and_inherited_labels_in_slices(spark, chunk):
         n[k] = n.get(k, 0) + 1
         last[k] = v if d >= 0.3 or k not in last else last[k]
         assert place[i] == n[k] and found[i] == last[k]
+
+
+def test_both_tiers_in_one_pass_and_apart(spark):
+    r = np.random.default_rng(6)
+    unit = lambda n: [(v / np.linalg.norm(v)).tolist() for v in r.standard_normal((n, 4))]
+    probes = spark.createDataFrame([(i, "m", v) for i, v in enumerate(unit(40))] + [(99, "x", [1.0])], "id int, m string, v array<double>")
+    known = lambda n, name: spark.createDataFrame([(f"{name}{i}", "m", v) for i, v in enumerate(unit(n))], "who string, m string, w array<double>")
+    a, b = known(5, "r"), known(9, "s")
+    found = [sorted((x.id, x.tier, x.who, x.similarity and round(x.similarity, 9)) for x in joins.three_tiers(probes, a, b, "id", "v", "who", "w", 0.6, 0.7, on=["m"], max_bytes=m).collect()) for m in (64 << 20, 8)]
+    assert found[0] == found[1] and {x[1] for x in found[0]} == {"registered", "stored", "none"} and len(found[0]) == 41

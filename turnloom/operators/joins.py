@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,37 +20,31 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: t
     Both sides are spread over the time buckets they touch, joined on key and bucket, and a pair is kept in
     the first bucket it shares: an equi-join, which a hot key does not skew beyond its bucket. ``bucket``
     should be near the usual length. An interval that touches more than ``most`` buckets (a damaged end) is
-    placed on a level of buckets 64 times as long, or 64 times that, where it touches few; the other side
-    looks for it on the levels that occur. Apart from ``keys`` the sides' columns must differ in name. Rows
+    placed in buckets 64 times as long instead; every row of the other side looks for such ones in one or
+    two of these, where only long ones are met. Apart from ``keys`` the sides' columns must differ in name. Rows
     with a null or empty interval, or a null key, match nothing; ``left`` keeps them, with nulls on the right
     (``left`` is then written once, so that its rows keep their numbers).
     """
     ls, le = (F.col(c) for c in left_on)
     rs, re_ = (F.col(c) for c in right_on)
-    lengths = [bucket * 64**i for i in range(6)]
+    wide = bucket * 64
 
     def touched(s: Column, e: Column, width: int) -> Column:
-        return F.floor((e - 1) / width) - F.floor(s / width) + 1
+        return F.sequence(F.floor(s / width), F.floor((e - 1) / width))
 
-    def level(s: Column, e: Column) -> Column:
-        out = F.lit(len(lengths) - 1)
-        for i in range(len(lengths) - 2, -1, -1):
-            out = F.when(touched(s, e, lengths[i]) <= most, F.lit(i)).otherwise(out)
-        return out
-
-    def spread(df: DataFrame, s: Column, e: Column) -> DataFrame:
-        """One row for each level from its own up, and each bucket touched there."""
-        placed = df.where(e > s).withColumn("__own", level(s, e))
-        widths = F.array(*[F.lit(w).cast("long") for w in lengths])
-        up = placed.withColumn("__level", F.explode(F.sequence(F.col("__own"), F.lit(len(lengths) - 1)))).withColumn("__w", F.element_at(widths, F.col("__level") + 1))
-        return up.withColumn("__b", F.explode(F.sequence(F.floor(s / F.col("__w")), F.floor((e - 1) / F.col("__w")))))
+    def spread(df: DataFrame, s: Column, e: Column, long_roles: list[int], short_role: int) -> DataFrame:
+        """One row for each role and bucket: short intervals in usual buckets (role 0) and, to be met by long ones of the other side, in one wide bucket."""
+        long = F.floor((e - 1) / bucket) - F.floor(s / bucket) >= most
+        placed = lambda role, width: F.transform(touched(s, e, width), lambda b: F.struct(F.lit(role).alias("r"), b.alias("b")))
+        keys_of = F.when(long, F.concat(*[placed(r, wide) for r in long_roles])).otherwise(F.concat(placed(0, bucket), placed(short_role, wide)))
+        return df.where(e > s).withColumn("__k", F.explode(keys_of)).withColumn("__r", F.col("__k.r")).withColumn("__b", F.col("__k.b")).drop("__k")
 
     numbered = cut(left.withColumn("__row", F.monotonically_increasing_id())) if how == "left" else left
-    a = spread(numbered, ls, le).withColumnRenamed("__own", "__own1").drop("__w")
-    b = spread(right, rs, re_).withColumnRenamed("__own", "__own2")
-    # A pair meets on the higher of its two own levels, in the first bucket it shares there.
-    meets = (F.col("__level") == F.greatest("__own1", "__own2")) & (ls < re_) & (rs < le) & (F.col("__b") == F.floor(F.greatest(ls, rs) / F.col("__w")))
-    pairs = a.join(b, [*keys, "__level", "__b"]).where(meets).drop("__b", "__level", "__w", "__own1", "__own2")
+    # Long ones of the left meet all of the right in role 1, short ones of the left the long ones of the right in role 2.
+    a, b = spread(numbered, ls, le, [1], 2), spread(right, rs, re_, [1, 2], 1)
+    width = F.when(F.col("__r") == 0, bucket).otherwise(wide)
+    meets = (ls < re_) & (rs < le) & (F.col("__b") == F.floor(F.greatest(ls, rs) / width))
+    pairs = a.join(b, [*keys, "__r", "__b"]).where(meets).drop("__r", "__b")
     if how == "inner":
         return pairs
     alone = numbered.join(pairs.select("__row").distinct(), "__row", "left_anti")
@@ -122,27 +117,36 @@ class _Known:
 
     def best(self, batch: pa.RecordBatch, on: list[str], probe_id: str, not_itself: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the batch that can be compared, the known row most similar to each, and how similar it is."""
-        vectors = batch.column("__p").to_pylist()
+        column = batch.column("__p")
+        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+        flat, starts = column.flatten().to_numpy(zero_copy_only=False).astype(float), np.cumsum(lengths) - lengths
         where: dict[tuple, list[int]] = {}
-        for i, (*values, v) in enumerate(zip(*[batch.column(c).to_pylist() for c in on], vectors)):
-            if v is not None:
-                where.setdefault((*values, len(v)), []).append(i)
+        for i, k in enumerate(zip(*[batch.column(c).to_pylist() for c in on], lengths.tolist())):
+            where.setdefault(k, []).append(i)
+        ids = batch.column(probe_id)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
         for k, at in where.items():
-            if k not in self.parts:
+            if k not in self.parts or not k[-1]:
                 continue
             rows, known = self.parts[k]
             for lo in range(0, len(at), 4096):
                 part = np.array(at[lo : lo + 4096])
-                s = np.array([vectors[i] for i in part], float) @ known.T
+                s = flat[starts[part, None] + np.arange(k[-1])] @ known.T
                 if not_itself:
-                    own = np.array([self.places.get(x, -1) for x in batch.column(probe_id).take(pa.array(part)).to_pylist()])
+                    own = np.array([self.places.get(x, -1) for x in ids.take(pa.array(part)).to_pylist()])
                     s[rows[None, :] == own[:, None]] = -np.inf
                 top = s.argmax(axis=1)
                 out.append((part, rows[top], s[np.arange(len(part)), top]))
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _comparable(known: DataFrame, on: list[str], key: str, vector: str) -> tuple[DataFrame, int]:
+    """Known rows with a key and a vector without null or NaN (``__k``), and the bytes of all their numbers."""
+    rows = known.select(*on, F.col(key), F.col(vector).cast("array<double>").alias("__k"))
+    sound = rows.where(F.col(key).isNotNull() & F.col("__k").isNotNull() & F.forall("__k", lambda x: x.isNotNull() & ~F.isnan(x)))
+    return sound, 8 * (sound.agg(F.sum(F.size("__k"))).first()[0] or 0)
+
+
 def nearest_vector(
     probes: DataFrame, known: DataFrame, probe_id: str, probe_vector: str, known_key: str, known_vector: str, least: float, on: list[str] = (), max_bytes: int = 64 << 20, not_itself: bool = False,
 ) -> DataFrame:
@@ -157,9 +161,8 @@ def nearest_vector(
     on = list(on)
     types = dict(known.dtypes)
     schema = f"`{probe_id}` {dict(probes.dtypes)[probe_id]}, `{known_key}` {types[known_key]}, similarity double"
-    small = known.select(*on, F.col(known_key), F.col(known_vector).cast("array<double>").alias("__k")).where(F.col(known_key).isNotNull() & F.col("__k").isNotNull())
+    small, size = _comparable(known, on, known_key, known_vector)
     left = probes.select(*on, probe_id, F.col(probe_vector).cast("array<double>").alias("__p"))
-    size = 8 * (small.agg(F.sum(F.size("__k"))).first()[0] or 0)
 
     def found(have: _Known, batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, which, s = have.best(batch, on, probe_id, not_itself)
@@ -197,9 +200,32 @@ def nearest_vector(
 
 
 def three_tiers(
-    probes: DataFrame, registered: DataFrame, stored: DataFrame, probe_id: str, vector: str, key: str, known_vector: str, least_registered: float = 0.70, least_stored: float = 0.75, on: list[str] = (),
+    probes: DataFrame, registered: DataFrame, stored: DataFrame, probe_id: str, vector: str, key: str, known_vector: str, least_registered: float = 0.70, least_stored: float = 0.75, on: list[str] = (), max_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """The registered speaker of each probe, else the stored one, else null: ``probe_id``, ``tier``, ``key``, ``similarity``."""
+    """The registered speaker of each probe, else the stored one, else null: ``probe_id``, ``tier``, ``key``, ``similarity``.
+
+    As in ``nearest_vector`` the known vectors are counted; up to ``max_bytes`` a batch of probes meets both
+    tiers in one pass.
+    """
+    on = list(on)
+    (one, size1), (two, size2) = (_comparable(x, on, key, known_vector) for x in (registered, stored))
+    if size1 + size2 <= max_bytes:
+        tables = one.toArrow(), two.toArrow()  # bounded by max_bytes
+
+        def both(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tiers = [_Known(t, on, key) for t in tables]
+            for batch in batches:
+                n = batch.num_rows
+                tier, which, score = np.full(n, "none", object), np.full(n, -1), np.zeros(n)
+                for name, have, least, shift in (("stored", tiers[1], least_stored, len(tiers[0].keys)), ("registered", tiers[0], least_registered, 0)):
+                    rows, found, s = have.best(batch, on, probe_id, False)
+                    ok = s >= least
+                    tier[rows[ok]], which[rows[ok]], score[rows[ok]] = name, found[ok] + shift, s[ok]
+                keys = pa.concat_arrays([t.keys for t in tiers]).take(pa.array(which, mask=which < 0))
+                yield pa.RecordBatch.from_arrays([batch.column(probe_id), pa.array(tier, pa.string()), keys, pa.array(score, mask=which < 0)], names=[probe_id, "tier", key, "similarity"])
+
+        left = probes.select(*on, probe_id, F.col(vector).cast("array<double>").alias("__p"))
+        return left.mapInArrow(both, f"`{probe_id}` {dict(probes.dtypes)[probe_id]}, tier string, `{key}` {dict(registered.dtypes)[key]}, similarity double")
     first = nearest_vector(probes, registered, probe_id, vector, key, known_vector, least_registered, on)
     second = nearest_vector(probes, stored, probe_id, vector, key, known_vector, least_stored, on)
     one = first.select(F.col(probe_id).alias("__p1"), F.col(key).alias("__k1"), F.col("similarity").alias("__s1"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pcm, vector
 from ..operators import joins, reports
 from ..operators.clustering import SCHEDULERS
-from ..session import table
+from ..session import cut, table
 from ..sources import audio, messages, rttm
 from .conversation import FINALS, RECORDS, SEGMENTS, events, finals, first_rows, segments
 from .registry import Registry
@@ -248,7 +248,7 @@ def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.identify import matched_labels
 
     probes = usable_segments(spark, sf_dir).where(F.col("label").startswith("auto:")).select("session_id", "segment_id", "label", "t_start", "model_id", F.col("u").alias("u"))
-    known = _known(spark, sf_dir)
+    known = cut(_known(spark, sf_dir))
     pick = lambda origin: known.where(F.col("origin") == origin).select("model_id", "who", "c")
     found = joins.three_tiers(probes, pick("registered"), pick("stored"), "segment_id", "u", "who", "c", on=["model_id"])
     matched = probes.join(found.select("segment_id", F.col("who").alias("match")), "segment_id", "left")

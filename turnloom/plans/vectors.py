@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, text, vector
 from ..operators import clustering, joins
 from ..operators.deliveries import first_delivery
-from ..session import table
+from ..session import cut, table
 from .conversation import UTTERANCES
 from .training import clean_sql
 from .registry import Registry
@@ -129,7 +129,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY origin, s DE
 SELECT g.segment_id, coalesce(r.origin, 'none') AS tier, r.who AS speaker, round(r.s, 6) AS similarity FROM g LEFT JOIN r ON g.segment_id = r.segment_id AND i = 1""")
 def j3_three_tier_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All usable segments against all registered, then all stored speakers of their model."""
-    known = _known(spark, sf_dir)
+    known = cut(_known(spark, sf_dir))  # read four times: counted and fetched, for each tier
     pick = lambda origin: known.where(F.col("origin") == origin).select("model_id", F.col("who").alias("speaker"), "c")
     found = joins.three_tiers(usable_segments(spark, sf_dir), pick("registered"), pick("stored"), "segment_id", "u", "speaker", "c", on=["model_id"])
     return found.select("segment_id", "tier", "speaker", F.round("similarity", 6).alias("similarity"))
