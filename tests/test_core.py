@@ -356,6 +356,28 @@ def test_audio(spark, tmp_path):
     assert np.abs(beam - tone[:, 0]).max() <= 1
 
 
+def test_beams_of_many_chunks(spark, tmp_path, monkeypatch):
+    from turnloom.plans.surface import QUERIES
+
+    calls, steering = [], audio.steering
+    monkeypatch.setattr(audio, "steering", lambda *a: calls.append(1) or steering(*a))
+    rng = np.random.default_rng(0)
+    chunks = [rng.integers(-9999, 9999, n).astype("<i2").tobytes() for n in (0, 64, 300, 129, 128)] + [None]
+    rows = spark.createDataFrame(list(enumerate(chunks)), "i int, pcm binary")
+    place, way = [[0.0, 0.0, 0.0], [0.1, 0.0, 0.0]], [1.0, 0.0, 0.0]
+    found = {r.i: r.pcm for r in audio.beamformed(rows, "pcm", 2, place, way, 64).collect()}
+    assert len(calls) == 33  # once a frequency, not once a chunk
+    for i, c in enumerate(chunks):
+        assert found[i] is None if c is None else bytes(found[i]) == audio.delay_and_sum(c, 2, np.array(place), np.array(way), 64)
+    every = np.array([-32768, -1, 0, 1, 255, 256, 32767], "<i2")
+    assert column(spark, [every.tobytes(), b""], "binary", pcm.samples) == [every.tolist(), []]
+    # Samples below zero are heard, too.
+    heard = spark.createDataFrame([(1, "é" * 4), (2, "abcd")], "event_id bigint, props string")
+    heard.selectExpr("*", "1L AS user_id", "'a' AS event_type", "1.0D AS value", "timestamp'2026-01-01' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    first = {r.event_id: r.first for r in QUERIES["s6_beamformed"](spark, str(tmp_path)).collect()}
+    assert all(abs(first[i] - np.frombuffer(t.encode()[:2], "<i2")[0]) <= 1 for i, t in ((1, "é"), (2, "ab")))
+
+
 def test_messages(spark):
     raw = [
         '{"message_type": "partial_transcript", "text": "he"}', '{"message_type": "committed_transcript", "text": "hello"}', '{"message_type": "other"}', "no json", None,

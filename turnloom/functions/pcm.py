@@ -19,13 +19,13 @@ def check_pcm(pcm: Column, rate: Column | None = None, channels: Column | None =
 def samples(pcm: Column) -> Column:
     """Whole numbers -32768..32767 of a chunk; an odd number of bytes is an error."""
     at = F.sequence(F.lit(1), F.octet_length(pcm) - 1, F.lit(2))
-    low = lambda i: F.conv(F.hex(F.substring(pcm, i, F.lit(1))), 16, 10).cast("int")
-    value = lambda i: low(i) + low(i + 1) * 256
-    signed = lambda i: F.when(value(i) >= 32768, value(i) - 65536).otherwise(value(i))
+    # Both bytes are read at once, as high * 256 + low of the other order.
+    swapped = lambda i: F.conv(F.hex(F.substring(pcm, i, F.lit(2))), 16, 10).cast("int")
+    value = lambda v: F.shiftleft(v.bitwiseAND(255), 8).bitwiseOR(F.shiftright(v, 8)).bitwiseXOR(32768) - 32768
     return (
         F.when(F.octet_length(pcm) % 2 == 1, F.raise_error(F.lit("odd number of bytes")))
         .when(F.octet_length(pcm) == 0, F.array().cast("array<int>"))
-        .otherwise(F.transform(at, signed))
+        .otherwise(F.transform(F.transform(at, swapped), value))
     )
 
 

@@ -70,10 +70,9 @@ def s6_beamformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two microphones at one place hear the same: steered to any direction, they give it back."""
     one = F.encode(F.repeat("props", F.lit(32)), "UTF-8")
     even = F.substring(one, F.lit(1), (F.octet_length(one) / 2).cast("int") * 2)
-    both = events(spark, sf_dir).select("event_id", pcm.samples(even).alias("x")).select("event_id", F.transform("x", lambda v: F.lpad(F.hex(v), 4, "0")).alias("h"))
-    frame = F.transform("h", lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2), F.substring(h, 3, 2), F.substring(h, 1, 2)))
-    stereo = both.select("event_id", F.unhex(F.array_join(frame, "")).alias("pcm"))
-    return audio.beamformed(stereo, "pcm", 2, [[0.0, 0.0, 0.0], [0.0, 0.0, 0.0]], [1.0, 0.0, 0.0], 64).select("event_id", F.octet_length("pcm").alias("bytes"), pcm.samples(F.col("pcm"))[0].alias("first"))
+    # Each sample twice, in both channels.
+    stereo = events(spark, sf_dir).select("event_id", F.unhex(F.regexp_replace(F.hex(even), "(.{4})", "$1$1")).alias("pcm"))
+    return audio.beamformed(stereo, "pcm", 2, [[0.0, 0.0, 0.0], [0.0, 0.0, 0.0]], [1.0, 0.0, 0.0], 64).select("event_id", F.octet_length("pcm").alias("bytes"), pcm.samples(F.substring("pcm", 1, 2))[0].alias("first"))
 
 
 @query("""WITH x AS (SELECT event_id, (ord(props[1]) + 256 * ord(props[2])) / 32768.0 AS a, (ord(props[3]) + 256 * ord(props[4])) / 32768.0 AS b, (ord(props[5]) + 256 * ord(props[6])) / 32768.0 AS c, (ord(props[7]) + 256 * ord(props[8])) / 32768.0 AS d FROM events)

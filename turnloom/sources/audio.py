@@ -182,26 +182,40 @@ def read_mono(spark: SparkSession, path: str, start_s: float = 0.0, seconds: flo
     return mono_of(spark.read.format("binaryFile").load(path), "content", "path", start_s, seconds)
 
 
+def beam_weights(channels: int, positions: np.ndarray, direction: np.ndarray, n_fft: int) -> np.ndarray:
+    """Weights of each channel (columns) at each frequency of a block of ``n_fft`` samples."""
+    return np.stack([steering(positions, direction, f) / channels for f in np.fft.rfftfreq(n_fft, 1 / RATE)])
+
+
+def beams(chunks: list[bytes], channels: int, weights: np.ndarray, n_fft: int, most: int = 4_096) -> list[bytes]:
+    """``delay_and_sum`` of several chunks, up to ``most`` blocks of them in one transform."""
+    width = 2 * channels * n_fft
+    counts = np.array([len(c) // width for c in chunks], int)
+    data = np.frombuffer(b"".join(c[: n * width] for c, n in zip(chunks, counts)), "<i2").reshape(-1, n_fft, channels)
+    out = np.empty((len(data), n_fft), "<i2")
+    for lo in range(0, len(data), most):
+        spectrum = np.fft.rfft(data[lo : lo + most].astype(float), axis=1)
+        out[lo : lo + most] = np.clip(np.fft.irfft((weights.conj() * spectrum).sum(axis=2), n_fft, axis=1), -32768, 32767)
+    ends = np.cumsum(counts)
+    return [out[end - n : end].tobytes() for n, end in zip(counts, ends)]
+
+
 def delay_and_sum(pcm: bytes, channels: int, positions: np.ndarray, direction: np.ndarray, n_fft: int = 512) -> bytes:
     """Channels steered to a direction and averaged, block by block of ``n_fft`` samples; a shorter tail is left out.
 
     With white noise the minimum-variance weights are these same ones.
     """
-    x = np.frombuffer(pcm[: len(pcm) // (2 * channels) * 2 * channels], "<i2").reshape(-1, channels).astype(float)
-    frequencies = np.fft.rfftfreq(n_fft, 1 / RATE)
-    weights = np.stack([steering(positions, direction, f) / channels for f in frequencies])
-    out = []
-    for at in range(0, len(x) - n_fft + 1, n_fft):
-        spectrum = np.fft.rfft(x[at : at + n_fft], axis=0)
-        out.append(np.clip(np.fft.irfft((weights.conj() * spectrum).sum(axis=1), n_fft), -32768, 32767).astype("<i2"))
-    return np.concatenate(out).tobytes() if out else b""
+    return beams([pcm], channels, beam_weights(channels, positions, direction, n_fft), n_fft)[0]
 
 
 def beamformed(df: DataFrame, pcm: str, channels: int, positions: list[list[float]], direction: list[float], n_fft: int = 512) -> DataFrame:
-    where, way = np.asarray(positions, float), np.asarray(direction, float)
+    weights = beam_weights(channels, np.asarray(positions, float), np.asarray(direction, float), n_fft)
 
     @F.pandas_udf(BinaryType())
     def beam(chunks: pd.Series) -> pd.Series:
-        return chunks.map(lambda c: None if c is None else delay_and_sum(bytes(c), channels, where, way, n_fft))
+        out = pd.Series([None] * len(chunks), index=chunks.index, dtype=object)
+        there = chunks.notna()
+        out[there] = beams([bytes(c) for c in chunks[there]], channels, weights, n_fft)
+        return out
 
     return df.withColumn(pcm, beam(F.col(pcm)))
