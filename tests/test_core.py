@@ -264,6 +264,20 @@ def test_long_sessions_are_clustered_whole(spark, tmp_path):
     assert sum(r.session_id == "w" and r.label is None and r.cluster is not None for r in found) == 42
 
 
+def test_tree_of_a_long_session_by_many_tasks(spark):
+    x, _ = clouds(4, n=300)
+    x[5], x[700] = x[400], x[6]  # exact copies
+    tree = clustering._spanning_tree(clustering.distances(x))
+    for block in (7, 200, 2_000):
+        assert clustering._least_edges(len(x), clustering._block_edges(x, len(x), block))[:, 0] == pytest.approx(np.array([w for w, _, _ in tree]), abs=1e-9)
+    columns = "session_id string, utterance_id string, label string, is_locked boolean, embedding array<double>, t_start double, t_end double"
+    rows = spark.createDataFrame([("s", f"u{i:04}", "auto:A", False, v.tolist(), float(i), i + 1.0) for i, v in enumerate(x)], columns)
+    edges = clustering.spanning_edges(rows, most_alone=100, most_part=200)
+    assert edges.count() >= len(x) - 1 and clustering.spanning_edges(rows).count() == 0
+    alone = {(r.utterance_id, r.cluster, r.label, r.noise) for r in clustering.final_recluster(rows).collect()}
+    assert {(r.utterance_id, r.cluster, r.label, r.noise) for r in clustering.final_recluster(rows, edges=edges).collect()} == alone
+
+
 def test_letters_keep_known_ones():
     x, truth = clouds()
     known = {"auto:B": x[0], "auto:A": x[8]}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import LETTERS
 from ..functions.vector import centroids
+from ..session import cut
 from .assignment import assign
 from .joins import nearest_vector
 
@@ -81,11 +82,91 @@ def _spanning_tree_of_rows(x: np.ndarray, min_samples: int, block: int = 256) ->
     return sorted(edges, key=lambda e: (e[0], min(e[1:]), max(e[1:])))
 
 
+def _cross_edges(x: np.ndarray, y: np.ndarray, tree_x: list[tuple[float, int, int]], tree_y: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Edges between ``x`` and ``y`` (rows of each) of a minimum spanning tree of both, from the trees of each (Prim over the rest)."""
+    n, total = len(x), len(x) + len(y)
+    d = x @ y.T
+    np.subtract(1, d, out=d)
+    np.maximum(d, 0.0, out=d)
+    turned = np.ascontiguousarray(d.T)
+    inner: list[list[tuple[float, int]]] = [[] for _ in range(total)]
+    for w, a, b in [*tree_x, *((w, a + n, b + n) for w, a, b in tree_y)]:
+        inner[a].append((w, b))
+        inner[b].append((w, a))
+    reach, via, open_ = np.full(total, np.inf), np.zeros(total, int), np.ones(total, bool)
+    sides = [(reach[n:], via[n:], open_[n:], np.empty(total - n, bool)), (reach[:n], via[:n], open_[:n], np.empty(n, bool))]
+    at, edges = 0, []
+    for _ in range(total - 1):
+        open_[at], reach[at] = False, np.inf
+        weights = d[at] if at < n else turned[at - n]
+        far, how, there, closer = sides[at >= n]
+        np.less(weights, far, out=closer)
+        closer &= there
+        np.putmask(far, closer, weights)
+        np.putmask(how, closer, at)
+        for w, b in inner[at]:
+            if open_[b] and w < reach[b]:
+                reach[b], via[b] = w, at
+        near = int(reach.argmin())
+        last = int(via[near])
+        if (near < n) != (last < n):
+            edges.append((float(reach[near]), min(near, last), max(near, last) - n))
+        at = near
+    return edges
+
+
+def _least_edges(n: int, edges: np.ndarray) -> np.ndarray:
+    """Of ``edges`` (rows of weight, a, b) those of a minimum spanning forest of ``n`` points (Kruskal); ties by their ends."""
+    low, high = edges[:, 1:].min(axis=1), edges[:, 1:].max(axis=1)
+    edges = edges[np.lexsort((high, low, edges[:, 0]))]
+    parent, kept = list(range(n)), []
+    for i, (a, b) in enumerate(edges[:, 1:].astype(int).tolist()):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        if a != b:
+            parent[a] = b
+            kept.append(i)
+    return edges[kept]
+
+
+def _block_edges(x: np.ndarray, n: int, block: int = 2_000) -> np.ndarray:
+    """Edges (weight, a, b) that a minimum spanning tree of unit rows may take, block by block.
+
+    With ``n`` = ``len(x)`` they are those of the rows' own tree, else the ones between the first ``n`` and the others.
+    An edge of the tree of all rows is one of every tree of some rows that have both its ends, so trees of pairs of blocks miss none.
+    """
+    starts = [*range(0, n, block), *range(n, len(x), block)]
+    stops = [min(s + block, n if s < n else len(x)) for s in starts]
+    trees = [_spanning_tree(distances(x[a:b])) if b - a > 1 else [] for a, b in zip(starts, stops)]
+    whole = n == len(x)
+    kept = np.array([(w, a + s, b + s) for s, tree in zip(starts, trees) for w, a, b in tree] if whole else [], float).reshape(-1, 3)
+    for i, a in enumerate(starts):
+        found = [kept]
+        for k in range(i + 1, len(starts)):
+            b = starts[k]
+            if whole or (a < n <= b):
+                edges = np.array(_cross_edges(x[a : stops[i]], x[b : stops[k]], trees[i], trees[k]), float).reshape(-1, 3)
+                found.append(edges + [0, a, b])
+        if len(found) > 1:
+            kept = _least_edges(len(x), np.concatenate(found))
+    return kept
+
+
 def hdbscan_of_rows(x: np.ndarray, min_cluster_size: int = 2, min_samples: int = 1, epsilon: float = 0.3) -> np.ndarray:
     """``hdbscan`` of the cosine distances of unit rows, in memory in proportion to their number."""
     if len(x) < 2 or len(x) < min_cluster_size:
         return np.full(len(x), -1)
-    return _tree_clusters(len(x), _spanning_tree_of_rows(x, min_samples), min_cluster_size, epsilon)
+    # With one sample the core of a row is its nearest one, so that reachability is the distance.
+    edges = _sorted_edges(_block_edges(x, len(x))) if min_samples == 1 else _spanning_tree_of_rows(x, min_samples)
+    return _tree_clusters(len(x), edges, min_cluster_size, epsilon)
+
+
+def _sorted_edges(edges: np.ndarray) -> list[tuple[float, int, int]]:
+    return sorted(((w, int(a), int(b)) for w, a, b in edges.tolist()), key=lambda e: (e[0], min(e[1:]), max(e[1:])))
 
 
 def hdbscan(d: np.ndarray, min_cluster_size: int = 2, min_samples: int = 1, epsilon: float = 0.3) -> np.ndarray:
@@ -220,19 +301,44 @@ def issue_letters(x: np.ndarray, labels: np.ndarray, weights: np.ndarray, known:
     return out
 
 
-def final_recluster(utterances: DataFrame, session: str = "session_id", id_: str = "utterance_id", vector: str = "embedding", epsilon: float = 0.3, max_rows: int | None = None, most_matrix: int = 1_000) -> DataFrame:
+def spanning_edges(utterances: DataFrame, session: str = "session_id", id_: str = "utterance_id", vector: str = "embedding", most_alone: int = 4_000, most_part: int = 50_000) -> DataFrame:
+    """``session``, ``w``, ``a``, ``b``: edges that hold the minimum spanning tree of each session of more than ``most_alone`` unlocked rows.
+
+    Such a session is cut into parts by hash, about 6 or as many as keep a part below ``most_part`` rows, and every pair
+    of parts is a task of its own.
+    """
+    types = dict(utterances.dtypes)
+    rows = cut(utterances.where(~F.coalesce("is_locked", F.lit(False)) & F.col(vector).isNotNull()).select(session, F.col(id_).alias("__id"), F.col(vector).alias("__x")))
+    n = F.col("__n")
+    parts = F.greatest(F.ceil(n / most_part), F.least(F.lit(6), F.ceil(n / 1_000))).cast("int")
+    large = rows.groupBy(session).agg(F.count("*").alias("__n")).where(n > most_alone).select(session, parts.alias("__parts"))
+    placed = rows.join(large, session).withColumn("__part", F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int"))
+    met = placed.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    met = met.select(session, F.least("__part", "__other").alias("__i"), F.greatest("__part", "__other").alias("__j"), "__part", "__id", "__x")
+
+    def pair(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["__part", "__id"])
+        ids, x = part["__id"].to_numpy(), unit_rows(np.stack(part["__x"].to_numpy()).astype(float))
+        edges = _block_edges(x, len(x) if key[1] == key[2] else int((part["__part"] == key[1]).sum()))
+        a, b = edges[:, 1].astype(int), edges[:, 2].astype(int)
+        return pd.DataFrame({session: [key[0]] * len(edges), "w": edges[:, 0], "a": ids[a], "b": ids[b]})
+
+    return met.groupBy(session, "__i", "__j").applyInPandas(pair, f"`{session}` {types[session]}, w double, a {types[id_]}, b {types[id_]}")
+
+
+def final_recluster(utterances: DataFrame, session: str = "session_id", id_: str = "utterance_id", vector: str = "embedding", epsilon: float = 0.3, max_rows: int | None = None, most_matrix: int = 1_000, edges: DataFrame | None = None) -> DataFrame:
     """Final labels of a session's unlocked utterances: ``session``, ``id_``, ``old_label``, ``label``, ``cluster``, ``noise``.
 
     ``utterances`` also has ``label``, ``is_locked``, ``t_start`` and ``t_end`` (seconds). Known centres are the
     means of the present auto labels. Locked rows and rows without a vector are left out; ties follow the
     order of ``t_start``, then ``id_``. A session is clustered whole; with more than ``most_matrix`` rows no distance
-    matrix is held. ``noise`` marks rows of no cluster that went to the nearest one. Where there are more clusters
+    matrix is held, and the tree of a long one is found by many tasks (``edges``: see ``spanning_edges``; found here, if not given). ``noise`` marks rows of no cluster that went to the nearest one. Where there are more clusters
     than letters, rows have their cluster and a null label. With
     ``max_rows`` a longer session is an error.
     """
     types = dict(utterances.dtypes)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
         rows = rows[~rows.is_locked.fillna(False).astype(bool) & rows[vector].notna()].sort_values(["t_start", id_])
         if max_rows is not None and len(rows) > max_rows:
             raise ValueError(f"session {key[0]}: {len(rows)} utterances; split it, or raise max_rows")
@@ -241,7 +347,12 @@ def final_recluster(utterances: DataFrame, session: str = "session_id", id_: str
             return empty
         x = unit_rows(np.stack(rows[vector].to_numpy()).astype(float))
         least = max(2, len(x) // 20)
-        dense = hdbscan(distances(x), least, 1, epsilon) if len(x) <= most_matrix else hdbscan_of_rows(x, least, 1, epsilon)
+        if len(tree) and rows[id_].is_unique:
+            at = pd.Index(rows[id_])
+            found = _least_edges(len(x), np.stack([tree.w, at.get_indexer(tree.a), at.get_indexer(tree.b)], axis=1).astype(float))
+            dense = _tree_clusters(len(x), _sorted_edges(found), least, epsilon)
+        else:
+            dense = hdbscan(distances(x), least, 1, epsilon) if len(x) <= most_matrix else hdbscan_of_rows(x, least, 1, epsilon)
         labels = absorb_noise(x, dense)
         length = np.maximum((rows.t_end - rows.t_start).to_numpy(float), 0)
         old = rows.label.fillna("").to_numpy(str)
@@ -252,7 +363,9 @@ def final_recluster(utterances: DataFrame, session: str = "session_id", id_: str
         return pd.DataFrame({session: key[0], id_: rows[id_], "old_label": rows.label, "label": [letters.get(c) for c in labels], "cluster": labels, "noise": dense < 0})
 
     kept = utterances.select(session, id_, vector, "label", "is_locked", "t_start", "t_end")
-    return kept.groupBy(session).applyInPandas(run, f"`{session}` {types[session]}, `{id_}` {types[id_]}, old_label string, label string, cluster int, noise boolean")
+    edges = spanning_edges(utterances, session, id_, vector) if edges is None else edges
+    both = kept.groupBy(session).cogroup(edges.groupBy(session))
+    return both.applyInPandas(run, f"`{session}` {types[session]}, `{id_}` {types[id_]}, old_label string, label string, cluster int, noise boolean")
 
 
 def adaptive_moves(utterances: DataFrame, centers: DataFrame, session: str, id_: str, label: str, vector: str, center: str, center_vector: str, delta_new: float = 1.0) -> DataFrame:
@@ -274,10 +387,10 @@ def adaptive_changes(utterances: DataFrame, centers: DataFrame, session: str, id
     return moved.groupBy(session, "old_label", "new_label").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(id_)).alias("ids")).withColumn("reason", F.lit("recluster"))
 
 
-def post_pass(utterances: DataFrame, passes: tuple[str, ...], delta_new: float = 1.0, session: str = "session_id", id_: str = "utterance_id", vector: str = "embedding") -> DataFrame:
+def post_pass(utterances: DataFrame, passes: tuple[str, ...], delta_new: float = 1.0, session: str = "session_id", id_: str = "utterance_id", vector: str = "embedding", edges: DataFrame | None = None) -> DataFrame:
     """``session``, ``id_``, ``old_label``, ``label`` after the ``passes`` in turn: ``adaptive`` to the means of the auto labels, ``final`` clustering.
 
-    ``utterances`` is what ``final_recluster`` takes. Locked rows keep their labels.
+    ``utterances`` and ``edges`` are what ``final_recluster`` takes. Locked rows keep their labels.
     """
     now = utterances
     for name in passes:
@@ -286,7 +399,7 @@ def post_pass(utterances: DataFrame, passes: tuple[str, ...], delta_new: float =
             moved = adaptive_moves(now, means, session, id_, "label", vector, "center", "centroid", delta_new)
             new = moved.select(F.col(id_).alias("__id"), F.col("new_label").alias("__new"))
         elif name == "final":
-            new = final_recluster(now, session, id_, vector).select(F.col(id_).alias("__id"), F.col("label").alias("__new"))
+            new = final_recluster(now, session, id_, vector, edges=edges).select(F.col(id_).alias("__id"), F.col("label").alias("__new"))
         else:
             raise ValueError(f"unknown pass {name!r}: adaptive or final")
         now = now.join(new, F.col(id_) == F.col("__id"), "left").withColumn("label", F.coalesce("__new", "label")).drop("__id", "__new")
