@@ -194,11 +194,15 @@ def c7_label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def c7_post_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label changes of every scheduler that has passes after the stream."""
-    rows = _utterances(spark, sf_dir)
-    found = None
+    rows = cut(_utterances(spark, sf_dir))  # read for every pass
+    edges = cut(clustering.spanning_edges(rows))
+    found, done = None, {}
     for scheduler, (*_, delta_new, post) in clustering.SCHEDULERS.items():
         if post:
-            own = clustering.post_pass(rows, post, delta_new).withColumn("scheduler", F.lit(scheduler))
+            # Schedulers with the same passes have the same labels.
+            if (post, delta_new) not in done:
+                done[post, delta_new] = cut(clustering.post_pass(rows, post, delta_new, edges=edges))
+            own = done[post, delta_new].withColumn("scheduler", F.lit(scheduler))
             found = own if found is None else found.unionByName(own)
     return _changed(found, "scheduler")
 
