@@ -160,6 +160,19 @@ def test_links_against_all_pairs():
         assert all(any((i, x) in got or (x, i) in got for x in range(len(sets))) for i in range(len(sets)) if want[i].sum() > 1)
 
 
+def test_large_buckets_keep_every_link(spark):
+    r = np.random.default_rng(13)
+    sets = np.unique(np.sort(np.stack([r.choice(40, clusters.TOKENS, replace=False) for _ in range(60)]), axis=1), axis=0)
+    share = np.array([[len(set(x) & set(y)) for y in sets] for x in sets])
+    want = {(int(i), int(j)) for i, j in np.argwhere(np.triu(share / (2 * clusters.TOKENS - share) >= 0.5, 1))}
+    assert linked(sets, 0.5, block=16) == want
+    # 40 copies of one vector and 3 near it: every pair, too.
+    x = np.repeat(r.standard_normal((1, 32)), 43, axis=0)
+    x[40:] += r.standard_normal((3, 32)) * 0.05
+    found = {(min(l.a, l.b), max(l.a, l.b)) for l in clusters.similar_links(frame(spark, x / np.linalg.norm(x, axis=1, keepdims=True)), clusters.BANDS, 2, 0.2).collect()}
+    assert found == {(i, j) for i in range(43) for j in range(i + 1, 43)}
+
+
 def test_banding_meets_similar_sets():
     r = np.random.default_rng(3)
     base = r.standard_normal((400, 64))
