@@ -1,5 +1,7 @@
 """Neighbours and clusters against brute force."""
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -56,6 +58,45 @@ def test_recall_without_a_limit(spark):
     assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
 
 
+def test_leaves_come_as_from_a_queue_of_each_row():
+    x = voices(14, groups=60, n=20)[0].astype(np.float32)
+    tree = neighbours.Tree.fit(x, 80)
+    rows, leaves, bounds = tree.search(x[:100], 0.15)
+    for i in range(100):
+        queue, want = [(0.0, 0)], []
+        while queue:
+            bound, node = heapq.heappop(queue)
+            if node < 0:
+                want.append((round(bound, 4), -1 - node))
+                continue
+            centres = tree.centres[node].astype(float)
+            far = ((x[i] - centres) ** 2).sum(axis=1)
+            best = int(far.argmin())
+            for c, child in enumerate(tree.children[node].tolist()):
+                apart = bound if c == best else max(bound, (far[c] - far[best]) / (2 * np.linalg.norm(centres[c] - centres[best])))
+                if apart <= 0.15:
+                    heapq.heappush(queue, (apart, child))
+        own = rows == i
+        assert set(leaves[own].tolist()) == {leaf for _, leaf in want}
+        assert np.abs(np.sort(bounds[own]) - [b for b, _ in want]).max() < 1e-3 and (np.diff(bounds[own]) >= 0).all()
+
+
+def test_leaves_of_many_rows_cost_little_and_lose_nothing():
+    x = voices(15, groups=3_000, n=8, dim=64, noise=0.08)[0]
+    r = np.random.default_rng(16)
+    twins = x[:3_000] + r.standard_normal((3_000, 64)) * 0.02
+    x = np.vstack([x, twins / np.linalg.norm(twins, axis=1, keepdims=True)]).astype(np.float32)
+    cells = list(neighbours._cells(x, 5, 0.97, 0.9995, 2_000))
+    # All pairs of the leaf are 729 million.
+    assert sum(len(c) ** 2 for c in cells) < len(x) ** 2 / 12
+    homes = [set() for _ in x]
+    for n, cell in enumerate(cells):
+        for i in cell.tolist():
+            homes[i].add(n)
+    met = [bool(homes[i] & homes[24_000 + i]) for i in range(3_000) if x[i] @ x[24_000 + i] >= 0.97]
+    assert len(met) > 1_000 and np.mean(met) >= 0.999
+
+
 def test_neighbours_empty_and_two_models(spark):
     empty = frame(spark, np.zeros((0, 4))).where("false")
     assert neighbours.most_similar(empty, 5, 0.9).collect() == []

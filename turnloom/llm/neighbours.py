@@ -19,9 +19,8 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].astype(np.float32)
     for _ in range(rounds):
         home = np.argmax(x @ centres.T - 0.5 * (centres**2).sum(1), axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, home, x)
         counts = np.bincount(home, minlength=len(centres))
+        sums = (home == np.arange(len(centres))[:, None]).astype(np.float32) @ x
         centres = sums[counts > 0] / counts[counts > 0, None]
     return np.unique(centres, axis=0).astype(np.float32)
 
@@ -60,44 +59,44 @@ class Tree:
         return tree
 
     def visit(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and leaves, best bin first: each row's own leaf, then the next nearest, as far as ``margin``.
+        """Rows and leaves of ``search``."""
+        return self.search(x, margin)[:2]
+
+    def search(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, leaves and their bounds, best bin first: each row's own leaf, then the next nearest, as far as ``margin``.
 
         The queue holds entries (row, node, bound): how far the row is at least from the planes that part it
-        from the node's cell. In each step every row takes its entry of the least bound: a leaf is visited, a
-        node gives way to its children, whose bounds grow by the distance to the plane between them and the
-        nearest child. A row is done when its least bound is beyond ``margin``; entries that are so from the
-        start are not put into the queue.
+        from the node's cell. A node gives way to its children, whose bounds grow by the distance to the plane
+        between them and the nearest child; a leaf is visited. Entries beyond ``margin`` are not put into the
+        queue. As all others are taken in the end and no child has a lower bound than its node, a node is
+        opened for all its rows at once, and leaves are put in the order of their bounds afterwards: the
+        order in which a queue of each row would give them.
         """
         if not self.centres:
-            return np.arange(len(x)), np.zeros(len(x), np.int64)
-        out_rows, out_leaves = [], []
-        row, node, bound = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.float32)
-        while len(row):
-            order = np.lexsort((bound, row))
-            row, node, bound = row[order], node[order], bound[order]
-            first = np.ones(len(row), bool)
-            first[1:] = row[1:] != row[:-1]
-            leaf = first & (node < 0)
-            out_rows.append(row[leaf])
-            out_leaves.append(-1 - node[leaf])
-            rows, nodes, bounds = [row[~first]], [node[~first]], [bound[~first]]
-            taken = np.flatnonzero(first & (node >= 0))
-            by_node = taken[np.argsort(node[taken], kind="stable")]
-            for part in np.split(by_node, np.flatnonzero(np.diff(node[by_node])) + 1):
-                if not len(part):
-                    continue
-                centres, children = self.centres[node[part[0]]], self.children[node[part[0]]]
-                squared = (centres**2).sum(1) - 2 * (x[row[part]] @ centres.T)
-                best = np.argmin(squared, axis=1)
-                between = np.linalg.norm(centres[:, None] - centres[None], axis=2)
-                apart = np.maximum((squared - squared[np.arange(len(part)), best][:, None]) / np.maximum(2 * between[best], 1e-12), bound[part, None])
-                apart[np.arange(len(part)), best] = bound[part]
-                at, child = np.nonzero(apart <= margin)
-                rows.append(row[part[at]])
-                nodes.append(children[child])
-                bounds.append(apart[at, child])
-            row, node, bound = np.concatenate(rows), np.concatenate(nodes), np.concatenate(bounds)
-        return np.concatenate(out_rows), np.concatenate(out_leaves)
+            return np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.float32)
+        out: list[tuple[np.ndarray, int, np.ndarray]] = []
+        queue = [(0, np.arange(len(x)), np.zeros(len(x), np.float32))]
+        while queue:
+            node, row, bound = queue.pop()
+            if node < 0:
+                out.append((row, -1 - node, bound))
+                continue
+            centres, children = self.centres[node], self.children[node]
+            norms = (centres**2).sum(1)
+            squared = norms - 2 * (x[row] @ centres.T)
+            best = np.argmin(squared, axis=1)
+            between = np.sqrt(np.maximum(norms[:, None] + norms - 2 * (centres @ centres.T), 0))
+            apart = (squared - squared[np.arange(len(row)), best][:, None]) / np.maximum(2 * between[best], 1e-12)
+            apart[np.arange(len(row)), best] = 0
+            apart = np.maximum(apart, bound[:, None])
+            for child, near in enumerate((apart <= margin).T):
+                at = np.flatnonzero(near)
+                if len(at):
+                    queue.append((int(children[child]), row[at], apart[at, child]))
+        rows, leaves = np.concatenate([r for r, _, _ in out]), np.repeat([leaf for _, leaf, _ in out], [len(r) for r, _, _ in out])
+        bounds = np.concatenate([b for _, _, b in out])
+        order = np.lexsort((leaves, bounds, rows))
+        return rows[order], leaves[order], bounds[order]
 
 
 def radius(similarity: float) -> float:
@@ -123,7 +122,7 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, min_similarity: float | None, r
     kept = near[rows, top.ravel()] >= (-2 if min_similarity is None else min_similarity)
     left, right = x[rows[kept]], x[top.ravel()[kept]]
     # Of unit vectors no plane is further away than 2: there every leaf is visited.
-    limit, steps = 2.0, np.concatenate([np.linspace(0.0, 1.0, 41), [1.5, 2.0]])
+    limit = 2.0
     if min_similarity is not None:
         limit = radius(min_similarity) / 2
         base = x[rng.choice(len(x), min(len(x), 4000), replace=False)]
@@ -132,13 +131,18 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, min_similarity: float | None, r
         away /= np.linalg.norm(away, axis=1, keepdims=True)
         other = min_similarity * base + np.sqrt(1 - min_similarity**2) * away
         left, right = np.vstack([left, base]), np.vstack([right, other.astype(np.float32)])
-        steps = np.linspace(0.0, limit, 33)
     n, leaves = len(left), len(tree.leaf_share)
-    for margin in steps:
-        met = [r * leaves + leaf for r, leaf in (tree.visit(side, float(margin)) for side in (left, right))]
-        if len(np.unique(np.intersect1d(*met) // leaves)) >= recall * n:
-            return float(margin)
-    return limit
+    margin = limit / 8
+    while True:
+        # A pair meets in a leaf from the larger of its two bounds on, and needs the least of its leaves.
+        (a, leaf_a, far_a), (b, leaf_b, far_b) = (tree.search(side, margin) for side in (left, right))
+        _, i, j = np.intersect1d(a * leaves + leaf_a, b * leaves + leaf_b, assume_unique=True, return_indices=True)
+        needed = np.full(n, np.inf)
+        np.minimum.at(needed, a[i], np.maximum(far_a[i], far_b[j]))
+        enough = float(np.sort(needed)[max(0, int(np.ceil(recall * n)) - 1)]) if n else 0.0
+        if enough <= margin or margin >= limit:
+            return min(enough + 1e-6, limit)
+        margin = min(2 * margin, limit)
 
 
 def _visits(trees: dict[str, tuple[Tree, float, np.ndarray]]):
@@ -166,27 +170,31 @@ def _visits(trees: dict[str, tuple[Tree, float, np.ndarray]]):
     return visits
 
 
-def _cells(x: np.ndarray, margin: float, leaf_rows: int) -> Iterator[np.ndarray]:
+def _cells(x: np.ndarray, k: int, least: float | None, recall: float, leaf_rows: int) -> Iterator[np.ndarray]:
     """Rows of one leaf to be compared with each other: all, or the leaves of a tree of its own where they are many.
 
-    The tree's size follows from the rows there are. Copies that no plane parts stay together.
+    The tree's size follows from the rows there are, its margin from pairs of them, so that the share ``recall``
+    meets again. Copies that no plane parts stay together.
     """
     if len(x) <= 4 * leaf_rows:
         yield np.arange(len(x))
         return
     sample = x[np.random.default_rng(17).choice(len(x), min(len(x), 8_192), replace=False)]
-    rows, leaves = Tree.fit(sample, max(2, len(x) // leaf_rows)).visit(x, margin)
+    tree = Tree.fit(sample, max(2, len(x) // (leaf_rows if least is None else max(1, leaf_rows // 8))))
+    rows, leaves = tree.visit(x, calibrate(tree, sample, k, least, recall))
     order = np.argsort(leaves, kind="stable")
     for cell in np.split(rows[order], np.flatnonzero(np.diff(leaves[order])) + 1):
         yield np.sort(cell)
 
 
-def _compare(k: int, least: float, margin: float, leaf_rows: int):
+def _compare(k: int, min_similarity: float | None, recall: float, leaf_rows: int):
+    least = -1.5 if min_similarity is None else min_similarity
+
     def compare(group: pa.Table) -> pa.Table:
         all_ids, order = np.unique(group.column("id").to_numpy(), return_index=True)
         vectors = unpack(group.column("packed"))[order]
         out_a, out_b, out_s = [], [], []
-        for cell in _cells(vectors, margin, leaf_rows):
+        for cell in _cells(vectors, k, min_similarity, recall, leaf_rows):
             ids, x = all_ids[cell], vectors[cell]
             for lo in range(0, len(x), 1024):
                 s = x[lo : lo + 1024] @ x.T
@@ -196,7 +204,7 @@ def _compare(k: int, least: float, margin: float, leaf_rows: int):
                     floor = np.maximum(np.partition(s, -k, axis=1)[:, -k], least)
                 else:
                     floor = np.full(len(s), least)
-                a, b = np.nonzero(s >= floor[:, None] - 1e-6)
+                a, b = np.divmod(np.flatnonzero(s >= floor[:, None] - 1e-6), s.shape[1])
                 rank = np.lexsort((ids[b], -s[a, b], a))
                 a, b = a[rank], b[rank]
                 top = np.arange(len(a)) - np.searchsorted(a, a) < k
@@ -205,11 +213,20 @@ def _compare(k: int, least: float, margin: float, leaf_rows: int):
                 out_b.append(ids[b])
                 out_s.append(s[a, b])
         model = group.column("model")[0].as_py() if group.num_rows else ""
-        joined = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
+        a, b, s = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b, out_s))
+        if len(out_a) > 1:
+            # Pairs that met in several cells go on once, and no more than a row can need.
+            rank = np.lexsort((-s, b, a))
+            a, b, s = a[rank], b[rank], s[rank]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+            a, b, s = a[new], b[new], s[new]
+            rank = np.lexsort((b, -s, a))
+            a, b, s = a[rank], b[rank], s[rank]
+            top = np.arange(len(a)) - np.searchsorted(a, a) < k
+            a, b, s = a[top], b[top], s[top]
         return pa.table({
-            "model": pa.array([model] * len(joined), pa.string()), "id": pa.array(joined, pa.int64()),
-            "neighbour": pa.array(np.concatenate(out_b) if out_b else joined, pa.int64()),
-            "similarity": pa.array((np.concatenate(out_s) if out_s else joined).astype(np.float64)),
+            "model": pa.array([model] * len(a), pa.string()), "id": pa.array(a, pa.int64()),
+            "neighbour": pa.array(b, pa.int64()), "similarity": pa.array(s.astype(np.float64)),
         })
 
     return compare
@@ -226,7 +243,7 @@ def index_sample(counted: DataFrame, vectors: DataFrame, sample: int = 20_000) -
 
 
 def most_similar(
-    vectors: DataFrame, k: int, min_similarity: float | None = None, recall: float = 0.995, sample: int = 20_000, leaf_rows: int = 2_000, max_leaves: int = 4_096, block: int = 100_000,
+    vectors: DataFrame, k: int, min_similarity: float | None = None, recall: float = 0.995, sample: int = 20_000, leaf_rows: int = 2_000, max_leaves: int = 4_096, block: int = 100_000, task_rows: int = 75_000,
     fitted: tuple[dict[str, int], pa.Table] | None = None,
 ) -> DataFrame:
     """The ``k`` most similar other vectors of the same model for every vector: ``model``, ``id``, ``neighbour``, ``similarity``, ``rank``.
@@ -236,11 +253,12 @@ def most_similar(
     ``neighbour``. An empty table gives an empty result. With ``min_similarity`` only pairs of that cosine.
 
     Each model's tree is fitted on at most ``sample`` rows, chosen by hash, and aims at one leaf for
-    ``leaf_rows`` rows and at ``max_leaves`` at most, so what is sent to the executors is bounded by some
-    thousand centres. Every row goes to its own leaf and all within the calibrated margin. A leaf that turns
-    out to hold many more rows is divided by a tree of its own within its task, so the cost of a row does not
-    grow with their number; one estimated to hold more than ``block`` is split into blocks, each pair of
-    which is a task.
+    ``leaf_rows`` rows, from 64 leaves on at one for ``task_rows``, and at ``max_leaves`` at most, so what is sent
+    to the executors is bounded by some thousand centres, and rows go to few leaves. Every row goes to its own
+    leaf and all within the calibrated margin. A leaf of many rows is divided by a tree of its own within its
+    task, whose margin is calibrated, too, so the cost of a row does not grow with their number; one estimated
+    to hold more than ``block`` is split into blocks, each pair of which is a task. Half of the pairs that
+    may be missed is allowed to this tree, and a hundredth to those of the leaves.
     ``fitted`` is what ``index_sample`` made of a cheaper table with about the same vectors.
     """
     rows = vectors.where("model is not null and id is not null and packed is not null").select("model", F.col("id").cast("long").alias("id"), "packed")
@@ -252,15 +270,15 @@ def most_similar(
             n, x = 0, np.zeros((0, 1), np.float32)
         else:
             x = unpack(taken.filter(pa.array(names == model)).column("packed"))
-        tree = Tree.fit(x, int(np.clip(np.ceil(n / leaf_rows), 1, max_leaves)))
-        margin = calibrate(tree, x, k, min_similarity, recall)
+        tree = Tree.fit(x, int(np.clip(min(np.ceil(n / leaf_rows), max(64, np.ceil(n / task_rows))), 1, max_leaves)))
+        margin = calibrate(tree, x, k, min_similarity, 1 - 0.5 * (1 - recall))
         # As many rows as the leaf's share of the sample lets expect, and two standard deviations more.
         drawn = tree.leaf_share * len(x)
         blocks = np.maximum(1, np.ceil((drawn + 2 * np.sqrt(drawn)) / max(1, len(x)) * n / block)).astype(np.int64)
         trees[model] = tree, margin, blocks
     visited = rows.mapInArrow(_visits(trees), "model string, leaf int, part bigint, id bigint, packed binary")
     pairs = visited.groupBy("model", "leaf", "part").applyInArrow(
-        _compare(k, -1.5 if min_similarity is None else min_similarity, 0.5 if min_similarity is None else radius(min_similarity) / 2, leaf_rows), "model string, id bigint, neighbour bigint, similarity double"
+        _compare(k, min_similarity, 1 - 0.01 * (1 - recall), leaf_rows), "model string, id bigint, neighbour bigint, similarity double"
     )
     once = pairs.groupBy("model", "id", "neighbour").agg(F.max("similarity").alias("similarity"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("model", "id").orderBy(F.desc("similarity"), "neighbour")))
