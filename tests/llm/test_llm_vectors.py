@@ -133,6 +133,20 @@ def test_small_voices_among_many_unrelated_vectors(spark):
     assert len(kept) == 40
 
 
+def test_prototypes_of_many_slabs_are_joined(spark):
+    # 200 slabs' prototypes of 10 voices: few are left to be linked, none of two voices, and all weight is kept.
+    x, truth = voices(17, groups=10, n=200, noise=0.02)
+    nodes = frame(spark, x).withColumn("n", F.lit(5).cast("long")).withColumn("direction", F.lit(None).cast("int"))
+    way = dict(enumerate(clusters.longest_direction(x.astype(np.float32)).tolist()))
+    ways = spark.createDataFrame(list(way.items()), "id bigint, direction int")
+    rows = clusters.join_prototypes(nodes.drop("direction").join(ways, "id")).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.cluster, []).append(r.id)
+    assert len(rows) == 2_000 and len(groups) <= 60 and all(min(g) == c for c, g in groups.items())
+    assert all(len({int(truth[i]) for i in g}) == 1 for g in groups.values())
+
+
 def test_clusters_of_nothing(spark):
     assert clusters.similarity_clusters(frame(spark, np.zeros((0, 8))).where("false"), 0.78).collect() == []
 
