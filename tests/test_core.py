@@ -278,6 +278,21 @@ def test_tree_of_a_long_session_by_many_tasks(spark):
     assert {(r.utterance_id, r.cluster, r.label, r.noise) for r in clustering.final_recluster(rows, edges=edges).collect()} == alone
 
 
+def test_tree_of_many_voices_compares_closely_what_bounds_leave(spark):
+    x, _ = clouds(6, n=40, groups=16)
+    x[5], x[601] = x[400], x[6]  # exact copies
+    x = clustering.unit_rows(x)
+    tree = [w for w, _, _ in clustering._spanning_tree(clustering.distances(x))]
+    columns = "session_id string, utterance_id string, is_locked boolean, embedding array<double>"
+    rows = spark.createDataFrame([("s", f"u{i:04}", False, v.tolist()) for i, v in enumerate(x)], columns)
+    for marks, near in ((300, 0.4), (50, 0.1), (300, 3.0), (1, 0.4)):  # voices, parts of voices, one voice
+        edges = clustering.spanning_edges(rows, most_alone=100, most_part=200, marks=marks, near=near).collect()
+        found = np.array([(e.w, int(e.a[1:]), int(e.b[1:])) for e in edges])
+        assert clustering._least_edges(len(x), found)[:, 0] == pytest.approx(np.array(tree), abs=1e-9)
+        # Trees of all pairs of parts would be several times the rows.
+        assert near != 0.4 or marks == 1 or len(edges) < 2 * len(x)
+
+
 def test_letters_keep_known_ones():
     x, truth = clouds()
     known = {"auto:B": x[0], "auto:A": x[8]}

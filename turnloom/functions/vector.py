@@ -29,8 +29,8 @@ def l2_normalize(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Unit vector of a usable one; of a vector without length nulls, and no error, so that it may be computed before unusable rows are left out."""
-    n = norm(v)
-    return F.transform(doubles(v), lambda x: F.try_divide(x, n))
+    # The length is an array's only element, else it would be computed again for every number.
+    return F.transform(F.array(norm(v)), lambda n: F.transform(doubles(v), lambda x: F.try_divide(x, n)))[0]
 
 
 def l2_normalize_lenient(v: Column, least: float = 1e-9) -> Column:

@@ -301,29 +301,181 @@ def issue_letters(x: np.ndarray, labels: np.ndarray, weights: np.ndarray, known:
     return out
 
 
-def spanning_edges(utterances: DataFrame, session: str = "session_id", id_: str = "utterance_id", vector: str = "embedding", most_alone: int = 4_000, most_part: int = 50_000) -> DataFrame:
+def _voices(w: np.ndarray, a: np.ndarray, b: np.ndarray, n: int, least: float) -> np.ndarray:
+    """Numbers of the groups that edges below ``least`` join, of ``n`` points."""
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in np.flatnonzero(w < least).tolist():
+        parent[root(int(a[i]))] = root(int(b[i]))
+    return np.unique([root(i) for i in range(n)], return_inverse=True)[1]
+
+
+def _heights(n: int, edges: np.ndarray) -> np.ndarray:
+    """The longest edge on each point's way through a spanning tree (rows of weight, a, b, ascending) to a point of its dense core.
+
+    Two points' way is no longer than the larger of their heights, so that a longer edge between them is in no minimum spanning tree.
+    """
+    parent, sizes, joins = list(range(n)), [1] * n, []
+    for w, a, b in edges.tolist():
+        ends = []
+        for i in (int(a), int(b)):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            ends.append(i)
+        joins.append((*ends, w))
+        sizes.append(sizes[ends[0]] + sizes[ends[1]])
+        parent[ends[0]] = parent[ends[1]] = len(parent)
+        parent.append(len(parent))
+    out, node = np.zeros(n), len(parent) - 1
+    while node >= n:
+        x, y, w = joins[node - n]
+        node, small = (x, y) if sizes[x] >= sizes[y] else (y, x)
+        stack = [small]
+        while stack:
+            k = stack.pop()
+            if k < n:
+                out[k] = w
+            else:
+                stack += joins[k - n][:2]
+    return out
+
+
+def _edges_between(x: np.ndarray, y: np.ndarray, voice_x: np.ndarray, voice_y: np.ndarray, high_x: np.ndarray, high_y: np.ndarray, same: bool, block: int = 1_000, most: int = 2_000_000) -> np.ndarray:
+    """Edges (weight, a, b; b counts on from ``x``'s rows) between unit rows of different voices that a minimum spanning tree may take.
+
+    The rows are in the order of their voices. An edge longer than the ``high`` of both ends is in none (see ``_heights``);
+    the others are found by products of single precision and weighed again in double. ``same``: ``y`` is ``x``, each pair comes once.
+    """
+    slack = 1e-5
+    u, v = x.astype(np.float32), y.astype(np.float32)
+    low_x, low_y = (1 - high_x - slack).astype(np.float32), (1 - high_y - slack).astype(np.float32)
+    n = 0 if same else len(x)
+    total = len(x) + (0 if same else len(y))
+    found, count = [np.empty((0, 3))], 0
+    for lo in range(0, len(x), block):
+        hi = min(lo + block, len(x))
+        names, first = np.unique(voice_x[lo:hi], return_index=True)
+        last = np.append(first[1:], hi - lo)
+        for start in range(lo if same else 0, len(y), 4 * block):
+            stop = min(start + 4 * block, len(y))
+            s = u[lo:hi] @ v[start:stop].T
+            left, right = np.searchsorted(voice_y[start:stop], names), np.searchsorted(voice_y[start:stop], names, "right")
+            for k in np.flatnonzero(left < right).tolist():
+                s[first[k] : last[k], left[k] : right[k]] = -2
+            hit = s > low_y[start:stop]
+            hit |= s > low_x[lo:hi, None]
+            i, j = np.divmod(np.flatnonzero(hit), stop - start)
+            i, j = i + lo, j + start
+            if same:
+                i, j = i[i < j], j[i < j]
+            w = np.maximum(1 - np.einsum("ij,ij->i", x[i], y[j]), 0.0)
+            kept = w <= np.maximum(high_x[i], high_y[j]) + 1e-9
+            found.append(np.column_stack([w[kept], i[kept], j[kept] + n]))
+            count += int(kept.sum())
+            if count > most:
+                found = [_least_edges(total, np.concatenate(found))]
+                count = 0
+    return _least_edges(total, np.concatenate(found))
+
+
+def spanning_edges(utterances: DataFrame, session: str = "session_id", id_: str = "utterance_id", vector: str = "embedding", most_alone: int = 4_000, most_part: int = 50_000, marks: int = 4_000, near: float = 0.4) -> DataFrame:
     """``session``, ``w``, ``a``, ``b``: edges that hold the minimum spanning tree of each session of more than ``most_alone`` unlocked rows.
 
-    Such a session is cut into parts by hash, about 6 or as many as keep a part below ``most_part`` rows, and every pair
-    of parts is a task of its own.
+    About ``marks`` rows of a session, joined below the distance ``near``, are its voices; every row is of the voice of its nearest mark.
+    A tree of all rows has the edges of each voice's own tree and edges between voices. Own trees come first; with
+    the marks' they bound what else is compared closely, so the result doesn't depend on ``marks`` and ``near``.
+    Long voices, and the session for what is between voices, are cut into parts by hash, about 6 or as many as keep a part
+    below ``most_part`` rows, and every pair of parts is a task of its own.
     """
     types = dict(utterances.dtypes)
-    rows = cut(utterances.where(~F.coalesce("is_locked", F.lit(False)) & F.col(vector).isNotNull()).select(session, F.col(id_).alias("__id"), F.col(vector).alias("__x")))
+    rows = utterances.where(~F.coalesce("is_locked", F.lit(False)) & F.col(vector).isNotNull()).select(session, F.col(id_).alias("__id"), F.col(vector).alias("__x"))
     n = F.col("__n")
     parts = F.greatest(F.ceil(n / most_part), F.least(F.lit(6), F.ceil(n / 1_000))).cast("int")
-    large = rows.groupBy(session).agg(F.count("*").alias("__n")).where(n > most_alone).select(session, parts.alias("__parts"))
-    placed = rows.join(large, session).withColumn("__part", F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int"))
-    met = placed.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    met = met.select(session, F.least("__part", "__other").alias("__i"), F.greatest("__part", "__other").alias("__j"), "__part", "__id", "__x")
-
-    def pair(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    large = rows.groupBy(session).agg(F.count("*").alias("__n")).where(n > most_alone)
+    large = cut(large.select(session, "__n", parts.alias("__parts")))
+    pairs = large.agg(F.sum(F.col("__parts") * (F.col("__parts") + 1) / 2)).first()[0]
+    if not pairs:
+        return large.select(session, F.lit(0.0).alias("w"), F.lit(None).cast(types[id_]).alias("a"), F.lit(None).cast(types[id_]).alias("b"))
+    drawn = F.pmod(F.xxhash64("__id", F.lit("mark")), F.col("__n"))
+    held = cut(rows.join(large, session).withColumn("__part", F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int")))
+    edge = f"`{session}` {types[session]}, w double, a {types[id_]}, b {types[id_]}"
+
+    def vectors(part: pd.DataFrame) -> np.ndarray:
+        return unit_rows(np.stack(part["__x"].to_numpy()).astype(float))
+
+    def marked(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__id").head(2 * marks)
+        tree = np.array(_spanning_tree(distances(vectors(part))), float).reshape(-1, 3) if len(part) > 1 else np.empty((0, 3))
+        w, a, b = tree[:, 0], tree[:, 1].astype(int), tree[:, 2].astype(int)
+        ids, far = part["__id"].to_numpy(), w >= near
+        # Marks, then the edges between their voices (of voice -1, without a vector).
+        voice, none, empty = _voices(w, a, b, len(part), near), np.full(int(far.sum()), -1), [np.empty(0)] * int(far.sum())
+        parts = {"__id": (ids, ids[a[far]]), "__voice": (voice, none), "w": (np.zeros(len(ids)), w[far]), "b": (ids, ids[b[far]])}
+        return pd.DataFrame({session: key[0], **{c: np.concatenate(v) for c, v in parts.items()}, "__x": [*part["__x"], *empty]})
+
+    found = cut(held.where(drawn < marks).groupBy(session).applyInPandas(marked, f"`{session}` {types[session]}, __id {types[id_]}, __x {types[vector]}, __voice int, w double, b {types[id_]}"))
+    bridges = found.where("__voice < 0").select(session, "w", F.col("__id").alias("a"), "b")
+    sent = found.where("__voice >= 0").join(large, session).select(session, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), "__x", "__voice")
+
+    def placed_in(key: tuple, part: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if part.empty:
+            return pd.DataFrame(columns=[session, "__part", "__id", "__x", "__voice"])
+        voice = np.zeros(len(part), int)
+        if len(given):
+            x, m, names = vectors(part).astype(np.float32), vectors(given).astype(np.float32), given["__voice"].to_numpy(int)
+            for lo in range(0, len(x), 2_000):
+                voice[lo : lo + 2_000] = names[(x[lo : lo + 2_000] @ m.T).argmax(axis=1)]
+        return part[[session, "__part", "__id", "__x"]].assign(__voice=voice)
+
+    kept = held.select(session, "__part", "__id", "__x")
+    placed = cut(kept.groupBy(session, "__part").cogroup(sent.groupBy(session, "__part")).applyInPandas(placed_in, f"`{session}` {types[session]}, __part int, __id {types[id_]}, __x {types[vector]}, __voice int"))
+
+    def by_pairs(df: DataFrame, *by: str) -> DataFrame:
+        met = df.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+        met = met.withColumns({"__i": F.least("__part", "__other"), "__j": F.greatest("__part", "__other")}).drop("__other", "__parts")
+        # Pairs are few bytes and long work: a given number of tasks isn't taken together by size.
+        return met.repartition(min(1_000, 4 * int(pairs)), session, *by, "__i", "__j").groupBy(session, *by, "__i", "__j")
+
+    def own(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["__part", "__id"])
-        ids, x = part["__id"].to_numpy(), unit_rows(np.stack(part["__x"].to_numpy()).astype(float))
-        edges = _block_edges(x, len(x) if key[1] == key[2] else int((part["__part"] == key[1]).sum()))
+        ids, x = part["__id"].to_numpy(), vectors(part)
+        edges = _block_edges(x, len(x) if key[2] == key[3] else int((part["__part"] == key[2]).sum()))
+        a, b = edges[:, 1].astype(int), edges[:, 2].astype(int)
+        return pd.DataFrame({session: key[0], "w": edges[:, 0], "a": ids[a], "b": ids[b]})
+
+    few = F.greatest(F.ceil(n / most_part), F.least(F.lit(6), F.ceil(n / min(4_000, most_part)))).cast("int")
+    voices = placed.groupBy(session, "__voice").agg(F.count("*").alias("__n")).select(session, "__voice", few.alias("__parts"))
+    split = placed.drop("__part").join(voices, [session, "__voice"]).withColumn("__part", F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int"))
+    inner = cut(by_pairs(split, "__voice").applyInPandas(own, edge))
+
+    def bounded(key: tuple, tree: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        if links.empty:  # one voice
+            return pd.DataFrame(columns=[session, "__id", "__high"])
+        tree = pd.concat([tree, links])
+        at, ids = pd.factorize(pd.concat([tree.a, tree.b]))
+        edges = _least_edges(len(ids), np.column_stack([tree.w, at[: len(tree)], at[len(tree) :]]).astype(float))
+        return pd.DataFrame({session: key[0], "__id": ids, "__high": _heights(len(ids), edges)})
+
+    high = inner.groupBy(session).cogroup(bridges.groupBy(session)).applyInPandas(bounded, f"`{session}` {types[session]}, __id {types[id_]}, __high double")
+
+    def between(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["__part", "__voice", "__id"])
+        ids, x, voice, top = part["__id"].to_numpy(), vectors(part), part["__voice"].to_numpy(int), part["__high"].to_numpy(float)
+        k = 0 if key[1] == key[2] else int((part["__part"] == key[1]).sum())
+        first = slice(0, k or len(x))
+        edges = _edges_between(x[first], x[k:], voice[first], voice[k:], top[first], top[k:], key[1] == key[2])
         a, b = edges[:, 1].astype(int), edges[:, 2].astype(int)
-        return pd.DataFrame({session: [key[0]] * len(edges), "w": edges[:, 0], "a": ids[a], "b": ids[b]})
+        return pd.DataFrame({session: key[0], "w": edges[:, 0], "a": ids[a], "b": ids[b]})
 
-    return met.groupBy(session, "__i", "__j").applyInPandas(pair, f"`{session}` {types[session]}, w double, a {types[id_]}, b {types[id_]}")
+    outer = by_pairs(placed.join(high, [session, "__id"]).join(large.select(session, "__parts"), session)).applyInPandas(between, edge)
+    return inner.unionByName(outer)
 
 
 def final_recluster(utterances: DataFrame, session: str = "session_id", id_: str = "utterance_id", vector: str = "embedding", epsilon: float = 0.3, max_rows: int | None = None, most_matrix: int = 1_000, edges: DataFrame | None = None) -> DataFrame:

@@ -178,7 +178,7 @@ def _utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c1_final_recluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.final_recluster(_utterances(spark, sf_dir)).drop("noise")
+    return clustering.final_recluster(cut(_utterances(spark, sf_dir))).drop("noise")  # read for the trees, too
 
 
 def _changed(rows: DataFrame, *by: str) -> DataFrame:
