@@ -293,6 +293,16 @@ def test_tree_of_many_voices_compares_closely_what_bounds_leave(spark):
         assert near != 0.4 or marks == 1 or len(edges) < 2 * len(x)
 
 
+@pytest.mark.parametrize("name", ["c1_final_recluster"])
+def test_utterances_are_read_once(spark, monkeypatch, name):
+    from turnloom.plans.vectors import QUERIES
+
+    given, whole = [], clustering.final_recluster
+    monkeypatch.setattr(clustering, "final_recluster", lambda rows, *a, **k: (given.append(rows), whole(rows, *a, **k))[1])
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert given[0].inputFiles() == []
+
+
 def test_letters_keep_known_ones():
     x, truth = clouds()
     known = {"auto:B": x[0], "auto:A": x[8]}

@@ -395,6 +395,7 @@ def spanning_edges(utterances: DataFrame, session: str = "session_id", id_: str
     below ``most_part`` rows, and every pair of parts is a task of its own.
     """
     types = dict(utterances.dtypes)
+    edge = f"`{session}` {types[session]}, w double, a {types[id_]}, b {types[id_]}"
     rows = utterances.where(~F.coalesce("is_locked", F.lit(False)) & F.col(vector).isNotNull()).select(session, F.col(id_).alias("__id"), F.col(vector).alias("__x"))
     n = F.col("__n")
     parts = F.greatest(F.ceil(n / most_part), F.least(F.lit(6), F.ceil(n / 1_000))).cast("int")
@@ -402,10 +403,9 @@ def spanning_edges(utterances: DataFrame, session: str = "session_id", id_: str
     large = cut(large.select(session, "__n", parts.alias("__parts")))
     pairs = large.agg(F.sum(F.col("__parts") * (F.col("__parts") + 1) / 2)).first()[0]
     if not pairs:
-        return large.select(session, F.lit(0.0).alias("w"), F.lit(None).cast(types[id_]).alias("a"), F.lit(None).cast(types[id_]).alias("b"))
+        return utterances.sparkSession.createDataFrame([], edge)
     drawn = F.pmod(F.xxhash64("__id", F.lit("mark")), F.col("__n"))
     held = cut(rows.join(large, session).withColumn("__part", F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int")))
-    edge = f"`{session}` {types[session]}, w double, a {types[id_]}, b {types[id_]}"
 
     def vectors(part: pd.DataFrame) -> np.ndarray:
         return unit_rows(np.stack(part["__x"].to_numpy()).astype(float))
