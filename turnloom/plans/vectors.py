@@ -210,7 +210,7 @@ def c7_post_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def a28_cluster_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, clusters, noise before it was absorbed, online labels, and events for each window of 2 s that has any."""
-    used = _utterances(spark, sf_dir)
+    used = cut(_utterances(spark, sf_dir))
     rows = clustering.final_recluster(used)
     counts = rows.groupBy("session_id").agg(F.count("*").alias("input"), F.countDistinct("cluster").alias("clusters"), F.count_if("noise").alias("noise"), F.countDistinct("old_label").alias("online_labels"))
     windows = used.groupBy("session_id").agg((F.count("*") / F.countDistinct(F.floor(F.col("t_start") / 2))).alias("events_per_window"))
