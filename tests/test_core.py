@@ -293,7 +293,7 @@ def test_tree_of_many_voices_compares_closely_what_bounds_leave(spark):
         assert near != 0.4 or marks == 1 or len(edges) < 2 * len(x)
 
 
-@pytest.mark.parametrize("name", ["c1_final_recluster", "a28_cluster_diagnostics"])
+@pytest.mark.parametrize("name", ["c1_final_recluster", "c7_label_changes", "a28_cluster_diagnostics"])
 def test_utterances_are_read_once(spark, monkeypatch, name):
     from turnloom.plans.vectors import QUERIES
 

@@ -188,7 +188,7 @@ def _changed(rows: DataFrame, *by: str) -> DataFrame:
 
 @query()
 def c7_label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _changed(clustering.final_recluster(_utterances(spark, sf_dir)))
+    return _changed(clustering.final_recluster(cut(_utterances(spark, sf_dir))))
 
 
 @query()
