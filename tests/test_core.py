@@ -293,6 +293,15 @@ def test_tree_of_many_voices_compares_closely_what_bounds_leave(spark):
         assert near != 0.4 or marks == 1 or len(edges) < 2 * len(x)
 
 
+def test_passes_go_on_from_the_labels_of_the_same_beginning(spark, monkeypatch):
+    from turnloom.plans.vectors import QUERIES
+
+    ran, whole = [], clustering.post_pass
+    monkeypatch.setattr(clustering, "post_pass", lambda rows, passes, *a, **k: (ran.append(passes), whole(rows, passes, *a, **k))[1])
+    QUERIES["c7_post_passes"](spark, "/root/testdata/sf0.001")
+    assert [p for passes in ran for p in passes].count("adaptive") == 1
+
+
 @pytest.mark.parametrize("name", ["c1_final_recluster", "c7_label_changes", "a28_cluster_diagnostics"])
 def test_utterances_are_read_once(spark, monkeypatch, name):
     from turnloom.plans.vectors import QUERIES

@@ -201,7 +201,13 @@ def c7_post_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
         if post:
             # Schedulers with the same passes have the same labels.
             if (post, delta_new) not in done:
-                done[post, delta_new] = cut(clustering.post_pass(rows, post, delta_new, edges=edges))
+                # Passes that begin like others go on from their labels.
+                before = done.get((post[:-1], delta_new))
+                now = rows if before is None else rows.drop("label").join(before.select("utterance_id", "label"), "utterance_id")
+                after = clustering.post_pass(now, post if before is None else post[-1:], delta_new, edges=edges)
+                if before is not None:
+                    after = after.drop("old_label").join(before.select("utterance_id", "old_label"), "utterance_id").select(*before.columns)
+                done[post, delta_new] = cut(after)
             own = done[post, delta_new].withColumn("scheduler", F.lit(scheduler))
             found = own if found is None else found.unionByName(own)
     return _changed(found, "scheduler")
