@@ -405,7 +405,7 @@ def spanning_edges(utterances: DataFrame, session: str = "session_id", id_: str
     if not pairs:
         return utterances.sparkSession.createDataFrame([], edge)
     drawn = F.pmod(F.xxhash64("__id", F.lit("mark")), F.col("__n"))
-    held = cut(rows.join(large, session).withColumn("__part", F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int")))
+    held = cut(rows.join(F.broadcast(large), session).withColumn("__part", F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int")))
 
     def vectors(part: pd.DataFrame) -> np.ndarray:
         return unit_rows(np.stack(part["__x"].to_numpy()).astype(float))

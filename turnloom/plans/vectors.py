@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, vector
@@ -98,12 +100,12 @@ cu AS (SELECT speaker_id, arg_max(vec_id, (updated_at, vec_id)) AS vec_id FROM s
 k AS (SELECT v.model_id, sp.origin || ':' || sp.name || '#' || sp.speaker_id AS who, sp.origin, {_UNIT.format(v='v.centroid')} AS c FROM cu JOIN speaker_vss v USING (vec_id) JOIN sp ON sp.speaker_id = cu.speaker_id)"""
 
 
-def usable_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def usable_segments(spark: SparkSession, sf_dir: str, unit: Callable[[Column], Column] = vector.unit) -> DataFrame:
     """First deliveries with a usable vector and a start; ``u`` is the unit vector, ``label`` clean."""
     segments = table(spark, sf_dir, "speaker_segment")
     first = first_delivery(segments, ["session_id", "utterance_id"], "segment_id", {c: F.col(c) for c in ("session_id", "label", "is_locked", "t_start", "t_end", "model_id", "embedding")})
     rows = first.join(_dims(spark, sf_dir), "model_id").where(_sound("embedding") & F.col("t_start").isNotNull())
-    return rows.select("session_id", "segment_id", labels.clean_label(F.col("label")).alias("label"), "is_locked", "t_start", "t_end", "model_id", vector.unit(F.col("embedding")).alias("u"))
+    return rows.select("session_id", "segment_id", labels.clean_label(F.col("label")).alias("label"), "is_locked", "t_start", "t_end", "model_id", unit(F.col("embedding")).alias("u"))
 
 
 def _dims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,14 +173,19 @@ def c2_min_cluster_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _e(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.greatest(F.lit(2).cast("long"), F.floor(F.count("*") / 20)).alias("least"))
 
 
-def _utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _as_stored(v: Column) -> Column:
+    """The vector as it is, half the size of a unit one, for what takes its direction anyway; a very short one as a unit vector."""
+    return F.when(F.exists(v, lambda x: F.abs(x) > 1e-6), v).otherwise(vector.unit(v).cast("array<float>"))
+
+
+def _utterances(spark: SparkSession, sf_dir: str, unit: Callable[[Column], Column] = vector.unit) -> DataFrame:
     """Segments with a usable vector."""
-    return usable_segments(spark, sf_dir).select("session_id", F.col("segment_id").alias("utterance_id"), "label", "is_locked", F.col("u").alias("embedding"), "t_start", "t_end")
+    return usable_segments(spark, sf_dir, unit).select("session_id", F.col("segment_id").alias("utterance_id"), "label", "is_locked", F.col("u").alias("embedding"), "t_start", "t_end")
 
 
 @query()
 def c1_final_recluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.final_recluster(cut(_utterances(spark, sf_dir))).drop("noise")  # read for the trees, too
+    return clustering.final_recluster(cut(_utterances(spark, sf_dir, _as_stored))).drop("noise")  # read for the trees, too
 
 
 def _changed(rows: DataFrame, *by: str) -> DataFrame:
@@ -188,7 +195,7 @@ def _changed(rows: DataFrame, *by: str) -> DataFrame:
 
 @query()
 def c7_label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _changed(clustering.final_recluster(cut(_utterances(spark, sf_dir))))
+    return _changed(clustering.final_recluster(cut(_utterances(spark, sf_dir, _as_stored))))
 
 
 @query()
@@ -216,7 +223,7 @@ def c7_post_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def a28_cluster_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, clusters, noise before it was absorbed, online labels, and events for each window of 2 s that has any."""
-    used = cut(_utterances(spark, sf_dir))
+    used = cut(_utterances(spark, sf_dir, _as_stored))
     rows = clustering.final_recluster(used)
     counts = rows.groupBy("session_id").agg(F.count("*").alias("input"), F.countDistinct("cluster").alias("clusters"), F.count_if("noise").alias("noise"), F.countDistinct("old_label").alias("online_labels"))
     windows = used.groupBy("session_id").agg((F.count("*") / F.countDistinct(F.floor(F.col("t_start") / 2))).alias("events_per_window"))
